@@ -73,11 +73,15 @@ def number_batches(df: DataFrame, id_column: str, size: int, hex_digits: int = 2
     return grouped.withColumn("batch_no", F.floor((numbered - 1) / size).cast("int"))
 
 
-def value_ranks(df: DataFrame, value: str) -> DataFrame:
-    """Distinct values with their count and the number of rows up to and including them."""
-    counted = df.groupBy(value).agg(F.count("*").alias("n"))
+def value_ranks(df: DataFrame, value: str, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Distinct values with their row count ``n``, the rows up to and including them
+    (``upto``) and all rows (``total``); ``extra`` aggregates ride along per value.
+
+    Meant for columns of few distinct values: only one row per value is ordered.
+    """
+    counted = df.groupBy(value).agg(F.count("*").alias("n"), *[a.alias(k) for k, a in (extra or {}).items()])
     upto = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return counted.withColumn("upto", F.sum("n").over(upto))
+    return counted.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(W.partitionBy())})
 
 
 def flag_members(df: DataFrame, other: DataFrame, key: str, flag: str) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries; importing this module fills the registry."""
 
-from rollcall.plans import deduplication, normalising  # noqa: F401
+from rollcall.plans import deduplication, normalising, reporting  # noqa: F401
 from rollcall.plans.registry import ORACLES, QUERIES  # noqa: F401
