@@ -138,6 +138,12 @@ SELECT p.id AS profile_id, concat('https://www.linkedin.com/in/', replace(split_
 FROM people p
 """
 
+VIEWS["verify_pairs"] = """
+SELECT p.id AS profile_id, p.name, p.organization, p.linkedin_url_source, p.country, concat('city ', p.dataset_id) AS city, coalesce(d.text, '') AS content_text,
+       v.url, v.full_name, split(concat(v.current_company, '#', v.past_company), '#') AS companies, v.location, coalesce(d2.text, '') AS context_block
+FROM people p JOIN vendor v ON v.profile_id = p.id LEFT JOIN documents d ON d.doc_id = p.source_row LEFT JOIN documents d2 ON d2.doc_id = p.source_row + 1
+"""
+
 VIEWS["notes"] = """
 SELECT d.doc_id AS profile_id, CASE d.doc_id % 6 WHEN 0 THEN 'call_notes' WHEN 1 THEN 'assessment' WHEN 2 THEN 'linkedin_text'
             WHEN 3 THEN 'bio' WHEN 4 THEN 'other' ELSE 'pitch' END AS field_name, d.text AS body
@@ -156,6 +162,44 @@ SELECT concat('p', cast(e.user_id AS string)) AS profile_id, e.event_id AS pos,
 FROM events e JOIN customer c ON c.c_custkey = e.user_id JOIN part pt ON pt.p_partkey = c.c_custkey
 """
 
+VIEWS["followed_pages"] = """
+SELECT concat('https://faculty.uni.edu/people/', cast(page_id AS string), '/') AS url,
+       concat(html, '<a href="https://www.linkedin.com/in/fac-', cast(page_id % 20 AS string), '/">x</a>') AS html
+FROM pages
+"""
+
+VIEWS["team_pages"] = """
+SELECT concat('https://', split_part(email, '@', 2), '/team/', cast(source_row AS string)) AS url,
+       concat('<html><nav><a href="/home">Home</a></nav><p>', replace(name, ',', ' '), ' leads work on ', country, '.</p><a href="/people/', replace(split_part(name, ',', 1), ' ', '-'),
+              '">Read more</a> <a class="n" href="https://www.linkedin.com/in/x', cast(source_row % 30 AS string), '?t=1"><b>', split_part(name, ' ', 1), '</b> ', coalesce(nullif(split_part(name, ' ', 2), ''), 'Q'),
+              ' - bio</a><a href="mailto:', email, '">mail</a><a href="#top">', name, '</a></html>') AS html
+FROM people WHERE email LIKE '%@%' AND name <> ''
+"""
+
+VIEWS["author_records"] = """
+SELECT id AS profile_id, source_row AS pos, concat('{"id": "https://authors.example.org/A', cast(source_row AS string), '", "display_name": "', CASE WHEN source_row % 5 = 0 THEN 'Someone Else' ELSE split_part(name, ',', 1) END,
+       '", "works_count": ', cast(source_row % 3 AS string), ', "last_known_institution": {"homepage_url": "https://www.', CASE WHEN source_row % 2 = 0 THEN 'uni.edu' ELSE 'other.net' END, '", "display_name": "Acme University"}}') AS body
+FROM people WHERE name <> ''
+"""
+
+VIEWS["code_records"] = """
+SELECT id AS profile_id, source_row AS pos, concat('{"login": "', replace(split_part(name, ',', 1), ' ', CASE WHEN source_row % 2 = 0 THEN '-' ELSE 'zz' END), '", "name": "', split_part(name, ',', 1), '", "company": "', CASE WHEN source_row % 3 = 0 THEN 'acme.com' ELSE '' END,
+       '", "email": "', CASE WHEN source_row % 4 = 0 THEN email ELSE '' END, '", "bio": "', CASE WHEN source_row % 5 = 0 THEN concat('I am ', split_part(name, ',', 1)) ELSE '' END, '", "public_repos": ', cast(source_row % 2 AS string), '}') AS body
+FROM people WHERE name <> ''
+"""
+
+VIEWS["publication_records"] = """
+SELECT id AS profile_id, source_row AS pos, concat('{"', CASE source_row % 4 WHEN 0 THEN 'results' WHEN 1 THEN 'publications' WHEN 2 THEN 'hits' ELSE 'items' END, '": [{"', CASE WHEN source_row % 2 = 0 THEN 'base_url": "https://' ELSE 'custom_domain": "' END,
+       replace(split_part(name, ',', 1), ' ', ''), '.example.com", "name": "Notes of ', CASE WHEN source_row % 3 = 0 THEN split_part(name, ',', 1) ELSE 'nobody' END, '", "description": "', CASE WHEN source_row % 5 = 0 THEN concat('By ', split_part(name, ',', 1)) ELSE '' END, '"}]}') AS body
+FROM people WHERE name <> ''
+"""
+
+VIEWS["tries"] = """
+SELECT profile_id, pos AS turn, url, CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN '404_not_found' WHEN 'signup' THEN '5xx_persisted' WHEN 'error' THEN 'empty_body' ELSE CASE WHEN value > 60 THEN 'out_of_credits' ELSE 'non_200:503' END END AS outcome,
+       value > 40 AS verified, CASE WHEN user_id % 4 = 0 THEN 'user' ELSE 'resolved' END AS linkedin_url_source
+FROM (SELECT concat('p', cast(user_id AS string), '-', cast(event_id % 29 AS string)) AS profile_id, event_id AS pos, concat('https://www.linkedin.com/in/t', cast(event_id AS string)) AS url, event_type, value, user_id FROM events) e
+"""
+
 VIEWS["calls"] = """
 SELECT o_orderkey AS call_id, concat('p', cast(o_custkey AS string)) AS profile_id,
        CASE o_orderkey % 11 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 402 WHEN 4 THEN 418 ELSE 200 END AS status,
