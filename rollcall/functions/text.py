@@ -13,6 +13,11 @@ CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where a lambda uses it per element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def text(col: Column | str) -> Column:
     """Missing text is the empty string everywhere in this library."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -13,7 +13,7 @@ from rollcall.functions.fixed_values import (
     PERSONAL_DOMAINS,
     RESERVED_HANDLES,
 )
-from rollcall.functions.text import has_any, text, trim_all
+from rollcall.functions.text import has_any, let, text, trim_all
 
 PROFILE_URL = r"https?://(?:\w+\.)?linkedin\.com/in/[\w-]+/?"
 
@@ -191,11 +191,11 @@ def harvest_urls(body: Column, primary: Column, keep: int = 8) -> Column:
             F.concat(F.lit("https://"), F.regexp_replace(u, "^/+", ""))
         ),
     )
-    lowered = F.transform(full, F.lower)
-    first_seen = F.filter(
-        F.transform(full, lambda u, i: F.when(F.array_position(lowered, F.lower(u)) == i + 1, u)),
-        lambda u: u.isNotNull(),
-    )
+    def once(links: Column) -> Column:
+        return let(F.transform(links, F.lower), lambda low: F.array_compact(F.transform(
+            links, lambda u, i: F.when(F.array_position(low, F.lower(u)) == i + 1, u))))
+
+    first_seen = let(full, once)
     bare_host = lambda u: F.lower(F.split_part(F.regexp_replace(u, r"(?i)^https?://(www\.)?", ""), F.lit("/"), F.lit(1)))
     kept = F.filter(first_seen, lambda u: ~bare_host(u).isin(HARVEST_SKIP_HOSTS))
     return F.slice(kept, 1, keep)

@@ -14,6 +14,7 @@ from rollcall.functions.fixed_values import STATUSES
 from rollcall.functions.text import guarded_ratio, text
 from rollcall.functions.urls import profile_slug
 from rollcall.operators.keyed import first_per_key, running_sums
+from rollcall.session import cut_lineage
 
 # Tunables of the acceptance rule and their defaults.
 REPLAY_DEFAULTS: dict[str, int | bool] = {
@@ -189,6 +190,7 @@ def stored_decisions(people: DataFrame, attempts: DataFrame) -> DataFrame:
 def compare_replay(people: DataFrame, attempts: DataFrame, configs: Mapping[str, Mapping] | None = None) -> DataFrame:
     """Stored against replayed decision of every profile, per config."""
     names: Sequence[str] = list(configs or {"default": {}})
+    attempts = cut_lineage(attempts)  # read twice below, far smaller than the log
     stored = stored_decisions(people, attempts).withColumn("config", F.explode(F.array(*[F.lit(n) for n in names])))
     replayed = replay_profiles(attempts, configs)
     both = stored.join(replayed, ["profile_id", "config"], "left").withColumn(

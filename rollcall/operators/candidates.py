@@ -39,6 +39,7 @@ from rollcall.functions.urls import (
     profile_urls_in,
 )
 from rollcall.operators.keyed import first_per_key, top_per_key
+from rollcall.session import cut_lineage
 
 def _empty() -> Column:
     return F.lit("")
@@ -329,6 +330,7 @@ def resolve(scored: DataFrame, context: DataFrame, arbiter: DataFrame | None = N
     three wide. ``arbiter`` (profile_id, winner_index) is consulted where scores are near
     tied or just at the threshold; profiles it has no answer for keep the plain rule.
     """
+    scored = cut_lineage(scored.select("profile_id", "pos", "url", "score", "reasons", "n_signals"))
     best = scored.groupBy("profile_id").agg(F.max("score").alias("best_score"))
     by_rank = [F.desc("score"), F.asc("pos")]
     row = F.struct("url", "score", "reasons", "n_signals")

@@ -28,6 +28,14 @@ def with_match_keys(df: DataFrame) -> DataFrame:
     })
 
 
+_KEYS = ["email_key", "url_key", "name_key", "org_key"]
+
+
+def _keyed(df: DataFrame, *extra: str) -> DataFrame:
+    """Ids and match keys alone, computed once and read back by every join below."""
+    return cut_lineage(with_match_keys(df).select("id", *extra, *_KEYS))
+
+
 def _index(known: DataFrame, key: str) -> DataFrame:
     """The last known row of every key, later datasets winning."""
     return last_per_key(
@@ -145,7 +153,7 @@ def find_duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
     Returns new_id, match_type, confidence, n_existing and existing_id. The lowest name
     level carries the count only (existing_id is null there).
     """
-    new, known = with_match_keys(new), with_match_keys(known)
+    new, known = _keyed(new), _keyed(known, "dataset_id", "pos")
 
     def looked_up(key: str, prefix: str) -> DataFrame:
         return _index(known, key).select(
@@ -189,7 +197,7 @@ def find_duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
 
 def match_by_name(new: DataFrame, known: DataFrame) -> DataFrame:
     """Known rows per new row that share its name, counted by confidence level."""
-    new, known = with_match_keys(new), with_match_keys(known)
+    new, known = _keyed(new), _keyed(known, "dataset_id", "pos")
     groups = _name_groups(new, known)
     return new.where("name_key <> ''").join(groups, ["name_key", "org_key"]).select(
         F.col("id").alias("new_id"), "n_likely", "n_unclear", "n_unlikely",

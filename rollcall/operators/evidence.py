@@ -27,6 +27,7 @@ from rollcall.functions.text import (
 )
 from rollcall.functions.urls import clean_profile_url, evidence_url_key, host, match_slug, path
 from rollcall.operators.keyed import first_per_key
+from rollcall.session import cut_lineage
 
 def _empty() -> Column:
     return F.lit("")
@@ -76,45 +77,45 @@ def org_site_evidence(pages: DataFrame, signals: DataFrame) -> DataFrame:
     substrings of its text as first and last names. Join the result to profiles on the
     three columns. ``pages``: url, html.
     """
-    who = signals.where(
+    who = cut_lineage(signals.where(
         (F.col("org_domain") != "") & (F.col("first") != "") & ((F.col("last") != "") | (F.length("first") >= 5))
-    ).select("org_domain", "first", "last", "name_slugs").distinct()
-    slugs = who.select("org_domain", "first", "last", F.posexplode("name_slugs").alias("turn", "slug"))
-    lengths = lambda df, c: df.groupBy("org_domain").agg(F.collect_set(F.length(c)).alias(f"{c}_sizes"))
-    sizes = lengths(who, "first").join(lengths(who.where("last <> ''"), "last"), "org_domain", "left").join(
-        lengths(slugs, "slug"), "org_domain", "left")
+    ).select("org_domain", "first", "last").distinct())
+    all_slugs = name_slugs(F.col("first"), F.col("last"))
+    slugs = who.select("org_domain", "first", "last", F.posexplode(all_slugs).alias("turn", "slug"))
+    sizes = who.groupBy("org_domain").agg(
+        F.collect_set(F.length("first")).alias("first_sizes"), F.collect_set(F.length("last")).alias("last_sizes"),
+        F.array_distinct(F.flatten(F.collect_set(F.array_distinct(F.transform(all_slugs, F.length))))).alias("slug_sizes"))
 
     owned = pages.select("url", "html", host(F.col("url")).alias("org_domain")).join(sizes, "org_domain")
     links = owned.select(
-        "org_domain", F.col("url").alias("page_url"), "html", "first_sizes", "last_sizes", "slug_sizes",
+        "org_domain", F.col("url").alias("page_url"), "first_sizes", "last_sizes", "slug_sizes",
         F.posexplode(anchors(F.col("html"))).alias("link_no", "link"))
     links = links.withColumns({"url": resolve_href(F.col("page_url"), F.col("link.href")), "link_text": F.col("link.text")}).where(
         (F.col("link.href") != "") & (host(F.col("url")) != ""))
+    # Links meet names along three paths; parsed once, they are read back three times.
+    links = cut_lineage(links.select(
+        "org_domain", "page_url", "link_no", "url", "link_text", F.lower(path(F.col("url"))).alias("low_path"),
+        F.lower("link_text").alias("low_text"), "first_sizes", "last_sizes", "slug_sizes"))
     key = ["page_url", "link_no"]
-    lowered = F.lower("link_text")
-    none = F.array().cast("array<int>")
-
+    whole = ["org_domain", "first", "last"]
     by_slug = (
-        links.select(*key, "org_domain", F.explode(_substrings(F.lower(path(F.col("url"))), F.coalesce("slug_sizes", none))).alias("slug"))
-        .join(slugs, ["org_domain", "slug"])
-        .groupBy(*key, "org_domain", "first", "last").agg(F.min_by("slug", "turn").alias("slug_hit"))
+        links.select(*key, "org_domain", F.explode(_substrings(F.col("low_path"), F.col("slug_sizes"))).alias("slug"))
+        .join(slugs, ["org_domain", "slug"]).groupBy(*key, *whole).agg(F.min_by("slug", "turn").alias("slug_hit"))
     )
     firsts, lasts = who.select("org_domain", "first").distinct(), who.select("org_domain", "last").where("last <> ''").distinct()
-    has_first = links.select(*key, "org_domain", F.explode(_substrings(lowered, F.col("first_sizes"))).alias("first")).join(
+    has_first = links.select(*key, "org_domain", F.explode(_substrings(F.col("low_text"), F.col("first_sizes"))).alias("first")).join(
         firsts, ["org_domain", "first"])
-    has_last = links.select(*key, "org_domain", F.explode(_substrings(lowered, F.coalesce("last_sizes", none))).alias("last")).join(
+    has_last = links.select(*key, "org_domain", F.explode(_substrings(F.col("low_text"), F.col("last_sizes"))).alias("last")).join(
         lasts, ["org_domain", "last"])
-    pairs = has_first.join(has_last.drop("org_domain"), key).join(
-        who.select("org_domain", "first", "last"), ["org_domain", "first", "last"])
-    singles = has_first.where(F.length("first") >= 5).join(
-        who.where("last = ''").select("org_domain", "first", "last"), ["org_domain", "first"])
-    by_text = pairs.select(*key, "org_domain", "first", "last").unionByName(
-        singles.select(*key, "org_domain", "first", "last")).distinct().withColumn("in_text", F.lit(True))
-
-    hits = by_slug.join(by_text, [*key, "org_domain", "first", "last"], "full_outer").join(
-        links.select(*key, "url", "link_text", "html"), key)
+    pairs = has_first.join(has_last.drop("org_domain"), key).join(who, whole)
+    singles = has_first.where(F.length("first") >= 5).join(who.where("last = ''"), ["org_domain", "first"])
+    by_text = pairs.select(*key, *whole).unionByName(singles.select(*key, *whole)).distinct().withColumn("in_text", F.lit(True))
+
+    shown = pages.select(F.col("url").alias("page_url"), page_text(F.col("html")).alias("body"))
+    hits = by_slug.join(by_text, [*key, *whole], "full_outer").join(
+        links.select(*key, "url", "link_text"), key).join(shown, "page_url")
     slug_hit = F.coalesce("slug_hit", _empty())
-    bio = window_around(page_text(F.col("html")), first_filled(F.col("link_text"), slug_hit))
+    bio = window_around(F.col("body"), first_filled(F.col("link_text"), slug_hit))
     hits = hits.withColumns({"snippet": bio, "in_text": F.coalesce("in_text", F.lit(False)), "slug_hit": slug_hit})
     about = (F.col("snippet") != "") & (F.contains(F.lower("snippet"), F.col("first")) | (
         (F.col("last") != "") & F.contains(F.lower("snippet"), F.col("last"))) | (F.col("last") == ""))
@@ -271,10 +272,15 @@ def verdicts(people: DataFrame, merged: DataFrame, broken: DataFrame | None = No
 
     ``broken`` lists profile_id of profiles whose stages hit an infrastructure error.
     """
+    return _judge(people, merged, broken).drop("n_profile_links")
+
+
+def _judge(people: DataFrame, merged: DataFrame, broken: DataFrame | None = None) -> DataFrame:
     n = F.size("anchors")
     judged = merged.groupBy("profile_id").agg(
         F.count("*").alias("n_evidence"), F.count_if(n >= 2).alias("n_strong"), F.count_if(n == 1).alias("n_weak"),
-        F.size(F.collect_set(F.when(n == 1, F.col("source")))).alias("n_weak_sources"))
+        F.size(F.collect_set(F.when(n == 1, F.col("source")))).alias("n_weak_sources"),
+        F.count_if(F.array_contains("sources", F.lit("linkedin"))).alias("n_profile_links"))
     joined = people.select(F.col("id").alias("profile_id")).join(judged, "profile_id", "left").fillna(0)
     if broken is not None:
         joined = joined.join(broken.select("profile_id", F.lit(True).alias("_broken")).distinct(), "profile_id", "left")
@@ -358,16 +364,13 @@ def gate_stages(evidence: DataFrame) -> DataFrame:
 
 def staged_profiles(people: DataFrame, evidence: DataFrame, open_web_queries: int = 2) -> DataFrame:
     """State, cost and stages of every profile under the staged strategy."""
-    cut = stage_cutoffs(evidence)
-    merged = merge_evidence(gate_stages(evidence))
-    judged = verdicts(people, merged).join(cut, "profile_id", "left")
-    profile_hits = gate_stages(evidence).where("source = 'linkedin'").groupBy("profile_id").agg(F.count("*").alias("_li"))
+    judged = _judge(people, merge_evidence(gate_stages(evidence))).join(stage_cutoffs(evidence), "profile_id", "left")
     last = F.coalesce("last_stage", F.lit(LAST_STAGE))
     cost = (
-        F.when(F.coalesce("_li", F.lit(0)) > 0, 2 * SEARCH_PRICE + VENDOR_PRICE).otherwise(0.0)
+        F.when(F.col("n_profile_links") > 0, 2 * SEARCH_PRICE + VENDOR_PRICE).otherwise(0.0)
         + F.when(last == LAST_STAGE, open_web_queries * SEARCH_PRICE).otherwise(0.0)
     )
-    return judged.join(profile_hits, "profile_id", "left").select(
+    return judged.select(
         "profile_id", "state", status_of_state(F.col("state")).alias("enrichment_status"), "n_evidence", "n_strong",
         last.alias("last_stage"), F.round(cost, 6).alias("cost"))
 
