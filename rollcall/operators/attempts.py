@@ -236,7 +236,7 @@ def tied_candidates(log_lines: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract("line", pattern, i)
     return found.select(
         "profile_id", "pos", part(1).cast("int").alias("score"), F.regexp_replace(part(2), "/+$", "").alias("url"),
-        F.transform(F.split(part(3), ","), F.trim).alias("reasons"))
+        F.transform(F.split(part(3), ","), lambda r: F.trim(r)).alias("reasons"))
 
 
 def tie_signatures(log_lines: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from rollcall.functions.names import (
 )
 from rollcall.functions.text import first_filled, guarded_ratio, let, text, trim_all
 from rollcall.operators.keyed import top_per_key
+from rollcall.session import cut_lineage
 from rollcall.sources.uploads import index_source_rows
 
 # A starting set of first names used for one another. Pass a larger table
@@ -152,11 +153,12 @@ def clean_up(people: DataFrame, vendor: DataFrame, suspects: DataFrame, rows: Da
         "new_enriched_organization": fill(F.col("_c"), shadow("enriched_organization")),
         "new_enriched_title": fill(F.col("_t"), shadow("enriched_title"))})
     moved = lambda fix, now: F.when(F.col(f"{fix}.value") != text(now), F.col(f"{fix}.value"))
-    return fixed.select(
+    # Reviewing, counting and applying must see the same table, so it is kept.
+    return cut_lineage(fixed.select(
         "id", suspect.alias("suspect"), F.col("organization").alias("old_organization"), F.col("title").alias("old_title"),
         moved("_o", "organization").alias("new_organization"), moved("_h", "title").alias("new_title"),
         F.col("_o.reason").alias("organization_reason"), F.col("_h.reason").alias("title_reason"),
-        "new_enriched_organization", "new_enriched_title")
+        "new_enriched_organization", "new_enriched_title"))
 
 
 def clean_up_counts(changes: DataFrame) -> DataFrame:
