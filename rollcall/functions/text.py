@@ -32,8 +32,13 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(text(c), F.lit("")) for c in cols], F.lit(""))
 
 
+# The same characters as a set to trim; trimming looks at the ends only, a pattern would
+# walk the whole text.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_all(col: Column) -> Column:
-    return F.regexp_replace(text(col), f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text(col), F.lit(SPACES))
 
 
 def squeeze(col: Column) -> Column:
@@ -116,7 +121,8 @@ def word_tokens(col: Column) -> Column:
 
 def ascii_words(col: Column, shortest: int) -> Column:
     """Lower-case words made of a-z only, at least ``shortest`` long, in order."""
-    return F.filter(word_tokens(F.lower(text(col))), lambda w: w.rlike(f"^[a-z]{{{shortest},}}$"))
+    word = r"(?<![\p{L}\p{N}_])([a-z]{%d,})(?![\p{L}\p{N}_])" % shortest
+    return F.regexp_extract_all(F.lower(text(col)), F.lit(word), F.lit(1))
 
 
 def split_words(col: Column) -> Column:

@@ -21,13 +21,13 @@ from rollcall.functions.fixed_values import (
     UNGRADED_DOMAINS,
 )
 from rollcall.functions.text import (
+    ascii_words,
     clip,
     first_filled,
     has_any,
     split_words,
     text,
     trim_all,
-    word_tokens,
 )
 from rollcall.functions.urls import (
     first_profile_url_in,
@@ -61,7 +61,7 @@ def keywords(fields: DataFrame, most: int = 6) -> DataFrame:
     """
     stop = _word_list(KEYWORD_STOPWORDS)
     long_enough = fields.where(F.length("body") > 20)
-    tokens = F.filter(word_tokens(F.lower("body")), lambda w: w.rlike("^[a-z]{3,}$"))
+    tokens = ascii_words(F.col("body"), 3)
     pairs = F.transform(F.slice(F.col("tokens"), 1, F.greatest(F.size("tokens") - 1, F.lit(0))),
                         lambda w, i: F.concat(w, F.lit(" "), F.get(F.col("tokens"), i + 1)))
     words = F.filter("tokens", lambda w: F.length(w) >= 5)
@@ -248,12 +248,12 @@ def score_candidates(candidates: DataFrame, context: DataFrame) -> DataFrame:
     """Score and ordered reasons for every candidate of a profile with context.
 
     ``context`` may carry verified_company. Adds score, reasons and n_signals, the number
-    of reasons that tell people apart.
+    of reasons that tell people apart, and min_score, what the best one has to reach.
     """
     if "verified_company" not in context.columns:
         context = context.withColumn("verified_company", _empty())
     plain = context.select(
-        "profile_id", F.lower("first").alias("c_first"), F.lower("last").alias("c_last"), F.lower("org").alias("c_org"),
+        "profile_id", _min_score().alias("min_score"), F.lower("first").alias("c_first"), F.lower("last").alias("c_last"), F.lower("org").alias("c_org"),
         F.lower("title").alias("c_title"), F.lower("city").alias("c_city"), F.lower("country").alias("c_country"),
         F.lower("email_domain").alias("c_domain"), F.lower(text("verified_company")).alias("c_company"),
         F.col("content_keywords").alias("c_words"), F.lower("email").alias("c_email"))
@@ -313,25 +313,25 @@ def score_candidates(candidates: DataFrame, context: DataFrame) -> DataFrame:
     telling = F.filter(reasons, lambda r: F.split_part(r, F.lit("("), F.lit(1)).isin(DISTINGUISHING_SIGNALS))
     return scored.select(
         *candidates.columns, F.aggregate("_points", F.lit(0), lambda a, p: a + p["score"]).alias("score"),
-        reasons.alias("reasons"), F.size(telling).alias("n_signals"))
+        reasons.alias("reasons"), F.size(telling).alias("n_signals"), "min_score")
 
 
-def thresholds(context: DataFrame) -> DataFrame:
+def _min_score() -> Column:
     """Score a best candidate has to reach, higher with more context."""
     rich = sum((F.when(F.col(c) != "", 1).otherwise(0) for c in ("org", "title", "city", "country", "email_domain")), F.lit(0))
     rich = rich + F.when(F.size("content_keywords") > 0, 1).otherwise(0)
-    return context.select("profile_id", rich.alias("richness"), (F.lit(3) + F.least(rich, F.lit(3))).alias("min_score"))
+    return F.lit(3) + F.least(rich, F.lit(3))
 
 
-def resolve(scored: DataFrame, context: DataFrame, arbiter: DataFrame | None = None) -> DataFrame:
+def resolve(scored: DataFrame, arbiter: DataFrame | None = None) -> DataFrame:
     """Chosen URL per profile, or why none was chosen.
 
     Without an arbiter ties are settled by distinguishing signals, then accepted up to
     three wide. ``arbiter`` (profile_id, winner_index) is consulted where scores are near
     tied or just at the threshold; profiles it has no answer for keep the plain rule.
     """
-    scored = cut_lineage(scored.select("profile_id", "pos", "url", "score", "reasons", "n_signals"))
-    best = scored.groupBy("profile_id").agg(F.max("score").alias("best_score"))
+    scored = cut_lineage(scored.select("profile_id", "pos", "url", "score", "reasons", "n_signals", "min_score"))
+    best = scored.groupBy("profile_id").agg(F.max("score").alias("best_score"), F.max("min_score").alias("min_score"))
     by_rank = [F.desc("score"), F.asc("pos")]
     row = F.struct("url", "score", "reasons", "n_signals")
     top = top_per_key(scored, ["profile_id"], by_rank, 5)
@@ -339,7 +339,7 @@ def resolve(scored: DataFrame, context: DataFrame, arbiter: DataFrame | None = N
     heads = top.groupBy("profile_id").agg(
         *[at(r).alias(f"r{r}") for r in (1, 2)],
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "url", "score", "reasons"))), lambda x: x).alias("pool"))
-    near = scored.join(best, "profile_id").where(F.col("score") >= F.col("best_score") - 1)
+    near = scored.drop("min_score").join(best, "profile_id").where(F.col("score") >= F.col("best_score") - 1)
     widths = near.groupBy("profile_id").agg(
         F.count("*").alias("n_near"), F.count_if(F.col("score") == F.col("best_score")).alias("n_tied"))
     signals = (
@@ -347,7 +347,8 @@ def resolve(scored: DataFrame, context: DataFrame, arbiter: DataFrame | None = N
         .agg(F.count("*").alias("n"), F.min_by(F.struct("url", "score", "reasons"), "pos").alias("lead"))
         .groupBy("profile_id").agg(F.max_by(F.struct("n", "lead"), "n_signals").alias("strongest"))
     )
-    state = heads.join(widths, "profile_id").join(signals, "profile_id").join(thresholds(context), "profile_id")
+    state = heads.join(widths, "profile_id").join(signals, "profile_id").join(
+        best.select("profile_id", "min_score"), "profile_id")
     if arbiter is None:
         state = state.withColumns({"winner_index": F.lit(None).cast("int"), "asked": F.lit(False)})
     else:

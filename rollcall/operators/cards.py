@@ -44,8 +44,8 @@ def _sections(body: Column, per_section: int = 5) -> Column:
 
 
 def _first_sentence(name: Column, body: Column) -> Column:
-    sentence = trim_all(F.split_part(body, F.lit("."), F.lit(1)))
-    short = F.when(F.length(sentence) > 120, _cut(sentence, 120)).otherwise(sentence)
+    sentence = trim_all(F.substring_index(body, ".", 1))
+    short = let(sentence, lambda s: F.when(F.length(s) > 120, _cut(s, 120)).otherwise(s))
     return F.concat(title_case_label(name), F.lit(": "), short, F.lit("."))
 
 
@@ -74,7 +74,9 @@ def build_cards(people: DataFrame) -> DataFrame:
     header = F.concat_ws(" | ", name, role)
 
     def part(e: Column, i: Column) -> Column:
-        tier = field_tier(e["key"], e["value"])
+        return let(field_tier(e["key"], e["value"]), lambda tier: shown_part(e, i, tier))
+
+    def shown_part(e: Column, i: Column, tier: Column) -> Column:
         rank = F.coalesce(*[F.when(tier == t, p) for t, p in TIER_PRIORITY.items()], F.lit(2))
         label = title_case_label(e["key"])
         shown = let(summarize(e["key"], e["value"], tier), lambda s: F.when(

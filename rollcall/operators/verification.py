@@ -18,7 +18,7 @@ from rollcall.functions.fixed_values import (
     VENDOR_PRICE,
     VERIFY_SUFFIX_PATTERN,
 )
-from rollcall.functions.text import ascii_words, first_filled, fold, split_words, text, trim_all
+from rollcall.functions.text import ascii_words, first_filled, fold, let, split_words, text, trim_all
 from rollcall.functions.urls import last_segment
 from rollcall.operators.keyed import first_per_key
 
@@ -102,19 +102,19 @@ def _content_step() -> dict[str, Column]:
     own, their = text("content_text"), text("context_block")
     checked = (F.length(own) > 200) & (their != "")
     stop = F.array(*[F.lit(w) for w in OVERLAP_STOPWORDS])
-    words = lambda c: F.array_except(F.array_distinct(ascii_words(c, 5)), stop)
-    return {
-        "content_checked": checked,
-        "shared_words": F.when(checked, F.size(F.array_intersect(words(own), words(their)))).otherwise(0),
-        "own_content_words": F.when(checked, F.size(words(own))).otherwise(0)}
+    words = lambda c: F.array_except(ascii_words(c, 5), stop)
+    counts = let(words(own), lambda w: F.struct(
+        F.size(F.array_intersect(w, words(their))).alias("shared"), F.size(w).alias("own")))
+    return {"content_checked": checked, "_words": F.when(checked, counts)}
 
 
 def verify_pairs(pairs: DataFrame) -> DataFrame:
     """Decision, score, anchors and reason for every pair."""
     staged = name_evidence(pairs).withColumns({**_slug_step(), **_org_step(), **_location_step(), **_content_step()})
+    shared, own_words = F.coalesce("_words.shared", F.lit(0)), F.coalesce("_words.own", F.lit(0))
     staged = staged.withColumns({
-        "content_match": F.col("content_checked") & (F.col("shared_words") >= 3),
-        "content_miss": F.col("content_checked") & (F.col("shared_words") == 0) & (F.col("own_content_words") > 10),
+        "content_match": F.col("content_checked") & (shared >= 3),
+        "content_miss": F.col("content_checked") & (shared == 0) & (own_words > 10),
         "org_miss": F.col("org_checked") & ~F.col("org_match"),
         "location_miss": F.col("location_checked") & ~F.col("location_match")})
     num = lambda c: F.col(c).cast("int")

@@ -244,4 +244,4 @@ def arbiter_decisions(src):
     context = _context(src)
     scored = candidates.score_candidates(candidates.distinct_candidates(src("candidates")), context)
     answers = parse_arbiter(src("arbiter_responses"))
-    return candidates.arbiter_decisions(candidates.resolve(scored, context, answers), answers)
+    return candidates.arbiter_decisions(candidates.resolve(scored, answers), answers)

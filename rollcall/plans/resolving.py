@@ -161,7 +161,7 @@ s3 AS (SELECT *, CASE WHEN mx < min_score THEN 'too_weak' WHEN nt > 3 AND NOT lo
 def resolved_profiles(src):
     context = _context(src)
     scored = candidates.score_candidates(candidates.distinct_candidates(src("candidates")), context)
-    return _flat(candidates.resolve(scored, context))
+    return _flat(candidates.resolve(scored))
 
 
 _ANSWERS = """ans AS (SELECT profile_id, TRY_CAST(json_extract_string(js, '$.winner_index') AS int) AS wi FROM (SELECT profile_id, CASE WHEN contains(text, '{') THEN regexp_extract(text, '(\\{.*\\})', 1, 's') END AS js FROM arbiter_responses))"""
@@ -176,7 +176,7 @@ def resolved_with_arbiter(src):
     context = _context(src)
     scored = candidates.score_candidates(candidates.distinct_candidates(src("candidates")), context)
     answers = replies.parse_arbiter(src("arbiter_responses"))
-    return _flat(candidates.resolve(scored, context, answers))
+    return _flat(candidates.resolve(scored, answers))
 
 
 _CAPTURED = """cap AS (SELECT * FROM (SELECT profile_id, rtrim(lower(trim(url)), '/') AS url_key, pos, trim(url) AS url, substr(title, 1, 200) AS title, substr(description, 1, 400) AS description, label AS source,
