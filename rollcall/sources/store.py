@@ -60,8 +60,8 @@ def save_profiles(df: DataFrame, path: str, mode: str = "append") -> None:
 
 def load_profiles(spark: SparkSession, path: str, account_id: str, dataset_id: str | None = None) -> DataFrame:
     """Profiles of one account; rows of other owners are never read."""
-    df = conform(spark.read.option("mergeSchema", "true").parquet(path)).where(F.col("account_id") == account_id)
-    return df if dataset_id is None else df.where(F.col("dataset_id") == dataset_id)
+    raw = spark.read.option("mergeSchema", "true").parquet(path).where(F.col("account_id") == account_id)
+    return conform(raw if dataset_id is None else raw.where(F.col("dataset_id") == dataset_id))
 
 
 def load_all(spark: SparkSession, folder: str) -> DataFrame:

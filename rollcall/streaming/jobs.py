@@ -108,6 +108,13 @@ def hourly_rates(log: DataFrame, stamp: str = "ts", width: str = "1 hour", delay
                           F.round(cost, 6).alias("cost"))
 
 
+def _in_order(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """What one micro-batch brings for a key, sorted; its size is bounded by ``per_trigger``."""
+    parts = [b for b in batches if len(b)]
+    if parts:
+        yield pd.concat(parts).sort_values(column)
+
+
 # --- sessions ---------------------------------------------------------------------------------------
 ATTEMPT_SCHEMA = "profile_id STRING, attempt_no LONG, url STRING, name_strength STRING, org_match BOOLEAN, org_mismatch BOOLEAN, stored_decision STRING, ended_by STRING"
 _STATE = "attempt_no LONG, url STRING, name_strength STRING, org_match BOOLEAN, org_mismatch BOOLEAN, name_reject BOOLEAN"
@@ -118,8 +125,8 @@ def live_attempts(log: DataFrame, idle: str = "30 minutes", stamp: str = "ts") -
 
     ``ended_by`` says which: line, next or idle.
 
-    The state per profile is the one open attempt, whatever the length of its log. Lines
-    of a profile have to reach the stream in ``pos`` order.
+    The state per profile is the one open attempt, whatever the length of its log. Later
+    micro-batches bring later lines; inside one they are put in ``pos`` order here.
     """
     says = lambda needle: F.contains("line", F.lit(needle))
     marked = mark_lines(log.withWatermark(stamp, idle)).select(
@@ -138,9 +145,11 @@ def live_attempts(log: DataFrame, idle: str = "30 minutes", stamp: str = "ts") -
             state.update(tuple([held[0], None, "none", False, False, False]))
             yield pd.DataFrame(done, columns=columns)
             return
-        for batch in batches:
+        last_seen = 0
+        for batch in _in_order(batches, "pos"):
             done = []
-            for line in batch.sort_values("pos").itertuples(index=False):
+            last_seen = int(batch[stamp].max().timestamp() * 1000)
+            for line in batch.itertuples(index=False):
                 if isinstance(line.url, str):
                     if held[1]:
                         done.append(row(key[0], held, "rejected" if held[5] else "unknown", "next"))
@@ -155,7 +164,9 @@ def live_attempts(log: DataFrame, idle: str = "30 minutes", stamp: str = "ts") -
             yield pd.DataFrame(done, columns=columns)
         state.update(tuple(held))
         if held[1]:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
+            # The watermark trails the newest line by ``idle``, so it reaches this stamp
+            # once the profile has been silent that long.
+            state.setTimeoutTimestamp(max(last_seen, state.getCurrentWatermarkMs() + 1))
 
     return marked.groupBy("profile_id").applyInPandasWithState(
         step, ATTEMPT_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -177,8 +188,8 @@ def live_exemplars(feedback: DataFrame) -> DataFrame:
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         version, ids, scores, reasons = state.get if state.exists else (0, [], [], [])
         held = list(zip(ids, scores, reasons))
-        for batch in batches:
-            for offer in batch.sort_values("event_id").itertuples(index=False):
+        for batch in _in_order(batches, "event_id"):
+            for offer in batch.itertuples(index=False):
                 held = [h for h in held if h[0] != offer.profile_id]
                 full = len(held) >= MAX_EXEMPLARS
                 if offer.score > 20:
