@@ -7,6 +7,8 @@ Running sums and batch numbers work on slices of a key, never on a whole key at
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,12 +64,15 @@ def running_sums(
     )
 
 
-def number_batches(df: DataFrame, id_column: str, size: int, hex_digits: int = 2) -> DataFrame:
+def number_batches(df: DataFrame, id_column: str, size: int, hex_digits: int | None = None) -> DataFrame:
     """Batches of at most ``size`` rows for an outside service.
 
     Rows are spread over ``16 ** hex_digits`` groups by a digest of the id and numbered
-    inside each, so no task ever sorts the whole table. Adds batch_group and batch_no.
+    inside each, so no task sorts the whole table. Left open, the number of digits follows
+    from a count: a group holds about a million rows. Adds batch_group and batch_no.
     """
+    if hex_digits is None:
+        hex_digits = max(0, math.ceil(math.log(max(df.count(), 1) / 1_000_000, 16)))
     grouped = df.withColumn("batch_group", F.left(F.md5(F.col(id_column).cast("string")), F.lit(hex_digits)))
     numbered = F.row_number().over(W.partitionBy("batch_group").orderBy(id_column))
     return grouped.withColumn("batch_no", F.floor((numbered - 1) / size).cast("int"))
@@ -83,8 +88,3 @@ def value_ranks(df: DataFrame, value: str, extra: dict[str, Column] | None = Non
     upto = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return counted.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(W.partitionBy())})
 
-
-def flag_members(df: DataFrame, other: DataFrame, key: str, flag: str) -> DataFrame:
-    """Left join with the distinct keys of ``other``; true where the key is among them."""
-    members = other.select(key).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
-    return df.join(members, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -129,7 +129,7 @@ def judge_prompts(searches: DataFrame, exemplars: DataFrame, instructions: str =
         bullets("CORRECTIONS", F.col("corrections")), F.nullif(F.lit(instructions), F.lit(""))).alias("system_text"))
 
 
-def judge_batches(cards: DataFrame, size: int = JUDGE_BATCH, hex_digits: int = 2) -> DataFrame:
+def judge_batches(cards: DataFrame, size: int = JUDGE_BATCH, hex_digits: int | None = None) -> DataFrame:
     """User text per batch of at most ``size`` cards: profile_id, name, profile_card."""
     one = F.concat(F.lit("ID:"), F.col("profile_id"), F.lit("\n"), first_filled(F.col("name"), F.lit("Unknown")), F.lit("\n"),
                    clip(F.col("profile_card"), CARD_CHARS), F.lit("\n---"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rollcall.operators import cards, columns, intake, keyed, upkeep
 from rollcall.plans.deduplication import PERSON_ID
+from rollcall.plans.normalising import _ARTICLE
 from rollcall.plans.registry import query
 from rollcall.sources import sinks, store, uploads
 
@@ -145,7 +146,7 @@ def write_back_outbox(src):
     rows = src("people").join(texts, "source_row").withColumns({
         "record_id": F.when(F.col("linkedin_url_source") == "user", "").otherwise(F.concat(F.lit("rec"), F.col("source_row").cast("string"))),
         "profile_card": F.col("name")})
-    return sinks.outbox(rows, F.lit("2024-01-01T00:00:00Z"))
+    return sinks.outbox(rows, F.lit("2024-01-01T00:00:00Z"), hex_digits=2)
 
 
 @query("outbox_counts", """
@@ -157,7 +158,7 @@ def outbox_counts(src):
 @query("numbered_batches", """
 SELECT id, left(md5(id), 2) AS batch_group, cast(floor((row_number() OVER (PARTITION BY left(md5(id), 2) ORDER BY id) - 1) / 40) AS int) AS batch_no FROM people""")
 def numbered_batches(src):
-    return keyed.number_batches(src("people").select("id"), "id", 40)
+    return keyed.number_batches(src("people").select("id"), "id", 40, 2)
 
 
 # --- columns ------------------------------------------------------------------------------
@@ -399,7 +400,11 @@ def link_requests(src):
     return cards.link_requests(people)
 
 
-@query("fetched_texts")
+@query("fetched_texts", f"""
+WITH t AS (SELECT rtrim(lower(url), '/') AS k, {_ARTICLE} AS body FROM pages),
+u AS (SELECT k, body, list_filter(list_transform(string_split(body, '. '), lambda x: trim(x)), lambda x: length(x) > 20 AND length(x) < 500 AND NOT regexp_matches(x, '^(Cookie|Privacy|Terms|Copyright|©)')) AS s FROM t),
+v AS (SELECT k, min(bio) AS bio FROM (SELECT k, substr(CASE WHEN len(s) > 0 THEN concat(array_to_string(s[1:10], '. '), '.') ELSE body END, 1, 2000) AS bio FROM u) WHERE length(bio) >= 50 GROUP BY k)
+SELECT page_id AS profile_id, md5(coalesce(bio, '')) AS body_md5 FROM pages LEFT JOIN v ON k = rtrim(lower(url), '/')""")
 def fetched_texts(src):
     requests = src("pages").select(F.col("page_id").alias("profile_id"), "url")
     return cards.fetched_text(requests, src("pages")).select("profile_id", F.md5("body").alias("body_md5"))

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from rollcall.operators import candidates, evidence, verification
+from rollcall.functions.replies import parse_arbiter
+from rollcall.operators import candidates, evidence, reports, verification
 from rollcall.plans.normalising import DOMAIN_SQL, PAGE_TEXT, PERSONAL, SIGNAL_TOKENS
 from rollcall.plans.registry import query
+from rollcall.plans.resolving import _ARBITRATED, _context
 
 _SIGNALS = f"""sg0 AS (SELECT id, organization, email, {SIGNAL_TOKENS.format(c='name')} AS toks, {DOMAIN_SQL.format(e='email')} AS dom FROM people),
 sg1 AS (SELECT *, toks[1:coalesce(list_max(list_transform(range(1, len(toks) + 1), lambda i: CASE WHEN toks[i] IN ('jr','sr','ii','iii','iv','phd','md','esq','mba','mph','dphil','ma','ms','bs','ba','jd','ph','d','m') THEN 0 ELSE i END)), 0)] AS tk FROM sg0),
@@ -191,9 +193,7 @@ _REASON = " ".join(f"WHEN reason LIKE '{n}%' THEN '{b}'" for n, b in [
 SELECT section, bucket, cast(count(*) AS bigint) AS n FROM (SELECT 'decision' AS section, decision AS bucket FROM vf UNION ALL SELECT 'reason', concat(decision, ':', CASE {_REASON} ELSE 'other' END) FROM vf
  UNION ALL SELECT 'anchor_positive', unnest(ap) FROM vf UNION ALL SELECT 'anchor_negative', unnest(an) FROM vf) GROUP BY section, bucket""")
 def decision_report(src):
-    from rollcall.operators.reports import decision_report as report
-
-    return report(verification.verify_pairs(src("verify_pairs")))
+    return reports.decision_report(verification.verify_pairs(src("verify_pairs")))
 
 
 _OUTCOME = """CASE WHEN status IN (402, 403) AND contains(lower(body), 'credits') THEN 'out_of_credits' WHEN status = 429 THEN '429_rate_limited_exhausted' WHEN status = 404 THEN '404_not_found' WHEN status BETWEEN 500 AND 599 THEN '5xx_persisted'
@@ -236,12 +236,10 @@ def backfilled_people(src):
         "id", "name", "organization", "title", "enriched_organization", "enriched_title")
 
 
-@query("arbiter_decisions")
+@query("arbiter_decisions", f"""{_ARBITRATED}, ab AS (SELECT s3.profile_id, outcome, ch, wi, lower(json_extract_string(js, '$.confidence')) AS c, json_extract_string(js, '$.reason') AS r, js IS NULL AS bad, left(text, 100) AS t FROM s3 JOIN (SELECT profile_id, text, CASE WHEN contains(text, '{{') THEN regexp_extract(text, '(\\{{.*\\}})', 1, 's') END AS js FROM arbiter_responses) q ON q.profile_id = s3.profile_id WHERE outcome LIKE 'arbiter%')
+SELECT profile_id, CASE WHEN outcome = 'arbiter_selected' THEN ch.url ELSE '' END AS linkedin_url, 0 AS score, 'arbiter_called' AS anchors_positive, '' AS anchors_negative, CASE WHEN outcome = 'arbiter_selected' THEN 'accept' ELSE 'ambiguous' END AS decision,
+ concat(CASE WHEN wi IS NULL THEN 'arbiter abstained' ELSE concat('arbiter selected index=', wi) END, ' (confidence=', CASE WHEN c IN ('high', 'medium', 'low') THEN c ELSE 'low' END, ', reason=', CASE WHEN bad THEN concat('arbiter_parse_error: ', t) ELSE coalesce(nullif(r, ''), 'no-reason') END, ')') AS reason FROM ab""")
 def arbiter_decisions(src):
-    from rollcall.functions.replies import parse_arbiter
-    from rollcall.plans.resolving import _context
-
-    context = _context(src)
-    scored = candidates.score_candidates(candidates.distinct_candidates(src("candidates")), context)
+    scored = candidates.score_candidates(candidates.distinct_candidates(src("candidates")), _context(src))
     answers = parse_arbiter(src("arbiter_responses"))
-    return candidates.arbiter_decisions(candidates.resolve(scored, answers), answers)
+    return _joined(candidates.arbiter_decisions(candidates.resolve(scored, answers), answers), "anchors_positive", "anchors_negative")

@@ -167,11 +167,13 @@ def resolved_profiles(src):
 _ANSWERS = """ans AS (SELECT profile_id, TRY_CAST(json_extract_string(js, '$.winner_index') AS int) AS wi FROM (SELECT profile_id, CASE WHEN contains(text, '{') THEN regexp_extract(text, '(\\{.*\\})', 1, 's') END AS js FROM arbiter_responses))"""
 
 
-@query("resolved_with_arbiter", f"""WITH {_PICK}, {_ANSWERS},
+_ARBITRATED = f"""WITH {_PICK}, {_ANSWERS},
 s4 AS (SELECT s2.*, a.profile_id IS NOT NULL AND mx >= min_score AND (n_near >= 2 OR mx = min_score) AS asked, wi, least(5, CASE WHEN n_near >= 2 THEN n_near ELSE 2 END, len(all_)) AS ps FROM s2 LEFT JOIN ans a ON a.profile_id = s2.profile_id),
 s3 AS (SELECT *, CASE WHEN mx < min_score THEN 'too_weak' WHEN asked AND NOT coalesce(wi BETWEEN 0 AND ps - 1, false) THEN 'arbiter_abstained' WHEN asked THEN 'arbiter_selected' WHEN nt > 3 AND NOT lone AND len(strongest) > 1 THEN 'ambiguous' ELSE 'selected' END AS outcome,
-  CASE WHEN asked THEN all_[wi + 1] WHEN nt > 1 AND NOT lone AND len(strongest) = 1 THEN strongest[1] ELSE all_[1] END AS ch FROM s4)
-{_OUT}""")
+  CASE WHEN asked THEN all_[wi + 1] WHEN nt > 1 AND NOT lone AND len(strongest) = 1 THEN strongest[1] ELSE all_[1] END AS ch FROM s4)"""
+
+
+@query("resolved_with_arbiter", f"{_ARBITRATED} {_OUT}")
 def resolved_with_arbiter(src):
     context = _context(src)
     scored = candidates.score_candidates(candidates.distinct_candidates(src("candidates")), context)

@@ -96,7 +96,7 @@ def custom_scores(src):
 b AS (SELECT *, left(md5(profile_id), 2) AS batch_group, floor((row_number() OVER (PARTITION BY left(md5(profile_id), 2) ORDER BY profile_id) - 1) / 40)::int AS batch_no FROM cd)
 SELECT batch_group, batch_no, cast(count(*) AS bigint) AS n_profiles, md5(string_agg(concat('ID:', profile_id, chr(10), coalesce(nullif(name, ''), 'Unknown'), chr(10), left(profile_card, 3000), chr(10), '---'), chr(10) ORDER BY profile_id)) AS text_md5 FROM b GROUP BY ALL""")
 def judge_batch_texts(src):
-    return ranking.judge_batches(_cards(src)).select("batch_group", "batch_no", "n_profiles", F.md5("user_text").alias("text_md5"))
+    return ranking.judge_batches(_cards(src), hex_digits=2).select("batch_group", "batch_no", "n_profiles", F.md5("user_text").alias("text_md5"))
 
 
 @query("judge_system_texts", """
@@ -387,17 +387,20 @@ def logged_candidates(src):
     return attempts.tied_candidates(_candidate_lines(src)).withColumn("reasons", F.array_join("reasons", "|"))
 
 
-@query("arbiter_comparison", f"""WITH {_TIED}, {_ANSWERS},
+_COMPARED = f"""WITH {_TIED}, {_ANSWERS},
 ts AS (SELECT profile_id, 3 AS tie_count, 9 AS tie_score FROM (SELECT DISTINCT profile_id FROM log_lines WHERE contains(line, 'candidates tied at score'))),
-pl AS (SELECT profile_id, list(url ORDER BY score DESC, pos) AS pool FROM cx GROUP BY 1)
-SELECT ts.profile_id, ts.tie_count, ts.tie_score, pool[1:5][wi + 1] AS picked_url, CASE WHEN js_null THEN 'errored' WHEN pool[1:5][wi + 1] IS NOT NULL THEN 'picked' ELSE 'abstained' END AS outcome
-FROM ts JOIN people p ON p.id = ts.profile_id AND p.enrichment_status = 'skipped' LEFT JOIN pl ON pl.profile_id = ts.profile_id LEFT JOIN (SELECT ans.profile_id, CASE WHEN wi BETWEEN 0 AND 4 THEN wi END AS wi, NOT contains(text, '{{') AS js_null FROM ans JOIN arbiter_responses USING (profile_id)) an ON an.profile_id = ts.profile_id""")
+pl AS (SELECT profile_id, list(url ORDER BY score DESC, pos) AS pool FROM cx GROUP BY 1),
+cp AS (SELECT ts.profile_id, ts.tie_count, ts.tie_score, pool[1:5][wi + 1] AS picked_url, CASE WHEN js_null THEN 'errored' WHEN pool[1:5][wi + 1] IS NOT NULL THEN 'picked' ELSE 'abstained' END AS outcome
+FROM ts JOIN people p ON p.id = ts.profile_id AND p.enrichment_status = 'skipped' LEFT JOIN pl ON pl.profile_id = ts.profile_id LEFT JOIN (SELECT ans.profile_id, CASE WHEN wi BETWEEN 0 AND 4 THEN wi END AS wi, NOT contains(text, '{{') AS js_null FROM ans JOIN arbiter_responses USING (profile_id)) an ON an.profile_id = ts.profile_id)"""
+
+
+@query("arbiter_comparison", _COMPARED + " SELECT * FROM cp")
 def arbiter_comparison(src):
     return audit.arbiter_comparison(src("people"), attempts.tie_signatures(src("log_lines")), attempts.tied_candidates(_candidate_lines(src)),
                                     replies.parse_arbiter(src("arbiter_responses"), 5))
 
 
-@query("arbiter_summary")
+@query("arbiter_summary", _COMPARED + " SELECT outcome, count(*) AS n FROM cp GROUP BY outcome")
 def arbiter_summary(src):
     return audit.arbiter_summary(arbiter_comparison(src))
 

@@ -26,7 +26,8 @@ def get_session(app_name: str = "rollcall", master: str | None = None, **extra:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in SETTINGS.items():
+    # Checkpoints are dropped once nothing refers to them.
+    for key, value in {**SETTINGS, "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}.items():
         builder = builder.config(key, value)
     for key, value in extra.items():
         builder = builder.config(key.replace("_", "."), value)

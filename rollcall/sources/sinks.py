@@ -11,7 +11,7 @@ from rollcall.operators.keyed import number_batches
 LONGEST_CELL = 100_000
 
 
-def outbox(profiles: DataFrame, run_time: Column, prefix: str = "RC_", batch_size: int = 10, hex_digits: int = 2) -> DataFrame:
+def outbox(profiles: DataFrame, run_time: Column, prefix: str = "RC_", batch_size: int = 10, hex_digits: int | None = None) -> DataFrame:
     """Rows to send back to a record source in small batches: five prefixed columns.
 
     ``profiles`` has record_id, linkedin_url, vendor_text, profile_card,
