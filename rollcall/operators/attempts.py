@@ -60,7 +60,7 @@ def with_attempt_numbers(log_lines: DataFrame, chunk: int = 65536) -> DataFrame:
     counted = running_sums(
         mark_lines(log_lines), ["profile_id"], "pos",
         {"attempt_no": F.col("url").isNotNull(), "closed": F.col("closing").isNotNull()}, chunk)
-    return counted.withColumn("closed_before", F.col("closed") - F.col("closing").isNotNull().cast("long")).drop("closed")
+    return counted.withColumn("closed_before", F.col("closed") - F.col("closing").isNotNull().cast("long")).drop("closed", "closed_total")
 
 
 def parse_attempts(log_lines: DataFrame, chunk: int = 65536) -> DataFrame:
@@ -69,16 +69,18 @@ def parse_attempts(log_lines: DataFrame, chunk: int = 65536) -> DataFrame:
     Lines of an attempt share the count of earlier closing lines with its opening line
     until the first closing line, so the live part is one aggregate group.
     """
-    lines = with_attempt_numbers(log_lines, chunk)
+    # Other lines change nothing; dropping them here keeps them out of every shuffle.
+    telling = log_lines.where(_says("Trying LinkedIn:") | _says("Verify ") | _says("API returned no data"))
+    lines = with_attempt_numbers(telling, chunk)
     closing_line = F.max(F.when(F.col("closing").isNotNull(), F.col("line")))
     flags = {name: F.bool_or(_says(needle)) for name, needle in _FLAGS.items()}
     grouped = lines.where("attempt_no > 0").groupBy("profile_id", "attempt_no", "closed_before").agg(
         F.min("pos").alias("pos"), F.max("url").alias("url"),
         F.coalesce(F.max_by("strength", F.when(F.col("strength").isNotNull(), F.col("pos"))), F.lit("none")).alias("name_strength"),
         *[f.alias(n) for n, f in flags.items()],
-        F.max("closing").alias("closing"), F.coalesce(closing_line, F.lit("")).alias("closing_line"))
-    live = grouped.where(F.col("url").isNotNull()).drop("closed_before")
-    newest = live.groupBy("profile_id").agg(F.max("attempt_no").alias("newest"))
+        F.max("closing").alias("closing"), F.coalesce(closing_line, F.lit("")).alias("closing_line"),
+        F.max("attempt_no_total").alias("newest"))
+    live = grouped.where(F.col("url").isNotNull())
     number = lambda pattern: F.coalesce(
         F.nullif(F.regexp_extract("closing_line", pattern, 1), F.lit("")).cast("int"), F.lit(0))
     line = F.col("closing_line")
@@ -90,7 +92,7 @@ def parse_attempts(log_lines: DataFrame, chunk: int = 65536) -> DataFrame:
     decision = F.coalesce(
         F.col("closing"), F.when(F.col("name_mismatch") | F.col("name_weak_rejected"), F.lit("rejected")),
         F.when(F.col("attempt_no") == F.col("newest"), F.lit("no_data")), F.lit("unknown"))
-    return live.join(newest, "profile_id").select(
+    return live.select(
         "profile_id", "attempt_no", "pos", "url", "name_strength", *_FLAGS,
         decision.alias("stored_decision"), number(r"score=(-?\d+)").alias("raw_score"),
         number(r"checks=(\d+)").alias("raw_checks"), legacy.alias("legacy_log_format"))

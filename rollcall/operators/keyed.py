@@ -48,7 +48,8 @@ def running_sums(
     """Inclusive running sums per key in ``position`` order (an integer, unique per key).
 
     A key is cut into slices of ``chunk`` positions. Each slice is summed on its own and
-    only one row per slice takes part in the pass over the whole key.
+    only one row per slice takes part in the pass over the whole key. For every amount a
+    column of its name and one with the suffix ``_total``, the sum over the key, are added.
     """
     sliced = df.withColumn("_slice", F.floor(F.col(position) / chunk))
     sliced = sliced.withColumns({f"_x_{n}": a.cast("long") for n, a in amounts.items()})
@@ -57,11 +58,10 @@ def running_sums(
     totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in amounts])
     earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in amounts]
-    )
+        *keys, "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in amounts],
+        *[F.sum(f"_t_{n}").over(W.partitionBy(*keys)).alias(f"{n}_total") for n in amounts])
     return local.join(offsets, [*keys, "_slice"]).select(
-        *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in amounts]
-    )
+        *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in amounts], *[f"{n}_total" for n in amounts])
 
 
 def number_batches(df: DataFrame, id_column: str, size: int, hex_digits: int | None = None) -> DataFrame:
