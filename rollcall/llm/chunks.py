@@ -1,0 +1,37 @@
+"""Splitting text for byte-level BPE, with the encodings of frequent chunks kept per worker.
+
+A tokenizer's pattern joins at most one space to what follows it and never reaches over other
+white space, so a text falls into chunks, each an optional space and what is not white space,
+or a run of white space, that can be encoded one by one. Most chunks repeat: a worker keeps
+the ids of up to ``KEPT`` short ones and starts anew when that is full.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import regex
+
+CHUNK = r" ?\S+|\s+(?!\S)|\s+"
+KEPT, LONGEST = 1 << 18, 64
+
+
+class Chunked:
+    """Encodes texts to ids, each a little-endian unsigned 32-bit integer, chunk by chunk."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode, self.known, self.split = encode, {}, regex.compile(CHUNK).findall
+
+    def __call__(self, text: str | None) -> bytes:
+        chunks = self.split(text or "")
+        try:
+            return b"".join(map(self.known.__getitem__, chunks))
+        except KeyError:
+            pass
+        if len(self.known) > KEPT:
+            self.known = {}
+        new = [c for c in set(chunks) if c not in self.known]
+        found = dict(zip(new, self.encode(new)))
+        self.known.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST)
+        known = self.known
+        return b"".join([known[c] if c in known else found[c] for c in chunks])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollcall.llm import quality_rules
+from rollcall.llm import arc_to_warc, byte_bpe, framed_records, quality_rules
 from rollcall.llm.shared import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +29,36 @@ def query(name: str):
 @query("op9_quality_rules")
 def op9(spark, folder):
     return quality_rules.quality(table(spark, folder, "documents"))
+
+
+@query("op1_byte_bpe")
+def op1(spark, folder):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encoded(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decoded(ids, ranks, public_tokenizers.PATTERN).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_arc_to_warc")
+def op4(spark, folder):
+    return arc_to_warc.archived_and_read(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op4_arc_to_warc"] = """
+WITH sized AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+digested AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM sized),
+owned AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS owner FROM digested)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < owner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < owner THEN owner END AS refers_to
+FROM owned"""
+
+
+@query("op8_framed_records")
+def op8(spark, folder):
+    read = framed_records.written_and_read(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.crc32("ids").alias("ids_crc32"))
