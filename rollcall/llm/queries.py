@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import arc_to_warc, byte_bpe, framed_records, quality_rules
+from rollcall.llm import arc_to_warc, byte_bpe, framed_records, quality_rules, string_tiling
 from rollcall.llm.shared import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op1(spark, folder):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op3_string_tiling")
+def op3(spark, folder):
+    return string_tiling.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op4_arc_to_warc")
 def op4(spark, folder):
     return arc_to_warc.archived_and_read(table(spark, folder, "pages")).select(
