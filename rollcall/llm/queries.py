@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import arc_to_warc, byte_bpe, framed_records, quality_rules, string_tiling
+from rollcall.llm import arc_to_warc, byte_bpe, framed_records, quality_rules, string_tiling, suffix_trees
 from rollcall.llm.shared import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def op8(spark, folder):
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                        F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op10_suffix_trees")
+def op10(spark, folder):
+    return suffix_trees.deduplicated(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
