@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import arc_to_warc, byte_bpe, framed_records, quality_rules, string_tiling, suffix_trees
+from rollcall.llm import arc_to_warc, byte_bpe, dart_minhash, framed_records, quality_rules, string_tiling, suffix_trees
 from rollcall.llm.shared import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op8(spark, folder):
 def op10(spark, folder):
     return suffix_trees.deduplicated(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_dart_minhash")
+def op6(spark, folder):
+    return dart_minhash.near_duplicates(table(spark, folder, "documents"))
