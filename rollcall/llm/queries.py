@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import arc_to_warc, byte_bpe, dart_minhash, framed_records, quality_rules, string_tiling, suffix_trees
+from rollcall.llm import arc_to_warc, brown_classes, byte_bpe, dart_minhash, framed_records, quality_rules, string_tiling, suffix_trees
 from rollcall.llm.shared import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op10(spark, folder):
 @query("op6_dart_minhash")
 def op6(spark, folder):
     return dart_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op2_brown_classes")
+def op2(spark, folder):
+    return brown_classes.scored(table(spark, folder, "documents"))
