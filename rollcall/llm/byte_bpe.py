@@ -15,7 +15,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -82,17 +81,13 @@ class Codec:
         unknown = self.pieces.unk_id()
         self.tokens = [bytes(map(back.__getitem__, self.pieces.id_to_piece(i))) for i in range(len(self.pieces)) if i != unknown]
         self.ranks = {token: i for i, token in enumerate(self.tokens)}
-        self.pre_tokens = regex.compile(pattern).findall
-        self.encode = Chunked(self._encode)
+        self.encode = Chunked(self._encode, pattern)
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        split = [self.pre_tokens(chunk) for chunk in chunks]
-        flat = list({p for parts in split for p in parts})
-        mapped = [p.encode().decode("latin-1").translate(self.letters) for p in flat]
+    def _encode(self, pre_tokens: list[str]) -> list[bytes]:
+        mapped = [p.encode().decode("latin-1").translate(self.letters) for p in pre_tokens]
         # A whole pre-token that is in the vocabulary is one token, whether or not merges reach it.
-        ids = {p: [self.ranks[raw]] if (raw := p.encode()) in self.ranks else found
-               for p, found in zip(flat, self.pieces.encode(mapped, num_threads=1))}
-        return [np.array([i for p in parts for i in ids[p]], "<u4").tobytes() for parts in split]
+        return [np.array([self.ranks[raw]] if (raw := p.encode()) in self.ranks else ids, "<u4").tobytes()
+                for p, ids in zip(pre_tokens, self.pieces.encode(mapped, num_threads=1))]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

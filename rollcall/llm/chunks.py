@@ -1,9 +1,10 @@
-"""Splitting text for byte-level BPE, with the encodings of frequent chunks kept per worker.
+"""Splitting text for byte-level BPE, with the encodings of frequent pieces kept per worker.
 
 A tokenizer's pattern joins at most one space to what follows it and never reaches over other
 white space, so a text falls into chunks, each an optional space and what is not white space,
-or a run of white space, that can be encoded one by one. Most chunks repeat: a worker keeps
-the ids of up to ``KEPT`` short ones and starts anew when that is full.
+or a run of white space, that can be encoded one by one. The pattern splits chunks into
+pre-tokens. Most of both repeat: a worker keeps the ids of up to ``KEPT`` short ones of each
+and starts anew when that is full.
 """
 
 from __future__ import annotations
@@ -13,25 +14,36 @@ from collections.abc import Callable
 import regex
 
 CHUNK = r" ?\S+|\s+(?!\S)|\s+"
-KEPT, LONGEST = 1 << 18, 64
+KEPT, LONGEST = 1 << 17, 64
 
 
-class Chunked:
-    """Encodes texts to ids, each a little-endian unsigned 32-bit integer, chunk by chunk."""
+class Kept:
+    """Values of strings, made for many at once and kept for the short ones."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known, self.split = encode, {}, regex.compile(CHUNK).findall
+    def __init__(self, make: Callable[[list[str]], list[bytes]]):
+        self.make, self.known = make, {}
 
-    def __call__(self, text: str | None) -> bytes:
-        chunks = self.split(text or "")
+    def joined(self, keys: list[str]) -> bytes:
         try:
-            return b"".join(map(self.known.__getitem__, chunks))
+            return b"".join(map(self.known.__getitem__, keys))
         except KeyError:
             pass
         if len(self.known) > KEPT:
             self.known = {}
-        new = [c for c in set(chunks) if c not in self.known]
-        found = dict(zip(new, self.encode(new)))
-        self.known.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST)
         known = self.known
-        return b"".join([known[c] if c in known else found[c] for c in chunks])
+        new = [k for k in set(keys) if k not in known]
+        found = dict(zip(new, self.make(new)))
+        known.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
+        return b"".join([known[k] if k in known else found[k] for k in keys])
+
+
+class Chunked:
+    """Encodes texts to ids, each a little-endian unsigned 32-bit integer, by chunks and pre-tokens."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str):
+        pre_tokens, parts = regex.compile(pattern).findall, Kept(encode)
+        self.chunks = Kept(lambda chunks: [parts.joined(pre_tokens(c)) for c in chunks])
+        self.split = regex.compile(CHUNK).findall
+
+    def __call__(self, text: str | None) -> bytes:
+        return self.chunks.joined(self.split(text or ""))

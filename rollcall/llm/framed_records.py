@@ -2,8 +2,8 @@
 
 A record is a frame: the length of the body (8 bytes), the masked CRC-32 of those 8 bytes,
 the body, the masked CRC-32 of the body, and a line feed. The body is the document's id
-(signed 64 bits; the smallest value stands for null) and its token ids (unsigned 32 bits), all
-little-endian. The mask rotates the checksum by 15 bits and adds a constant, so that a
+(signed 64 bits; the smallest value stands for null), the bytes per token id (2 where the
+vocabulary allows, else 4), and the token ids, all little-endian. The mask rotates the checksum by 15 bits and adds a constant, so that a
 checksum of bytes that hold checksums stays sound. The line feed is what Spark's text sink
 puts after a row: the files are written by that sink, through its commit protocol, to any
 file system Spark writes to.
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rollcall.llm.chunks import Chunked
 from rollcall.llm.shared import shared_folder
@@ -52,16 +53,20 @@ def body_at(data: bytes, offset: int) -> memoryview:
     return body
 
 
-def _encoder(tokenizer_json: str):
-    from tokenizers import Tokenizer
-
+def encoder(tokenizer_json: str, pattern: str) -> tuple[Chunked, int]:
+    """Texts to ids, and the bytes that an id needs."""
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return Chunked(lambda chunks: [np.array(e.ids, "<u4").tobytes()
-                                   for e in tokenizer.encode_batch(chunks, add_special_tokens=False)])
+    encode = Chunked(lambda parts: [np.array(e.ids, "<u4").tobytes()
+                                    for e in tokenizer.encode_batch(parts, add_special_tokens=False)], pattern)
+    return encode, 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+
+
+def body(doc: int | None, ids: bytes, width: int) -> bytes:
+    return struct.pack("<qB", NULL_ID if doc is None else doc, width) + np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
 
 
-def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> None:
+def write_records(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, folder: str) -> None:
     """Encodes every text, appends ``end_id`` and writes the records in ascending doc_id order.
 
     A null id comes first; among rows with one id the text decides, and equal rows are all
@@ -72,9 +77,9 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encode = _encoder(tokenizer.value)
+        encode, width = encoder(tokenizer.value, pattern)
         for batch in batches:
-            frames = [framed(struct.pack("<q", NULL_ID if i is None else i) + encode(text) + end)
+            frames = [framed(body(i, encode(text) + end, width))
                       for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["value"])
 
@@ -103,8 +108,8 @@ def write_index(spark: SparkSession, folder: str, index_folder: str) -> None:
                 offset, rows = 0, []
                 while offset < len(data):
                     length, = struct.unpack_from("<Q", data, offset)
-                    doc, = struct.unpack_from("<q", data, offset + 12)
-                    rows.append((None if doc == NULL_ID else doc, number, part, path, offset, length, length // 4 - 2))
+                    doc, width = struct.unpack_from("<qB", data, offset + 12)
+                    rows.append((None if doc == NULL_ID else doc, number, part, path, offset, length, (length - 9) // width))
                     offset += length + 17
                 for at in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays(
@@ -142,19 +147,20 @@ def read_records(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
             for data, offsets, starts in zip(*(c.to_pylist() for c in batch.columns)):
                 for at in range(0, len(offsets), 1000):
                     bodies = [bytes(body_at(data, o)) for o in offsets[at:at + 1000]]
-                    docs = [struct.unpack_from("<q", b)[0] for b in bodies]
+                    docs, widths = zip(*[struct.unpack_from("<qB", b) for b in bodies])
+                    ids = [np.frombuffer(b, f"<u{w}", offset=9).astype("<u4").tobytes() for b, w in zip(bodies, widths)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([None if d == NULL_ID else d for d in docs], pa.int64()),
-                         pa.array(starts[at:at + 1000], pa.int64()), pa.array([b[8:] for b in bodies], pa.binary())],
+                         pa.array(starts[at:at + 1000], pa.int64()), pa.array(ids, pa.binary())],
                         ["doc_id", "start", "ids"])
 
     return files.mapInArrow(fetch, "doc_id long, start long, ids binary")
 
 
-def written_and_read(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def written_and_read(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int) -> DataFrame:
     """Writes records and index of all documents, then reads every record back through the index."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "records")
-    write_records(docs, tokenizer_path, end_id, f"{folder}/data")
+    write_records(docs, tokenizer_path, pattern, end_id, f"{folder}/data")
     write_index(spark, f"{folder}/data", folder)
     return read_records(spark, f"{folder}/data", read_index(spark, folder))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import arc_to_warc, brown_classes, byte_bpe, dart_minhash, framed_records, quality_rules, string_tiling, suffix_trees
+from rollcall.llm import arc_to_warc, brown_classes, byte_bpe, dart_minhash, framed_records, quality_rules, string_tiling, suffix_trees, wrapper_induction
 from rollcall.llm.shared import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,7 +64,7 @@ FROM owned"""
 @query("op8_framed_records")
 def op8(spark, folder):
     read = framed_records.written_and_read(
-        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2)
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                        F.crc32("ids").alias("ids_crc32"))
 
@@ -83,3 +83,8 @@ def op6(spark, folder):
 @query("op2_brown_classes")
 def op2(spark, folder):
     return brown_classes.scored(table(spark, folder, "documents"))
+
+
+@query("op7_wrapper_induction")
+def op7(spark, folder):
+    return wrapper_induction.main_texts(table(spark, folder, "pages"))
