@@ -29,11 +29,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     without repeats stays as it was.
     """
     prepared(spark)
-    rest = suffix_trees.removed(docs.withColumn("_text", docs["text"])).where(
-        (F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_words")))
+    rest = suffix_trees.removed(docs).where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_words")))
     changed = F.col("_n_removed") > 0
-    text = F.when(changed, F.col("text")).otherwise(F.col("_text"))
-    values = {"text": text, "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
+    values = {"text": F.when(changed, F.col("_kept")).otherwise(F.col("text")),
+              "n_chars": F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}
     return rest.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm.shared import shared_folder
+from rollcall.llm.shared import materialised, shared_folder
 
 # Fixed values of the two formats.
 ARC_FIELDS = {
@@ -34,10 +34,12 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_TYPE = "application/http; msgtype=response"
 
-LEVEL = 3
+LEVEL = 6
 VOLUME_BYTES = 8 << 20
 RECORDS_PER_WARC = 2000
 LEAST_SHARED_BYTES = 1000
+# Up to so many decisions are sent to all tasks instead of moving volumes to them.
+FEW_REVISITS = 100_000
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 RECORD = "arc string, offset long, page_id long, payload_bytes long, digest string, record_id string"
@@ -199,9 +201,12 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, work_folder:
     volumes = files(spark, arc_folder)
     survey(volumes).write.parquet(f"{work_folder}/survey")
     records = spark.read.schema(RECORD).parquet(f"{work_folder}/survey")
+    repeated = materialised(revisits(records), "revisits")
     # A volume's decisions are at most as many as its records.
-    decided = revisits(records).groupBy(F.col("arc").alias("path")).agg(
+    decided = repeated.groupBy(F.col("arc").alias("path")).agg(
         F.collect_list("offset").alias("offsets"), F.collect_list("refers_to").alias("refer"))
+    if repeated.count() <= FEW_REVISITS:
+        decided = F.broadcast(decided)
     paired = volumes.join(decided, "path", "left").select("path", "content", "offsets", "refer")
 
     def run(batches):

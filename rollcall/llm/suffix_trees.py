@@ -27,17 +27,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from rollcall.llm.shared import materialised
+from rollcall.llm import blocks as packing
 
 SPAN, ANCHOR = 20, 8
 PREFIXES = (4, 8, SPAN)
-BLOCK_BYTES = 4 << 20
 # A prefix of a larger share of all windows than this is lengthened; so at most 1/SHARE are.
 SHARE = 1 / 2000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,61 +46,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks: ids, the words of the documents (a line each), and the columns other than text.
+class Block:
+    """A block's words and the hashes of the runs of words that start at each of them.
 
-    Inside a block documents are in ascending order of doc_id, nulls first. A null text has no words.
+    Documents are in ascending order of id, nulls first; rows with one id stay as they came.
+    A null text has no words.
     """
-    schema = docs.schema
-    at_id, at_text = schema.names.index("doc_id"), schema.names.index("text")
-    others = [i for i in range(len(schema)) if i != at_text]
-
-    def run(batches):
-        squeeze, made = zstandard.ZstdCompressor(level=3), 0
-        ids, lines, parts, size = [], [], [], 0
-
-        def block():
-            nonlocal made
-            made += 1
-            order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))
-            rest = pa.Table.from_batches(parts).take(pa.array(order)).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rest.schema) as stream:
-                stream.write_table(rest)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()),
-                 pa.array([[ids[i] for i in order]], pa.list_(pa.int64())),
-                 pa.array([squeeze.compress(b"\n".join([lines[i] for i in order]))], pa.binary()),
-                 pa.array([squeeze.compress(sink.getvalue().to_pybytes())], pa.binary())], ["block", "ids", "words", "rest"])
-
-        for batch in batches:
-            columns = [batch.column(i) for i in others]
-            held = pa.RecordBatch.from_arrays(columns, [str(i) for i in others])
-            begin = 0
-            for i, (doc, text) in enumerate(zip(batch.column(at_id).to_pylist(), batch.column(at_text).to_pylist())):
-                ids.append(doc)
-                lines.append(b" ".join((text or "").encode().split()))
-                size += len(lines[-1])
-                if size >= block_bytes:
-                    parts.append(held.slice(begin, i + 1 - begin))
-                    yield block()
-                    ids, lines, parts, size, begin = [], [], [], 0, i + 1
-            if begin < batch.num_rows:
-                parts.append(held.slice(begin))
-        if ids:
-            yield block()
-
-    packed = docs.mapInArrow(run, "block long, ids array<long>, words binary, rest binary")
-    return materialised(packed, "blocks")
-
 
-class Block:
-    """A block's words and the hashes of the runs of words that start at each of them."""
-
-    def __init__(self, ids: list, words: bytes):
-        lines = zstandard.ZstdDecompressor().decompress(words).split(b"\n")
-        self.docs = [line.split() for line in lines]
-        self.ids = ids
+    def __init__(self, ids: list, texts: list):
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))
+        self.ids = [ids[i] for i in self.order]
+        self.docs = [(texts[i] or "").encode().split() for i in self.order]
         self.sizes = np.array([len(d) for d in self.docs], np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
         flat = [w for d in self.docs for w in d]
@@ -156,28 +110,37 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def each_block(columns: list[str], work, schema: str):
-    """A function for mapInArrow over blocks: ``work(block number, Block, further columns)`` gives lists of arrays."""
+class Packed:
+    """Documents in compressed blocks, and where in their rows id and text are."""
+
+    def __init__(self, docs: DataFrame, block_bytes: int):
+        self.rows = packing.packed(docs, block_bytes)
+        self.at = docs.columns.index("doc_id"), docs.columns.index("text")
+
+
+def opened(rows: pa.RecordBatch, at: tuple[int, int]) -> Block:
+    return Block(*(rows.column(i).to_pylist() for i in at))
+
+
+def each_block(blocks: DataFrame, at: tuple[int, int], work, schema: str, *columns: str) -> DataFrame:
+    """``work(block number, Block, further columns)`` gives arrays."""
     names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = [batch.column(c)[i].as_py() for c in range(batch.num_columns)]
-                arrays = work(row[0], Block(row[1], row[2]), *row[3:])
-                for at in range(0, len(arrays[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([a[at:at + 100_000] for a in arrays], names)
+    def rows(number, batch, *rest):
+        arrays = work(number, opened(batch, at), *rest)
+        for first in range(0, len(arrays[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([a[first:first + 100_000] for a in arrays], names)
 
-    return lambda blocks: blocks.select("block", "ids", "words", *columns).mapInArrow(run, schema)
+    return packing.each(blocks, rows, schema, *columns)
 
 
-def common_prefixes(blocks: DataFrame) -> dict[int, np.ndarray]:
+def common_prefixes(packed: Packed) -> dict[int, np.ndarray]:
     """Hashes of prefixes with more than ``SHARE`` of all windows, by length; at most 1/SHARE each.
 
     A prefix with that share overall has half of it in some block, so blocks name those only.
     """
     common = {length: np.empty(0, np.uint64) for length in PREFIXES}
-    windows = each_block([], lambda number, block: [pa.array([len(block.starts)], pa.int64())], "n long")(blocks)
+    windows = each_block(packed.rows, packed.at, lambda number, block: [pa.array([len(block.starts)], pa.int64())], "n long")
     every = windows.agg(F.sum("n")).first()[0] or 0
     for length in PREFIXES[:-1]:
 
@@ -186,13 +149,13 @@ def common_prefixes(blocks: DataFrame) -> dict[int, np.ndarray]:
             much = n > len(block.starts) * SHARE / 2
             return [signed(keys[much]), pa.array(n[much], pa.int64())]
 
-        counted = each_block([], count, "key long, n long")(blocks).groupBy("key").agg(F.sum("n").alias("n"))
+        counted = each_block(packed.rows, packed.at, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         rows = counted.where(F.col("n") > every * SHARE).select("key").collect()
         common[length] = np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
     return common
 
 
-def shared_anchors(blocks: DataFrame) -> DataFrame:
+def shared_anchors(packed: Packed) -> DataFrame:
     """Per block, the anchors that are in another block too; at most as many as the block has."""
     schema = "anchor long, block long"
 
@@ -200,14 +163,14 @@ def shared_anchors(blocks: DataFrame) -> DataFrame:
         anchors = np.unique(block.anchors())
         return [signed(anchors), pa.array(np.full(len(anchors), number), pa.int64())]
 
-    found = each_block([], find, schema)(blocks)
+    found = each_block(packed.rows, packed.at, find, schema)
     counted = found.withColumn("n", F.count("*").over(W.partitionBy("anchor")))
     return counted.where("n > 1").groupBy("block").agg(F.collect_list("anchor").alias("anchors"))
 
 
-def repeated_leaves(blocks: DataFrame) -> DataFrame:
+def repeated_leaves(packed: Packed) -> DataFrame:
     """Per block, the offsets of its first windows that start earlier in another block."""
-    sent = blocks.sparkSession.sparkContext.broadcast(common_prefixes(blocks))
+    sent = packed.rows.sparkSession.sparkContext.broadcast(common_prefixes(packed))
     schema = "key long, window long, doc long, block long, offset long"
 
     def suffixes(number, block, anchors):
@@ -219,61 +182,50 @@ def repeated_leaves(blocks: DataFrame) -> DataFrame:
         return [signed(block.keys(sent.value, at)), signed(windows), pa.array([block.ids[d] for d in doc.tolist()], pa.int64()),
                 pa.array(np.full(len(at), number), pa.int64()), pa.array(at, pa.int64())]
 
-    leaves = each_block(["anchors"], suffixes, schema)(blocks.join(shared_anchors(blocks), "block"))
+    leaves = each_block(packed.rows.join(shared_anchors(packed), "block"), packed.at, suffixes, schema, "anchors")
     # One exchange by prefix; below it, a sort puts the leaves of each node together.
     node = W.partitionBy("key", "window").orderBy(F.col("doc").asc_nulls_first(), "block", "offset")
     grouped = leaves.repartition("key").withColumn("leaf", F.row_number().over(node))
     return grouped.where("leaf > 1").groupBy("block").agg(F.collect_list("offset").alias("marks"))
 
 
-def removed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` without repeated passages: their columns with the kept words as ``text``,
-    joined by one space, and ``_n_words`` and ``_n_removed``.
+def removed(docs: DataFrame, block_bytes: int = packing.BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` as they came, with three more columns: ``_kept``, the words that stay
+    joined by one space, ``_n_words`` and ``_n_removed``.
 
-    A document's row stays even where nothing of its text does. Null texts become empty ones.
-    Of rows with one doc_id, the order in which they are read decides which is earlier.
+    A null text has no words. Of rows with one doc_id, the order in which they are read
+    decides which is earlier.
     """
-    schema = docs.schema
-    at_text = schema.names.index("text")
-    blocks = pack(docs, block_bytes)
-    marked = blocks.join(repeated_leaves(blocks), "block", "left").select("block", "ids", "words", "rest", "marks")
-    out = docs.select("*", *[docs["text"].cast("string").isNull().cast("long").alias(c) for c in ("_n_words", "_n_removed")]).schema
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                _, ids, words, rest, marks = (batch.column(c)[i].as_py() for c in range(5))
-                block = Block(ids, words)
-                windows = block.windows()
-                _, first = np.unique(windows, return_index=True)
-                start = np.ones(len(windows), bool)
-                start[first] = False
-                hit = np.zeros(len(block.runs[1]) + SPAN, np.int64)
-                for places in (block.starts[start], np.array(marks or [], np.int64)):
-                    hit[places] = 1
-                over = np.cumsum(hit)
-                covered = over.copy()
-                covered[SPAN:] -= over[:-SPAN]
-                gone = (covered > 0).tolist()
-                texts, counts = [], []
-                for d, doc in enumerate(block.docs):
-                    begin = int(block.begins[d])
-                    flags = gone[begin:begin + len(doc)]
-                    kept = [w for w, g in zip(doc, flags) if not g] if any(flags) else doc
-                    texts.append(b" ".join(kept).decode())
-                    counts.append(len(doc) - len(kept))
-                table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)).read_all().combine_chunks()
-                columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
-                columns.insert(at_text, pa.array(texts, pa.string()))
-                columns += [pa.array(block.sizes, pa.int64()), pa.array(counts, pa.int64())]
-                whole = pa.Table.from_arrays(columns, [f.name for f in out])
-                yield from whole.to_batches(1000)
-
-    return marked.mapInArrow(run, out)
-
-
-def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    packed = Packed(docs, block_bytes)
+    at, marked = packed.at, packed.rows.join(repeated_leaves(packed), "block", "left")
+    added = [StructField("_kept", StringType()), StructField("_n_words", LongType()), StructField("_n_removed", LongType())]
+    out = StructType([*docs.schema.fields, *added])
+
+    def work(number, rows, marks):
+        block = opened(rows, at)
+        windows = block.windows()
+        later = np.ones(len(windows), bool)
+        later[np.unique(windows, return_index=True)[1]] = False
+        hit = np.zeros(len(block.runs[1]) + SPAN, np.int64)
+        for places in (block.starts[later], np.array(marks or [], np.int64)):
+            hit[places] = 1
+        over = np.cumsum(hit)
+        covered = over.copy()
+        covered[SPAN:] -= over[:-SPAN]
+        stays = (covered == 0).tolist()
+        ordered = rows.take(pa.array(block.order))
+        for first in range(0, len(block.docs), 1000):
+            kept = [[w for w, s in zip(doc, stays[begin:begin + len(doc)]) if s] for doc, begin in
+                    zip(block.docs[first:first + 1000], block.begins[first:first + 1000].tolist())]
+            sizes = block.sizes[first:first + 1000]
+            yield pa.RecordBatch.from_arrays(
+                [*ordered.slice(first, 1000).columns, pa.array([b" ".join(k).decode() for k in kept], pa.string()),
+                 pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept], np.int64))], [f.name for f in out])
+
+    return packing.each(marked, work, out, "marks")
+
+
+def deduplicated(docs: DataFrame, block_bytes: int = packing.BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and the kept text of every document."""
     return removed(docs.select("doc_id", "text"), block_bytes).select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), "text")
-
+        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept").alias("text"))
