@@ -253,11 +253,11 @@ def persons_per_account(df: DataFrame) -> DataFrame:
     return per_person.groupBy("account_id").agg(F.sum("n").alias("rows"), F.count("*").alias("persons"))
 
 
-def linked_persons(df: DataFrame, max_rounds: int = 50) -> DataFrame:
+def linked_persons(df: DataFrame) -> DataFrame:
     """Transitive groups: rows that share any key end in one group (id, group_id).
 
     Smallest label wins. Rows and keys form a two-sided graph, so a key shared by a third
-    of the rows is one aggregate and not a clique. Raises if ``max_rounds`` do not settle.
+    of the rows is one aggregate and not a clique. Labels only fall, so the rounds end.
     """
     mail, link = F.lower(trim_all(F.col("email"))), F.regexp_replace(F.lower(trim_all(F.col("linkedin_url"))), "/+$", "")
     who = F.lower(trim_all(F.col("name")))
@@ -266,7 +266,7 @@ def linked_persons(df: DataFrame, max_rounds: int = 50) -> DataFrame:
         F.when(who != "", F.concat(F.lit("name:"), who, F.lit("|"), F.lower(trim_all(F.col("organization")))))))
     edges = cut_lineage(df.select("id", F.explode(keys).alias("key")).distinct())
     labels = cut_lineage(df.select("id", F.col("id").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         by_key = edges.join(labels, "id").groupBy("key").agg(F.min("label").alias("label"))
         offered = edges.join(by_key, "key").groupBy("id").agg(F.min("label").alias("offer"))
         moved = labels.join(offered, "id", "left").select("id", F.least("label", F.coalesce("offer", "label")).alias("next"), "label")
@@ -278,7 +278,6 @@ def linked_persons(df: DataFrame, max_rounds: int = 50) -> DataFrame:
         if stepped.where("label <> before").isEmpty():
             return stepped.select("id", F.col("label").alias("group_id"))
         labels = stepped.select("id", "label")
-    raise RuntimeError(f"groups did not settle within {max_rounds} rounds")
 
 
 def shared_urls(df: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ Running sums and batch numbers work on slices of a key, never on a whole key at
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Digest digits that name a batch group: 256 groups.
+BATCH_DIGITS = 2
+
 
 def _payload(df: DataFrame, keys: list[str], columns: list[str] | None) -> list[str]:
     return columns or [c for c in df.columns if c not in keys]
@@ -64,15 +65,13 @@ def running_sums(
         *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in amounts], *[f"{n}_total" for n in amounts])
 
 
-def number_batches(df: DataFrame, id_column: str, size: int, hex_digits: int | None = None) -> DataFrame:
+def number_batches(df: DataFrame, id_column: str, size: int, hex_digits: int = BATCH_DIGITS) -> DataFrame:
     """Batches of at most ``size`` rows for an outside service.
 
     Rows are spread over ``16 ** hex_digits`` groups by a digest of the id and numbered
-    inside each, so no task sorts the whole table. Left open, the number of digits follows
-    from a count: a group holds about a million rows. Adds batch_group and batch_no.
+    inside each, so no task sorts the whole table. The number of digits is fixed, so a row
+    keeps its group however large the table grows. Adds batch_group and batch_no.
     """
-    if hex_digits is None:
-        hex_digits = max(0, math.ceil(math.log(max(df.count(), 1) / 1_000_000, 16)))
     grouped = df.withColumn("batch_group", F.left(F.md5(F.col(id_column).cast("string")), F.lit(hex_digits)))
     numbered = F.row_number().over(W.partitionBy("batch_group").orderBy(id_column))
     return grouped.withColumn("batch_no", F.floor((numbered - 1) / size).cast("int"))

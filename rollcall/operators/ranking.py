@@ -12,7 +12,7 @@ from rollcall.functions.fixed_values import CARD_CHARS
 from rollcall.functions.text import clip, first_filled, prompt_hash, text, word_tokens
 from rollcall.functions.urls import harvest_urls
 from rollcall.functions.vectors import dot, norm
-from rollcall.operators.keyed import first_per_key, number_batches, top_per_key
+from rollcall.operators.keyed import BATCH_DIGITS, first_per_key, number_batches, top_per_key
 
 JUDGE_BATCH = 40
 
@@ -26,7 +26,7 @@ def term_scores(cards: DataFrame, searches: DataFrame, search_id: str) -> DataFr
     query = searches.where(F.col("search_id") == search_id).select("query").first()
     words = sorted({w for w in (query[0] if query else "").lower().split() if w})
     wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    held = F.size(F.array_intersect(wanted, F.array_distinct(word_tokens(F.lower(clip(F.col("profile_card"), CARD_CHARS))))))
+    held = F.size(F.array_intersect(wanted, F.array_distinct(word_tokens(F.lower(text("profile_card"))))))
     score = F.floor(F.lit(100) * held / max(len(words), 1)).cast("int")
     return cards.select(F.lit(search_id).alias("search_id"), "profile_id", score.alias("score"))
 
@@ -35,7 +35,7 @@ def custom_scores(cards: DataFrame, scorer: Callable[[pd.Series], Sequence[int]]
     """Scores from a caller's function over batches of card texts, clamped to 0-100."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            given = pd.Series(list(scorer(batch["profile_card"].str.slice(0, CARD_CHARS))))
+            given = pd.Series(list(scorer(batch["profile_card"])))
             yield pd.DataFrame({"search_id": search_id, "profile_id": batch["profile_id"].values,
                                 "score": given.clip(0, 100).astype("int32").values})
 
@@ -109,7 +109,7 @@ def newest_first(df: DataFrame, stamp: str, key: str) -> DataFrame:
 
 # --- request texts ------------------------------------------------------------------------------
 def judge_prompts(searches: DataFrame, exemplars: DataFrame, instructions: str = "") -> DataFrame:
-    """System text per search in fixed sections; exemplars best first, at most ten each.
+    """System text per search in fixed sections; all exemplars, best first.
 
     ``searches``: search_id, query, clarification_context, global_rules, search_rules and
     corrections (arrays). ``exemplars``: search_id, place, profile_name, profile_summary,
@@ -117,9 +117,10 @@ def judge_prompts(searches: DataFrame, exemplars: DataFrame, instructions: str =
     """
     shown = F.concat(F.lit("Score "), F.col("score").cast("string"), F.lit(": "), F.col("profile_name"), F.lit(" — "),
                      clip(F.col("profile_summary"), 200), F.lit(' — "'), F.col("reason"), F.lit('"'))
-    best = top_per_key(exemplars.withColumn("shown", shown), ["search_id"], [F.desc("score"), F.asc("place")], 10)
-    blocks = best.groupBy("search_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "shown"))), lambda r: r["shown"]), "\n").alias("_examples"))
+    # The exemplar list of a search is kept short where it is edited, so one value holds it.
+    blocks = exemplars.groupBy("search_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("worse"), "place", shown.alias("shown")))),
+        lambda r: r["shown"]), "\n").alias("_examples"))
     bullets = lambda head, c: F.when(F.size(c) > 0, F.concat(F.lit(f"\n{head}:\n"), F.array_join(F.transform(c, lambda r: F.concat(F.lit("- "), r)), "\n")))
     return searches.join(blocks, "search_id", "left").select("search_id", F.concat_ws(
         "\n", F.concat(F.lit("QUERY: "), F.col("query")),
@@ -129,7 +130,7 @@ def judge_prompts(searches: DataFrame, exemplars: DataFrame, instructions: str =
         bullets("CORRECTIONS", F.col("corrections")), F.nullif(F.lit(instructions), F.lit(""))).alias("system_text"))
 
 
-def judge_batches(cards: DataFrame, size: int = JUDGE_BATCH, hex_digits: int | None = None) -> DataFrame:
+def judge_batches(cards: DataFrame, size: int = JUDGE_BATCH, hex_digits: int = BATCH_DIGITS) -> DataFrame:
     """User text per batch of at most ``size`` cards: profile_id, name, profile_card."""
     one = F.concat(F.lit("ID:"), F.col("profile_id"), F.lit("\n"), first_filled(F.col("name"), F.lit("Unknown")), F.lit("\n"),
                    clip(F.col("profile_card"), CARD_CHARS), F.lit("\n---"))
@@ -158,15 +159,18 @@ def arbiter_prompts(people: DataFrame, pools: DataFrame) -> DataFrame:
         "profile_id", F.concat_ws("\n", F.lit("PROFILE:"), *facts, F.lit(""), F.lit("CANDIDATES:"), F.col("_candidates")).alias("user_text"))
 
 
-def transcript_context(turns: DataFrame, chunk: int = 50) -> DataFrame:
-    """Conversations as Q/A lines, in pieces of ``chunk`` turns: conv_id, piece, context.
+def transcript_context(turns: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Each conversation as one text of Q/A lines: conv_id, context.
 
-    A very long conversation becomes many pieces instead of one oversized value.
+    ``summaries``: conv_id, summary. A summary that is not empty takes the place of the lines.
     """
     line = F.concat(F.when(F.col("role") == "assistant", "Q: ").otherwise("A: "), text("text"))
-    cut = turns.select("conv_id", F.floor(F.col("turn") / chunk).alias("piece"), "turn", line.alias("line"))
-    return cut.groupBy("conv_id", "piece").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda r: r["line"]), "\n").alias("context"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda r: r["line"]), "\n").alias("context"))
+    if summaries is None:
+        return whole
+    summed = F.when(text("summary") != "", F.concat(F.lit("Search clarification summary:\n"), F.col("summary")))
+    return whole.join(summaries, "conv_id", "full_outer").select("conv_id", F.coalesce(summed, F.col("context"), F.lit("")).alias("context"))
 
 
 # --- vectors --------------------------------------------------------------------------------------

@@ -11,6 +11,10 @@ from rollcall.functions.urls import clean_profile_url, is_valid_profile_url
 from rollcall.operators.keyed import last_per_key
 
 PENDING = "pending"
+# Fixed value: the line that stands for the middle of a long log.
+CUT_MARK = "... truncated ..."
+# What a new run makes afresh.
+DERIVED = ("linkedin_enriched", "profile_card", "field_summaries", "fetched_content")
 
 
 def work_queues(people: DataFrame) -> DataFrame:
@@ -25,10 +29,21 @@ def work_queues(people: DataFrame) -> DataFrame:
     return people.where(F.col("enrichment_status") == PENDING).select("id", F.explode(queue).alias("queue"))
 
 
-def needs_fetch(people: DataFrame, landed: DataFrame) -> DataFrame:
-    """Profiles with any link of which nothing has been fetched yet."""
-    linked = people.where((text("twitter_url") != "") | (text("website_url") != ""))
-    return linked.join(landed.select(F.col("profile_id").alias("id")).distinct(), "id", "left_anti")
+LINKS = ("twitter_url", "website_url", "resume_url")
+
+
+def needs_fetch(people: DataFrame) -> DataFrame:
+    """Profiles with any link, other_links included, of which nothing has been fetched yet.
+
+    Fetched content that is missing, empty or an empty object counts as nothing.
+    """
+    linked = F.lit(False)
+    for link in LINKS:
+        if link in people.columns:
+            linked = linked | (text(link) != "")
+    if "other_links" in people.columns:
+        linked = linked | (F.coalesce(F.size("other_links"), F.lit(0)) > 0)
+    return people.where(linked & text("fetched_content").isin("", "{}", "null"))
 
 
 def active(searches: DataFrame, include_archived: bool = False) -> DataFrame:
@@ -135,17 +150,15 @@ def trim_logs(log_lines: DataFrame, edge: int = 5, longest: int = 20) -> DataFra
     head = top_per_key(long, ["profile_id"], [F.asc("pos")], edge).select("profile_id", "pos", "line", F.lit("head").alias("part"))
     tail = top_per_key(long, ["profile_id"], [F.desc("pos")], edge).select("profile_id", "pos", "line", F.lit("tail").alias("part"))
     marker = head.groupBy("profile_id").agg(F.max("pos").alias("pos")).select(
-        "profile_id", "pos", F.lit("...").alias("line"), F.lit("marker").alias("part"))
+        "profile_id", "pos", F.lit(CUT_MARK).alias("line"), F.lit("marker").alias("part"))
     return short.unionByName(head).unionByName(marker).unionByName(tail)
 
 
 def reset_for_rerun(people: DataFrame) -> DataFrame:
-    """Back to pending with the derived columns emptied; what the user supplied stays."""
-    resolved = F.col("linkedin_url_source") != "user"
-    return people.withColumns({
-        "enrichment_status": F.lit(PENDING), "enrichment_version": F.lit(""),
-        "linkedin_url": F.when(resolved, "").otherwise(F.col("linkedin_url")),
-        "linkedin_url_source": F.when(resolved, "").otherwise(F.col("linkedin_url_source"))})
+    """Back to pending with what a run derives emptied; URLs, their sources and user data stay."""
+    kept = [F.lit("").alias(c) if c in DERIVED else F.lit(PENDING).alias(c) if c == "enrichment_status" else F.col(c)
+            for c in people.columns]
+    return people.select(*kept)
 
 
 def skip_pending(people: DataFrame) -> DataFrame:
@@ -158,19 +171,28 @@ def apply_corrections(people: DataFrame, corrections: DataFrame, payloads: DataF
     """Hand-set profile URLs: a blank one clears and fails, another takes the landed data.
 
     ``corrections``: profile_id, new_url, pos (latest wins). ``payloads``: url, full_name,
-    n_jobs. Adds the log line that records the change.
+    n_jobs, payload; of several for one URL the smallest in that order of columns counts.
+    Both ways the photo goes; clearing empties payload and card too. The URL's source stays.
+    Adds ``new_log_lines``, what the log gets.
     """
     latest = last_per_key(corrections, ["profile_id"], ["pos"], ["new_url"])
     asked = latest.select(F.col("profile_id").alias("id"), trim_all(F.col("new_url")).alias("_new"), clean_profile_url(F.col("new_url")).alias("_key"))
-    landed = payloads.select(clean_profile_url(F.col("url")).alias("_key"), F.col("full_name").alias("_their"), F.col("n_jobs").alias("_jobs")).dropDuplicates(["_key"])
+    landed = payloads.groupBy(clean_profile_url(F.col("url")).alias("_key")).agg(
+        F.min(F.struct("url", "full_name", "n_jobs", "payload")).alias("_got"))
     joined = people.join(asked, "id", "left").join(landed, "_key", "left")
     asked_for, clear = F.col("_new").isNotNull(), F.col("_new") == ""
-    line = F.when(clear, "LinkedIn manually cleared by user").when(
-        asked_for & F.col("_jobs").isNotNull(), F.concat(F.lit("LinkedIn enriched (manual): "), F.col("_jobs").cast("string"), F.lit(" experiences"))).when(
-        asked_for, "LinkedIn set but no vendor data")
-    return joined.withColumns({
+    given = asked_for & ~clear
+    found = given & F.col("_got").isNotNull()
+    lines = F.array_compact(F.array(
+        F.when(clear, "LinkedIn manually cleared by user"),
+        F.when(given, F.concat(F.lit("LinkedIn manually set to: "), F.col("_new"))),
+        F.when(found, F.concat(F.lit("LinkedIn enriched (manual): "), F.col("_got.n_jobs").cast("string"), F.lit(" experiences")))
+        .when(given, "LinkedIn set but no vendor data")))
+    changed = {
         "linkedin_url": F.coalesce("_new", "linkedin_url"),
-        "linkedin_url_source": F.when(asked_for & ~clear, "user").when(clear, "").otherwise(F.col("linkedin_url_source")),
         "enrichment_status": F.when(clear, "failed").when(asked_for, "enriched").otherwise(F.col("enrichment_status")),
-        "name": F.when(asked_for & ~clear, first_filled(F.col("name"), F.col("_their"))).otherwise(F.col("name")),
-        "log_line": text(line)}).drop("_new", "_key", "_their", "_jobs")
+        "name": F.when(found, first_filled(F.col("name"), F.col("_got.full_name"))).otherwise(F.col("name")),
+        "linkedin_enriched": F.when(clear, "").when(found, F.col("_got.payload")).otherwise(F.col("linkedin_enriched")),
+        "profile_card": F.when(clear, "").otherwise(F.col("profile_card")),
+        "photo_path": F.when(asked_for, "").otherwise(F.col("photo_path"))}
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in people.columns], lines.alias("new_log_lines"))

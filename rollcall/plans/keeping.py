@@ -137,16 +137,16 @@ def coalesced_columns(src):
 
 
 @query("write_back_outbox", """
-WITH t AS (SELECT concat('rec', p.source_row) AS record_id, p.*, d.text AS vt FROM people p JOIN documents d ON d.doc_id = p.source_row WHERE linkedin_url_source <> 'user'),
+WITH t AS (SELECT concat('rec', p.source_row) AS record_id, p.*, d.text AS vt FROM people p LEFT JOIN documents d ON d.doc_id = p.source_row WHERE linkedin_url_source <> 'user'),
 u AS (SELECT *, left(md5(record_id), 2) AS batch_group FROM t)
 SELECT record_id, nullif(linkedin_url, '') AS "RC_LinkedIn_URL", nullif(left(vt, 100000), '') AS "RC_LinkedIn_Enriched", nullif(name, '') AS "RC_Profile_Card", enrichment_status AS "RC_Enrichment_Status", '2024-01-01T00:00:00Z' AS "RC_Last_Enriched",
  batch_group, cast(floor((row_number() OVER (PARTITION BY batch_group ORDER BY record_id) - 1) / 10) AS int) AS batch_no FROM u""")
 def write_back_outbox(src):
     texts = src("documents").select(F.col("doc_id").alias("source_row"), F.col("text").alias("vendor_text"))
-    rows = src("people").join(texts, "source_row").withColumns({
+    rows = src("people").join(texts, "source_row", "left").withColumns({
         "record_id": F.when(F.col("linkedin_url_source") == "user", "").otherwise(F.concat(F.lit("rec"), F.col("source_row").cast("string"))),
         "profile_card": F.col("name")})
-    return sinks.outbox(rows, F.lit("2024-01-01T00:00:00Z"), hex_digits=2)
+    return sinks.outbox(rows, F.lit("2024-01-01T00:00:00Z"))
 
 
 @query("outbox_counts", """
@@ -158,7 +158,7 @@ def outbox_counts(src):
 @query("numbered_batches", """
 SELECT id, left(md5(id), 2) AS batch_group, cast(floor((row_number() OVER (PARTITION BY left(md5(id), 2) ORDER BY id) - 1) / 40) AS int) AS batch_no FROM people""")
 def numbered_batches(src):
-    return keyed.number_batches(src("people").select("id"), "id", 40, 2)
+    return keyed.number_batches(src("people").select("id"), "id", 40)
 
 
 # --- columns ------------------------------------------------------------------------------
@@ -254,9 +254,15 @@ def work_queues(src):
     return upkeep.work_queues(src("people"))
 
 
-@query("profiles_to_fetch", "SELECT id FROM people WHERE (twitter_url <> '' OR website_url <> '') AND id NOT IN (SELECT profile_id FROM evidence)")
+def _stored(src):
+    links = F.filter(F.split("other_links_csv", ","), lambda u: u != "")
+    return src("stored_people").withColumn("other_links", links)
+
+
+@query("profiles_to_fetch", """
+SELECT id FROM stored_people WHERE concat(twitter_url, website_url, resume_url, other_links_csv) <> '' AND fetched_content IN ('', '{}')""")
 def profiles_to_fetch(src):
-    return upkeep.needs_fetch(src("people"), src("evidence")).select("id")
+    return upkeep.needs_fetch(_stored(src)).select("id")
 
 
 @query("active_searches", "SELECT o_orderkey AS search_id FROM orders WHERE o_orderstatus <> 'F'")
@@ -301,12 +307,12 @@ def searchable_text(src):
 
 @query("raw_text", """
 SELECT p.id, substr(coalesce(nullif(CASE WHEN p.source_row % 4 = 0 THEN d.text ELSE '' END, ''), nullif(concat_ws(chr(10), nullif(CASE WHEN p.source_row % 4 = 1 THEN d.text ELSE '' END, ''), nullif(p.title, '')), ''), concat_ws(chr(10), CASE WHEN length(p.name) > 2 THEN p.name END, CASE WHEN length(p.country) > 2 THEN p.country END)), 1, 3000) AS raw_text
-FROM people p JOIN documents d ON d.doc_id = p.source_row""")
+FROM people p LEFT JOIN documents d ON d.doc_id = p.source_row""")
 def raw_text(src):
     docs = src("documents").select(F.col("doc_id").alias("source_row"), "text")
     row = F.col("source_row")
     value = upkeep.raw_text(F.when(row % 4 == 0, F.col("text")), F.when(row % 4 == 1, F.col("text")), F.col("title"), [F.col("name"), F.col("country")])
-    return src("people").join(docs, "source_row").select("id", value.alias("raw_text"))
+    return src("people").join(docs, "source_row", "left").select("id", value.alias("raw_text"))
 
 
 @query("misplaced_urls", f"""
@@ -330,15 +336,16 @@ def legacy_scope(src):
 
 @query("trimmed_logs", """
 WITH t AS (SELECT *, count(*) OVER (PARTITION BY profile_id) AS n, row_number() OVER (PARTITION BY profile_id ORDER BY pos) AS a, row_number() OVER (PARTITION BY profile_id ORDER BY pos DESC) AS z FROM log_lines)
-SELECT profile_id, pos, line, CASE WHEN n <= 20 THEN 'kept' WHEN a <= 5 THEN 'head' ELSE 'tail' END AS part FROM t WHERE n <= 20 OR a <= 5 OR z <= 5 UNION ALL SELECT profile_id, pos, '...', 'marker' FROM t WHERE n > 20 AND a = 5""")
+SELECT profile_id, pos, line, CASE WHEN n <= 20 THEN 'kept' WHEN a <= 5 THEN 'head' ELSE 'tail' END AS part FROM t WHERE n <= 20 OR a <= 5 OR z <= 5 UNION ALL SELECT profile_id, pos, '... truncated ...', 'marker' FROM t WHERE n > 20 AND a = 5""")
 def trimmed_logs(src):
     return upkeep.trim_logs(src("log_lines"))
 
 
 @query("reset_people", """
-SELECT id, 'pending' AS enrichment_status, CASE WHEN linkedin_url_source <> 'user' THEN '' ELSE linkedin_url END AS linkedin_url FROM people""")
+SELECT id, name, 'pending' AS enrichment_status, enrichment_version, linkedin_url, linkedin_url_source, photo_path, '' AS linkedin_enriched, '' AS profile_card, '' AS field_summaries, '' AS fetched_content FROM stored_people""")
 def reset_people(src):
-    return upkeep.reset_for_rerun(src("people")).select("id", "enrichment_status", "linkedin_url")
+    return upkeep.reset_for_rerun(src("stored_people")).select(
+        "id", "name", "enrichment_status", "enrichment_version", "linkedin_url", "linkedin_url_source", "photo_path", *upkeep.DERIVED)
 
 
 @query("pending_skipped", "SELECT id, CASE WHEN enrichment_status = 'pending' THEN 'skipped' ELSE enrichment_status END AS enrichment_status FROM people")
@@ -348,18 +355,22 @@ def pending_skipped(src):
 
 @query("manual_corrections", """
 WITH c AS (SELECT concat('p', o_custkey) AS pid, arg_max(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('https://www.linkedin.com/in/n', o_custkey % 50, '/') END, o_orderkey) AS u FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
-SELECT id, coalesce(u, linkedin_url) AS linkedin_url, CASE WHEN u = '' THEN '' WHEN u IS NOT NULL THEN 'user' ELSE linkedin_url_source END AS linkedin_url_source, CASE WHEN u = '' THEN 'failed' WHEN u IS NOT NULL THEN 'enriched' ELSE enrichment_status END AS enrichment_status,
- CASE WHEN u <> '' AND name = '' AND s_name IS NOT NULL THEN s_name ELSE name END AS name, CASE WHEN u = '' THEN 'LinkedIn manually cleared by user' WHEN s_name IS NOT NULL THEN concat('LinkedIn enriched (manual): ', s_nationkey, ' experiences') WHEN u IS NOT NULL THEN 'LinkedIn set but no vendor data' ELSE '' END AS log_line
-FROM people LEFT JOIN c ON pid = id LEFT JOIN supplier ON rtrim(u, '/') = concat('https://www.linkedin.com/in/n', s_suppkey)""")
+SELECT id, coalesce(u, linkedin_url) AS linkedin_url, linkedin_url_source, CASE WHEN u = '' THEN 'failed' WHEN u IS NOT NULL THEN 'enriched' ELSE enrichment_status END AS enrichment_status,
+ CASE WHEN u <> '' AND name = '' AND s_name IS NOT NULL THEN s_name ELSE name END AS name, CASE WHEN u = '' THEN '' WHEN s_name IS NOT NULL THEN concat('jobs of ', s_name) ELSE linkedin_enriched END AS linkedin_enriched,
+ CASE WHEN u = '' THEN '' ELSE profile_card END AS profile_card, CASE WHEN u IS NOT NULL THEN '' ELSE photo_path END AS photo_path,
+ CASE WHEN u = '' THEN 'LinkedIn manually cleared by user' WHEN u IS NULL THEN '' WHEN s_name IS NOT NULL THEN concat('LinkedIn manually set to: ', u, '|LinkedIn enriched (manual): ', s_nationkey, ' experiences') ELSE concat('LinkedIn manually set to: ', u, '|LinkedIn set but no vendor data') END AS new_log_lines
+FROM stored_people LEFT JOIN c ON pid = id LEFT JOIN supplier ON rtrim(u, '/') = concat('https://www.linkedin.com/in/n', s_suppkey)""")
 def manual_corrections(src):
     row = F.col("o_orderkey")
     given = src("orders").where("o_orderstatus = 'P'").select(
         F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("profile_id"), row.alias("pos"),
         F.when(row % 3 == 0, "").otherwise(F.concat(F.lit("https://www.linkedin.com/in/n"), (F.col("o_custkey") % 50).cast("string"), F.lit("/"))).alias("new_url"))
     landed = src("supplier").select(
-        F.concat(F.lit("http://www.linkedin.com/in/n"), F.col("s_suppkey").cast("string")).alias("url"), F.col("s_name").alias("full_name"), F.col("s_nationkey").alias("n_jobs"))
-    return upkeep.apply_corrections(src("people"), given, landed).select(
-        "id", "linkedin_url", "linkedin_url_source", "enrichment_status", "name", "log_line")
+        F.concat(F.lit("http://www.linkedin.com/in/n"), F.col("s_suppkey").cast("string")).alias("url"), F.col("s_name").alias("full_name"),
+        F.col("s_nationkey").alias("n_jobs"), F.concat(F.lit("jobs of "), "s_name").alias("payload"))
+    return upkeep.apply_corrections(src("stored_people"), given, landed).select(
+        "id", "linkedin_url", "linkedin_url_source", "enrichment_status", "name", "linkedin_enriched", "profile_card", "photo_path",
+        F.array_join("new_log_lines", "|").alias("new_log_lines"))
 
 
 # --- cards ------------------------------------------------------------------------------------------

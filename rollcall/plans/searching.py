@@ -72,22 +72,23 @@ def score_drift(src):
     return ranking.score_drift(before, src("scores"))
 
 
-_CARDS = "cd AS (SELECT p.id AS profile_id, p.name, d.text AS profile_card FROM people p JOIN documents d ON d.doc_id = p.source_row)"
+_CARDS = "cd AS (SELECT p.id AS profile_id, p.name, coalesce(d.text, '') AS profile_card FROM people p LEFT JOIN documents d ON d.doc_id = p.source_row)"
 
 
 def _cards(src):
     docs = src("documents").select(F.col("doc_id").alias("source_row"), F.col("text").alias("profile_card"))
-    return src("people").join(docs, "source_row").select(F.col("id").alias("profile_id"), "name", "profile_card")
+    return src("people").join(docs, "source_row", "left").select(
+        F.col("id").alias("profile_id"), "name", F.coalesce("profile_card", F.lit("")).alias("profile_card"))
 
 
 @query("term_scores", f"""WITH {_CARDS}
-SELECT 's0' AS search_id, profile_id, cast(floor(100 * len(list_intersect(['and', 'data', 'le', 'the'], list_distinct(regexp_extract_all(lower(left(profile_card, 3000)), '([\\p{{L}}\\p{{N}}_]+)', 1)))) / 4.0) AS int) AS score FROM cd""")
+SELECT 's0' AS search_id, profile_id, cast(floor(100 * len(list_intersect(['and', 'data', 'le', 'the'], list_distinct(regexp_extract_all(lower(profile_card), '([\\p{{L}}\\p{{N}}_]+)', 1)))) / 4.0) AS int) AS score FROM cd""")
 def term_scores(src):
     searches = src("region").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("search_id"), F.lit("The data AND le the").alias("query"))
     return ranking.term_scores(_cards(src), searches, "s0")
 
 
-@query("custom_scores", f"""WITH {_CARDS} SELECT 's0' AS search_id, profile_id, cast(least(100, length(left(profile_card, 3000)) // 10) AS int) AS score FROM cd""")
+@query("custom_scores", f"""WITH {_CARDS} SELECT 's0' AS search_id, profile_id, cast(least(100, length(profile_card) // 10) AS int) AS score FROM cd""")
 def custom_scores(src):
     return ranking.custom_scores(_cards(src), lambda texts: (texts.str.len() // 10).tolist(), "s0")
 
@@ -96,13 +97,13 @@ def custom_scores(src):
 b AS (SELECT *, left(md5(profile_id), 2) AS batch_group, floor((row_number() OVER (PARTITION BY left(md5(profile_id), 2) ORDER BY profile_id) - 1) / 40)::int AS batch_no FROM cd)
 SELECT batch_group, batch_no, cast(count(*) AS bigint) AS n_profiles, md5(string_agg(concat('ID:', profile_id, chr(10), coalesce(nullif(name, ''), 'Unknown'), chr(10), left(profile_card, 3000), chr(10), '---'), chr(10) ORDER BY profile_id)) AS text_md5 FROM b GROUP BY ALL""")
 def judge_batch_texts(src):
-    return ranking.judge_batches(_cards(src), hex_digits=2).select("batch_group", "batch_no", "n_profiles", F.md5("user_text").alias("text_md5"))
+    return ranking.judge_batches(_cards(src)).select("batch_group", "batch_no", "n_profiles", F.md5("user_text").alias("text_md5"))
 
 
 @query("judge_system_texts", """
 WITH e AS (SELECT c_nationkey AS sid, c_custkey, concat('Score ', c_custkey % 97, ': ', c_name, ' — ', left(repeat(c_mktsegment, 40), 200), ' — "', c_mktsegment, '"') AS t, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 97 DESC, c_custkey) AS r FROM customer)
 SELECT n_nationkey AS search_id, concat('QUERY: people of ', n_name, chr(10), chr(10), 'CONTEXT:', chr(10), 'region ', n_regionkey, chr(10), chr(10), 'GLOBAL RULES:', chr(10), '- be fair', chr(10), chr(10), 'SEARCH RULES:', chr(10), '- live in ', n_name, chr(10), '- speak up', chr(10),
- (SELECT concat(chr(10), 'CALIBRATION EXAMPLES:', chr(10), string_agg(t, chr(10) ORDER BY r)) FROM e WHERE sid = n_nationkey AND r <= 10)) AS system_text FROM nation""")
+ (SELECT concat(chr(10), 'CALIBRATION EXAMPLES:', chr(10), string_agg(t, chr(10) ORDER BY r)) FROM e WHERE sid = n_nationkey)) AS system_text FROM nation""")
 def judge_system_texts(src):
     lit = F.lit
     searches = src("nation").select(
@@ -143,9 +144,12 @@ def applicable_rules(src):
 
 
 @query("transcript_contexts", """
-SELECT conv_id, cast(0 AS bigint) AS piece, string_agg(concat(CASE role WHEN 'assistant' THEN 'Q: ' ELSE 'A: ' END, text), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id""")
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN concat('Search clarification summary:', chr(10), 'about ', conv_id) ELSE string_agg(concat(CASE role WHEN 'assistant' THEN 'Q: ' ELSE 'A: ' END, text), chr(10) ORDER BY turn) END AS context FROM conversations GROUP BY conv_id""")
 def transcript_contexts(src):
-    return ranking.transcript_context(src("conversations"))
+    conv = F.col("conv_id")
+    summaries = src("conversations").select("conv_id").distinct().select(
+        "conv_id", F.when(conv % 3 == 0, F.concat(F.lit("about "), conv.cast("string"))).otherwise("").alias("summary"))
+    return ranking.transcript_context(src("conversations"), summaries)
 
 
 _JR = """jr AS (SELECT batch_id, CASE batch_id % 5 WHEN 0 THEN regexp_extract(text, '(\\[.*\\])', 1, 's') ELSE text END AS j FROM judge_responses WHERE batch_id % 5 < 4),

@@ -62,6 +62,16 @@ FROM (SELECT cc.*, concat(upper(substr(pt.p_name, 1, 1)), substr(split_part(pt.p
       FROM customer cc JOIN part pt ON pt.p_partkey = cc.c_custkey) c
 """
 
+VIEWS["stored_people"] = """
+SELECT p.*, CASE WHEN source_row % 9 = 0 THEN concat('https://docs.google.com/d/', id) ELSE '' END AS resume_url,
+       CASE WHEN source_row % 8 = 1 THEN concat('https://example.org/o/', id) ELSE '' END AS other_links_csv,
+       CASE source_row % 4 WHEN 0 THEN concat('{"website": "', country, '"}') WHEN 1 THEN '{}' ELSE '' END AS fetched_content,
+       CASE WHEN source_row % 2 = 0 THEN concat('{"full_name": "', name, '"}') ELSE '' END AS linkedin_enriched,
+       concat('card of ', id) AS profile_card, CASE WHEN source_row % 3 = 0 THEN '{"pitch": "x"}' ELSE '' END AS field_summaries,
+       CASE WHEN source_row % 5 = 0 THEN concat('photos/', id) ELSE '' END AS photo_path
+FROM people p
+"""
+
 VIEWS["log_lines"] = """
 SELECT concat('p', cast(user_id AS string)) AS profile_id, event_id AS pos,
        CASE event_type
@@ -233,10 +243,6 @@ SELECT o_custkey AS page_no,
 FROM orders GROUP BY o_custkey
 """
 
-# Tables whose rows carry real work. A file that arrives as fewer partitions than there
-# are cores is spread out first; large inputs already have more and are left alone.
-WORKING_TABLES = {"customer", "orders", "lineitem", "events", "documents", "pages", "embeddings"}
-
 _NAME = re.compile(r"\b([a-z_]+)\b")
 
 
@@ -272,12 +278,7 @@ class Source:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if name in WORKING_TABLES:
-            cores = self.spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
-        return df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def __call__(self, name: str) -> DataFrame:
         if name not in VIEWS:

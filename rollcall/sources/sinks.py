@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.text import text
-from rollcall.operators.keyed import number_batches
+from rollcall.operators.keyed import BATCH_DIGITS, number_batches
 
 LONGEST_CELL = 100_000
 
 
-def outbox(profiles: DataFrame, run_time: Column, prefix: str = "RC_", batch_size: int = 10, hex_digits: int | None = None) -> DataFrame:
+def outbox(profiles: DataFrame, run_time: Column, prefix: str = "RC_", batch_size: int = 10, hex_digits: int = BATCH_DIGITS) -> DataFrame:
     """Rows to send back to a record source in small batches: five prefixed columns.
 
     ``profiles`` has record_id, linkedin_url, vendor_text, profile_card,
