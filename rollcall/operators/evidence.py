@@ -296,11 +296,20 @@ def status_of_state(state: Column) -> Column:
     return F.when(state.isin("enriched", "thin"), "enriched").when(state == "hidden", "skipped").otherwise("failed")
 
 
+def state_line(state: Column) -> Column:
+    """The log line that a verdict leaves; an enriched one leaves none."""
+    return (
+        F.when(state == "thin", "v2: thin (1 corroborating anchor)").when(state == "hidden", "v2: hidden (no public footprint)")
+        .when(state == "failed", "v2: failed (infra error)").otherwise("")
+    )
+
+
 def write_back(people: DataFrame, merged: DataFrame) -> DataFrame:
     """Slot of every winning URL: free primary columns first, the rest to other_links.
 
     Strong evidence goes before single anchors, each in arrival order. One row per URL, so
-    a profile's list never has to fit in one place.
+    a profile's list never has to fit in one place. A URL that the profile's other_links
+    have already gets no slot.
     """
     n = F.size("anchors")
     want = (
@@ -320,12 +329,17 @@ def write_back(people: DataFrame, merged: DataFrame) -> DataFrame:
         F.when(~F.col("want").isin(slots), F.col("want")).when(free & (F.col("url_key") == F.col("_lead")), F.col("want"))
         .when(F.col("want") == "linkedin_url", "").otherwise("other_links")
     )
+    if "other_links" in people.columns:
+        listed = people.select(F.col("id").alias("profile_id"), F.explode("other_links").alias("_link")).select(
+            "profile_id", evidence_url_key(F.col("_link")).alias("url_key"), F.lit(True).alias("_listed")).distinct()
+        joined = joined.join(listed, ["profile_id", "url_key"], "left")
+        slot = F.when((slot == "other_links") & F.col("_listed"), "").otherwise(slot)
     grade = F.when(F.col("turn") == 0, "strong").otherwise("thin")
     return joined.select(
         "profile_id", "url_key", "url", "turn", "pos", slot.alias("slot"),
         F.when(text("snippet") != "", F.concat(F.lit("evidence("), grade, F.lit(","), F.col("source"), F.lit("):"), F.left("url", F.lit(80))))
         .otherwise("").alias("text_key"),
-        F.concat(F.lit("evidence["), F.col("source"), F.lit("/"), F.col("kind"), F.lit("]: "), F.col("url"), F.lit(" anchors="),
+        F.concat(F.lit("v2 evidence["), F.col("source"), F.lit("/"), F.col("kind"), F.lit("]: "), F.col("url"), F.lit(" anchors="),
                  F.array_join("anchors", ",")).alias("log_line"))
 
 

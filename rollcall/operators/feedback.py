@@ -40,9 +40,11 @@ def edit_rules(rules: DataFrame, added: DataFrame, replaced: DataFrame) -> DataF
     """Rule list after a proposal: replacements in place, new rules at the end.
 
     ``rules``: search_id, rule_no, rule. ``added``: search_id, add_no, rule. ``replaced``:
-    search_id, old_rule, new_rule. A rule already on the list is not added again.
+    search_id, swap_no, old_rule, new_rule; of several for one rule the lowest swap_no counts.
+    A rule already on the list is not added again.
     """
-    swaps = replaced.select("search_id", F.col("old_rule").alias("rule"), F.col("new_rule").alias("_new")).dropDuplicates(["search_id", "rule"])
+    swaps = first_per_key(replaced.select("search_id", F.col("old_rule").alias("rule"), F.col("new_rule").alias("_new"), "swap_no"),
+                          ["search_id", "rule"], ["swap_no", "_new"], ["_new"])
     fresh = added.where(F.trim("rule") != "").join(rules.select("search_id", "rule").distinct(), ["search_id", "rule"], "left_anti")
     fresh = fresh.groupBy("search_id", "rule").agg(F.min("add_no").alias("add_no"))
     ends = rules.groupBy("search_id").agg(F.max("rule_no").alias("_end"))

@@ -244,7 +244,7 @@ def settle_candidates(tries: DataFrame, call_price: float = VENDOR_PRICE, transi
         F.min(F.when(good | broke, F.col("turn"))).alias("stop"), F.count("*").alias("n_urls"),
         F.count_if(is_transient(F.col("outcome"))).alias("n_transient"),
         F.min_by(F.struct("url", good.alias("won")), F.when(good | broke, F.col("turn"))).alias("last"),
-        F.first("linkedin_url_source").alias("source"))
+        F.min_by("linkedin_url_source", "turn").alias("source"))
     # The number of paid calls depends on where each profile stopped.
     stops = turns.select("profile_id", "stop")
     paid = tries.join(stops, "profile_id").where(~broke & (F.col("stop").isNull() | (F.col("turn") <= F.col("stop"))))

