@@ -247,10 +247,13 @@ def long_report(sections: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return stacked.select("section", "bucket", "metric", "value")
 
 
-def render_markdown(report: DataFrame, most_rows: int = 500) -> str:
-    """Small report as text. The row count is checked before anything reaches the driver."""
-    rows = report.limit(most_rows + 1).collect()
-    if len(rows) > most_rows:
-        raise ValueError(f"report has more than {most_rows} rows; write it as a table instead")
-    lines = ["| " + " | ".join(report.columns) + " |", "|" + " --- |" * len(report.columns)]
-    return "\n".join(lines + ["| " + " | ".join(str(v) for v in row) + " |" for row in rows])
+def markdown_lines(report: DataFrame) -> DataFrame:
+    """A report of any length as the lines of a Markdown table: place (0 head, 1 rule, 2 row), line."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in report.columns]
+    rows = report.select(F.lit(2).alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = [(0, "| " + " | ".join(report.columns) + " |"), (1, "|" + " --- |" * len(report.columns))]
+    return report.sparkSession.createDataFrame(head, "place int, line string").unionByName(rows)
+
+
+def write_markdown(report: DataFrame, path: str) -> None:
+    markdown_lines(report).orderBy("place", "line").select("line").write.mode("overwrite").text(path)

@@ -34,6 +34,13 @@ def status_report(src):
     return reports.status_report(src("people"))
 
 
+@query("markdown_report", """
+SELECT 0 AS place, '| status | n |' AS line UNION ALL SELECT 1, '| --- | --- |' UNION ALL
+SELECT 2, concat('| ', enrichment_status, ' | ', count(*), ' |') FROM people GROUP BY enrichment_status""")
+def markdown_report(src):
+    return reports.markdown_lines(reports.status_report(src("people")).select("status", "n"))
+
+
 @query("version_report", """
 SELECT coalesce(nullif(enrichment_version, ''), '(none)') AS version, cast(count(*) AS bigint) AS n FROM people GROUP BY 1""")
 def version_report(src):
