@@ -76,7 +76,13 @@ def persons_per_account(src):
     return dedup.persons_per_account(src("people"))
 
 
-@query("person_groups")
+@query("person_groups", """
+WITH RECURSIVE k AS (SELECT id, unnest([CASE WHEN trim(email) <> '' THEN 'email:' || lower(trim(email)) END, CASE WHEN trim(linkedin_url) <> '' THEN 'li:' || rtrim(lower(trim(linkedin_url)), '/') END,
+ CASE WHEN trim(name) <> '' THEN 'name:' || lower(trim(name)) || '|' || lower(trim(organization)) END]) AS key FROM people),
+m AS (SELECT key, min(id) AS low FROM k WHERE key IS NOT NULL GROUP BY key),
+e AS (SELECT DISTINCT id AS x, low AS y FROM k JOIN m ON m.key = k.key), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT id, id AS seen FROM people UNION SELECT r.id, b.y FROM r JOIN b ON b.x = r.seen)
+SELECT id, min(seen) AS group_id FROM r GROUP BY id""")
 def person_groups(src):
     return dedup.linked_persons(src("people"))
 

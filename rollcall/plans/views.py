@@ -265,6 +265,8 @@ def with_views(sql: str) -> str:
         return sql
     defined = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in names)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {defined},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {defined},\n{body[5:]}"
     return f"WITH {defined}\n{body}"
