@@ -41,6 +41,11 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if it was counted to have at most ``rows``."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def with_row(docs: DataFrame, *columns: str) -> DataFrame:
     """The whole row as struct ``_row`` beside ``columns``; names of a caller's columns can't clash then."""
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *[docs[c] for c in columns])
