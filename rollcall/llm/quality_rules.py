@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollcall.llm.shared import materialised, with_row
+from rollcall.llm.shared import materialised, sized, with_row
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -23,6 +23,8 @@ SPAN = 8
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+# Estimates of up to so many groups are sent to all tasks; of more, they meet their rows in a join.
+FEW_GROUPS = 10_000
 # Share of a group that the estimate rests on, steps, and rows below which the estimate over
 # all rows stands in for the group's own.
 KEPT_SHARE, STEPS, MIN_GROUP = 0.75, 3, 50
@@ -32,7 +34,7 @@ TAIL = 1e-9
 # Per cent that a text may have of symbols, repeated lines and repeated words, and times by
 # which its mean word may be longer, however alike the other texts of its group are. Most
 # clean rows have no symbol and no repetition at all; with a spread of zero, one would be an outlier.
-TOLERATED = {"f_length": 2.0, "f_symbols": 15, "f_lines": 30, "f_repeats": 30}
+TOLERATED = {"f_length": 2.0, "f_symbols": 5, "f_lines": 30, "f_repeats": 30}
 
 
 def hashed_with(width: int):
@@ -130,7 +132,7 @@ def squared_distance(p: int) -> Column:
 
 def with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Adds ``d2``, the squared distance from the estimate of the row's group ``g``."""
-    joined = rows.join(estimate, "g", "left")
+    joined = rows.join(sized(estimate, FEW_GROUPS), "g", "left")
     for i, solved in enumerate(squared_distance(len(FEATURES))):
         joined = joined.withColumn(f"y{i}", solved)
     d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(FEATURES))), F.col("y0") * F.col("y0"))
@@ -167,7 +169,7 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
         m = group_quantile(vectors, F.col(f), 0.5, 200).withColumnRenamed("limit", f"m{i}")
         medians = m if medians is None else medians.join(m, "g")
     medians = materialised(medians, "medians")
-    around = vectors.join(medians, "g")
+    around = vectors.join(sized(medians, FEW_GROUPS), "g")
     for i, f in enumerate(FEATURES):
         d = group_quantile(around, F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 200).select(
             "g", (F.col("limit") * 1.4826 + least_spread(f)).alias(f"l{i}{i}"))
@@ -180,8 +182,8 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     widen = KEPT_SHARE / chi2_below(inner, p + 2)
     for _ in range(STEPS):
         measured = with_distance(vectors, estimate)
-        limit = group_quantile(measured, F.log1p("d2"), KEPT_SHARE, 500)
-        nearest = measured.join(limit, "g").where(F.ceil(F.log1p("d2") * 500) / 500 <= F.col("limit"))
+        limit = materialised(group_quantile(measured, F.log1p("d2"), KEPT_SHARE, 500), "limits")
+        nearest = measured.join(sized(limit, FEW_GROUPS), "g").where(F.ceil(F.log1p("d2") * 500) / 500 <= F.col("limit"))
         estimate = materialised(estimated(nearest, widen), "step")
     share = 0.975
     close = chi2_limit(share, p)
@@ -205,7 +207,7 @@ def judged(measured: DataFrame) -> DataFrame:
     own = estimates.where(F.col("n") >= MIN_GROUP)
     chosen = groups.join(own.select("g", F.lit(True).alias("_own")), "g", "left").select(
         "g", F.when(F.col("_own"), F.col("g")).otherwise("").alias("_from"))
-    chosen = chosen.join(estimates.withColumnRenamed("g", "_from"), "_from", "left").drop("_from")
+    chosen = materialised(chosen.join(estimates.withColumnRenamed("g", "_from"), "_from", "left").drop("_from"), "chosen")
     limit = chi2_limit(1 - TAIL, len(FEATURES))
     return with_distance(rows, chosen).drop("g", "n").withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True)))
