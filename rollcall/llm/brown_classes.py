@@ -154,7 +154,10 @@ def best_class(table: np.ndarray, own: int, before: np.ndarray, after: np.ndarra
     rest[own, :] -= after
     rest[own, own] -= twice
     np.maximum(rest, 0, out=rest)
-    gain = (xlogx(rest + before[:, None]) - xlogx(rest)).sum(0) + (xlogx(rest + after[None, :]) - xlogx(rest)).sum(1)
+    # Only cells next to a class that the word has beside it change.
+    rows, columns = np.flatnonzero(before), np.flatnonzero(after)
+    gain = (xlogx(rest[rows] + before[rows, None]) - xlogx(rest[rows])).sum(0)
+    gain += (xlogx(rest[:, columns] + after[columns]) - xlogx(rest[:, columns])).sum(1)
     corner = np.diagonal(rest)
     gain += xlogx(corner + before + after + twice) - xlogx(corner + before) - xlogx(corner + after) + xlogx(corner)
     for margin, more in ((rest.sum(0), before.sum() + twice), (rest.sum(1), after.sum() + twice)):
