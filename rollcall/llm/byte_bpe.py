@@ -108,7 +108,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         encode = codec(model.value, pattern).encode
         for batch in batches:
-            ids = pa.array([encode(text) for text in batch.column(1).to_pylist()], pa.binary())
+            ids = pa.array(encode(batch.column(1).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()

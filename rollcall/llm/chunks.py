@@ -2,19 +2,23 @@
 
 A tokenizer's pattern joins at most one space to what follows it and never reaches over other
 white space, so a text falls into chunks, each an optional space and what is not white space,
-or a run of white space, that can be encoded one by one. The pattern splits chunks into
-pre-tokens. Most of both repeat: a worker keeps the ids of up to ``KEPT`` short ones of each
-and starts anew when that is full.
+or a run of white space, that can be encoded one by one. Where the tokenizer doesn't do it, the pattern splits chunks
+into pre-tokens. Most of both repeat: a worker keeps the ids of up to ``KEPT`` short ones of
+each, and when that is full keeps those of the texts at hand.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from itertools import chain
 
 import regex
 
-CHUNK = r" ?\S+|\s+(?!\S)|\s+"
-KEPT, LONGEST = 1 << 17, 64
+# White space as the tokenizers' patterns have it: Unicode's property, without U+001C to U+001F.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CHUNK = rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+KEPT, LONGEST = 1 << 19, 64
 
 
 class Kept:
@@ -23,27 +27,34 @@ class Kept:
     def __init__(self, make: Callable[[list[str]], list[bytes]]):
         self.make, self.known = make, {}
 
-    def joined(self, keys: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, keys))
-        except KeyError:
-            pass
-        if len(self.known) > KEPT:
-            self.known = {}
-        known = self.known
-        new = [k for k in set(keys) if k not in known]
-        found = dict(zip(new, self.make(new)))
-        known.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
-        return b"".join([known[k] if k in known else found[k] for k in keys])
+    def joined(self, lists: list[list[str]]) -> list[bytes]:
+        """For each list of strings, their values in a row."""
+        known, wanted = self.known, set(chain.from_iterable(lists))
+        new = list(wanted.difference(known))
+        if len(known) + len(new) > KEPT:
+            self.known = known = {k: known[k] for k in wanted if k in known}
+        if new:
+            known.update(zip(new, self.make(new)))
+        out = [b"".join(map(known.__getitem__, keys)) for keys in lists]
+        for key in new:
+            if len(key) > LONGEST:
+                del known[key]
+        return out
 
 
 class Chunked:
-    """Encodes texts to ids, each a little-endian unsigned 32-bit integer, by chunks and pre-tokens."""
+    """Encodes texts to ids, each a little-endian unsigned 32-bit integer.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str):
-        pre_tokens, parts = regex.compile(pattern).findall, Kept(encode)
-        self.chunks = Kept(lambda chunks: [parts.joined(pre_tokens(c)) for c in chunks])
-        self.split = regex.compile(CHUNK).findall
+    ``encode`` gets the pre-tokens of ``pattern``, or whole chunks where that is None.
+    """
 
-    def __call__(self, text: str | None) -> bytes:
-        return self.chunks.joined(self.split(text or ""))
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str | None = None):
+        if pattern is None:
+            self.chunks = Kept(encode)
+        else:
+            pre_tokens, parts = regex.compile(pattern).findall, Kept(encode)
+            self.chunks = Kept(lambda chunks: parts.joined([pre_tokens(c) for c in chunks]))
+        self.split = re.compile(CHUNK).findall
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        return self.chunks.joined([self.split(text or "") for text in texts])

@@ -15,8 +15,10 @@ before it, so a reader can fetch any record alone, in any order.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from rollcall.llm.shared import shared_folder
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
 ROWS_PER_FILE = 5000
+TOGETHER = 1000
 INDEX = "doc_id long, number long, part long, path string, offset long, length long, n_tokens long"
 
 
@@ -53,20 +56,44 @@ def body_at(data: bytes, offset: int) -> memoryview:
     return body
 
 
-def encoder(tokenizer_json: str, pattern: str) -> tuple[Chunked, int]:
-    """Texts to ids, and the bytes that an id needs."""
+@lru_cache(maxsize=2)
+def encoder(tokenizer_json: str) -> tuple[Chunked, int]:
+    """Texts to ids by a byte-level tokenizer, and the bytes that an id needs.
+
+    Chunks are encoded many at once, with a line feed between them: it holds no white space
+    but a space at its start, so the line feed becomes a token of its own, and nothing else does.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    encode = Chunked(lambda parts: [np.array(e.ids, "<u4").tobytes()
-                                    for e in tokenizer.encode_batch(parts, add_special_tokens=False)], pattern)
-    return encode, 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    between, = ids_of(["\n"])[0].tolist()
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        blank = [c for c in chunks if c.isspace()]
+        found = dict(zip(blank, (i.tobytes() for i in ids_of(blank))))
+        filled = [c for c in chunks if c not in found]
+        for at in range(0, len(filled), TOGETHER):
+            part = filled[at:at + TOGETHER]
+            ids, = ids_of(["\n".join(part)])
+            ends = np.append(np.flatnonzero(ids == between), len(ids)).tolist()
+            raw, begin = ids.tobytes(), 0
+            for chunk, end in zip(part, ends, strict=True):
+                found[chunk] = raw[4 * begin:4 * end]
+                begin = end + 1
+        return [found[c] for c in chunks]
+
+    return Chunked(encode), 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
 
 
 def body(doc: int | None, ids: bytes, width: int) -> bytes:
     return struct.pack("<qB", NULL_ID if doc is None else doc, width) + np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
 
 
-def write_records(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, folder: str) -> None:
+def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> None:
     """Encodes every text, appends ``end_id`` and writes the records in ascending doc_id order.
 
     A null id comes first; among rows with one id the text decides, and equal rows are all
@@ -77,10 +104,10 @@ def write_records(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: in
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encode, width = encoder(tokenizer.value, pattern)
+        encode, width = encoder(tokenizer.value)
         for batch in batches:
-            frames = [framed(body(i, encode(text) + end, width))
-                      for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            frames = [framed(body(i, ids + end, width))
+                      for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()))]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["value"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id") \
@@ -157,10 +184,10 @@ def read_records(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
     return files.mapInArrow(fetch, "doc_id long, start long, ids binary")
 
 
-def written_and_read(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int) -> DataFrame:
+def written_and_read(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Writes records and index of all documents, then reads every record back through the index."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "records")
-    write_records(docs, tokenizer_path, pattern, end_id, f"{folder}/data")
+    write_records(docs, tokenizer_path, end_id, f"{folder}/data")
     write_index(spark, f"{folder}/data", folder)
     return read_records(spark, f"{folder}/data", read_index(spark, folder))

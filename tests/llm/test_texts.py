@@ -57,19 +57,19 @@ def test_rank_file_without_gaps(tmp_path):
 def test_records_come_back_in_order(docs, no_docs):
     library = Tokenizer.from_file(JSON)
     library.encode_special_tokens = True
-    got = framed_records.written_and_read(docs, JSON, PATTERN, 2).orderBy("start").collect()
+    got = framed_records.written_and_read(docs, JSON, 2).orderBy("start").collect()
     start = 0
     for row, doc in zip(got, sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id, r.text or ""))):
         ids = library.encode(doc.text or "", add_special_tokens=False).ids + [2]
         assert (row.doc_id, row.start, bytes(row.ids)) == (doc.doc_id, start, np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert len(got) == docs.count()
-    assert framed_records.written_and_read(no_docs, JSON, PATTERN, 2).count() == 0
+    assert framed_records.written_and_read(no_docs, JSON, 2).count() == 0
 
 
 def test_index_picks_single_records(llm, docs):
     folder = shared_folder(llm, "test")
-    framed_records.write_records(docs, JSON, PATTERN, 2, f"{folder}/data")
+    framed_records.write_records(docs, JSON, 2, f"{folder}/data")
     framed_records.write_index(llm, f"{folder}/data", folder)
     index = framed_records.read_index(llm, folder)
     assert listed(framed_records.read_records(llm, f"{folder}/data", index.where("doc_id in (6, 11)")), "doc_id") == [(11,), (6,)]
