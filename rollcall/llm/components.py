@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has columns a and b of one orderable type. A round takes the smallest label
     among neighbours and then that label's own label; it ends when nothing changes.
     """
-    both = materialised(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialised(links.select(F.explode(ends).alias("x")).select("x.a", "x.b"), "links")
     labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select(
         "node", F.least("node", "b").alias("label")), "labels")
     while True:

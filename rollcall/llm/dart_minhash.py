@@ -1,18 +1,22 @@
 """Near-duplicates by DartMinHash: weighted signatures, banded joins, an exact check.
 
-A text is a multiset of shingles of five words. Each of a shingle's occurrences owns a region
-of unit weight, into which darts are thrown by hash: their ranks are the arrivals of a Poisson
-process, and each lands in one of ``K`` coordinates. A text throws only until about
+A text is a weighted set of shingles of five words. A shingle that occurs once weighs 1, and
+each doubling of its count adds 1, so that one phrase said a hundred times doesn't outweigh
+all else. Each unit of a shingle's weight is a region into which darts are thrown by hash:
+their ranks are the arrivals of a Poisson process, and each lands in one of ``K`` coordinates. A text throws only until about
 ``K * (ln K + 3)`` darts have landed, whatever its length, and keeps the earliest dart per
 coordinate; texts with an empty coordinate throw on. Two texts agree in a coordinate with the
 probability of their weighted Jaccard similarity.
 
 Texts with equal words are one node from the start. Nodes that agree in a whole band are
-candidates. In each band's bucket every node is compared with the smallest one only, exactly.
+candidates. In each band's bucket every node is compared with the first one only, exactly: that
+of the smallest doc_id, which copies mostly come after.
 Components of the links found so far then leave few buckets with nodes of several components;
-among those, pairs that the distances to the smallest node don't rule out (the triangle
-inequality holds for this distance) are compared as well. So no link inside a bucket is lost,
-and a bucket of copies costs a row per node, not per pair.
+among those, pairs that could still be similar are compared as well. Two bounds rule the
+others out: the distances to the first node (the triangle inequality holds for this
+distance), and the weight that two nodes can have in common at most, within the first node
+and outside it, where what a node shares with no other at all doesn't count. So no link inside a bucket is lost, and a bucket of copies costs a row per node,
+not per pair.
 """
 
 from __future__ import annotations
@@ -66,19 +70,25 @@ def shingles(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(total[whole]), owner[whole]
 
 
-def signatures(texts: list[list[bytes]]) -> np.ndarray:
-    """K values for each text; texts without words get zeros."""
+def weighed(counts: np.ndarray) -> np.ndarray:
+    """Weights of counts: 1 for one, and 1 more for each doubling."""
+    return np.frexp(counts)[1].astype(np.int64)
+
+
+def signatures(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """K values for each text, and its weight; texts without words get zeros."""
     out = np.zeros((len(texts), K), np.uint64)
     found, owner = shingles(texts)
     if not len(found):
-        return out
+        return out, np.zeros(len(texts), np.int64)
     order = np.lexsort((found, owner))
     found, owner = found[order], owner[order]
-    # The occurrences of one shingle in a text are told apart by their number.
-    new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-    at = np.arange(len(found))
-    regions = mixed(found + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * ODD)
+    new = np.flatnonzero(np.append(True, (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])))
+    units = weighed(np.diff(np.append(new, len(found))))
+    # A shingle's units are told apart by their number.
+    number = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
+    regions, owner = np.repeat(found[new], units) + number.astype(np.uint64) * ODD, np.repeat(owner[new], units)
+    regions = mixed(regions)
     weight = np.bincount(owner, minlength=len(texts))
     open_texts, limit = np.flatnonzero(weight), THROWN
     while len(open_texts):
@@ -101,7 +111,7 @@ def signatures(texts: list[list[bytes]]) -> np.ndarray:
             out.reshape(-1)[cell[first]] = value[first]
         short = np.isinf(best.reshape(len(texts), K)[open_texts]).any(axis=1)
         open_texts, limit = open_texts[short], limit * 2
-    return out
+    return out, weight
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
@@ -111,11 +121,16 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return total
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two texts' distinct shingles and their counts."""
+def weights_of(text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    found, counts = np.unique(shingles([text])[0], return_counts=True)
+    return found, weighed(counts)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, int]:
+    """Weighted Jaccard similarity of two texts, each its distinct shingles and their weights, and the common weight."""
     _, in_a, in_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = np.minimum(a[1][in_a], b[1][in_b]).sum()
-    return float(both / (a[1].sum() + b[1].sum() - both))
+    return float(both / (a[1].sum() + b[1].sum() - both)), int(both)
 
 
 SIGNED = "block long, place int, doc_id long, node binary, size long, bands array<long>"
@@ -138,16 +153,17 @@ def signed(blocks: DataFrame, at_id: int, at_text: int) -> DataFrame:
             first = {}
             for i, node in enumerate(nodes):
                 first.setdefault(node, i)
-            hashed = dict(zip(first, bands(signatures([part[i] for i in first.values()])).view(np.int64).tolist()))
+            signature, weight = signatures([part[i] for i in first.values()])
+            hashed = dict(zip(first, zip(bands(signature).view(np.int64).tolist(), weight.tolist())))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((
                 [number] * len(part), range(start, start + len(part)), ids[start:start + 500], nodes,
-                [max(len(t) - SHINGLE + 1, 1) for t in part], [hashed[n] if n else None for n in nodes]), kinds)], names)
+                [hashed[n][1] for n in nodes], [hashed[n][0] if n else None for n in nodes]), kinds)], names)
 
     return packing.each(blocks, work, SIGNED)
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Adds the exact ``similarity`` to pairs of nodes a and b."""
+    """Adds the exact ``similarity`` and the weight of ``both`` to pairs of nodes a and b."""
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b") \
         .join(texts.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").select("a", "b", "wa", "wb")
 
@@ -159,16 +175,17 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if len(known) > 300:
                     known.clear()
                 text = zstandard.ZstdDecompressor().decompress(squeezed).split(b" ")
-                known[node] = np.unique(shingles([text])[0], return_counts=True)
+                known[node] = weights_of(text)
             return known[node]
 
         for batch in batches:
             a, b, wa, wb = (c.to_pylist() for c in batch.columns)
             found = [similarity(counted(w, x), counted(y, z)) for w, y, x, z in zip(a, b, wa, wb)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())],
-                                             ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.float64()),
+                 pa.array([x for _, x in found], pa.int64())], ["a", "b", "similarity", "both"])
 
-    return joined.mapInArrow(run, "a binary, b binary, similarity double")
+    return joined.mapInArrow(run, "a binary, b binary, similarity double, both long")
 
 
 def node_texts(blocks: DataFrame, documents: DataFrame, nodes: DataFrame, at_text: int) -> DataFrame:
@@ -189,13 +206,32 @@ def node_texts(blocks: DataFrame, documents: DataFrame, nodes: DataFrame, at_tex
     return materialised(packing.each(blocks.join(wanted, "block"), work, "node binary, words binary", "wanted"), "texts")
 
 
+def unshared(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The weight of those shingles of each of the given nodes that no other one of them has; nodes without are left out."""
+    names = ["shingle", "node", "weight"]
+
+    def run(batches):
+        for batch in batches:
+            for node, squeezed in zip(*(c.to_pylist() for c in batch.columns)):
+                found, weight = weights_of(zstandard.ZstdDecompressor().decompress(squeezed).split(b" "))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array([node] * len(found), pa.binary()),
+                                                  pa.array(weight)], names)
+
+    rows = texts.join(nodes, "node").select("node", "words").mapInArrow(run, "shingle long, node binary, weight long")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct("node", "weight")).alias("x")).where("n = 1")
+    return once.groupBy(F.col("x.node").alias("node")).agg(F.sum("x.weight").alias("unshared"))
+
+
 def classes(blocks: DataFrame, at_id: int, at_text: int) -> DataFrame:
     """block, place and doc_id of every document with its node and ``label``, equal within a class."""
     documents = materialised(signed(blocks, at_id, at_text), "signed")
-    in_bands = documents.where("node is not null").select("node", "size", F.explode("bands").alias("bucket"))
-    tops = in_bands.groupBy("bucket").agg(F.min("node").alias("top"), F.max("node").alias("last")).where("top < last")
-    members = materialised(in_bands.join(tops.select("bucket", "top"), "bucket").distinct(), "members")
-    starred = members.where("node > top").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
+    in_bands = documents.where("node is not null").select("node", "doc_id", "size", F.explode("bands").alias("bucket"))
+    tops = in_bands.groupBy("bucket").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.min("node").alias("low"), F.max("node").alias("high"))
+    tops = tops.where("low < high").select("bucket", F.col("first.node").alias("top"))
+    in_bands = in_bands.drop("doc_id")
+    members = materialised(in_bands.join(tops, "bucket").distinct(), "members")
+    pair = F.greatest("node", "top").alias("a"), F.least("node", "top").alias("b")
+    starred = members.where("node <> top").select(*pair).distinct()
     starred = materialised(starred, "starred")
     nodes = starred.select(F.col("a").alias("node")).unionByName(starred.select(F.col("b").alias("node"))).distinct()
     texts = node_texts(blocks, documents, nodes, at_text)
@@ -207,14 +243,18 @@ def classes(blocks: DataFrame, at_id: int, at_text: int) -> DataFrame:
     placed = members.join(grouped, "node", "left").select("bucket", "node", "size", "top", label)
     mixed_up = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     placed = placed.join(mixed_up.select("bucket"), "bucket")
-    placed = placed.join(measured.select(F.col("a").alias("node"), F.col("b").alias("top"), "similarity"), ["node", "top"], "left")
-    placed = materialised(placed.where("node > top").select(
-        "bucket", "node", "size", "label", (1 - F.col("similarity")).alias("far")), "mixed")
-    # A node linked to the smallest needs comparing with those that are not.
+    placed = placed.where("node <> top").select("*", *pair).join(measured, ["a", "b"])
+    placed = materialised(placed.select(
+        "bucket", "node", "top", "size", "label", (1 - F.col("similarity")).alias("far"), "both"), "mixed")
+    alone = unshared(texts, placed.select(F.explode(F.array("node", "top")).alias("node")).distinct())
+    placed = materialised(placed.join(alone, "node", "left").withColumn(
+        "rest", F.col("size") - F.col("both") - F.coalesce("unshared", F.lit(0))).drop("unshared", "top"), "bounded")
+    # A node linked to the first needs comparing with those that are not.
     apart = placed.where(F.col("far") > 1 - SIMILAR)
     x, y = apart.alias("x"), placed.alias("y")
     near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - SIMILAR + 1e-9
-    sized = F.least("x.size", "y.size") >= SIMILAR * F.greatest("x.size", "y.size") - 1e-9
+    most = F.least("x.both", "y.both") + F.least("x.rest", "y.rest")
+    sized = most >= SIMILAR * (F.col("x.size") + F.col("y.size") - most) - 1e-9
     once = (F.col("y.far") <= 1 - SIMILAR) | (F.col("x.node") < F.col("y.node"))
     more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & near & sized & once)
     more = more.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
