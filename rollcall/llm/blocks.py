@@ -3,6 +3,7 @@ can travel as (block, place) and rows can be fetched again at a third of their s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,8 +11,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rollcall.llm.shared import materialised
-
 BLOCK_BYTES = 4 << 20
 
 
@@ -19,7 +18,7 @@ def squeezed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as stream:
         stream.write_table(table)
-    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+    return zstandard.ZstdCompressor(level=6).compress(sink.getvalue().to_pybytes())
 
 
 def unpacked(rows: bytes) -> pa.RecordBatch:
@@ -28,10 +27,13 @@ def unpacked(rows: bytes) -> pa.RecordBatch:
 
 
 def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``block`` and ``rows``: consecutive rows of about ``block_bytes`` in all; written once.
+    """``block`` and ``rows``: consecutive rows of about ``block_bytes`` in all.
 
-    Columns go by their place inside a block, so clashing names do no harm.
+    They are written once, as a table bucketed by block in the warehouse, so that later joins
+    by block move only what comes to the blocks. Columns go by their place inside a block, so
+    clashing names do no harm.
     """
+    spark = docs.sparkSession
 
     def run(batches):
         parts, size, made = [], 0, 0
@@ -55,7 +57,10 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if parts:
             yield block()
 
-    return materialised(docs.mapInArrow(run, "block long, rows binary"), "blocks")
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"blocks_{uuid.uuid4().hex}"
+    made = docs.mapInArrow(run, "block long, rows binary").repartition(buckets, "block")
+    made.write.bucketBy(buckets, "block").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def each(blocks: DataFrame, work, schema, *columns: str) -> DataFrame:
