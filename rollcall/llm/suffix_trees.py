@@ -25,6 +25,7 @@ Words are compared by 64-bit hashes; prefix and window must both agree.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from rollcall.llm import blocks as packing
+from rollcall.llm.shared import materialised
 
 SPAN, ANCHOR = 20, 8
 PREFIXES = (4, 8, SPAN)
@@ -118,6 +120,13 @@ class Packed:
         self.at = docs.columns.index("doc_id"), docs.columns.index("text")
 
 
+def new_values(x: np.ndarray) -> np.ndarray:
+    """Where a sequence differs from the value before; neighbouring windows mostly share their anchor."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
 def opened(rows: pa.RecordBatch, at: tuple[int, int]) -> Block:
     return Block(*(rows.column(i).to_pylist() for i in at))
 
@@ -137,21 +146,30 @@ def each_block(blocks: DataFrame, at: tuple[int, int], work, schema: str, *colum
 def common_prefixes(packed: Packed) -> dict[int, np.ndarray]:
     """Hashes of prefixes with more than ``SHARE`` of all windows, by length; at most 1/SHARE each.
 
-    A prefix with that share overall has half of it in some block, so blocks name those only.
+    A prefix with that share overall has half of it in some block, so blocks name those only,
+    and in a row of length 0 how many windows they have.
     """
+
+    def count(number, block):
+        lengths, keys, counts = [np.zeros(1, np.int64)], [np.zeros(1, np.uint64)], [np.array([len(block.starts)])]
+        for length in PREFIXES[:-1]:
+            values, least = mixed(block.runs[length][block.starts]), len(block.starts) * SHARE / 2
+            # Only values of full enough cells can be frequent ones.
+            cells = (values & np.uint64(0xFFFF)).astype(np.int64)
+            found, n = np.unique(values[(np.bincount(cells, minlength=1 << 16) > least)[cells]], return_counts=True)
+            much = n > least
+            lengths.append(np.full(much.sum(), length))
+            keys.append(found[much])
+            counts.append(n[much])
+        return [pa.array(np.concatenate(lengths)), signed(np.concatenate(keys)), pa.array(np.concatenate(counts))]
+
+    counted = each_block(packed.rows, packed.at, count, "length long, key long, n long").groupBy("length", "key").agg(F.sum("n").alias("n"))
+    counted = materialised(counted, "prefixes")
+    every = counted.where("length = 0").agg(F.sum("n")).first()[0] or 0
     common = {length: np.empty(0, np.uint64) for length in PREFIXES}
-    windows = each_block(packed.rows, packed.at, lambda number, block: [pa.array([len(block.starts)], pa.int64())], "n long")
-    every = windows.agg(F.sum("n")).first()[0] or 0
     for length in PREFIXES[:-1]:
-
-        def count(number, block, known=dict(common)):
-            keys, n = np.unique(block.keys(known, block.starts), return_counts=True)
-            much = n > len(block.starts) * SHARE / 2
-            return [signed(keys[much]), pa.array(n[much], pa.int64())]
-
-        counted = each_block(packed.rows, packed.at, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        rows = counted.where(F.col("n") > every * SHARE).select("key").collect()
-        common[length] = np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+        rows = counted.where((F.col("length") == length) & (F.col("n") > every * SHARE)).select("key").collect()
+        common[length] = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     return common
 
 
@@ -160,7 +178,8 @@ def shared_anchors(packed: Packed) -> DataFrame:
     schema = "anchor long, block long"
 
     def find(number, block):
-        anchors = np.unique(block.anchors())
+        anchors = block.anchors()
+        anchors = np.unique(anchors[new_values(anchors)])
         return [signed(anchors), pa.array(np.full(len(anchors), number), pa.int64())]
 
     found = each_block(packed.rows, packed.at, find, schema)
@@ -174,8 +193,10 @@ def repeated_leaves(packed: Packed) -> DataFrame:
     schema = "key long, window long, doc long, block long, offset long"
 
     def suffixes(number, block, anchors):
-        near = np.isin(block.anchors(), np.array(anchors, np.int64).view(np.uint64))
-        at = block.starts[near]
+        found = block.anchors()
+        new = new_values(found)
+        shared = np.isin(found[new], np.array(anchors, np.int64).view(np.uint64))
+        at = block.starts[shared[np.cumsum(new) - 1]]
         windows, first = np.unique(block.runs[SPAN][at], return_index=True)
         at = at[first]
         doc = np.searchsorted(block.begins, at, "right") - 1
@@ -203,20 +224,20 @@ def removed(docs: DataFrame, block_bytes: int = packing.BLOCK_BYTES) -> DataFram
 
     def work(number, rows, marks):
         block = opened(rows, at)
-        windows = block.windows()
-        later = np.ones(len(windows), bool)
-        later[np.unique(windows, return_index=True)[1]] = False
+        later = pd.Series(block.windows()).duplicated().to_numpy()
         hit = np.zeros(len(block.runs[1]) + SPAN, np.int64)
         for places in (block.starts[later], np.array(marks or [], np.int64)):
             hit[places] = 1
         over = np.cumsum(hit)
         covered = over.copy()
         covered[SPAN:] -= over[:-SPAN]
-        stays = (covered == 0).tolist()
+        stays = covered == 0
+        gone = np.concatenate([[0], np.cumsum(~stays)])
+        touched = (gone[block.begins[1:]] > gone[block.begins[:-1]]).tolist()
         ordered = rows.take(pa.array(block.order))
         for first in range(0, len(block.docs), 1000):
-            kept = [[w for w, s in zip(doc, stays[begin:begin + len(doc)]) if s] for doc, begin in
-                    zip(block.docs[first:first + 1000], block.begins[first:first + 1000].tolist())]
+            kept = [[w for w, s in zip(doc, stays[begin:begin + len(doc)].tolist()) if s] if cut else doc for doc, begin, cut in
+                    zip(block.docs[first:first + 1000], block.begins[first:first + 1000].tolist(), touched[first:first + 1000])]
             sizes = block.sizes[first:first + 1000]
             yield pa.RecordBatch.from_arrays(
                 [*ordered.slice(first, 1000).columns, pa.array([b" ".join(k).decode() for k in kept], pa.string()),
