@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import arc_to_warc, brown_classes, byte_bpe, dart_minhash, framed_records, quality_rules, string_tiling, suffix_trees, wrapper_induction
+from rollcall.llm import arc_to_warc, brown_classes, byte_bpe, co_training, dart_minhash, framed_records, quality_rules, string_tiling, suffix_trees, wrapper_induction
 from rollcall.llm.shared import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op2(spark, folder):
 @query("op7_wrapper_induction")
 def op7(spark, folder):
     return wrapper_induction.main_texts(table(spark, folder, "pages"))
+
+
+@query("op5_co_training")
+def op5(spark, folder):
+    return co_training.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
