@@ -121,7 +121,7 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(
         "path", F.regexp_extract(name, r"^part-(\d+)-", 1).cast("long").alias("number"),
-        F.regexp_extract(name, r"-c(\d+)", 1).cast("long").alias("part"), "content")
+        F.regexp_extract(name, r"-c(\d+)\.[^/]*$", 1).cast("long").alias("part"), "content")
 
 
 def write_index(spark: SparkSession, folder: str, index_folder: str) -> None:

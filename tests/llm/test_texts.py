@@ -75,6 +75,18 @@ def test_index_picks_single_records(llm, docs):
     assert listed(framed_records.read_records(llm, f"{folder}/data", index.where("doc_id in (6, 11)")), "doc_id") == [(11,), (6,)]
 
 
+def test_number_of_a_file_is_not_read_from_its_uuid(llm, tmp_path):
+    for part in range(3):
+        frames = [framed_records.framed(framed_records.body(10 * part + k, b"\1\0\0\0" * (part + 1), 2)) + b"\n" for k in range(part + 1)]
+        (tmp_path / f"part-00000-0a1b2c3d-c123-4abc-8def-c12345678901-c00{part}.txt").write_bytes(b"".join(frames))
+    index_folder = shared_folder(llm, "test")
+    framed_records.write_index(llm, str(tmp_path), index_folder)
+    index = framed_records.read_index(llm, index_folder)
+    assert listed(index.groupBy("part").count(), "part", "count") == [(0, 1), (1, 2), (2, 3)]
+    got = framed_records.read_records(llm, str(tmp_path), index)
+    assert listed(got, "doc_id", "start") == [(0, 0), (10, 1), (11, 3), (20, 5), (21, 8), (22, 11)]
+
+
 def test_damaged_record_is_seen():
     frame = bytearray(framed_records.framed(framed_records.body(5, b"\1\0\0\0\2\0\0\0", 2)))
     assert bytes(framed_records.body_at(bytes(frame), 0)) == framed_records.body(5, b"\1\0\0\0\2\0\0\0", 2)
