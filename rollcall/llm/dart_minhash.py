@@ -1,8 +1,7 @@
 """Near-duplicates by DartMinHash: weighted signatures, banded joins, an exact check.
 
-A text is a weighted set of shingles of five words. A shingle that occurs once weighs 1, and
-each doubling of its count adds 1, so that one phrase said a hundred times doesn't outweigh
-all else. Each unit of a shingle's weight is a region into which darts are thrown by hash:
+A text is a weighted set of shingles of five words: a shingle weighs as much as it has
+occurrences. Each unit of a shingle's weight is a region into which darts are thrown by hash:
 their ranks are the arrivals of a Poisson process, and each lands in one of ``K`` coordinates. A text throws only until about
 ``K * (ln K + 3)`` darts have landed, whatever its length, and keeps the earliest dart per
 coordinate; texts with an empty coordinate throw on. Two texts agree in a coordinate with the
@@ -70,11 +69,6 @@ def shingles(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(total[whole]), owner[whole]
 
 
-def weighed(counts: np.ndarray) -> np.ndarray:
-    """Weights of counts: 1 for one, and 1 more for each doubling."""
-    return np.frexp(counts)[1].astype(np.int64)
-
-
 def signatures(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """K values for each text, and its weight; texts without words get zeros."""
     out = np.zeros((len(texts), K), np.uint64)
@@ -84,7 +78,7 @@ def signatures(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((found, owner))
     found, owner = found[order], owner[order]
     new = np.flatnonzero(np.append(True, (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])))
-    units = weighed(np.diff(np.append(new, len(found))))
+    units = np.diff(np.append(new, len(found)))
     # A shingle's units are told apart by their number.
     number = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
     regions, owner = np.repeat(found[new], units) + number.astype(np.uint64) * ODD, np.repeat(owner[new], units)
@@ -122,8 +116,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def weights_of(text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    found, counts = np.unique(shingles([text])[0], return_counts=True)
-    return found, weighed(counts)
+    return np.unique(shingles([text])[0], return_counts=True)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, int]:

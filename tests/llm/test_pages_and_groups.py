@@ -108,8 +108,7 @@ def classes_by_force(texts):
     shingled = {}
     for i, text in texts.items():
         words = (text or "").encode().lower().split()
-        counted = Counter([tuple(words[k:k + 5]) for k in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] if words else [])
-        shingled[i] = Counter({s: n.bit_length() for s, n in counted.items()})
+        shingled[i] = Counter([tuple(words[k:k + 5]) for k in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] if words else [])
     label = {i: i for i in texts}
     for i, a in shingled.items():
         for j, b in shingled.items():
@@ -156,6 +155,15 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((signature[0] == signature[1]).mean() - dart_minhash.similarity(*counted)[0]) < 0.15
 
 
+def test_occurrences_weigh_in_full(llm):
+    phrase = ["same"] * 104
+    turns = [f"w{i}" for i in range(10)]
+    made = [" ".join(phrase + prose(1, 6).split()), " ".join(phrase + prose(2, 6).split()),
+            " ".join(turns * 4 + turns[:4]), " ".join(turns * 7 + turns[:4])]
+    got = dart_minhash.near_duplicates(llm.createDataFrame(rows(made), DOCS)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
 def test_components_of_a_long_chain(llm):
     links = llm.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 102)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
