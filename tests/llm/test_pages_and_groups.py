@@ -98,6 +98,23 @@ def test_tree_matching_is_as_heavy_as_the_full_table():
         assert len({i for i, _ in pairs}) == len(pairs) == len({j for _, j in pairs})
 
 
+def test_boilerplate_of_mostly_constant_pages_goes(llm):
+    fixed = "".join(f"<p>Constant line {i}</p>" for i in range(30))
+    made = [(0, "http://h.example/0", None), (1, "http://h.example/1", "<ul><li>Another layout</li></ul>")]
+    made += [(i, f"http://h.example/{i}", f"<div>{fixed}<p>{prose(i, 20)}</p><p>{prose(50 + i, 20)}</p></div>") for i in range(2, 12)]
+    got = {r.page_id: r.text for r in wrapper_induction.main_texts(llm.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got[0] == "" and got[1] == "Another layout"
+    assert all(got[i] == f"{prose(i, 20)}\n\n{prose(50 + i, 20)}" for i in range(2, 12))
+
+
+def test_long_lists_are_aligned_by_equal_texts():
+    constant = [f"<li>c{i}</li>" for i in range(300)]
+    made = [[f"<li>{side}{i}</li>" for i in range(n)] + constant + [f"<li>{side}end</li>"] for side, n in (("a", 3), ("b", 7))]
+    a, b = (wrapper_induction.Skeleton(t.parent, t.paths(), t.hashes()) for t in (wrapper_induction.Tree("<ul>" + "".join(m) + "</ul>") for m in made))
+    same = [j for i, j in wrapper_induction.matching(a, 0, b, 0)[1] if b.hashes[j] and a.hashes[i] == b.hashes[j]]
+    assert len(same) == 300
+
+
 def test_truncated_and_broken_pages_are_read():
     assert wrapper_induction.kept_text(wrapper_induction.Tree("<article><p>a &lt; b &am"), set()) == "a < b &am"
     assert wrapper_induction.kept_text(wrapper_induction.Tree("<p>a < b <i>c</i>d<p title='>'>e"), set()) == "a < b cd\n\ne"
