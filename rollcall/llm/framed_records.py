@@ -15,25 +15,21 @@ before it, so a reader can fetch any record alone, in any order.
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from rollcall.llm.chunks import Chunked
 from rollcall.llm.shared import shared_folder
+from rollcall.llm.words import encoder
 
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
 ROWS_PER_FILE = 5000
-TOGETHER = 1000
 INDEX = "doc_id long, number long, part long, path string, offset long, length long, n_tokens long"
 
 
@@ -56,41 +52,8 @@ def body_at(data: bytes, offset: int) -> memoryview:
     return body
 
 
-@lru_cache(maxsize=2)
-def encoder(tokenizer_json: str) -> tuple[Chunked, int]:
-    """Texts to ids by a byte-level tokenizer, and the bytes that an id needs.
-
-    Chunks are encoded many at once, with a line feed between them: it holds no white space
-    but a space at its start, so the line feed becomes a token of its own, and nothing else does.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def ids_of(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    between, = ids_of(["\n"])[0].tolist()
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        blank = [c for c in chunks if c.isspace()]
-        found = dict(zip(blank, (i.tobytes() for i in ids_of(blank))))
-        filled = [c for c in chunks if c not in found]
-        for at in range(0, len(filled), TOGETHER):
-            part = filled[at:at + TOGETHER]
-            ids, = ids_of(["\n".join(part)])
-            ends = np.append(np.flatnonzero(ids == between), len(ids)).tolist()
-            raw, begin = ids.tobytes(), 0
-            for chunk, end in zip(part, ends, strict=True):
-                found[chunk] = raw[4 * begin:4 * end]
-                begin = end + 1
-        return [found[c] for c in chunks]
-
-    return Chunked(encode), 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
-
-
 def body(doc: int | None, ids: bytes, width: int) -> bytes:
-    return struct.pack("<qB", NULL_ID if doc is None else doc, width) + np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+    return struct.pack("<qB", NULL_ID if doc is None else doc, width) + ids
 
 
 def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> None:
@@ -101,13 +64,14 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = docs.sparkSession.sparkContext.broadcast(file.read())
-    end = struct.pack("<I", end_id)
 
     def run(batches):
-        encode, width = encoder(tokenizer.value)
+        encode = encoder(tokenizer.value)
+        end = end_id.to_bytes(encode.width, "little")
         for batch in batches:
-            frames = [framed(body(i, ids + end, width))
-                      for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()))]
+            ids, at = encode(batch.column(1))
+            frames = [framed(body(doc, ids[at[i]:at[i + 1]].tobytes() + end, encode.width))
+                      for i, doc in enumerate(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["value"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id") \
