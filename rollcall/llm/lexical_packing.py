@@ -39,6 +39,8 @@ from rollcall.llm.words import encoder
 WINDOW = 2048
 # Remainders in a shard: bounds what a task holds, and which neighbours a seed can meet.
 SHARD = 2048
+# Terms that one in so many remainders of a shard has are rows of a table.
+DENSE = 8
 K1, B = 1.2, 0.75
 WHOLE, REST, TERMS = "whole", "rest", "terms"
 ENCODED = "kind string, doc_id long, doc_tokens long, start long, sequence_id long, ids binary"
@@ -142,27 +144,37 @@ def _routed(rest: DataFrame, width: int, end_id: int, statistics, shard: int) ->
 
 
 class Shard:
-    """An inverted index over some remainders: postings by term, with weights."""
+    """An inverted index over some remainders: postings by term, with weights.
+
+    The postings of terms that a large part of the remainders have are rows of a table instead.
+    """
 
     def __init__(self, rests: list[np.ndarray], end_id: int, idf: np.ndarray, mean: float):
         self.terms, weights = zip(*[term_weights(r, end_id, idf, mean) for r in rests])
-        flat, docs = np.concatenate(self.terms), np.repeat(np.arange(len(rests)), [len(t) for t in self.terms])
-        order = np.argsort(flat, kind="stable")
-        self.docs, self.weights = docs[order], np.concatenate(weights)[order]
-        held, begins = np.unique(flat[order], return_index=True)
-        self.begins = np.zeros(len(idf) + 1, np.int64)
-        self.sizes = np.zeros(len(idf) + 1, np.int64)
-        self.begins[held], self.sizes[held] = begins, np.diff(np.append(begins, len(flat)))
         self.n = len(rests)
+        flat, docs = np.concatenate(self.terms), np.repeat(np.arange(self.n), [len(t) for t in self.terms])
+        order = np.argsort(flat, kind="stable")
+        flat, docs, values = flat[order], docs[order], np.concatenate(weights)[order]
+        held, begins, sizes = np.unique(flat, return_index=True, return_counts=True)
+        wide = sizes * DENSE >= self.n
+        row = np.full(len(idf) + 1, -1, np.int64)  # by term: its row of the table
+        row[held[wide]] = np.arange(wide.sum())
+        self.row, self.table = row, np.zeros((int(wide.sum()), self.n))
+        in_table = row[flat] >= 0
+        self.table[row[flat[in_table]], docs[in_table]] = values[in_table]
+        self.docs, self.weights = docs, values
+        self.begins, self.sizes = np.zeros((2, len(idf) + 1), np.int64)
+        self.begins[held[~wide]], self.sizes[held[~wide]] = begins[~wide], sizes[~wide]
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 of every remainder for a query of distinct terms."""
-        sizes = self.sizes[terms]
+        row, sizes = self.row[terms], self.sizes[terms]
+        out = self.table[row[row >= 0]].sum(0)
         ends = np.cumsum(sizes)
-        if not len(ends) or not ends[-1]:
-            return np.zeros(self.n)
-        at = np.repeat(self.begins[terms] - ends + sizes, sizes) + np.arange(ends[-1])
-        return np.bincount(self.docs[at], self.weights[at], self.n)
+        if len(ends) and ends[-1]:
+            at = np.repeat(self.begins[terms] - ends + sizes, sizes) + np.arange(ends[-1])
+            out += np.bincount(self.docs[at], self.weights[at], self.n)
+        return out
 
 
 class Windows:

@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 LONGEST = 64  # Longer words are encoded, not kept.
 STEP = 1 << 20
-KEPT = 1 << 20
+KEPT = 1 << 19
 TOGETHER = 1000
 OTHER, LETTER, SPACE, WHITE, MARK = range(5)
 BASE = 0x9E3779B97F4A7C15
@@ -86,7 +86,7 @@ def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def gathered(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``pool`` that start at ``begins``, one after the other."""
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
     if not len(ends) or not ends[-1]:
         return pool[:0]
     return pool[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1])]
@@ -100,7 +100,7 @@ class Pool:
 
     def add(self, values: np.ndarray) -> None:
         if self.n + len(values) > len(self.data):
-            self.data = np.concatenate([self.data, np.empty(max(len(self.data), len(values)), self.data.dtype)])
+            self.data = np.concatenate([self.data, np.empty(max(len(self.data) // 2, len(values)), self.data.dtype)])
         self.data[self.n:self.n + len(values)] = values
         self.n += len(values)
 
@@ -114,9 +114,9 @@ class Words:
     def __init__(self, width: int):
         self.dtype = f"<u{width}"
         self.slots = np.full(4 * KEPT, -1, np.int32)
-        self.keys, self.counts = Pool(np.uint64), Pool(np.int64)
+        self.keys, self.counts = Pool(np.uint64), Pool(np.int32)
         self.bytes, self.ids = Pool(np.uint8), Pool(self.dtype)
-        self.at = {name: Pool(np.int64) for name in ("byte", "bytes", "id", "ids")}
+        self.at = {name: Pool(np.int32) for name in ("byte", "bytes", "id", "ids")}
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of ``keys``, -1 for those that aren't kept."""
