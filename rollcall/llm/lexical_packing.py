@@ -38,7 +38,7 @@ from rollcall.llm.words import encoder
 
 WINDOW = 2048
 # Remainders in a shard: bounds what a task holds, and which neighbours a seed can meet.
-SHARD = 2048
+SHARD = 1024
 # Terms that one in so many remainders of a shard has are rows of a table.
 DENSE = 8
 K1, B = 1.2, 0.75
