@@ -8,6 +8,8 @@ common name costs rows in proportion to the input and never the product of both
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from rollcall.functions.emails import email_key
 from rollcall.functions.names import name_key, org_key
 from rollcall.functions.text import first_filled, text, trim_all
 from rollcall.functions.urls import dedup_url_key, loose_url_key
+from rollcall.operators.grams import contained
 from rollcall.operators.keyed import last_per_key, top_per_key
 from rollcall.session import cut_lineage
 
@@ -61,47 +64,19 @@ def match_by_url(new: DataFrame, known: DataFrame) -> DataFrame:
     return _exact(with_match_keys(new), with_match_keys(known), "url_key", "linkedin")
 
 
-def _parts(word: Column, shortest: Column, longest: Column) -> Column:
-    """Distinct substrings of ``word`` whose length lies in the given range."""
-    sizes = F.when(
-        shortest <= F.least(longest, F.length(word)), F.sequence(shortest, F.least(longest, F.length(word)))
-    ).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(
-        sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substr(word, i, n))
-    )
-    return F.array_distinct(F.flatten(cut))
-
-
 def _three_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """The three smallest ids of every key: enough to survive the two exact matches."""
     kept = top_per_key(df.select(*keys, "id").distinct(), keys, [F.col("id")], 3)
     return kept.groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias(name))
 
 
-def _containing_orgs(new_groups: DataFrame, known_groups: DataFrame, new_sizes: DataFrame, known_sizes: DataFrame) -> DataFrame:
-    """Pairs (new organisation, known organisation) of one name where one holds the other.
-
-    A shorter key is looked up among the substrings of the longer one, an equi-join whose
-    output is at most the number of substrings per row.
-    """
-    named_new = new_groups.where("org_key <> ''")
-    named_known = known_groups.where("org_key <> ''").select("name_key", "org_key")
-    down = (
-        named_new.join(known_sizes, "name_key")
-        .select("name_key", F.col("org_key").alias("new_org"),
-                F.explode(_parts(F.col("org_key"), F.col("shortest"), F.col("longest"))).alias("org_key"))
-        .join(named_known, ["name_key", "org_key"])
-        .select("name_key", "new_org", F.col("org_key").alias("known_org"))
-    )
-    up = (
-        named_known.join(new_sizes, "name_key")
-        .select("name_key", F.col("org_key").alias("known_org"),
-                F.explode(_parts(F.col("org_key"), F.col("shortest"),
-                                 F.least(F.col("longest"), F.length("org_key") - 1))).alias("org_key"))
-        .join(named_new, ["name_key", "org_key"])
-        .select("name_key", F.col("org_key").alias("new_org"), "known_org")
-    )
-    return down.unionByName(up)
+def _containing_orgs(new_groups: DataFrame, known_groups: DataFrame) -> DataFrame:
+    """Pairs (new organisation, known organisation) of one name where one holds the other."""
+    fresh = new_groups.where("org_key <> ''").select("name_key", F.col("org_key").alias("new_org"))
+    held = known_groups.where("org_key <> ''").select("name_key", F.col("org_key").alias("known_org"))
+    inside = contained(held, fresh, ["name_key"], "known_org", "new_org").select("name_key", "new_org", "known_org")
+    around = contained(fresh, held, ["name_key"], "new_org", "known_org").where("new_org <> known_org")
+    return inside.unionByName(around)
 
 
 def _name_groups(new: DataFrame, known: DataFrame) -> DataFrame:
@@ -109,9 +84,7 @@ def _name_groups(new: DataFrame, known: DataFrame) -> DataFrame:
     named = known.where("name_key <> ''")
     new_groups = new.where("name_key <> ''").select("name_key", "org_key").distinct()
     known_groups = named.groupBy("name_key", "org_key").agg(F.count("*").alias("n"))
-    sizes = lambda df: df.where("org_key <> ''").groupBy("name_key").agg(
-        F.min(F.length("org_key")).alias("shortest"), F.max(F.length("org_key")).alias("longest"))
-    pairs = _containing_orgs(new_groups, known_groups, sizes(new_groups), sizes(known_groups))
+    pairs = _containing_orgs(new_groups, known_groups)
     group_ids = _three_ids(named, ["name_key", "org_key"], "ids")
     matched = pairs.join(known_groups.withColumnRenamed("org_key", "known_org"), ["name_key", "known_org"])
     likely = matched.groupBy("name_key", "new_org").agg(F.sum("n").alias("n_likely"))
@@ -148,10 +121,11 @@ def _level(a_org: Column, b_org: Column) -> Column:
 
 
 def find_duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
-    """All matches of the upload, e-mail before URL before name, one per known row.
+    """Summary of all matches of the upload, e-mail before URL before name: a row per new row, type and level.
 
-    Returns new_id, match_type, confidence, n_existing and existing_id. The lowest name
-    level carries the count only (existing_id is null there).
+    Returns new_id, match_type, confidence, n_existing and existing_id, the first of them. The
+    lowest name level carries the count only (existing_id is null there);
+    :func:`duplicate_tables` names every known row.
     """
     new, known = _keyed(new), _keyed(known, "dataset_id", "pos")
 
@@ -195,6 +169,77 @@ def find_duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select(F.col("id").alias("new_id"), F.inline(F.filter(rows, lambda r: r["n_existing"] > 0)))
 
 
+class DuplicateTables(NamedTuple):
+    """All matches of an upload without a row per pair; :func:`expanded` makes the pairs.
+
+    ``exact``: new_id, existing_id, match_type ("email" or "linkedin"), at most two rows per new
+    row. ``new_members`` and ``known_members``: ids with their group, a name and organisation.
+    ``links``: new_group, known_group and confidence. A known_group that is null stands for all
+    known groups of the name that no other link of the new group reaches, at the lowest level:
+    the only level whose pairs of groups could outgrow the tables.
+    """
+
+    exact: DataFrame
+    new_members: DataFrame
+    links: DataFrame
+    known_members: DataFrame
+
+
+def _group(name: str | Column, org: str | Column) -> Column:
+    return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in (("name_key", name), ("org_key", org))])
+
+
+def duplicate_tables(new: DataFrame, known: DataFrame) -> DuplicateTables:
+    """Every match of the upload with the known people, as groups of rows that match alike.
+
+    Rows meet by e-mail and URL (the last known row of a key), and by name: at 0.9 if one
+    organisation holds the other, at 0.6 if either has none, else at 0.5. A row without a name
+    is in no group. Nothing is computed before one of the tables is read.
+    """
+    fresh, held = with_match_keys(new), with_match_keys(known)
+    exact = _exact(fresh, held, "email_key", "email").unionByName(_exact(fresh, held, "url_key", "linkedin"))
+    # Where e-mail and URL lead to one known row, e-mail has it.
+    exact = exact.groupBy("new_id", "existing_id").agg(F.min("match_type").alias("match_type"))
+    new_groups = fresh.where("name_key <> ''").select("name_key", "org_key").distinct()
+    known_groups = held.where("name_key <> ''").select("name_key", "org_key").distinct()
+    mine, theirs = _group("name_key", "org_key").alias("new_group"), _group("name_key", "known_org").alias("known_group")
+    likely = _containing_orgs(new_groups, known_groups).select(
+        _group("name_key", "new_org").alias("new_group"), theirs, F.lit(LIKELY).alias("confidence"))
+    other = known_groups.select("name_key", F.col("org_key").alias("known_org"))
+    # A name has one group without an organisation at most, so these grow with the groups only.
+    bare = new_groups.where("org_key = ''").join(other, "name_key").unionByName(
+        new_groups.where("org_key <> ''").join(other.where("known_org = ''"), "name_key"))
+    unclear = bare.select(mine, theirs, F.lit(UNCLEAR).alias("confidence"))
+    reached = likely.groupBy("new_group").agg(F.count("*").alias("reached"))
+    filled = known_groups.where("org_key <> ''").groupBy("name_key").agg(F.count("*").alias("filled"))
+    rest = new_groups.where("org_key <> ''").join(filled, "name_key").select(mine, "filled").join(reached, "new_group", "left").where(
+        F.col("filled") > F.coalesce("reached", F.lit(0)))
+    unlikely = rest.select("new_group", F.lit(None).cast("struct<name_key: string, org_key: string>").alias("known_group"), F.lit(UNLIKELY).alias("confidence"))
+    return DuplicateTables(
+        exact, fresh.where("name_key <> ''").select(F.col("id").alias("new_id"), mine),
+        likely.unionByName(unclear).unionByName(unlikely),
+        held.where("name_key <> ''").select(_group("name_key", "org_key").alias("known_group"), F.col("id").alias("existing_id")))
+
+
+def expanded(tables: DuplicateTables) -> DataFrame:
+    """new_id, existing_id, match_type and confidence of every pair, each pair once, e-mail and URL first.
+
+    As many rows as there are pairs: for uploads of a reviewable size, or joined with a filter.
+    """
+    links = tables.links
+    named = links.where("known_group IS NOT NULL")
+    known_groups = tables.known_members.select("known_group").distinct()
+    # The other groups of the name, without those that the new group's other links reach.
+    open_ = links.where("known_group IS NULL").select("new_group", "confidence").join(
+        known_groups, F.col("new_group.name_key") == F.col("known_group.name_key")).join(
+        named.select("new_group", "known_group"), ["new_group", "known_group"], "left_anti")
+    groups = named.unionByName(open_.select(*named.columns))
+    pairs = tables.new_members.join(groups, "new_group").join(tables.known_members, "known_group")
+    by_name = pairs.join(tables.exact, ["new_id", "existing_id"], "left_anti").select(
+        "new_id", "existing_id", F.lit("name_org").alias("match_type"), "confidence")
+    return tables.exact.select("new_id", "existing_id", "match_type", F.lit(SURE).alias("confidence")).unionByName(by_name)
+
+
 def match_by_name(new: DataFrame, known: DataFrame) -> DataFrame:
     """Known rows per new row that share its name, counted by confidence level."""
     new, known = _keyed(new), _keyed(known, "dataset_id", "pos")

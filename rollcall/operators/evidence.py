@@ -26,6 +26,7 @@ from rollcall.functions.text import (
     trim_all,
 )
 from rollcall.functions.urls import clean_profile_url, evidence_url_key, host, match_slug, path
+from rollcall.operators.grams import contained
 from rollcall.operators.keyed import first_per_key
 from rollcall.session import cut_lineage
 
@@ -62,58 +63,48 @@ def profile_signals(people: DataFrame) -> DataFrame:
 
 
 # --- organisation pages ----------------------------------------------------------------------
-def _substrings(body: Column, sizes: Column) -> Column:
-    """Distinct substrings of the lengths in ``sizes``, an array of lengths in use."""
-    fitting = F.filter(sizes, lambda n: n <= F.length(body))
-    return F.array_distinct(F.flatten(F.transform(
-        fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(body) - n + 1), lambda i: F.substr(body, i, n)))))
-
-
 def org_site_evidence(pages: DataFrame, signals: DataFrame) -> DataFrame:
     """Links on an organisation's landed pages that name one of its people.
 
-    Evidence is found per distinct (org_domain, first, last), not per profile, and links
-    meet names through equal keys: substrings of the link's path are looked up as slugs,
-    substrings of its text as first and last names. Join the result to profiles on the
-    three columns. ``pages``: url, html.
+    Evidence is found per distinct (org_domain, first, last), not per profile. Slugs are looked
+    for in the distinct paths of a domain's links, first and last names in their distinct texts,
+    through an index of three-letter pieces (:mod:`grams`); texts of pages are extracted only
+    where a link was found. Join the result to profiles on the three columns. ``pages``: url, html.
     """
+    # Names are read back by every look-up below; their signals are worked out once.
     who = cut_lineage(signals.where(
         (F.col("org_domain") != "") & (F.col("first") != "") & ((F.col("last") != "") | (F.length("first") >= 5))
     ).select("org_domain", "first", "last").distinct())
-    all_slugs = name_slugs(F.col("first"), F.col("last"))
-    slugs = who.select("org_domain", "first", "last", F.posexplode(all_slugs).alias("turn", "slug"))
-    sizes = who.groupBy("org_domain").agg(
-        F.collect_set(F.length("first")).alias("first_sizes"), F.collect_set(F.length("last")).alias("last_sizes"),
-        F.array_distinct(F.flatten(F.collect_set(F.array_distinct(F.transform(all_slugs, F.length))))).alias("slug_sizes"))
-
-    owned = pages.select("url", "html", host(F.col("url")).alias("org_domain")).join(sizes, "org_domain")
-    links = owned.select(
-        "org_domain", F.col("url").alias("page_url"), "first_sizes", "last_sizes", "slug_sizes",
-        F.posexplode(anchors(F.col("html"))).alias("link_no", "link"))
+    slugs = who.select("org_domain", "first", "last", F.posexplode(name_slugs(F.col("first"), F.col("last"))).alias("turn", "slug"))
+
+    owned = pages.select("url", "html", host(F.col("url")).alias("org_domain")).join(
+        who.select("org_domain").distinct(), "org_domain", "left_semi")
+    links = owned.select("org_domain", F.col("url").alias("page_url"), F.posexplode(anchors(F.col("html"))).alias("link_no", "link"))
     links = links.withColumns({"url": resolve_href(F.col("page_url"), F.col("link.href")), "link_text": F.col("link.text")}).where(
         (F.col("link.href") != "") & (host(F.col("url")) != ""))
-    # Links meet names along three paths; parsed once, they are read back three times.
+    # Links meet names along three paths; parsed once, they are read back.
     links = cut_lineage(links.select(
         "org_domain", "page_url", "link_no", "url", "link_text", F.lower(path(F.col("url"))).alias("low_path"),
-        F.lower("link_text").alias("low_text"), "first_sizes", "last_sizes", "slug_sizes"))
+        F.lower("link_text").alias("low_text")))
     key = ["page_url", "link_no"]
     whole = ["org_domain", "first", "last"]
-    by_slug = (
-        links.select(*key, "org_domain", F.explode(_substrings(F.col("low_path"), F.col("slug_sizes"))).alias("slug"))
-        .join(slugs, ["org_domain", "slug"]).groupBy(*key, *whole).agg(F.min_by("slug", "turn").alias("slug_hit"))
-    )
-    firsts, lasts = who.select("org_domain", "first").distinct(), who.select("org_domain", "last").where("last <> ''").distinct()
-    has_first = links.select(*key, "org_domain", F.explode(_substrings(F.col("low_text"), F.col("first_sizes"))).alias("first")).join(
-        firsts, ["org_domain", "first"])
-    has_last = links.select(*key, "org_domain", F.explode(_substrings(F.col("low_text"), F.col("last_sizes"))).alias("last")).join(
-        lasts, ["org_domain", "last"])
-    pairs = has_first.join(has_last.drop("org_domain"), key).join(who, whole)
-    singles = has_first.where(F.length("first") >= 5).join(who.where("last = ''"), ["org_domain", "first"])
-    by_text = pairs.select(*key, *whole).unionByName(singles.select(*key, *whole)).distinct().withColumn("in_text", F.lit(True))
-
-    shown = pages.select(F.col("url").alias("page_url"), page_text(F.col("html")).alias("body"))
-    hits = by_slug.join(by_text, [*key, *whole], "full_outer").join(
-        links.select(*key, "url", "link_text"), key).join(shown, "page_url")
+    placed = links.select(*key, "org_domain", "low_path", "low_text")
+
+    in_paths = contained(slugs, links, ["org_domain"], "slug", "low_path")
+    by_slug = in_paths.join(slugs, ["org_domain", "slug"]).groupBy(*whole, "low_path").agg(
+        F.min_by("slug", "turn").alias("slug_hit")).join(placed, ["org_domain", "low_path"]).select(*key, *whole, "slug_hit")
+    # First and last names meet per text before the links that have it come in.
+    firsts = contained(who, links, ["org_domain"], "first", "low_text")
+    lasts = contained(who, links, ["org_domain"], "last", "low_text")
+    pairs = firsts.join(who.where("last <> ''"), ["org_domain", "first"]).join(lasts, ["org_domain", "last", "low_text"])
+    singles = firsts.where(F.length("first") >= 5).join(who.where("last = ''"), ["org_domain", "first"])
+    named = pairs.select(*whole, "low_text").unionByName(singles.select(*whole, "low_text"))
+    by_text = named.join(placed, ["org_domain", "low_text"]).select(*key, *whole, F.lit(True).alias("in_text"))
+
+    hits = by_slug.join(by_text, [*key, *whole], "full_outer").join(links.select(*key, "url", "link_text"), key)
+    shown = pages.join(hits.select(F.col("page_url").alias("url")).distinct(), "url", "left_semi").select(
+        F.col("url").alias("page_url"), page_text(F.col("html")).alias("body"))
+    hits = hits.join(shown, "page_url")
     slug_hit = F.coalesce("slug_hit", _empty())
     bio = window_around(F.col("body"), first_filled(F.col("link_text"), slug_hit))
     hits = hits.withColumns({"snippet": bio, "in_text": F.coalesce("in_text", F.lit(False)), "slug_hit": slug_hit})

@@ -45,6 +45,40 @@ def duplicates_combined(src):
     return dedup.find_duplicates(src("people"), src("known_people"))
 
 
+_GROUPS = _BOTH + """,
+ng AS (SELECT DISTINCT nk, ok FROM n WHERE nk <> ''), kg AS (SELECT DISTINCT nk, ok FROM k WHERE nk <> ''),
+level AS (SELECT ng.nk, ng.ok AS nok, kg.ok AS kok, CASE WHEN ng.ok = '' OR kg.ok = '' THEN 0.6 WHEN contains(ng.ok, kg.ok) OR contains(kg.ok, ng.ok) THEN 0.9 ELSE 0.5 END AS c FROM ng JOIN kg ON ng.nk = kg.nk)"""
+
+
+@query("duplicate_group_links", _GROUPS + """
+SELECT nk AS name_key, nok AS new_org, kok AS known_org, cast(c AS double) AS confidence FROM level WHERE c > 0.55
+UNION ALL SELECT DISTINCT nk, nok, NULL, cast(0.5 AS double) FROM level WHERE c < 0.55""")
+def duplicate_group_links(src):
+    links = dedup.duplicate_tables(src("people"), src("known_people")).links
+    return links.select("new_group.name_key", F.col("new_group.org_key").alias("new_org"),
+                        F.col("known_group.org_key").alias("known_org"), "confidence")
+
+
+@query("duplicate_group_members", _BOTH + """
+SELECT 'new' AS side, nk AS name_key, ok AS org_key, id FROM n WHERE nk <> '' UNION ALL SELECT 'known', nk, ok, id FROM k WHERE nk <> ''""")
+def duplicate_group_members(src):
+    tables = dedup.duplicate_tables(src("people"), src("known_people"))
+    return tables.new_members.select(F.lit("new").alias("side"), "new_group.*", F.col("new_id").alias("id")).unionByName(
+        tables.known_members.select(F.lit("known").alias("side"), "known_group.*", F.col("existing_id").alias("id")))
+
+
+@query("duplicate_exact_links", _MATCHES + """
+SELECT new_id, existing_id, match_type FROM m WHERE confidence > 0.95""")
+def duplicate_exact_links(src):
+    return dedup.duplicate_tables(src("people"), src("known_people")).exact.select("new_id", "existing_id", "match_type")
+
+
+@query("duplicate_pairs", _MATCHES + """
+SELECT new_id, existing_id, match_type, confidence FROM m""")
+def duplicate_pairs(src):
+    return dedup.expanded(dedup.duplicate_tables(src("people"), src("known_people")))
+
+
 @query("duplicates_marked", _MATCHES + """
 SELECT p.id, CASE WHEN s.c IS NOT NULL AND p.enrichment_status = 'pending' THEN 'enriched' ELSE p.enrichment_status END AS enrichment_status,
  s.c IS NOT NULL AND p.enrichment_status = 'pending' AS already_enriched, s.c AS duplicate_confidence

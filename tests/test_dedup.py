@@ -4,6 +4,7 @@ import random
 import re
 
 from rollcall.operators import dedup
+from rollcall.operators.grams import contained
 
 ORGS = ["", "Acme Inc", "Acme Holdings", "Holdings of Acme", "Blue Sky LLC", "Sky", "Umbra Corp", "The Umbra Company", "a"]
 
@@ -84,3 +85,56 @@ def test_person_id_uses_the_first_key(spark):
         "account_id STRING, id STRING, email STRING, linkedin_url STRING, name STRING, organization STRING")
     ids = [r.person_id for r in dedup.with_person_id(df).collect()]
     assert ids[0] == ids[1] and len(set(ids)) == 3 and all(len(i) == 12 for i in ids)
+
+
+def brute_pairs(new, known):
+    mails, urls = {}, {}
+    for k in sorted(known, key=lambda k: (k[1], k[2])):
+        if k[4]:
+            mails[k[4].lower()] = k[0]
+        if k[6]:
+            urls[k[6].lower().rstrip("/")] = k[0]
+    out = {}
+    for n in new:
+        for kind, hit in (("email", mails.get(n[4].lower()) if n[4] else None), ("linkedin", urls.get(n[6].lower().rstrip("/")) if n[6] else None)):
+            if hit:
+                out.setdefault((n[0], hit), (kind, 1.0))
+        for k in known:
+            if k[3].lower() == n[3].lower():
+                a, b = org(n[5]), org(k[5])
+                out.setdefault((n[0], k[0]), ("name_org", 0.6 if not a or not b else 0.9 if a in b or b in a else 0.5))
+    return out
+
+
+def test_duplicate_tables_hold_every_pair(spark):
+    """A third of the rows share a name; the tables expand to the pairs that a loop over both sides finds."""
+    schema = "id STRING, dataset_id STRING, pos INT, name STRING, email STRING, organization STRING, linkedin_url STRING, known_group STRING"
+    new, known = people(120, 1, "n"), people(150, 2, "k")
+    frames = [spark.createDataFrame([(*r, "x") for r in rows], schema) for rows in (new, known)]
+    tables = dedup.duplicate_tables(*frames)
+    got = dedup.expanded(tables).collect()
+    assert {(r.new_id, r.existing_id): (r.match_type, r.confidence) for r in got} == brute_pairs(new, known)
+    assert len(got) == len(brute_pairs(new, known))
+    # One link at most for each pair of groups, and none per pair at the lowest level.
+    links = tables.links.collect()
+    assert len(links) == len({(r.new_group, r.known_group) for r in links}) and all(
+        (r.known_group is None) == (r.confidence == 0.5) for r in links)
+
+
+def test_duplicate_tables_of_nothing(spark):
+    schema = "id STRING, dataset_id STRING, pos INT, name STRING, email STRING, organization STRING, linkedin_url STRING"
+    some, none = spark.createDataFrame(people(6, 1, "n"), schema), spark.createDataFrame([], schema)
+    blank = spark.createDataFrame([("b", None, None, None, None, None, None)], schema)
+    for new, known in ((some, none), (none, some), (blank, some), (some, blank)):
+        assert dedup.expanded(dedup.duplicate_tables(new, known)).collect() == []
+
+
+def test_contained_finds_what_a_loop_finds(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(n)).strip()
+    short = {(rng.randrange(3), word(rng.randrange(0, 6))) for _ in range(80)} | {(0, "aaaa"), (9, "zz")}
+    long = {(rng.randrange(3), word(rng.randrange(0, 30))) for _ in range(80)} | {(0, "aaaaaaaa"), (0, "aaaa"), (1, "x")}
+    got = contained(spark.createDataFrame([*short, (1, None), (0, "aaaa")], "k INT, s STRING"),
+                    spark.createDataFrame([*long, (1, None), (0, "aaaa")], "k INT, l STRING"), ["k"], "s", "l").collect()
+    want = {(k, s, x) for k, s in short for j, x in long if j == k and s and x and s in x}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
