@@ -15,10 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from rollcall.llm.chunks import Chunked
+from rollcall.llm.words import Encoder
 
 # Field numbers and values of sentencepiece's public model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -72,22 +73,29 @@ def serialised_model(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _block(TRAINER, trainer) + _block(NORMALIZER, normaliser)
 
 
-class Codec:
+class Codec(Encoder):
+    """Encodes words pre-token by pre-token, and decodes ids."""
+
     def __init__(self, model: bytes, pattern: str):
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+        super().__init__(len(self.pieces))
         letters = byte_alphabet()
         self.letters = dict(enumerate(letters))
         back = {letter: b for b, letter in enumerate(letters)}
         unknown = self.pieces.unk_id()
         self.tokens = [bytes(map(back.__getitem__, self.pieces.id_to_piece(i))) for i in range(len(self.pieces)) if i != unknown]
         self.ranks = {token: i for i, token in enumerate(self.tokens)}
-        self.encode = Chunked(self._encode, pattern)
+        self.pre_tokens = regex.compile(pattern).findall
 
-    def _encode(self, pre_tokens: list[str]) -> list[bytes]:
-        mapped = [p.encode().decode("latin-1").translate(self.letters) for p in pre_tokens]
+    def encoded(self, words: list[str]) -> list[list[int]]:
+        split = [self.pre_tokens(w) for w in words]
+        distinct = list(dict.fromkeys(p for parts in split for p in parts))
+        raw = [p.encode() for p in distinct]
+        mapped = [r.decode("latin-1").translate(self.letters) for r in raw]
         # A whole pre-token that is in the vocabulary is one token, whether or not merges reach it.
-        return [np.array([self.ranks[raw]] if (raw := p.encode()) in self.ranks else ids, "<u4").tobytes()
-                for p, ids in zip(pre_tokens, self.pieces.encode(mapped, num_threads=1))]
+        ids = {p: [self.ranks[r]] if r in self.ranks else found
+               for p, r, found in zip(distinct, raw, self.pieces.encode(mapped, num_threads=1))}
+        return [[i for p in parts for i in ids[p]] for parts in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -106,10 +114,12 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(serialised_model(read_ranks(ranks_path)))
 
     def run(batches):
-        encode = codec(model.value, pattern).encode
+        encode = codec(model.value, pattern)
         for batch in batches:
-            ids = pa.array(encode(batch.column(1).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            ids, at = encode(batch.column(1))
+            raw = ids.astype("<u4").tobytes()
+            cut = [raw[4 * a:4 * b] for a, b in zip(at.tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["doc_id", "ids"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")

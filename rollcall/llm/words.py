@@ -3,8 +3,8 @@
 The pattern of these tokenizers never joins white space to what stands before it, and joins at
 most one space to what follows. So a text can be cut, and its pieces encoded one by one, at these
 places: before a run of white space, before the last character of a run that is followed by
-something else, after that character unless it is a space, and between an ASCII letter and an
-ASCII character that is neither letter nor white space.
+something else, after that character unless it is a space, and, where the pattern is known to
+split there, between an ASCII letter and an ASCII character that is neither letter nor white space.
 
 All of it works on the UTF-8 bytes of a batch at once: places to cut come from byte classes,
 words are looked up by a rolling hash in an open-addressed table, and the ids of all words are
@@ -49,8 +49,11 @@ FORTH = _powers(BASE, STEP + LONGEST + 1)
 BACK = _powers(pow(BASE, -1, 1 << 64), STEP + LONGEST + 1)
 
 
-def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Where the words of a batch begin; ``bounds`` has the texts' begins and the end of the last."""
+def cuts(data: np.ndarray, bounds: np.ndarray, marks: bool = True) -> np.ndarray:
+    """Where the words of a batch begin; ``bounds`` has the texts' begins and the end of the last.
+
+    Without ``marks`` texts are cut at white space only.
+    """
     n = len(data)
     kind = CLASSES[data]
     white = (kind == SPACE) | (kind == WHITE)
@@ -74,7 +77,8 @@ def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     begins[:n] |= lasts & ~after
     plain_space = kind == SPACE
     begins[1:n] |= ~white[1:] & white[:-1] & ~plain_space[:-1]
-    begins[1:n] |= (kind[1:] == MARK) & (kind[:-1] == LETTER)
+    if marks:
+        begins[1:n] |= (kind[1:] == MARK) & (kind[:-1] == LETTER)
     for hit, size in wide:
         end = hit + size
         ends = np.where(end < n, white[np.minimum(end, n - 1)], True) | edge[end]
@@ -173,51 +177,17 @@ class Words:
 
 
 class Encoder:
-    """Ids of texts by a byte-level tokenizer in the form of the tokenizers library.
+    """Ids of texts from the ids of words; ``width`` is the bytes an id needs, 2 or 4."""
 
-    The strings of special tokens are ordinary text. ``width`` is the bytes an id needs, 2 or 4.
-    """
+    marks = False
 
-    def __init__(self, tokenizer_json: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+    def __init__(self, vocabulary: int):
+        self.width = 2 if vocabulary <= 1 << 16 else 4
         self.words = Words(self.width)
-        described = json.loads(tokenizer_json)
-        before = described.get("pre_tokenizer") or {}
-        # A word of letters is one pre-token; the model can have it straight away, a space as its byte's sign.
-        self.direct = described.get("normalizer") is None and before.get("type") == "ByteLevel" \
-            and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-        self.between, = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def encoded(self, words: list[str]) -> list[list[int]]:
-        """Ids of words, none of which has a line feed beside anything else."""
-        out: list = [None] * len(words)
-        rest = []
-        model = self.tokenizer.model
-        for i, word in enumerate(words):
-            bare = word[1:] if word[0] == " " else word
-            if self.direct and bare.isascii() and bare.isalpha():
-                out[i] = [t.id for t in model.tokenize("Ġ" + bare if bare is not word else word)]
-            else:
-                rest.append(i)
-        blank = [i for i in rest if words[i].isspace() or "\n" in words[i]]
-        for i, e in zip(blank, self.tokenizer.encode_batch_fast([words[i] for i in blank], add_special_tokens=False)):
-            out[i] = e.ids
-        filled = [i for i in rest if out[i] is None]
-        for at in range(0, len(filled), TOGETHER):
-            part = filled[at:at + TOGETHER]
-            ids = self.tokenizer.encode("\n".join([words[i] for i in part]), add_special_tokens=False).ids
-            begin = 0
-            for i in part:
-                try:
-                    end = ids.index(self.between, begin)
-                except ValueError:
-                    end = len(ids)
-                out[i] = ids[begin:end]
-                begin = end + 1
-        return out
+        """Ids of each of the words."""
+        raise NotImplementedError
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more entry for the end). Null is empty."""
@@ -228,7 +198,7 @@ class Encoder:
         if not len(data):
             return np.empty(0, self.words.dtype), np.zeros(len(raw) + 1, np.int64)
         # Empty texts begin no word.
-        begins = cuts(data, np.append(bounds[:-1][sizes > 0], len(data)))
+        begins = cuts(data, np.append(bounds[:-1][sizes > 0], len(data)), self.marks)
         ends = np.append(begins[1:], len(data))
         parts, counts, at = [], [], 0
         while at < len(begins):
@@ -299,7 +269,53 @@ class Encoder:
                 np.fromiter(map(len, found), np.int64, len(found)))
 
 
+class LibraryEncoder(Encoder):
+    """Ids by a byte-level tokenizer in the form of the tokenizers library; special tokens' strings are ordinary text."""
+
+    marks = True
+
+    def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.encode_special_tokens = True
+        super().__init__(self.tokenizer.get_vocab_size())
+        described = json.loads(tokenizer_json)
+        before = described.get("pre_tokenizer") or {}
+        # A word of letters is one pre-token; the model can have it straight away, a space as its byte's sign.
+        self.direct = described.get("normalizer") is None and before.get("type") == "ByteLevel" \
+            and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        self.between, = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def encoded(self, words: list[str]) -> list[list[int]]:
+        """Ids of words, none of which has a line feed beside anything else."""
+        out: list = [None] * len(words)
+        rest = []
+        model = self.tokenizer.model
+        for i, word in enumerate(words):
+            bare = word[1:] if word[0] == " " else word
+            if self.direct and bare.isascii() and bare.isalpha():
+                out[i] = [t.id for t in model.tokenize("Ġ" + bare if bare is not word else word)]
+            else:
+                rest.append(i)
+        blank = [i for i in rest if words[i].isspace() or "\n" in words[i]]
+        for i, e in zip(blank, self.tokenizer.encode_batch_fast([words[i] for i in blank], add_special_tokens=False)):
+            out[i] = e.ids
+        filled = [i for i in rest if out[i] is None]
+        for at in range(0, len(filled), TOGETHER):
+            part = filled[at:at + TOGETHER]
+            ids = self.tokenizer.encode("\n".join([words[i] for i in part]), add_special_tokens=False).ids
+            begin = 0
+            for i in part:
+                try:
+                    end = ids.index(self.between, begin)
+                except ValueError:
+                    end = len(ids)
+                out[i] = ids[begin:end]
+                begin = end + 1
+        return out
+
+
 @lru_cache(maxsize=2)
-def encoder(tokenizer_json: str) -> Encoder:
+def encoder(tokenizer_json: str) -> LibraryEncoder:
     """One per worker and tokenizer, so kept words last over tasks."""
-    return Encoder(tokenizer_json)
+    return LibraryEncoder(tokenizer_json)

@@ -173,7 +173,7 @@ def test_words_equal_the_library(plain, monkeypatch, kept):
     monkeypatch.setattr(words, "KEPT", kept)
     draw, encode = random.Random(kept), None
     with open(JSON, encoding="utf-8") as file:
-        encode = words.Encoder(file.read())
+        encode = words.LibraryEncoder(file.read())
     texts = ["".join(draw.choice(ODD) for _ in range(draw.randint(0, 25))) for _ in range(2000)]
     texts += [None, "", prose(1, 400), "y" * 3000, "b c " * 3000, "\n" * 100]
     for at in range(0, len(texts), 59):
@@ -186,7 +186,7 @@ def test_words_with_equal_hashes(plain, monkeypatch):
     """Where two words have one hash, the text decides."""
     monkeypatch.setattr(words, "FORTH", np.zeros_like(words.FORTH))
     with open(JSON, encoding="utf-8") as file:
-        encode = words.Encoder(file.read())
+        encode = words.LibraryEncoder(file.read())
     ids, begins = encode(pa.array(["one two three", "four one"]))
     assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == [plain("one two three"), plain("four one")]
 
