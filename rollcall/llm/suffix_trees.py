@@ -74,7 +74,8 @@ class Block:
             step = 1 << (rest.bit_length() - 1)
             whole, length, rest = self.joined(whole, runs[step], length, step), length + step, rest - step
         runs[SPAN] = whole
-        self.runs = runs
+        # The others were steps on the way.
+        self.n, self.runs = n, {size: runs[size] for size in {ANCHOR, *PREFIXES}}
         # Windows start where their document has SPAN words left.
         left = np.repeat(self.begins[1:], self.sizes) - np.arange(n)
         self.starts = np.flatnonzero(left >= SPAN)
@@ -225,7 +226,7 @@ def removed(docs: DataFrame, block_bytes: int = packing.BLOCK_BYTES) -> DataFram
     def work(number, rows, marks):
         block = opened(rows, at)
         later = pd.Series(block.windows()).duplicated().to_numpy()
-        hit = np.zeros(len(block.runs[1]) + SPAN, np.int64)
+        hit = np.zeros(block.n + SPAN, np.int64)
         for places in (block.starts[later], np.array(marks or [], np.int64)):
             hit[places] = 1
         over = np.cumsum(hit)
