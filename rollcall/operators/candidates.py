@@ -30,6 +30,7 @@ from rollcall.functions.text import (
     trim_all,
 )
 from rollcall.functions.urls import (
+    evidence_url_key,
     first_profile_url_in,
     host,
     is_followable,
@@ -56,30 +57,36 @@ def _word_list(words: list[str]) -> Column:
 def keywords(fields: DataFrame, most: int = 6) -> DataFrame:
     """Telling words and word pairs per profile: profile_id, content_keywords.
 
-    ``fields``: profile_id, field_name, body. Per field the ten commonest pairs give up to
-    three that are not all stopwords, the twenty commonest long words up to three more.
+    ``fields``: profile_id, field_name, body, a row per field. Per field the ten commonest pairs
+    give up to three that are not all stopwords, the twenty commonest long words up to three
+    more. Terms are counted inside their row (sorted, then runs of equal ones): a text is moved
+    once, and of its words only the chosen few.
     """
     stop = _word_list(KEYWORD_STOPWORDS)
-    long_enough = fields.where(F.length("body") > 20)
-    tokens = ascii_words(F.col("body"), 3)
-    pairs = F.transform(F.slice(F.col("tokens"), 1, F.greatest(F.size("tokens") - 1, F.lit(0))),
-                        lambda w, i: F.concat(w, F.lit(" "), F.get(F.col("tokens"), i + 1)))
-    words = F.filter("tokens", lambda w: F.length(w) >= 5)
-    kinds = F.array(
-        F.struct(F.lit(0).alias("kind"), pairs.alias("terms")), F.struct(F.lit(1).alias("kind"), words.alias("terms")))
-    terms = (
-        long_enough.select("profile_id", "field_name", tokens.alias("tokens"))
-        .select("profile_id", "field_name", F.inline(kinds))
-        .select("profile_id", "field_name", "kind", F.posexplode("terms").alias("pos", "term"))
-    )
-    keys = ["profile_id", "field_name", "kind"]
-    counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-    common = top_per_key(counted, keys, [F.desc("n"), F.asc("first_pos")], 20)
-    plain = F.size(F.array_except(F.split("term", " "), stop)) > 0
-    kept = common.where(plain & ((F.col("kind") == 1) | (F.col("rank") <= 10)))
-    best = top_per_key(kept, keys, [F.asc("rank")], 3, "place")
-    ordered = best.groupBy("profile_id").agg(
-        F.array_sort(F.collect_set(F.struct("kind", "place", "field_name", "term"))).alias("ranked"))
+    tokens = F.col("tokens")
+    # Neighbours are met by zipping an array with itself moved on: an index inside a lambda would be worked out for each element.
+    moved_on = lambda array: F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(0)))
+    pairs = F.filter(F.zip_with(tokens, moved_on(tokens), lambda a, b: F.concat(a, F.lit(" "), b)), lambda t: t.isNotNull())
+    words = F.filter(tokens, lambda w: F.length(w) >= 5)
+    placed = lambda terms: F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(top).alias("top"), placed(terms).alias("sorted"))
+                      for k, (terms, top) in enumerate(((pairs, 10), (words, 20)))])
+    # Texts are dealt out by field, so neither a few large files nor a profile with many fields makes a long task.
+    dealt = fields.where(F.length("body") > 20).select("profile_id", "field_name", "body").repartition("profile_id", "field_name")
+    rows = dealt.select("profile_id", "field_name", ascii_words(F.col("body"), 3).alias("tokens")).select(
+        "profile_id", "field_name", F.inline(kinds))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform("sorted", lambda x: x["term"]))
+    indexed = F.transform("sorted", lambda x, i: F.struct(i.alias("at"), x["pos"].alias("pos"), x["term"].alias("term")))
+    runs = F.filter(F.zip_with(indexed, before, lambda x, t: F.when(x.isNotNull() & ~t.eqNullSafe(x["term"]), x)), lambda x: x.isNotNull())
+    rows = rows.select("profile_id", "field_name", "kind", "top", runs.alias("runs"), F.size("sorted").alias("n"))
+    ends = F.concat(moved_on(F.transform("runs", lambda r: r["at"])), F.array(F.col("n")))
+    # Sorting by falling count, then by first place, is the rank.
+    ranked = F.array_sort(F.zip_with("runs", ends, lambda r, end: F.struct(
+        (r["at"] - end).alias("less"), r["pos"].alias("pos"), r["term"].alias("term"))))
+    telling = F.slice(F.filter(F.slice(ranked, 1, F.col("top")), lambda r: F.size(F.array_except(F.split(r["term"], " "), stop)) > 0), 1, 3)
+    best = rows.where(F.size("runs") > 0).select("profile_id", F.transform(telling, lambda r, i: F.struct(
+        F.col("kind").alias("kind"), i.alias("place"), F.col("field_name").alias("field_name"), r["term"].alias("term"))).alias("best"))
+    ordered = best.groupBy("profile_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("ranked")).where(F.size("ranked") > 0)
     distinct = F.array_distinct(F.transform("ranked", lambda r: r["term"]))
     return ordered.select("profile_id", F.slice(distinct, 1, most).alias("content_keywords"))
 
@@ -437,7 +444,7 @@ def grade_evidence(evidence: DataFrame, people: DataFrame) -> DataFrame:
 def assign_evidence(graded: DataFrame, people: DataFrame, most: int = 20) -> DataFrame:
     """Where each kept URL goes: a free primary slot, the other links, or text only.
 
-    Looks at the first ``most`` URLs of a profile, which is part of the rule.
+    A URL that the profile's other_links have already, in any spelling, gets no slot. Looks at the first ``most`` URLs of a profile, which is part of the rule.
     """
     seen = top_per_key(graded, ["profile_id"], [F.asc("pos")], most, "place").where(F.col("grade") != "none")
     url = F.lower("url")
@@ -451,7 +458,13 @@ def assign_evidence(graded: DataFrame, people: DataFrame, most: int = 20) -> Dat
     leads = wanted.where(F.col("want").isin("twitter_url", "website_url")).groupBy("profile_id", "want").agg(F.min("place").alias("_lead"))
     taken = ((F.col("want") == "twitter_url") & F.col("_t")) | ((F.col("want") == "website_url") & F.col("_w"))
     slot = F.when(F.col("_lead").isNull(), F.col("want")).when(taken | (F.col("place") != F.col("_lead")), "other_links").otherwise(F.col("want"))
-    return wanted.join(leads, ["profile_id", "want"], "left").join(filled, "profile_id").select(
+    joined = wanted.join(leads, ["profile_id", "want"], "left").join(filled, "profile_id")
+    if "other_links" in people.columns:
+        listed = people.select(F.col("id").alias("profile_id"), F.explode("other_links").alias("_link")).select(
+            "profile_id", evidence_url_key(F.col("_link")).alias("_key"), F.lit(True).alias("_listed")).distinct()
+        joined = joined.withColumn("_key", evidence_url_key(F.col("url"))).join(listed, ["profile_id", "_key"], "left")
+        slot = F.when((slot == "other_links") & F.col("_listed"), "").otherwise(slot)
+    return joined.select(
         "profile_id", "place", "url", "grade", slot.alias("slot"),
         F.concat(F.lit("search_evidence("), F.col("grade"), F.lit("):"), F.left("url", F.lit(80))).alias("text_key"),
         trim_all(F.concat_ws("\n", text("title"), text("description"))).alias("snippet"))

@@ -295,6 +295,17 @@ def state_line(state: Column) -> Column:
     )
 
 
+def run_log(written: DataFrame, judged: DataFrame) -> DataFrame:
+    """The lines that a run adds to every profile's log: profile_id, part, pos and line.
+
+    First a line per kept URL (part 0, of :func:`write_back`), then what the verdict leaves (part
+    1, of :func:`verdicts`): thin, hidden and failed profiles have a line, enriched ones none.
+    """
+    kept = written.select("profile_id", F.lit(0).alias("part"), F.col("pos").cast("long").alias("pos"), F.col("log_line").alias("line"))
+    state = judged.select("profile_id", F.lit(1).alias("part"), F.lit(0).cast("long").alias("pos"), state_line(F.col("state")).alias("line"))
+    return kept.unionByName(state.where("line <> ''"))
+
+
 def write_back(people: DataFrame, merged: DataFrame) -> DataFrame:
     """Slot of every winning URL: free primary columns first, the rest to other_links.
 

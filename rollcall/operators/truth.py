@@ -45,7 +45,7 @@ def hidden_accuracy(people: DataFrame, truth: DataFrame) -> DataFrame:
 def stratified_sample(people: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` profiles spread over cohorts, topped up from the rest; a seeded digest decides."""
     marked = people.withColumns({
-        "cohort": sampler_cohort(F.col("email"), F.col("organization")), "_draw": F.xxhash64("id", F.lit(seed))})
+        "cohort": sampler_cohort(F.col("email"), F.col("organization")), "_draw": F.md5(F.concat(F.lit(f"{seed}:"), F.col("id")))})
     cohorts = marked.select("cohort").distinct().count()  # a handful by construction
     per_cohort = max(1, n // max(cohorts, 1))
     first = top_per_key(marked, ["cohort"], [F.asc("_draw"), F.asc("id")], per_cohort, "_place")

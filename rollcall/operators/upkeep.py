@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.functions.names import initials
 from rollcall.functions.text import clip, first_filled, text, trim_all
@@ -29,13 +30,29 @@ def work_queues(people: DataFrame) -> DataFrame:
     return people.where(F.col("enrichment_status") == PENDING).select("id", F.explode(queue).alias("queue"))
 
 
+def _bare(df: DataFrame, column: str) -> Column:
+    """Nothing in a column, by its type: null or empty for maps and arrays, blank or an empty object for text."""
+    if isinstance(df.schema[column].dataType, T.MapType | T.ArrayType):
+        return F.coalesce(F.size(column), F.lit(0)) <= 0
+    return text(column).isin("", "{}", "null")
+
+
+def _emptied(df: DataFrame, column: str) -> Column:
+    """The value of a column that holds nothing, in its own type: '' for text, an empty map or array, else null."""
+    kind = df.schema[column].dataType
+    value = F.create_map() if isinstance(kind, T.MapType) else F.array() if isinstance(kind, T.ArrayType) else \
+        F.lit("") if isinstance(kind, T.StringType) else F.lit(None)
+    return value.cast(kind).alias(column)
+
+
 LINKS = ("twitter_url", "website_url", "resume_url")
 
 
 def needs_fetch(people: DataFrame) -> DataFrame:
     """Profiles with any link, other_links included, of which nothing has been fetched yet.
 
-    Fetched content that is missing, empty or an empty object counts as nothing.
+    Fetched content that is missing, empty or an empty object counts as nothing, whether it
+    is stored as a map or as JSON text.
     """
     linked = F.lit(False)
     for link in LINKS:
@@ -43,7 +60,7 @@ def needs_fetch(people: DataFrame) -> DataFrame:
             linked = linked | (text(link) != "")
     if "other_links" in people.columns:
         linked = linked | (F.coalesce(F.size("other_links"), F.lit(0)) > 0)
-    return people.where(linked & text("fetched_content").isin("", "{}", "null"))
+    return people.where(linked & _bare(people, "fetched_content"))
 
 
 def active(searches: DataFrame, include_archived: bool = False) -> DataFrame:
@@ -155,8 +172,8 @@ def trim_logs(log_lines: DataFrame, edge: int = 5, longest: int = 20) -> DataFra
 
 
 def reset_for_rerun(people: DataFrame) -> DataFrame:
-    """Back to pending with what a run derives emptied; URLs, their sources and user data stay."""
-    kept = [F.lit("").alias(c) if c in DERIVED else F.lit(PENDING).alias(c) if c == "enrichment_status" else F.col(c)
+    """Back to pending with what a run derives emptied, each column in its type; URLs, their sources and user data stay."""
+    kept = [_emptied(people, c) if c in DERIVED else F.lit(PENDING).alias(c) if c == "enrichment_status" else F.col(c)
             for c in people.columns]
     return people.select(*kept)
 

@@ -265,6 +265,21 @@ def profiles_to_fetch(src):
     return upkeep.needs_fetch(_stored(src)).select("id")
 
 
+@query("stored_profiles_to_fetch", """
+SELECT id FROM stored_people WHERE concat(twitter_url, website_url, resume_url) <> '' AND fetched_content IN ('', '{}')""")
+def stored_profiles_to_fetch(src):
+    return upkeep.needs_fetch(store.conform(src("stored_people"))).select("id")
+
+
+@query("stored_people_reset", """
+SELECT id, 'pending' AS enrichment_status, '' AS linkedin_enriched, '' AS profile_card, 0 AS n_summaries, 0 AS n_fetched, linkedin_url FROM stored_people""")
+def stored_people_reset(src):
+    reset = upkeep.reset_for_rerun(store.conform(src("stored_people")))
+    return store.conform(reset).select(
+        "id", "enrichment_status", "linkedin_enriched", "profile_card", F.size("field_summaries").alias("n_summaries"),
+        F.size("fetched_content").alias("n_fetched"), "linkedin_url")
+
+
 @query("active_searches", "SELECT o_orderkey AS search_id FROM orders WHERE o_orderstatus <> 'F'")
 def active_searches(src):
     searches = src("orders").select(F.col("o_orderkey").alias("search_id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("archived_at"))
@@ -392,14 +407,16 @@ def field_summaries(src):
 @query("profile_cards", f"""WITH fields AS (SELECT profile_id, field_name, body, 0 AS place FROM notes UNION ALL SELECT source_row, 'goals', concat('Wants to meet people in ', country, '. Soon.'), 1 FROM people), {_SUM},
 pr AS (SELECT profile_id, place, CASE tier WHEN 'first_person' THEN 0 WHEN 'expert_assessment' THEN 1 WHEN 'linkedin' THEN 2 ELSE 3 END AS rk, chr(10) || CASE WHEN starts_with(lower(summary), lower(label)) THEN summary ELSE concat(label, ': ', summary) END AS s FROM fsum)
 SELECT p.id, {_STRIP.format("concat_ws(chr(10), concat_ws(' | ', coalesce(nullif(name, ''), 'Unknown'), CASE WHEN title <> '' AND organization <> '' THEN concat(title, ' at ', organization) WHEN title <> '' THEN title WHEN organization <> '' THEN organization END), CASE WHEN v.current_title <> '' THEN concat(chr(10), 'Headline: ', v.current_title) END, (SELECT string_agg(s, chr(10) ORDER BY rk, place) FROM pr WHERE pr.profile_id = p.source_row))")} AS profile_card
-FROM people p JOIN vendor v ON v.profile_id = p.id JOIN notes n ON n.profile_id = p.source_row""")
+FROM people p LEFT JOIN vendor v ON v.profile_id = p.id""")
 def profile_cards(src):
     vendor = src("vendor").select(F.col("profile_id").alias("id"), F.when(F.col("current_title") != "", F.concat(F.lit("Headline: "), F.col("current_title"))).otherwise("").alias("vendor_text"))
     notes = src("notes").select(F.col("profile_id").alias("source_row"), "field_name", "body")
     entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     goals = F.concat(F.lit("Wants to meet people in "), F.col("country"), F.lit(". Soon."))
-    people = src("people").join(vendor, "id").join(notes, "source_row").withColumn(
-        "content_fields", F.array(entry(F.col("field_name"), F.col("body")), entry(F.lit("goals"), goals)))
+    own = F.when(F.col("field_name").isNotNull(), F.array(entry(F.col("field_name"), F.col("body")))).otherwise(
+        F.array().cast("array<struct<key: string, value: string>>"))
+    people = src("people").join(vendor, "id", "left").join(notes, "source_row", "left").withColumn(
+        "content_fields", F.concat(own, F.array(entry(F.lit("goals"), goals)))).withColumn("vendor_text", F.coalesce("vendor_text", F.lit("")))
     return cards.build_cards(people)
 
 

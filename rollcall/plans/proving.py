@@ -129,6 +129,14 @@ def evidence_write_back(src):
     return evidence.write_back(src("people").withColumn("other_links", F.array(link)), evidence.merge_evidence(_rows(src)))
 
 
+@query("run_log_lines", f"""WITH {_MERGED}, {_VERDICT.format(m='mg')}
+SELECT profile_id, 0 AS part, cast(pos AS bigint) AS pos, concat('v2 evidence[', source, '/', kind, ']: ', url, ' anchors=', array_to_string(anchors, ',')) AS line FROM mg WHERE len(anchors) >= 1 AND profile_id IN (SELECT id FROM people)
+UNION ALL SELECT profile_id, 1, 0, CASE state WHEN 'thin' THEN 'v2: thin (1 corroborating anchor)' ELSE 'v2: hidden (no public footprint)' END FROM vs WHERE state <> 'enriched'""")
+def run_log_lines(src):
+    people, merged = src("people"), evidence.merge_evidence(_rows(src))
+    return evidence.run_log(evidence.write_back(people, merged), evidence.verdicts(people, merged))
+
+
 _STAGED = _EV + """,
 es AS (SELECT *, CASE source WHEN 'org_site' THEN 2 WHEN 'openalex' THEN 3 WHEN 'github' THEN 3 WHEN 'linkedin' THEN 4 ELSE 5 END AS stage FROM ev),
 ks AS (SELECT profile_id, k, count(*) FILTER (na >= 2) AS s FROM (SELECT profile_id, url_key, k, len(list_distinct(flatten(list(an)))) AS na FROM es, (SELECT unnest([2, 3, 4]) AS k) WHERE stage <= k GROUP BY profile_id, url_key, k) GROUP BY profile_id, k),

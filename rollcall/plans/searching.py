@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rollcall.functions import replies
 from rollcall.operators import attempts, audit, dedup, feedback, ranking, truth
 from rollcall.plans.deduplication import PERSON_ID
-from rollcall.plans.normalising import _AUDIT
+from rollcall.plans.normalising import _AUDIT, DOMAIN_SQL, PERSONAL
 from rollcall.plans.registry import query
 from rollcall.plans.resolving import _ANSWERS
 from rollcall.sources import store
@@ -285,7 +285,12 @@ def hidden_accuracy(src):
     return truth.hidden_accuracy(src("people"), src("ground_truth"))
 
 
-@query("label_sample")
+@query("label_sample", f"""
+WITH c AS (SELECT *, md5('7:' || id) AS draw, concat(CASE WHEN email = '' THEN 'no_email' WHEN dom IN {PERSONAL} THEN 'personal' WHEN dom LIKE '%.edu' THEN 'edu' WHEN dom LIKE '%.gov' THEN 'gov' ELSE 'corp' END,
+  CASE WHEN trim(organization) = '' THEN '+noorg' ELSE '+org' END) AS cohort FROM (SELECT *, {DOMAIN_SQL.format(e='email')} AS dom FROM people)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY draw, id) > (SELECT greatest(1, 60 // count(DISTINCT cohort)) FROM c) AS more FROM c)
+SELECT id AS profile_id, name AS uploaded_name, email, organization, title, linkedin_url AS current_linkedin_url, enrichment_status AS current_enrichment_status,
+ '' AS true_linkedin_url, '' AS true_website_url, '' AS true_twitter_url, '' AS true_is_hidden, '' AS notes FROM r ORDER BY more, draw, id LIMIT 60""")
 def label_sample(src):
     from rollcall.sources.sinks import label_sheet
 
