@@ -264,7 +264,9 @@ def score_candidates(candidates: DataFrame, context: DataFrame) -> DataFrame:
         F.lower("title").alias("c_title"), F.lower("city").alias("c_city"), F.lower("country").alias("c_country"),
         F.lower("email_domain").alias("c_domain"), F.lower(text("verified_company")).alias("c_company"),
         F.col("content_keywords").alias("c_words"), F.lower("email").alias("c_email"))
-    joined = candidates.join(plain, "profile_id")
+    # Scoring is the dear part: it stands behind the exchange of a merge join, where hot profiles
+    # are split, and not in the tasks that read the candidates.
+    joined = candidates.join(plain.hint("merge"), "profile_id")
     title, shown = F.lower(text("title")), F.concat_ws(" ", F.lower(text("title")), F.lower(text("description")))
     first, last, org = F.col("c_first"), F.col("c_last"), F.col("c_org")
     said = lambda c: (c != "") & F.contains(F.col("_shown"), c)

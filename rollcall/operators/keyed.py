@@ -7,6 +7,8 @@ Running sums and batch numbers work on slices of a key, never on a whole key at
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,13 +79,29 @@ def number_batches(df: DataFrame, id_column: str, size: int, hex_digits: int = B
     return grouped.withColumn("batch_no", F.floor((numbered - 1) / size).cast("int"))
 
 
-def value_ranks(df: DataFrame, value: str, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Distinct values with their row count ``n``, the rows up to and including them
-    (``upto``) and all rows (``total``); ``extra`` aggregates ride along per value.
+def order_statistics(
+    counted: DataFrame, keys: list[str], value: str, weight: str, ranks: dict[str, Callable[[Column], Column]], cells: int = 128
+) -> DataFrame:
+    """Exact values at given ranks of every key, from its distinct values.
 
-    Meant for columns of few distinct values: only one row per value is ordered.
+    ``counted`` has a row per key and distinct value and how many rows have it (``weight``);
+    ``ranks`` gives for each name the place (from 0) in a key of so many rows. A key's values
+    are cut into ``cells`` ranges of about as many distinct values each; the rows per range say
+    in which of them a rank lies, and only that range is put in order. So no task orders more
+    than a share of one key. Gives keys, n and the named values; null values have no place.
     """
-    counted = df.groupBy(value).agg(F.count("*").alias("n"), *[a.alias(k) for k, a in (extra or {}).items()])
-    upto = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return counted.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(W.partitionBy())})
-
+    counted = counted.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w"))
+    edges = counted.groupBy(*keys).agg(
+        F.percentile_approx("_v", [i / cells for i in range(1, cells)], 10 * cells).alias("_edges"), F.sum("_w").alias("n"))
+    celled = counted.join(edges, keys).withColumn("_cell", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    below = F.coalesce(F.sum("_held").over(W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per_cell = celled.groupBy(*keys, "n", "_cell").agg(F.sum("_w").alias("_held")).withColumn("_below", below)
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in ranks.items()])
+    # A rank lies in the one cell whose rows reach over it.
+    inside = F.filter(wanted, lambda w: (F.col("_below") <= w["place"]) & (w["place"] < F.col("_below") + F.col("_held")))
+    sought = per_cell.withColumn("_sought", inside).where(F.size("_sought") > 0).select(*keys, "_cell", "_below", "_sought")
+    upto = F.col("_below") + F.sum("_w").over(W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    ordered = celled.join(sought, [*keys, "_cell"]).withColumn("_upto", upto)
+    hits = ordered.select(*keys, "n", "_v", F.explode(F.filter(
+        "_sought", lambda w: (w["place"] < F.col("_upto")) & (w["place"] >= F.col("_upto") - F.col("_w")))).alias("hit"))
+    return hits.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("hit.name") == name, F.col("_v"))).alias(name) for name in ranks])

@@ -20,7 +20,7 @@ from rollcall.functions.fixed_values import (
 from rollcall.functions.names import name_bucket, org_flag
 from rollcall.functions.text import first_filled, first_label, percent, text, trim_all
 from rollcall.functions.urls import is_valid_profile_url
-from rollcall.operators.keyed import top_per_key, value_ranks
+from rollcall.operators.keyed import order_statistics, top_per_key
 
 
 def _email_type() -> Column:
@@ -114,19 +114,18 @@ def coverage_by_axis_with_cost(people: DataFrame, log_lines: DataFrame, axis: st
         "cost_per_profile": F.round(cost / F.col("total"), 4)})
 
 
-def cost_summary(costed: DataFrame) -> DataFrame:
-    """Total, mean, median and nearest-rank p95 of the cost per profile.
+# The one or two rows in the middle of n, from 0.
+MIDDLE = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)}
 
-    Costs take few distinct values, so the ranks come from counts per value.
-    """
-    ranks = value_ranks(
-        costed.withColumn("cost", F.round("cost", 9)), "cost", {"searches": F.sum("searches"), "vendor_calls": F.sum("vendor_calls")})
+
+def cost_summary(costed: DataFrame) -> DataFrame:
+    """Total, mean, median and nearest-rank p95 of the cost per profile; no row for no profiles."""
+    counted = costed.groupBy(F.lit("all").alias("bucket"), F.round("cost", 9).alias("cost")).agg(
+        F.count("*").alias("profiles"), F.sum("searches").alias("searches"), F.sum("vendor_calls").alias("vendor_calls"))
+    sums = counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("profiles", "searches", "vendor_calls")])
+    picked = sums.join(order_statistics(counted, ["bucket"], "cost", "profiles", {
+        **MIDDLE, "p95": lambda n: F.rint(F.lit(0.95) * (n - 1))}), "bucket")
     n = F.col("profiles")
-    at = lambda index: F.min(F.when(F.col("upto") > index, F.col("cost")))
-    picked = ranks.withColumnRenamed("total", "profiles").groupBy("profiles").agg(
-        F.sum("searches").alias("searches"), F.sum("vendor_calls").alias("vendor_calls"),
-        at(F.floor((n - 1) / 2)).alias("low"), at(F.floor(n / 2)).alias("high"),
-        at(F.rint(F.lit(0.95) * (n - 1))).alias("p95"))
     total = F.col("searches") * SEARCH_PRICE + F.col("vendor_calls") * VENDOR_PRICE
     return picked.select(
         "profiles", "searches", "vendor_calls", F.round(total, 4).alias("total_usd"),
@@ -172,11 +171,15 @@ def cohort_analysis(costed: DataFrame, axes: Mapping[str, Callable[[], Column]]
     wrong = F.col("wrong_person") if "wrong_person" in costed.columns else F.lit(False)
     every = {**(axes or COHORT_AXES), "overall": lambda: F.lit("all")}
     count = lambda s: F.count_if(F.col("enrichment_status") == s)
-    grouped = by_axis(costed, every).groupBy("axis", "bucket").agg(
+    # Rows are gone over once, to counts per cost; buckets and their medians come from these.
+    counted = by_axis(costed, every).groupBy("axis", "bucket", F.round("cost", 9).alias("each_cost")).agg(
         F.count("*").alias("n"), *[count(s).alias(s) for s in STATUSES],
         F.count_if(wrong & (F.col("enrichment_status") == "enriched")).alias("wrong_person_n"),
-        F.sum("searches").alias("searches"), F.sum("vendor_calls").alias("vendor_calls"),
-        F.round(F.median(F.round("cost", 9)), 4).alias("median_cost"))
+        F.sum("searches").alias("searches"), F.sum("vendor_calls").alias("vendor_calls"))
+    middle = order_statistics(counted, ["axis", "bucket"], "each_cost", "n", MIDDLE).select(
+        "axis", "bucket", F.round((F.col("low") + F.col("high")) / 2, 4).alias("median_cost"))
+    grouped = counted.groupBy("axis", "bucket").agg(
+        *[F.sum(c).alias(c) for c in ("n", *STATUSES, "wrong_person_n", "searches", "vendor_calls")]).join(middle, ["axis", "bucket"], "left")
     cost = F.col("searches") * SEARCH_PRICE + F.col("vendor_calls") * VENDOR_PRICE
     return grouped.withColumns({
         **{f"{s}_pct": percent(F.col(s), F.col("n")) for s in STATUSES},

@@ -4,7 +4,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from rollcall.functions.emails import email_key
 from rollcall.operators.columns import FieldMapping
+from rollcall.plans.deduplication import _BOTH
 from rollcall.plans.registry import query
 from rollcall.plans.reporting import _MARKED
 from rollcall.plans.views import VIEWS
@@ -34,8 +36,8 @@ SELECT cast(date_trunc('hour', ts) AS timestamp) AS window_start, count(*) AS li
  count(*) FILTER (contains(line, 'Verify result: REJECTED')) AS rejected, round(count(*) FILTER (contains(line, 'Search (')) * 0.006::double + count(*) FILTER (contains(line, 'Trying LinkedIn:')) * 0.0168::double, 6) AS cost FROM log_lines JOIN events ON event_id = pos GROUP BY 1""")
 def stream_hourly_rates(src):
     table, state = _places(src)
-    jobs.run_to_end(jobs.write_latest(jobs.hourly_rates(_log(src)), table, state))
-    return jobs.read_newest(src.spark, table).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    jobs.run_to_end(jobs.write_changed(jobs.hourly_rates(_log(src)), table, state))
+    return jobs.current_rows(src.spark.read.parquet(table), "window_start").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stream_progress", "SELECT o_orderstatus AS enrichment_status, count(*) AS n FROM orders GROUP BY 1")
@@ -55,16 +57,37 @@ def stream_attempts(src):
     return src.spark.read.parquet(table).where("ended_by <> 'idle'").drop("batch", "ended_by")
 
 
-@query("stream_known_matches", """
-SELECT n.c_custkey AS new_id, k.id AS existing_id FROM customer n JOIN (SELECT email, arg_max(id, (dataset_id, pos, id)) AS id FROM (SELECT 'c' || pos AS email, id, dataset_id, pos FROM known_people) GROUP BY email) k ON k.email = concat('c', n.c_custkey)""")
+def _live_people(src):
+    """The people view over the customers as a stream, joined with the other tables as they are."""
+    _stream(src, "customer").createOrReplaceTempView("live_customer")
+    for name in ("nation", "part"):
+        src.table(name).createOrReplaceTempView(f"fixed_{name}")
+    view = VIEWS["people"].replace("FROM customer", "FROM live_customer").replace("JOIN nation", "JOIN fixed_nation").replace("JOIN part", "JOIN fixed_part")
+    return src.spark.sql(view)
+
+
+_KNOWN = _BOTH + """
+SELECT n.id AS new_id, ei.id AS existing_id, 'email' AS match_type FROM n JOIN ei ON n.ek = ei.ek UNION ALL SELECT n.id, ui.id, 'linkedin' FROM n JOIN ui ON n.uk = ui.uk"""
+
+
+@query("stream_known_matches", _KNOWN)
 def stream_known_matches(src):
     table, state = _places(src)
-    fresh = _stream(src, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("email"))
-    known = src("known_people").withColumn("email", F.concat(F.lit("c"), F.col("pos").cast("string")))
-    jobs.run_to_end(jobs.write_batches(jobs.known_matches(fresh, known, "email"), table, state))
+    jobs.run_to_end(jobs.write_known_matches(_live_people(src), lambda: src("known_people"), table, state))
     return src.spark.read.parquet(table).drop("batch")
 
 
+@query("stream_phases", """
+SELECT source_row, trim(lower(email)) AS email_key, CASE WHEN email = '' THEN 'failed' ELSE 'enriched' END AS enrichment_status FROM people WHERE enrichment_status = 'pending'""")
+def stream_phases(src):
+    folder, _ = _places(src)
+    steps = [
+        ("landed", lambda rows: rows.where("enrichment_status = 'pending'")),
+        ("keyed", lambda rows: rows.withColumn("email_key", email_key(F.col("email")))),
+        ("settled", lambda rows: rows.withColumn("enrichment_status", F.when(F.col("email_key") == "", "failed").otherwise("enriched")))]
+    return jobs.chained(steps, _live_people(src), folder).select("source_row", "email_key", "enrichment_status")
+
+
 @query("stream_ingest", """
 SELECT c_custkey AS source_row, c_name AS name, c_mktsegment AS organization, 'pending' AS enrichment_status FROM customer""")
 def stream_ingest(src):

@@ -47,6 +47,11 @@ def write_latest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQue
     return write_batches(stream, table, checkpoint, "complete")
 
 
+def write_changed(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """The groups that each micro-batch has changed; :func:`current_rows` reads the newest of each."""
+    return write_batches(stream, table, checkpoint, "update")
+
+
 def run_to_end(query: StreamingQuery) -> None:
     query.awaitTermination()
     if query.exception() is not None:
@@ -96,9 +101,46 @@ def known_matches(stream: DataFrame, known: DataFrame, key: str, stamp: str | No
         F.col("id").alias("new_id"), "existing_id")
 
 
+def write_known_matches(stream: DataFrame, known: Callable[[], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
+    """Matches of each micro-batch by e-mail and by URL: new_id, existing_id and match_type, into its own partition.
+
+    ``known`` reads the known people and is called for every micro-batch, so people stored
+    since the stream began are found. A new row that both keys lead to one person has both rows.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        people = known()
+        found = [known_matches(batch, people, key).withColumn("match_type", F.lit(kind))
+                 for key, kind in (("email", "email"), ("linkedin_url", "linkedin"))]
+        found[0].unionByName(found[1]).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def chained(steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], source: DataFrame, folder: str) -> DataFrame:
+    """Phases that hand rows on through their tables, each with its own progress; gives the last table's rows.
+
+    A phase takes what the one before has written since it last ran. Run again after a crash,
+    or after more input came, every phase goes on where it stopped: rows that are through are
+    not worked on again, and none is lost.
+    """
+    spark = source.sparkSession
+    for name, step in steps:
+        table = f"{folder}/{name}"
+        run_to_end(phase(source, step, table, f"{folder}/state-{name}"))
+        rows = spark.read.parquet(table).drop("batch")
+        # Partitions that another phase has yet to write are new files to the next.
+        source = read_files(spark, f"{table}/batch=*", rows.schema)
+    return rows
+
+
 # --- windows --------------------------------------------------------------------------------------
 def hourly_rates(log: DataFrame, stamp: str = "ts", width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Searches, vendor calls, outcomes and cost per time window of a live log."""
+    """Searches, vendor calls, outcomes and cost per time window of a live log.
+
+    Written in update mode (:func:`write_changed`), a micro-batch gives the windows it has
+    changed, and a window leaves the state once the watermark is past it. Lines more than
+    ``delay`` behind the newest are too late and not counted.
+    """
     says = lambda needle: F.count_if(F.contains("line", F.lit(needle)))
     grouped = log.withWatermark(stamp, delay).groupBy(F.window(stamp, width).alias("w")).agg(
         F.count("*").alias("lines"), says("Search (").alias("searches"), says("Trying LinkedIn:").alias("vendor_calls"),

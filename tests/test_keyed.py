@@ -48,7 +48,14 @@ def test_batches_are_bounded_and_complete(spark):
     assert max(sizes) <= 40 and sum(sizes) == 5000
 
 
-def test_value_ranks(spark):
-    df = spark.createDataFrame([(v,) for v in [1.0, 1.0, 2.0, 5.0]], "v DOUBLE")
-    assert [(r.v, r.n, r.upto, r.total) for r in keyed.value_ranks(df, "v").orderBy("v").collect()] == [
-        (1.0, 2, 2, 4), (2.0, 1, 3, 4), (5.0, 1, 4, 4)]
+def test_order_statistics(spark):
+    """Ranks of keys with ties, one value, many values and nulls, against sorting."""
+    draw = random.Random(4)
+    rows = [("many", draw.uniform(-5, 5)) for _ in range(900)] + [("ties", float(draw.randrange(3))) for _ in range(400)]
+    rows += [("one", 2.5), ("two", 1.0), ("two", 4.0), ("some", None), ("some", 7.0), ("none", None)]
+    counted = spark.createDataFrame(rows, "k STRING, v DOUBLE").groupBy("k", "v").agg(F.count("*").alias("n"))
+    got = keyed.order_statistics(counted, ["k"], "v", "n", {
+        "least": lambda n: F.lit(0), "low": lambda n: F.floor((n - 1) / 2), "most": lambda n: n - 1}, cells=16).collect()
+    values = {k: sorted(v for j, v in rows if j == k and v is not None) for k, _ in rows}
+    assert {r.k: (r.n, r.least, r.low, r.most) for r in got} == {
+        k: (len(v), v[0], v[(len(v) - 1) // 2], v[-1]) for k, v in values.items() if v}
