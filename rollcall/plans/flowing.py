@@ -98,7 +98,18 @@ def stream_ingest(src):
     return jobs.current_rows(src.spark.read.parquet(table), "source_row").select("source_row", "name", "organization", "enrichment_status")
 
 
-@query("stream_exemplars")
+# The list as it changes from offer to offer: a fold over a search's offers in event order.
+_HELD = "list_filter(held, lambda x: x.p <> offer[1].p)"
+_LOW = f"coalesce(list_position(list_transform({_HELD}, lambda x: x.s <= 20), true), 0)"
+
+
+@query("stream_exemplars", f"""
+WITH o AS (SELECT search_id, event_id, [{{'p': profile_id, 's': CASE rating WHEN 'strong_yes' THEN 95 ELSE 5 END, 'r': CASE WHEN trim(reason) <> '' THEN trim(reason) WHEN rating = 'strong_yes' THEN 'Marked as excellent' ELSE 'Rejected without reason' END}}] AS offer
+  FROM feedback WHERE rating IN ('strong_yes', 'no', 'strong_no')),
+f AS (SELECT search_id, list_reduce(list_prepend(list_filter(any_value(offer), lambda x: false), list(offer ORDER BY event_id)), lambda held, offer:
+  CASE WHEN len({_HELD}) < 10 THEN list_concat({_HELD}, offer) WHEN offer[1].s > 20 THEN {_HELD}
+   WHEN {_LOW} > 0 THEN list_concat(list_concat(({_HELD})[:{_LOW} - 1], ({_HELD})[{_LOW} + 1:]), offer) ELSE list_concat({_HELD}, offer) END) AS held FROM o GROUP BY search_id)
+SELECT search_id, held[i].p AS profile_id, held[i].s AS score, held[i].r AS reason, cast(i - 1 AS integer) AS place FROM f, range(1, 40) n(i) WHERE i <= len(held)""")
 def stream_exemplars(src):
     table, state = _places(src)
     _stream(src, "events").createOrReplaceTempView("live_events")
