@@ -21,6 +21,28 @@ def exemplar_offers(feedback: DataFrame) -> DataFrame:
     return feedback.withColumns({"score": score, "reason": first_filled(F.trim("reason"), reason)}).where("score IS NOT NULL")
 
 
+def offers_of_known(feedback: DataFrame, people: DataFrame, longest: int = 300) -> DataFrame:
+    """Exemplar offers for profiles that exist, with their name and the beginning of their text for prompts.
+
+    ``people``: id, name, raw_text.
+    """
+    known = people.select(F.col("id").alias("profile_id"), F.col("name").alias("profile_name"),
+                          F.left("raw_text", F.lit(longest)).alias("profile_summary"))
+    return exemplar_offers(feedback).join(known, "profile_id")
+
+
+def prompt_corrections(feedback: DataFrame, people: DataFrame) -> DataFrame:
+    """Corrections to a search's prompt, each once: search_id, correction, place (the first event that has it).
+
+    ``feedback`` has reasoning_correction, what a user changed, and prompt_correction, what was
+    made of it; an event without either, or for a profile that doesn't exist, corrects nothing.
+    """
+    known = people.select(F.col("id").alias("profile_id"))
+    edited = feedback.where((F.trim("reasoning_correction") != "") & (F.trim("prompt_correction") != ""))
+    return edited.join(known, "profile_id", "left_semi").groupBy("search_id", F.col("prompt_correction").alias("correction")).agg(
+        F.min("event_id").alias("place"))
+
+
 def latest_opinions(feedback: DataFrame) -> DataFrame:
     """Newest exemplar offer per search and profile."""
     return last_per_key(exemplar_offers(feedback), ["search_id", "profile_id"], ["created_at", "event_id"], ["score", "reason", "created_at"])

@@ -42,18 +42,33 @@ def custom_scores(cards: DataFrame, scorer: Callable[[pd.Series], Sequence[int]]
     return cards.select("profile_id", "profile_card").mapInPandas(run, "search_id STRING, profile_id STRING, score INT")
 
 
-def with_prompt_hash(searches: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def with_prompt_hash(
+    searches: DataFrame, rules: DataFrame | None = None, exemplars: DataFrame | None = None, corrections: DataFrame | None = None
+) -> DataFrame:
     """Searches with the digest of everything that shapes their scores.
 
-    ``rules``: search_id, rule_no, rule — the global rules that apply.
+    ``rules``: search_id, rule_no, rule — the global rules that apply. ``exemplars``: search_id,
+    place, profile_id, score, reason. ``corrections``: search_id, place, correction. A table
+    that isn't given is no part of the digest; one that has nothing for a search is an empty part.
     """
     out = searches
-    if rules is not None:
-        joined = rules.groupBy("search_id").agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("rule_no", "rule"))), lambda r: r["rule"]), "\x1e").alias("_rules"))
-        out = out.join(joined, "search_id", "left")
-    parts = [F.col(c) for c in ("query", "clarification_context", "rules_text", "_rules") if c in out.columns]
-    return out.withColumn("prompt_hash", prompt_hash(*parts)).drop("_rules")
+    shown = F.concat_ws("\x1d", "profile_id", F.col("score").cast("string"), "reason")
+    lists = {"_rules": (rules, "rule_no", F.col("rule")), "_exemplars": (exemplars, "place", shown),
+             "_corrections": (corrections, "place", F.col("correction"))}
+    for name, (table, place, value) in lists.items():
+        if table is not None:
+            joined = table.select("search_id", F.struct(F.col(place).alias("place"), value.alias("value")).alias("_v")).groupBy("search_id").agg(
+                F.array_join(F.transform(F.array_sort(F.collect_list("_v")), lambda r: r["value"]), "\x1e").alias(name))
+            out = out.join(joined, "search_id", "left")
+    parts = [F.col(c) for c in ("query", "clarification_context", "rules_text", *lists) if c in out.columns]
+    return out.withColumn("prompt_hash", prompt_hash(*parts)).drop(*lists)
+
+
+def overlap_scores(asked: DataFrame) -> DataFrame:
+    """``asked`` (query, profile_card and more) with ``score``: the share of the query's distinct words in the card, 0-100."""
+    words = F.filter(F.array_distinct(F.split(F.lower(text("query")), r"\s+")), lambda w: w != "")
+    held = F.size(F.array_intersect(words, F.array_distinct(word_tokens(F.lower(text("profile_card"))))))
+    return asked.withColumn("score", F.floor(F.lit(100) * held / F.greatest(F.size(words), F.lit(1))).cast("int"))
 
 
 def stale_scores(wanted: DataFrame, scores: DataFrame) -> DataFrame:

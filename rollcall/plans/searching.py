@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rollcall.functions import replies
-from rollcall.operators import attempts, audit, dedup, feedback, ranking, truth
+from rollcall.operators import attempts, audit, dedup, feedback, ranking, rerun, truth
 from rollcall.plans.deduplication import PERSON_ID
 from rollcall.plans.normalising import _AUDIT, DOMAIN_SQL, PERSONAL
 from rollcall.plans.registry import query
@@ -215,6 +215,50 @@ def latest_opinions(src):
     return feedback.latest_opinions(src("feedback"))
 
 
+@query("offers_of_known", """
+SELECT event_id, search_id, profile_id, CASE rating WHEN 'strong_yes' THEN 95 ELSE 5 END AS score, p.name AS profile_name, left(concat('Works at ', p.organization), 300) AS profile_summary FROM feedback f JOIN people p ON p.id = f.profile_id WHERE rating <> 'yes'""")
+def offers_of_known(src):
+    people = src("people").withColumn("raw_text", F.concat(F.lit("Works at "), F.col("organization")))
+    return feedback.offers_of_known(src("feedback"), people).select("event_id", "search_id", "profile_id", "score", "profile_name", "profile_summary")
+
+
+@query("prompt_corrections", """
+SELECT search_id, 'CORRECTION: ' || reason AS correction, min(event_id) AS place FROM feedback WHERE trim(reason) <> '' AND rating <> 'yes' AND profile_id IN (SELECT id FROM people) GROUP BY ALL""")
+def prompt_corrections(src):
+    events = src("feedback").withColumns({
+        "reasoning_correction": F.when(F.col("rating") != "yes", "edited").otherwise(""),
+        "prompt_correction": F.when(F.trim("reason") != "", F.concat(F.lit("CORRECTION: "), "reason")).otherwise("")})
+    return feedback.prompt_corrections(events, src("people"))
+
+
+@query("rerun_scores", """
+WITH s AS (SELECT 's' || r_regionkey AS search_id, 'd' || r_regionkey % 4 AS dataset_id, 'inc lead ' || lower(r_name) AS query FROM region),
+r AS (SELECT 's' || n_regionkey AS search_id, n_nationkey AS no, n_name AS rule FROM nation),
+a AS (SELECT 's' || s_nationkey % 2 AS search_id, min(s_suppkey) AS no, 'prefer ' || s_nationkey AS rule FROM supplier GROUP BY ALL),
+l AS (SELECT search_id, no, CASE WHEN rule = (SELECT max(n_name) FROM nation WHERE n_regionkey = 2) THEN 'new ' || rule ELSE rule END AS rule FROM r
+  UNION ALL SELECT search_id, (SELECT max(no) FROM r WHERE r.search_id = a.search_id) + no, rule FROM a),
+x AS (SELECT 's3' AS search_id, string_agg('p' || c_custkey || chr(29) || '95' || chr(29) || 'o', chr(30) ORDER BY c_custkey) AS e FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10)),
+h AS (SELECT s.*, left(sha256(concat(query, chr(31), (SELECT string_agg(rule, chr(30) ORDER BY no) FROM r WHERE r.search_id = s.search_id), chr(31), '')), 16) AS old,
+ left(sha256(concat(query, chr(31), (SELECT string_agg(rule, chr(30) ORDER BY no) FROM l WHERE l.search_id = s.search_id), chr(31), coalesce(e, ''))), 16) AS new FROM s LEFT JOIN x ON x.search_id = s.search_id)
+SELECT h.search_id, p.id AS profile_id, h.new AS prompt_hash, CASE WHEN h.new = h.old THEN p.source_row % 101 ELSE 100 * len(list_filter(string_split(query, ' '), lambda w: list_contains(regexp_extract_all(lower(organization || ' ' || title), '[a-z]+'), w))) // 3 END::INTEGER AS score
+FROM h JOIN people p ON p.dataset_id = h.dataset_id""")
+def rerun_scores(src):
+    sid = lambda c: F.concat(F.lit("s"), c.cast("string")).alias("search_id")
+    key = F.col("r_regionkey")
+    searches = src("region").select(sid(key), F.concat(F.lit("d"), (key % 4).cast("string")).alias("dataset_id"), F.concat(F.lit("inc lead "), F.lower("r_name")).alias("query"))
+    rules = src("nation").select(sid(F.col("n_regionkey")), F.col("n_nationkey").alias("rule_no"), F.col("n_name").alias("rule"))
+    none = src("region").where("false").select(sid(key), key.alias("place"), F.lit("").alias("profile_id"), F.lit(0).alias("score"), F.lit("").alias("reason"))
+    last = rules.where("search_id = 's2'").agg(F.max("rule").alias("old_rule"))
+    proposal = rerun.Proposal(
+        src("supplier").select(sid(F.col("s_nationkey") % 2), F.col("s_suppkey").alias("add_no"), F.concat(F.lit("prefer "), F.col("s_nationkey").cast("string")).alias("rule")),
+        last.select(F.lit("s2").alias("search_id"), F.lit(1).alias("swap_no"), "old_rule", F.concat(F.lit("new "), "old_rule").alias("new_rule")),
+        none, src("customer").select(F.lit("s3").alias("search_id"), F.col("c_custkey").alias("place"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("profile_id"), F.lit(95).alias("score"), F.lit("o").alias("reason")))
+    people = src("people").withColumn("profile_card", F.concat_ws(" ", "organization", "title"))
+    before = ranking.with_prompt_hash(searches, rules, none).join(people, "dataset_id").select(
+        "search_id", F.col("id").alias("profile_id"), "prompt_hash", (F.col("source_row") % 101).cast("int").alias("score"))
+    return rerun.rerun(searches, rules, none, proposal, people, before).scores
+
+
 @query("search_exclusions", "SELECT DISTINCT search_id, profile_id FROM feedback WHERE rating = 'strong_no'")
 def search_exclusions(src):
     return feedback.exclusions(src("feedback"))
