@@ -80,7 +80,7 @@ def audit_pairs(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
 def audit_sample(people: DataFrame, n: int | None, seed: int = 0) -> DataFrame:
     """Enriched profiles to audit: all, or ``n`` chosen by a seeded digest of the id."""
     enriched = people.where(F.col("enrichment_status") == "enriched")
-    return enriched if n is None else enriched.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return enriched if n is None else enriched.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id"))), "id").limit(n)
 
 
 def audit_summary(audited: DataFrame, suspects: DataFrame, population: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -250,13 +250,21 @@ def long_report(sections: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return stacked.select("section", "bucket", "metric", "value")
 
 
-def markdown_lines(report: DataFrame) -> DataFrame:
-    """A report of any length as the lines of a Markdown table: place (0 head, 1 rule, 2 row), line."""
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in report.columns]
-    rows = report.select(F.lit(2).alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
-    head = [(0, "| " + " | ".join(report.columns) + " |"), (1, "|" + " --- |" * len(report.columns))]
-    return report.sparkSession.createDataFrame(head, "place int, line string").unionByName(rows)
+def markdown_lines(report: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    """A report of any length as the lines of a Markdown table: place (0 head, 1 rule, 2 row), line.
 
-
-def write_markdown(report: DataFrame, path: str) -> None:
-    markdown_lines(report).orderBy("place", "line").select("line").write.mode("overwrite").text(path)
+    With ``order`` rows have their sort values beside them, in ``at``. Bars in cells are
+    escaped, line breaks become spaces.
+    """
+    shown = lambda c: F.replace(F.regexp_replace(c, r"[\r\n]+", " "), F.lit("|"), F.lit("\\|"))
+    cells = [shown(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in report.columns]
+    at = [F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("at")] if order else []
+    rows = report.select(F.lit(2).alias("place"), *at, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = [(0, "| " + " | ".join(c.replace("|", "\\|") for c in report.columns) + " |"), (1, "|" + " --- |" * len(report.columns))]
+    return report.sparkSession.createDataFrame(head, "place int, line string").unionByName(rows, allowMissingColumns=True)
+
+
+def write_markdown(report: DataFrame, path: str, order: Sequence[Column] = ()) -> None:
+    """The lines in the order of the given columns (ascending), or of their text where none are given."""
+    lines = markdown_lines(report, order)
+    lines.orderBy("place", *(["at"] if order else []), "line").select("line").write.mode("overwrite").text(path)

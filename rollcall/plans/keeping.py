@@ -1,11 +1,14 @@
 """Queries of sources, sinks, column typing, intake, upkeep and cards."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rollcall.operators import cards, columns, intake, keyed, upkeep
 from rollcall.plans.deduplication import PERSON_ID
 from rollcall.plans.normalising import _ARTICLE
 from rollcall.plans.registry import query
+from rollcall.session import checkpoint_dir
 from rollcall.sources import sinks, store, uploads
 
 VALID = "(regexp_matches({u}, '/in/|/company/') AND NOT regexp_matches({u}, '/public-profile/settings|/feed/|/pub/dir/'))"
@@ -457,3 +460,62 @@ def code_bios(src):
         F.struct(lit("beta").alias("name"), lit("").alias("description"), lit(0).alias("stargazers_count"), lit("").alias("language")))
     user = F.to_json(F.struct("name", F.col("organization").alias("company"), repos.alias("repos")))
     return cards.code_bio(src("people").where("name <> ''").select(F.col("id").alias("profile_id"), user.alias("body")))
+
+
+# --- files of uploads --------------------------------------------------------------------------
+def _folder(src):
+    return f"{checkpoint_dir(src.spark)}/rollcall-{uuid.uuid4().hex}"
+
+
+_AS_TEXT = "SELECT cast(c_custkey AS varchar) AS c_custkey, c_name, cast(c_nationkey AS varchar) AS c_nationkey, c_mktsegment || ', \"x\"' AS note FROM customer"
+
+
+def _upload(src):
+    return src("customer").select("c_custkey", "c_name", "c_nationkey", F.concat("c_mktsegment", F.lit(', "x"')).alias("note"))
+
+
+@query("csv_upload_rows", _AS_TEXT)
+def csv_upload_rows(src):
+    folder = _folder(src)
+    sinks.write_csv(_upload(src), folder)
+    return uploads.read_csv(src.spark, folder, multi_line=False)
+
+
+@query("json_upload_rows", _AS_TEXT)
+def json_upload_rows(src):
+    folder = _folder(src)
+    _upload(src).write.json(folder)
+    return uploads.read_json(src.spark, folder, multi_line=False).select("c_custkey", "c_name", "c_nationkey", "note")
+
+
+@query("csv_line_rows", _AS_TEXT)
+def csv_line_rows(src):
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+    columns = ["c_custkey", "c_name", "c_nationkey", "note"]
+    return uploads.parse_csv_lines(_upload(src).select(F.concat_ws(",", *[quoted(c) for c in columns]).alias("value")), columns)
+
+
+@query("upload_identities", """
+SELECT lower(c_name) || '@example.org' AS email, 'Customer ' || c_custkey AS name, c_mktsegment AS organization, 'nation ' || c_nationkey AS title FROM customer""")
+def upload_identities(src):
+    upload = src("customer").select(
+        F.concat(F.lower("c_name"), F.lit("@example.org")).alias("E-mail Address"), F.lit("Customer").alias("First Name"), F.col("c_custkey").cast("string").alias("Surname"),
+        F.concat(F.lit(" "), "c_mktsegment").alias("Company"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("Job Title"))
+    return uploads.source_rows(upload).select("email", "name", "organization", "title")
+
+
+@query("ground_truth_rows", """
+SELECT id AS profile_id, name AS uploaded_name, email, CASE WHEN linkedin_url = '' THEN '' ELSE rtrim(lower(linkedin_url), '/') END AS true_linkedin_url, rtrim(lower(website_url), '/') AS true_website_url, '' AS true_twitter_url, source_row % 5 = 0 AS true_is_hidden, 'n' AS notes FROM people""")
+def ground_truth_rows(src):
+    folder = _folder(src)
+    sheet = src("people").select(
+        F.concat(F.lit(" "), "id").alias("profile_id"), F.col("name").alias("uploaded_name"), "email", F.col("linkedin_url").alias("true_linkedin_url"),
+        F.col("website_url").alias("true_website_url"), F.lit("").alias("true_twitter_url"), F.when(F.col("source_row") % 5 == 0, " Yes").otherwise("no").alias("true_is_hidden"), F.lit("n").alias("notes"))
+    blank = sheet.select(F.lit("  ").alias("profile_id"), *sheet.columns[1:])
+    sinks.write_csv(sheet.unionByName(blank), folder)
+    return uploads.read_ground_truth(src.spark, folder)
+
+
+@query("upload_preview_counts", "SELECT count(*) AS row_count FROM customer")
+def upload_preview_counts(src):
+    return uploads.row_count(_upload(src))

@@ -341,6 +341,11 @@ def label_sample(src):
     return label_sheet(truth.stratified_sample(src("people"), 60, seed=7))
 
 
+@query("audit_sample", "SELECT id FROM people WHERE enrichment_status = 'enriched' ORDER BY md5('3:' || id), id LIMIT 100")
+def audit_sample(src):
+    return audit.audit_sample(src("people"), 100, seed=3).select("id")
+
+
 # --- audit ------------------------------------------------------------------------------------------------
 def _pairs(src):
     people = src("people").where("enrichment_status = 'enriched'").select(F.col("id").alias("profile_id"), F.col("name").alias("uploaded_name"))
