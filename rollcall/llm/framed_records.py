@@ -52,10 +52,16 @@ def body_at(data: bytes, offset: int) -> memoryview:
     return body
 
 
-def body(doc: int | None, ids: bytes, width: int) -> bytes:
+def narrow_body(doc: int | None, ids: bytes, width: int) -> bytes:
+    """The body of ids that have ``width`` bytes already."""
     return struct.pack("<qB", NULL_ID if doc is None else doc, width) + ids
 
 
+def body(doc: int | None, ids: bytes, width: int) -> bytes:
+    """The body of ids in 32 bits."""
+    return narrow_body(doc, np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes(), width)
+
+
 def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> None:
     """Encodes every text, appends ``end_id`` and writes the records in ascending doc_id order.
 
@@ -70,7 +76,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         end = end_id.to_bytes(encode.width, "little")
         for batch in batches:
             ids, at = encode(batch.column(1))
-            frames = [framed(body(doc, ids[at[i]:at[i + 1]].tobytes() + end, encode.width))
+            frames = [framed(narrow_body(doc, ids[at[i]:at[i + 1]].tobytes() + end, encode.width))
                       for i, doc in enumerate(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["value"])
 
