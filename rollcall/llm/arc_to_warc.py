@@ -42,6 +42,8 @@ LEAST_SHARED_BYTES = 1000
 FEW_REVISITS = 100_000
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
+# Bytes handed to a decompressor at once; what is over at a member's end is copied, so it stays small.
+SLICE = 1 << 14
 RECORD = "arc string, offset long, page_id long, payload_bytes long, digest string, record_id string"
 
 
@@ -51,14 +53,17 @@ def member(data: bytes) -> bytes:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file that hold something, one at a time."""
-    while data:
-        opener = zlib.decompressobj(31)
-        found = opener.decompress(data) + opener.flush()
+    """The gzip members of a file that hold something, one at a time, read in slices of ``SLICE`` bytes."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        opener, parts = zlib.decompressobj(31), []
+        while not opener.eof and at < len(view):
+            parts.append(opener.decompress(view[at:at + SLICE]))
+            at = min(at + SLICE, len(view))
         if not opener.eof:
             raise ValueError("a record is cut short")
-        data = opener.unused_data
-        if found:
+        at -= len(opener.unused_data)
+        if found := b"".join(parts):
             yield found
 
 

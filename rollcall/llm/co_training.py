@@ -159,11 +159,13 @@ def surest(rows: DataFrame, known: DataFrame, models: tuple[np.ndarray, np.ndarr
                 [*(batch.column(c) for c in ("doc_id", "digest", "copy")), pa.array(found[:, 0]), pa.array(found[:, 1])],
                 ["doc_id", "digest", "copy", "l0", "l1"])
 
-    # Labelled rows leave after they were scored, so that the join moves no texts.
+    # Copies of a labelled text leave, held-out ones among them; after scoring, so that the join moves no texts.
     kind = rows.select("doc_id").schema[0].dataType.simpleString()
     scores = rows.withColumn("copy", F.xxhash64("text")).mapInArrow(
-        run, f"doc_id {kind}, digest long, copy long, l0 double, l1 double").join(known.select("doc_id"), "doc_id", "left_anti")
-    once = materialised(scores.groupBy("copy").agg(F.min(F.struct("digest", "l0", "l1")).alias("x")).select("x.*"), "views")
+        run, f"doc_id {kind}, digest long, copy long, l0 double, l1 double").join(
+        known.select("doc_id", F.lit(True).alias("labelled")), "doc_id", "left")
+    once = scores.groupBy("copy").agg(F.min(F.struct("digest", "l0", "l1")).alias("x"), F.bool_or("labelled").alias("labelled"))
+    once = materialised(once.where(F.col("labelled").isNull()).select("x.*"), "views")
     limit = float(np.log(CONFIDENT / (1 - CONFIDENT)))
     out = []
     for view in ("l0", "l1"):
@@ -176,10 +178,13 @@ def surest(rows: DataFrame, known: DataFrame, models: tuple[np.ndarray, np.ndarr
 
 
 def trained(rows: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights of the text view, of the metadata view and of their combination, of the best round."""
-    sample = known.join(rows.select("doc_id", "digest"), "doc_id").groupBy("doc_id").agg(
-        F.min("digest").alias("digest"), F.min("label").alias("label"),
-        F.coalesce(F.crc32(F.min("doc_id").cast("string").cast("binary")) % HELD_OUT == 0, F.lit(False)).alias("held_out"))
+    """Weights of the text view, of the metadata view and of their combination, of the best round.
+
+    Which labels are held out goes by the text, so that no copy of a held-out text is fitted.
+    """
+    sample = known.join(rows.select("doc_id", "digest", F.xxhash64("text").alias("copy")), "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct("digest", "copy")).alias("x"), F.min("label").alias("label"))
+    sample = sample.select("doc_id", "x.digest", "label", (F.pmod("x.copy", F.lit(HELD_OUT)) == 0).alias("held_out"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
     shown = vectors(rows, [r.digest for r in sample])
     fit = [(r.digest, r.label) for r in sample if not r.held_out]

@@ -50,6 +50,17 @@ def test_every_row_is_scored_and_junk_goes(llm):
     assert sum(r.doc_id == 0 for r in got) == 2 and sum(r.doc_id is None for r in got) == 1
 
 
+def test_copies_of_labelled_texts_are_not_taught(llm):
+    texts = [prose(i % 40, 60) for i in range(160)]
+    docs = co_training.with_digest(llm.createDataFrame(rows(texts), DOCS))
+    known = llm.createDataFrame([(i, 1) for i in range(20)], "doc_id long, label int")
+    sure = tuple(np.r_[np.zeros(n), 9.0] for n in (co_training.CELLS, co_training.LANGS + co_training.SOURCES + co_training.SIZES))
+    by_text, by_metadata = co_training.surest(docs, known, sure)
+    labelled = {r.digest for r in docs.where("doc_id % 40 < 20").collect()}
+    taught = {d for d, _ in by_text + by_metadata}
+    assert len(by_text) == len(by_metadata) == 20 and not taught & labelled
+
+
 def test_labels_by_majority(llm):
     labels = llm.createDataFrame([(1, 1, 0), (1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 0, 0), (3, 0, 0)], LABELS)
     assert sorted(tuple(r) for r in co_training.labelled(labels).collect()) == [(1, 1), (3, 0)]
