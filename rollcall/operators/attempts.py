@@ -39,6 +39,11 @@ def _says(needle: str) -> Column:
     return F.contains(F.col("line"), F.lit(needle))
 
 
+def telling() -> Column:
+    """Whether a line says something about an attempt; the others are kept out of every shuffle."""
+    return _says("Trying LinkedIn:") | _says("Verify ") | _says("API returned no data")
+
+
 def mark_lines(log_lines: DataFrame) -> DataFrame:
     """Lines with what they do to an attempt: open it, close it, or carry a signal."""
     opened = F.regexp_extract("line", r"Trying LinkedIn:\s*(\S+)", 1)
@@ -69,9 +74,7 @@ def parse_attempts(log_lines: DataFrame, chunk: int = 65536) -> DataFrame:
     Lines of an attempt share the count of earlier closing lines with its opening line
     until the first closing line, so the live part is one aggregate group.
     """
-    # Other lines change nothing; dropping them here keeps them out of every shuffle.
-    telling = log_lines.where(_says("Trying LinkedIn:") | _says("Verify ") | _says("API returned no data"))
-    lines = with_attempt_numbers(telling, chunk)
+    lines = with_attempt_numbers(log_lines.where(telling()), chunk)
     closing_line = F.max(F.when(F.col("closing").isNotNull(), F.col("line")))
     flags = {name: F.bool_or(_says(needle)) for name, needle in _FLAGS.items()}
     grouped = lines.where("attempt_no > 0").groupBy("profile_id", "attempt_no", "closed_before").agg(

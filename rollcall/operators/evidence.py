@@ -25,7 +25,7 @@ from rollcall.functions.text import (
     text,
     trim_all,
 )
-from rollcall.functions.urls import clean_profile_url, evidence_url_key, host, match_slug, path
+from rollcall.functions.urls import clean_profile_url, evidence_url_key, host, is_valid_profile_url, match_slug, path
 from rollcall.operators.grams import contained
 from rollcall.operators.keyed import first_per_key
 from rollcall.session import cut_lineage
@@ -221,16 +221,40 @@ def resolver_evidence(resolved: DataFrame, signals: DataFrame, priors: DataFrame
         _empty().alias("snippet"), _empty().alias("title"))
 
 
+def _result_flags(url: Column) -> dict[str, Column]:
+    """Anchors of a search result: both names in its text, own domain or name slug in its lower-cased URL."""
+    shown = F.lower(F.concat_ws(" ", text("title"), text("description")))
+    return {
+        "name_match": F.contains(shown, F.col("first")) & F.contains(shown, F.col("last")),
+        "email_match": (F.col("org_domain") != "") & F.contains(url, F.col("org_domain")),
+        "slug_match": match_slug(F.col("name_slugs"), url) != ""}
+
+
+def resolver_side_evidence(results: DataFrame, signals: DataFrame, people: DataFrame) -> DataFrame:
+    """Other pages that the resolver's search brought up: at least one of name, own domain and slug.
+
+    Only people without a usable profile URL were searched for. ``results``: profile_id, pos,
+    url, title, description; every result is a row of its own.
+    """
+    searched = people.where(~is_valid_profile_url(text("linkedin_url"))).select(F.col("id").alias("profile_id"))
+    url = trim_all(F.col("url"))
+    # The row-local conditions come before the joins.
+    rows = results.where(url != "").withColumn("url", url).join(searched, "profile_id", "left_semi").join(signals, "profile_id")
+    flags = _result_flags(F.lower("url"))
+    flags["name_match"] = (F.col("first") != "") & (F.col("last") != "") & flags["name_match"]
+    found = rows.select(
+        "profile_id", "pos", "url", F.lit("open_web").alias("source"), F.lit("website").alias("kind"), _anchor_list(flags).alias("anchors"),
+        clip(text("description"), 400).alias("snippet"), clip(text("title"), 200).alias("title"))
+    return found.where(F.size("anchors") >= 1)
+
+
 def open_web_evidence(results: DataFrame, signals: DataFrame) -> DataFrame:
     """Search results kept as evidence: at least two of name, own domain and slug."""
     url = trim_all(F.col("url"))
     rows = results.where((url != "") & ~has_any(F.lower(url), OPEN_WEB_BLOCKED_HOSTS)).join(
         signals.where((F.col("first") != "") & (F.col("last") != "")), "profile_id")
-    low, shown = F.lower(url), F.lower(F.concat_ws(" ", text("title"), text("description")))
-    flags = {
-        "name_match": F.contains(shown, F.col("first")) & F.contains(shown, F.col("last")),
-        "email_match": (F.col("org_domain") != "") & F.contains(low, F.col("org_domain")),
-        "slug_match": match_slug(F.col("name_slugs"), low) != ""}
+    low = F.lower(url)
+    flags = _result_flags(low)
     found = rows.select(
         "profile_id", "pos", url.alias("url"), evidence_url_key(url).alias("url_key"), F.lit("open_web").alias("source"),
         _link_kind(low, "website", F.contains(low, F.lit("://x.com/"))).alias("kind"), _anchor_list(flags).alias("anchors"),

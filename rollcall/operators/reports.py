@@ -20,6 +20,7 @@ from rollcall.functions.fixed_values import (
 from rollcall.functions.names import name_bucket, org_flag
 from rollcall.functions.text import first_filled, first_label, percent, text, trim_all
 from rollcall.functions.urls import is_valid_profile_url
+from rollcall.operators.intake import content_field_names, drop_junk, junk_count
 from rollcall.operators.keyed import order_statistics, top_per_key
 
 
@@ -222,6 +223,24 @@ def upload_statistics(people: DataFrame) -> DataFrame:
         F.count_if(~mail & ~url).alias("no_signal"), F.count_if(F.col("enrichment_status") == "enriched").alias("already_enriched"))
 
 
+def upload_summary(profiles: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """What came of an upload, one row: URLs, e-mail only, searchable fields, skipped rows, matches with known people.
+
+    ``profiles``: all mapped rows, junk included. ``duplicates``: :func:`dedup.find_duplicates`.
+    """
+    kept = drop_junk(profiles)
+    parts = [
+        upload_statistics(kept.withColumn("enrichment_status", F.lit(""))).drop("already_enriched", "no_signal"),
+        content_field_names(kept).agg(
+            F.count("*").alias("content_fields"), F.array_join(F.array_sort(F.collect_set("field_name")), ",").alias("content_field_names")),
+        junk_count(profiles).select("skipped_rows"),
+        duplicates.agg(F.coalesce(F.sum("n_existing"), F.lit(0)).alias("duplicates"))]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def cost_estimate(stats: DataFrame, call_price: float = 0.01, lookup_price: float = 0.005, hit_rate: float = 0.8) -> DataFrame:
     """Price of a run before it starts, from :func:`upload_statistics`."""
     lookups = F.col("email_only")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from rollcall.functions.names import initials
 from rollcall.functions.text import clip, first_filled, text, trim_all
 from rollcall.functions.urls import clean_profile_url, is_valid_profile_url
-from rollcall.operators.keyed import last_per_key
+from rollcall.operators.keyed import first_per_key, last_per_key
 
 PENDING = "pending"
 # Fixed value: the line that stands for the middle of a long log.
@@ -129,7 +129,9 @@ def route_misplaced(people: DataFrame) -> DataFrame:
     code = stray & ~resume & F.contains(low, F.lit("github.com"))
     site = stray & ~resume & ~code
     had = F.col("resume_url") if "resume_url" in people.columns else F.lit("")
-    links = F.col("other_links") if "other_links" in people.columns else F.array().cast("array<string>")
+    links = F.array().cast("array<string>")
+    if "other_links" in people.columns:
+        links = F.coalesce("other_links", links)
     return people.withColumns({
         "resume_url": F.when(resume, first_filled(had, url)).otherwise(had),
         "other_links": F.when(code, F.array_union(links, F.array(url))).otherwise(links),
@@ -137,6 +139,39 @@ def route_misplaced(people: DataFrame) -> DataFrame:
         "linkedin_url": F.when(stray, "").otherwise(F.col("linkedin_url"))})
 
 
+def settle_misplaced(people: DataFrame, fetched: DataFrame) -> DataFrame:
+    """:func:`route_misplaced` with what was fetched from the moved URLs, and a final status for every pending row without a profile URL.
+
+    ``fetched``: url, source and body; of several texts of a URL the one with the smallest
+    source counts. ``people`` has the map fetched_content and the list enrichment_log. With a
+    text, stored or new, a row is enriched, else skipped. Only rows with a URL to move meet
+    the fetched texts; the others pass without a shuffle.
+    """
+    texts = first_per_key(fetched.where(text("body") != ""), ["url"], ["source", "body"], ["source", "body"])
+    texts = texts.select(F.col("url").alias("_url"), F.col("source").alias("_source"), F.col("body").alias("_body"))
+    url = trim_all(text("linkedin_url"))
+    marked = people.withColumns({
+        "_open": (F.col("enrichment_status") == PENDING) & ~is_valid_profile_url(url), "_url": url,
+        "fetched_content": F.coalesce("fetched_content", F.create_map().cast("map<string,string>")),
+        "enrichment_log": F.coalesce("enrichment_log", F.array().cast("array<string>"))})
+    stray = F.col("_open") & F.startswith("_url", F.lit("http"))
+    found = route_misplaced(marked.where(stray)).join(texts, "_url", "left")
+    new = F.col("_source").isNotNull()
+    found = found.withColumns({
+        "fetched_content": F.when(new, F.map_concat(
+            F.map_filter("fetched_content", lambda k, _: k != F.col("_source")), F.create_map("_source", "_body"))).otherwise(F.col("fetched_content")),
+        "enrichment_log": F.when(new, F.array_append("enrichment_log", F.concat(
+            F.lit("Non-LinkedIn URL fetched as "), F.col("_source"), F.lit(": "), clip(F.col("_url"), 60)))).otherwise(F.col("enrichment_log"))})
+    # A null condition is no stray row either.
+    rest = route_misplaced(marked.where(~F.coalesce(stray, F.lit(False))))
+    rows = rest.unionByName(found.drop("_source", "_body"))
+    brought = F.size("fetched_content") > 0
+    return rows.withColumns({
+        "enrichment_status": F.when(~F.col("_open"), F.col("enrichment_status")).when(brought, "enriched").otherwise("skipped"),
+        "enrichment_log": F.when(F.col("_open") & brought, F.array_append(
+            "enrichment_log", F.lit("Enriched from non-LinkedIn URL content"))).otherwise(F.col("enrichment_log"))}).select(*people.columns)
+
+
 def review_buckets(people: DataFrame) -> DataFrame:
     bucket = F.when(text("linkedin_url") == "", "missing").when(F.col("linkedin_url_source") == "user", "confirmed").otherwise("review")
     return people.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))

@@ -49,12 +49,13 @@ def stream_progress(src):
 
 
 @query("stream_attempts", f"""WITH {_MARKED}
-SELECT profile_id, cast(attempt_no AS bigint) AS attempt_no, url, name_strength, org_match, org_mismatch, stored_decision FROM attempts WHERE closing IS NOT NULL OR attempt_no < newest""")
+, seen AS (SELECT fl.profile_id, attempt_no, max(ts) AS seen FROM fl JOIN events ON event_id = pos WHERE cb = oc AND (contains(line, 'Trying LinkedIn:') OR contains(line, 'Verify ') OR contains(line, 'API returned no data')) GROUP BY 1, 2)
+SELECT profile_id, cast(attempt_no AS bigint) AS attempt_no, url, name_strength, org_match, org_mismatch, stored_decision,
+ CASE WHEN closing IS NOT NULL THEN 'line' WHEN attempt_no < newest THEN 'next' WHEN seen <= (SELECT max(seen) FROM seen) - INTERVAL 30 MINUTE THEN 'idle' ELSE 'open' END AS ended_by FROM attempts JOIN seen USING (profile_id, attempt_no)""")
 def stream_attempts(src):
     table, state = _places(src)
-    jobs.run_to_end(jobs.write_batches(jobs.live_attempts(_log(src)), table, state))
-    # Attempts still open when the files end belong to the idle timer, which fires later.
-    return src.spark.read.parquet(table).where("ended_by <> 'idle'").drop("batch", "ended_by")
+    jobs.run_to_end(jobs.write_attempts(_log(src), table, state))
+    return jobs.current_attempts(src.spark.read.parquet(table))
 
 
 def _live_people(src):

@@ -4,8 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from rollcall.operators import cards, columns, intake, keyed, upkeep
-from rollcall.plans.deduplication import PERSON_ID
+from rollcall.operators import cards, columns, dedup, intake, keyed, reports, upkeep
+from rollcall.plans.deduplication import _MATCHES, PERSON_ID
 from rollcall.plans.normalising import _ARTICLE
 from rollcall.plans.registry import query
 from rollcall.session import checkpoint_dir
@@ -249,6 +249,14 @@ def content_field_names(src):
     return intake.content_field_names(_mapped(src))
 
 
+@query("upload_summary", _MATCHES + f""",
+kept AS (SELECT * FROM people WHERE NOT (name = '' AND email = '' AND linkedin_url = '' AND title = ''))
+SELECT cast(count(*) AS bigint) AS total, cast(count(*) FILTER ({VALID.format(u='linkedin_url')}) AS bigint) AS have_url, cast(count(*) FILTER (trim(email) <> '' AND NOT {VALID.format(u='linkedin_url')}) AS bigint) AS email_only,
+ cast(max(title <> '') AS bigint) AS content_fields, CASE WHEN max(title <> '') THEN 'bio' ELSE '' END AS content_field_names, (SELECT cast(count(*) AS bigint) FROM people) - cast(count(*) AS bigint) AS skipped_rows, (SELECT cast(count(*) AS bigint) FROM m) AS duplicates FROM kept""")
+def upload_summary(src):
+    return reports.upload_summary(_mapped(src), dedup.find_duplicates(src("people"), src("known_people")))
+
+
 # --- upkeep ---------------------------------------------------------------------------------------
 @query("work_queues", f"""
 SELECT id, q AS queue FROM (SELECT id, unnest([CASE WHEN linkedin_url = '' AND name <> '' THEN 'resolve' END, CASE WHEN linkedin_url <> '' AND name <> '' AND website_url = '' AND twitter_url = '' THEN 'evidence_only' END, CASE WHEN {VALID.format(u='linkedin_url')} THEN 'enrich' END,
@@ -340,6 +348,32 @@ def misplaced_urls(src):
     return upkeep.route_misplaced(src("people")).select("id", "linkedin_url", "resume_url", "website_url")
 
 
+# Landed pages stand for what was fetched from sites and code hosts.
+@query("settled_urls", f"""
+WITH s AS (SELECT *, CASE WHEN linkedin_url <> '' THEN linkedin_url WHEN source_row % 5 = 1 THEN concat('https://github.com/u', source_row) WHEN source_row % 5 = 2 THEN concat('http://site', source_row % 50, '.example.org/') ELSE '' END AS u,
+  coalesce(json_extract_string(nullif(fetched_content, ''), '$.website'), '') AS had FROM stored_people),
+f AS (SELECT CASE WHEN page_id % 2 = 0 THEN concat('https://github.com/u', page_id) ELSE concat('http://site', page_id % 50, '.example.org/') END AS url, CASE WHEN page_id % 2 = 0 THEN 'github' ELSE 'website' END AS source, min(concat('page ', url)) AS body FROM pages GROUP BY 1, 2),
+t AS (SELECT s.*, enrichment_status = 'pending' AND NOT {VALID.format(u='u')} AS op, enrichment_status = 'pending' AND NOT {VALID.format(u='u')} AND u LIKE 'http%' AS stray FROM s),
+j AS (SELECT t.*, f.source, f.body FROM t LEFT JOIN f ON t.stray AND f.url = t.u)
+SELECT id, CASE WHEN stray THEN '' ELSE u END AS linkedin_url, CASE WHEN stray AND contains(u, 'drive.google.com') AND resume_url = '' THEN u ELSE resume_url END AS resume_url,
+ CASE WHEN stray AND NOT contains(u, 'drive.google.com') AND NOT contains(u, 'github.com') AND website_url = '' THEN u ELSE website_url END AS website_url, CASE WHEN stray AND contains(u, 'github.com') THEN u ELSE '' END AS other_links,
+ CASE WHEN NOT op THEN enrichment_status WHEN had <> '' OR source IS NOT NULL THEN 'enriched' ELSE 'skipped' END AS enrichment_status, CASE WHEN source = 'website' THEN body ELSE had END AS website_text, CASE WHEN source = 'github' THEN body ELSE '' END AS code_text,
+ concat_ws('|', CASE WHEN source IS NOT NULL THEN concat('Non-LinkedIn URL fetched as ', source, ': ', substr(u, 1, 60)) END, CASE WHEN op AND (had <> '' OR source IS NOT NULL) THEN 'Enriched from non-LinkedIn URL content' END) AS log FROM j""")
+def settled_urls(src):
+    row = F.col("source_row")
+    stray = F.when(F.col("linkedin_url") != "", F.col("linkedin_url")).when(row % 5 == 1, F.concat(F.lit("https://github.com/u"), row.cast("string"))).when(
+        row % 5 == 2, F.concat(F.lit("http://site"), (row % 50).cast("string"), F.lit(".example.org/"))).otherwise("")
+    code, page = F.col("page_id") % 2 == 0, F.col("page_id")
+    fetched = src("pages").select(
+        F.when(code, F.concat(F.lit("https://github.com/u"), page.cast("string"))).otherwise(F.concat(F.lit("http://site"), (page % 50).cast("string"), F.lit(".example.org/"))).alias("url"),
+        F.when(code, "github").otherwise("website").alias("source"), F.concat(F.lit("page "), "url").alias("body"))
+    rows = upkeep.settle_misplaced(store.conform(src("stored_people").withColumn("linkedin_url", stray)), fetched)
+    said = lambda k: F.coalesce(F.get(F.map_values(F.map_filter("fetched_content", lambda name, _: name == k)), 0), F.lit(""))
+    return rows.select(
+        "id", "linkedin_url", "resume_url", "website_url", F.array_join(F.coalesce("other_links", F.array()), "|").alias("other_links"), "enrichment_status",
+        said("website").alias("website_text"), said("github").alias("code_text"), F.array_join("enrichment_log", "|").alias("log"))
+
+
 @query("review_buckets", """
 SELECT CASE WHEN linkedin_url = '' THEN 'missing' WHEN linkedin_url_source = 'user' THEN 'confirmed' ELSE 'review' END AS bucket, cast(count(*) AS bigint) AS n FROM people GROUP BY 1""")
 def review_buckets(src):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.replies import parse_arbiter
 from rollcall.operators import candidates, evidence, reports, verification
+from rollcall.plans.keeping import VALID
 from rollcall.plans.normalising import DOMAIN_SQL, PAGE_TEXT, PERSONAL, SIGNAL_TOKENS
 from rollcall.plans.registry import query
 from rollcall.plans.resolving import _ARBITRATED, _context
@@ -167,6 +168,14 @@ def resolver_evidence(src):
     return _joined(evidence.resolver_evidence(resolved, evidence.profile_signals(src("people")), _rows(src)), "anchors")
 
 
+@query("resolver_side_evidence", f"""WITH {_SIGNALS},
+rw AS (SELECT w.*, trim(w.url) AS u, f <> '' AND l <> '' AND contains(lower(w.title || ' ' || description), f) AND contains(lower(w.title || ' ' || description), l) AS nm, org_domain <> '' AND contains(lower(w.url), org_domain) AS em, len(list_filter(slugs, lambda x: contains(lower(w.url), x))) > 0 AS sm
+  FROM web_results w JOIN sg ON sg.profile_id = w.profile_id JOIN people p ON p.id = w.profile_id WHERE trim(w.url) <> '' AND NOT {VALID.format(u='p.linkedin_url')})
+SELECT profile_id, pos, u AS url, 'open_web' AS source, 'website' AS kind, {_SORTED.format("CASE WHEN nm THEN 'name_match' END, CASE WHEN em THEN 'email_match' END, CASE WHEN sm THEN 'slug_match' END")} AS anchors, substr(description, 1, 400) AS snippet, substr(title, 1, 200) AS title FROM rw WHERE nm OR em OR sm""")
+def resolver_side_evidence(src):
+    return _joined(evidence.resolver_side_evidence(src("web_results"), evidence.profile_signals(src("people")), src("people")), "anchors")
+
+
 _W5 = r"list_filter(list_distinct(list_filter(regexp_extract_all(lower({c}), '([\p{{L}}\p{{N}}_]+)', 1), lambda x: regexp_full_match(x, '[a-z]{{5,}}'))), lambda x: x NOT IN ('about','their','these','those','would','could','should','being','other','which','through','between','before','after'))"
 _VERIFIED = f"""b0 AS (SELECT *, lower(strip_accents(name)) AS on_, replace(trim(regexp_replace(lower(strip_accents(full_name)), ',?\\s*(ph\\.?d\\.?|mpa|mba|m\\.?d\\.?|jr\\.?|sr\\.?|iii?|iv)$', '', 'i')), '.', '') AS tn, lower(strip_accents(full_name)) AS raw, lower(organization) AS o FROM verify_pairs),
 b1 AS (SELECT *, list_filter(string_split_regex(replace(on_, '-', ' '), '\\s+'), lambda x: x <> '') AS ow, list_filter(string_split_regex(replace(tn, '-', ' '), '\\s+'), lambda x: x <> '') AS tw, list_filter(string_split_regex(replace(raw, '-', ' '), '\\s+'), lambda x: x <> '') AS rw FROM b0),

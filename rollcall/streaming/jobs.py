@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from rollcall.functions.emails import email_key
 from rollcall.functions.fixed_values import MAX_EXEMPLARS, SEARCH_PRICE, VENDOR_PRICE
 from rollcall.functions.urls import dedup_url_key
-from rollcall.operators.attempts import mark_lines
+from rollcall.operators.attempts import telling, with_attempt_numbers
 from rollcall.operators.columns import FieldMapping
 from rollcall.operators.feedback import exemplar_offers
 from rollcall.operators.intake import drop_junk, rows_to_profiles
@@ -158,60 +158,82 @@ def _in_order(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataF
 
 
 # --- sessions ---------------------------------------------------------------------------------------
-ATTEMPT_SCHEMA = "profile_id STRING, attempt_no LONG, url STRING, name_strength STRING, org_match BOOLEAN, org_mismatch BOOLEAN, stored_decision STRING, ended_by STRING"
-_STATE = "attempt_no LONG, url STRING, name_strength STRING, org_match BOOLEAN, org_mismatch BOOLEAN, name_reject BOOLEAN"
+_HELD = """profile_id STRING, attempt_no LONG, pos LONG, url STRING, strength STRUCT<pos: LONG, name: STRING>, org_match BOOLEAN,
+ org_mismatch BOOLEAN, name_reject BOOLEAN, closing STRING, last_seen TIMESTAMP, newest LONG"""
 
 
-def live_attempts(log: DataFrame, idle: str = "30 minutes", stamp: str = "ts") -> DataFrame:
-    """Attempts of a live log, one row when an attempt closes, is replaced or goes idle.
+def attempt_fragments(lines: DataFrame, stamp: str = "ts", chunk: int = 65536) -> DataFrame:
+    """What a run of log lines says about each attempt, a row per profile and attempt, counted from the run's start.
 
-    ``ended_by`` says which: line, next or idle.
-
-    The state per profile is the one open attempt, whatever the length of its log. Later
-    micro-batches bring later lines; inside one they are put in ``pos`` order here.
+    Attempt 0 is one that was open before the run: its lines up to the first closing one.
+    ``opened`` is how many attempts the run opens for the profile. Everything is an aggregate
+    over slices of positions, so a profile with a large share of the lines is no single task.
     """
-    says = lambda needle: F.contains("line", F.lit(needle))
-    marked = mark_lines(log.withWatermark(stamp, idle)).select(
-        "profile_id", "pos", stamp, "url", "strength", "closing", says("Verify org: MATCH").alias("org_match"),
-        says("Verify org: MISMATCH").alias("org_mismatch"),
-        (says("Verify name: MISMATCH") | says("WEAK-MATCH REJECTED")).alias("name_reject"))
-
-    def row(key, state, decision, ended_by):
-        return [key, *state[:5], decision, ended_by]
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["profile_id", "attempt_no", "url", "name_strength", "org_match", "org_mismatch", "stored_decision", "ended_by"]
-        held = list(state.get) if state.exists else [0, None, "none", False, False, False]
-        if state.hasTimedOut:
-            done = [row(key[0], held, "rejected" if held[5] else "no_data", "idle")] if held[1] else []
-            state.update(tuple([held[0], None, "none", False, False, False]))
-            yield pd.DataFrame(done, columns=columns)
-            return
-        last_seen = 0
-        for batch in _in_order(batches, "pos"):
-            done = []
-            last_seen = int(batch[stamp].max().timestamp() * 1000)
-            for line in batch.itertuples(index=False):
-                if isinstance(line.url, str):
-                    if held[1]:
-                        done.append(row(key[0], held, "rejected" if held[5] else "unknown", "next"))
-                    held = [held[0] + 1, line.url, "none", False, False, False]
-                elif held[1]:
-                    if isinstance(line.strength, str):
-                        held[2] = line.strength
-                    held[3], held[4], held[5] = (held[3] or bool(line.org_match), held[4] or bool(line.org_mismatch), held[5] or bool(line.name_reject))
-                    if isinstance(line.closing, str):
-                        done.append(row(key[0], held, line.closing, "line"))
-                        held = [held[0], None, "none", False, False, False]
-            yield pd.DataFrame(done, columns=columns)
-        state.update(tuple(held))
-        if held[1]:
-            # The watermark trails the newest line by ``idle``, so it reaches this stamp
-            # once the profile has been silent that long.
-            state.setTimeoutTimestamp(max(last_seen, state.getCurrentWatermarkMs() + 1))
-
-    return marked.groupBy("profile_id").applyInPandasWithState(
-        step, ATTEMPT_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    says = lambda needle: F.bool_or(F.contains("line", F.lit(needle)))
+    numbered = with_attempt_numbers(lines.where(telling()), chunk)
+    parts = numbered.groupBy("profile_id", "attempt_no", "closed_before").agg(
+        F.min("pos").alias("pos"), F.max("url").alias("url"),
+        F.max(F.when(F.col("strength").isNotNull(), F.struct("pos", F.col("strength").alias("name")))).alias("strength"),
+        says("Verify org: MATCH").alias("org_match"), says("Verify org: MISMATCH").alias("org_mismatch"),
+        (says("Verify name: MISMATCH") | says("WEAK-MATCH REJECTED")).alias("name_reject"),
+        F.max("closing").alias("closing"), F.max(stamp).alias("last_seen"), F.max("attempt_no_total").alias("opened"))
+    before = (F.col("attempt_no") == 0) & (F.col("closed_before") == 0)
+    return parts.where(F.col("url").isNotNull() | before).drop("closed_before")
+
+
+def merged_fragments(parts: DataFrame) -> DataFrame:
+    """Fragments of one attempt as one; any grouping of them gives the same."""
+    return parts.groupBy("profile_id", "attempt_no").agg(
+        F.min("pos").alias("pos"), *[F.max(c).alias(c) for c in ("url", "strength")],
+        *[F.bool_or(c).alias(c) for c in ("org_match", "org_mismatch", "name_reject")],
+        *[F.max(c).alias(c) for c in ("closing", "last_seen", "newest")])
+
+
+def write_attempts(log: DataFrame, table: str, checkpoint: str, stamp: str = "ts", chunk: int = 65536) -> StreamingQuery:
+    """The attempts that each micro-batch opens, goes on with or replaces; :func:`current_attempts` reads them.
+
+    A micro-batch is reduced to fragments, which meet the newest attempt of their profile, one
+    row per profile kept beside the checkpoint. A batch reads the rows that the one before
+    left and writes its own, so a batch that is run again gives the same; older ones are not
+    read any more. Later micro-batches bring later lines; inside one the order is ``pos``.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, place = batch.sparkSession, f"{checkpoint}-held/batch="
+        held = spark.read.schema(_HELD).parquet(f"{place}{batch_id - 1}") if batch_id else spark.createDataFrame([], _HELD)
+        found = attempt_fragments(batch, stamp, chunk).persist()
+        base = held.select("profile_id", F.col("attempt_no").alias("base"))
+        number = F.coalesce("base", F.lit(0))
+        brought = found.join(base, "profile_id", "left").withColumns({
+            "attempt_no": F.col("attempt_no") + number, "newest": number + F.col("opened")}).drop("base", "opened")
+        more = found.groupBy("profile_id").agg(F.max("opened").alias("opened"))
+        going_on = held.where(F.col("closing").isNull()).join(more, "profile_id").withColumn(
+            "newest", F.col("attempt_no") + F.col("opened")).drop("opened")
+        # Lines of attempt 0 without an open attempt before them belong to none.
+        changed = merged_fragments(brought.unionByName(going_on)).where(F.col("url").isNotNull())
+        changed.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        changed = spark.read.schema(_HELD).parquet(f"{table}/batch={batch_id}")
+        both = held.withColumn("turn", F.lit(0)).unionByName(changed.withColumn("turn", F.lit(1)))
+        last_per_key(both, ["profile_id"], ["attempt_no", "turn"]).drop("turn").write.mode("overwrite").parquet(f"{place}{batch_id}")
+        found.unpersist()
+
+    return log.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def current_attempts(table: DataFrame, idle: str = "30 minutes") -> DataFrame:
+    """Every attempt of the log so far, open ones included, from what :func:`write_attempts` wrote.
+
+    ``ended_by`` is line, next, idle (no telling line for so long before the newest one of
+    all) or open. The decision of an open attempt is the one it would have if nothing more came.
+    """
+    rows = last_per_key(table, ["profile_id", "attempt_no"], ["batch"])
+    clock = table.agg(F.max("last_seen")).first()[0]
+    open_, newest = F.col("closing").isNull(), F.col("attempt_no") == F.col("newest")
+    silent = F.col("last_seen") <= F.lit(clock).cast("timestamp") - F.expr(f"INTERVAL {idle}")
+    decision = F.coalesce("closing", F.when(F.col("name_reject"), "rejected").when(newest, "no_data").otherwise("unknown"))
+    return rows.select(
+        "profile_id", "attempt_no", "url", F.coalesce("strength.name", F.lit("none")).alias("name_strength"), "org_match", "org_mismatch",
+        decision.alias("stored_decision"),
+        F.when(~open_, "line").when(~newest, "next").when(silent, "idle").otherwise("open").alias("ended_by"))
 
 
 # --- feedback -----------------------------------------------------------------------------------------

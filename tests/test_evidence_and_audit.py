@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from rollcall.functions import names
-from rollcall.operators import attempts, audit, evidence
+from rollcall.operators import attempts, audit, evidence, upkeep
 
 EV = "profile_id STRING, pos LONG, url STRING, source STRING, kind STRING, anchors ARRAY<STRING>, snippet STRING, title STRING"
 
@@ -76,3 +76,31 @@ def test_audit_flags(spark):
     df = spark.createDataFrame(rows, "profile_id STRING, uploaded_name STRING, full_name STRING")
     got = {r.profile_id: r.flags for r in audit.audit_pairs(df, audit.alias_table(spark)).collect()}
     assert got == {"2": ["different_last_name", "token_overlap_below_50pct"], "3": ["single_token_uploaded_name"], "4": ["different_last_name", "no_shared_tokens"]}
+
+
+def test_misplaced_urls_are_settled(spark):
+    rows = [("a", "https://docs.google.com/d/1", "pending", None, None), ("b", "https://github.com/x", "pending", {"github": "old", "k": "v"}, ["l"]),
+            ("c", "https://me.example", "pending", {}, []), ("d", "", "pending", {}, []), ("e", "", "pending", {"k": "v"}, []),
+            ("f", "https://www.linkedin.com/in/f", "pending", {}, []), ("g", "https://me.example", "enriched", {}, []), ("h", None, "pending", {}, [])]
+    people = spark.createDataFrame(rows, "id string, linkedin_url string, enrichment_status string, fetched_content map<string,string>, enrichment_log array<string>")
+    people = people.selectExpr("*", "'' AS resume_url", "'' AS website_url", "array('z') AS other_links")
+    fetched = spark.createDataFrame([("https://github.com/x", "github", "new"), ("https://github.com/x", "later", "other"), ("https://docs.google.com/d/1", "doc", "")],
+                                    "url string, source string, body string")
+    got = {r.id: r for r in upkeep.settle_misplaced(people, fetched).collect()}
+    assert {k: r.enrichment_status for k, r in got.items()} == {
+        "a": "skipped", "b": "enriched", "c": "skipped", "d": "skipped", "e": "enriched", "f": "pending", "g": "enriched", "h": "skipped"}
+    assert got["a"].resume_url == "https://docs.google.com/d/1" and got["c"].website_url == "https://me.example" and got["b"].other_links == ["z", "https://github.com/x"]
+    assert got["b"].fetched_content == {"github": "new", "k": "v"} and got["b"].linkedin_url == ""
+    assert got["b"].enrichment_log == ["l", "Non-LinkedIn URL fetched as github: https://github.com/x", "Enriched from non-LinkedIn URL content"]
+    assert got["g"].linkedin_url == "https://me.example" and got["f"].enrichment_log == []
+
+
+def test_side_results_of_the_resolver(spark):
+    people = spark.createDataFrame([("p", "Ann Bole", "ann@acme.com", "", ""), ("q", "Ann Bole", "ann@acme.com", "https://www.linkedin.com/in/x", "")],
+                                   "id string, name string, email string, linkedin_url string, organization string")
+    results = spark.createDataFrame(
+        [(p, i, u, t, None) for p in "pq" for i, (u, t) in enumerate([(" https://acme.com/a ", "x"), ("https://z.example/", "Ann and Bole"), ("https://z.example/", "x"), ("", "Ann Bole"), (None, None)])],
+        "profile_id string, pos long, url string, title string, description string")
+    got = evidence.resolver_side_evidence(results, evidence.profile_signals(people), people).collect()
+    assert [(r.profile_id, r.url, r.anchors, r.snippet) for r in sorted(got, key=lambda r: r.pos)] == [
+        ("p", "https://acme.com/a", ["email_match"], ""), ("p", "https://z.example/", ["name_match"], "")]
