@@ -138,3 +138,18 @@ def test_contained_finds_what_a_loop_finds(spark):
                     spark.createDataFrame([*long, (1, None), (0, "aaaa")], "k INT, l STRING"), ["k"], "s", "l").collect()
     want = {(k, s, x) for k, s in short for j, x in long if j == k and s and x and s in x}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_are_not_moved_once_made(spark, monkeypatch):
+    """One pass of the last join makes the pairs; slices of a group lose none."""
+    monkeypatch.setattr(dedup, "SLICE", 2)
+    columns = ["id", "dataset_id", "pos", "name", "email", "organization", "linkedin_url"]
+    new, known = people(50, 3, "n"), people(40, 4, "k")
+    tables = dedup.duplicate_tables(spark.createDataFrame(new, columns), spark.createDataFrame(known, columns))
+    pairs = dedup.expanded(tables)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "LeftAnti" in line and "existing_id" in line]
+    got = [(r.new_id, r.existing_id) for r in pairs.collect()]
+    shared = {(n[0], k[0]) for n in new for k in known if n[3] == k[3]}
+    exact = {(r.new_id, r.existing_id) for r in tables.exact.collect()}
+    assert len(got) == len(set(got)) and set(got) == shared | exact
