@@ -99,16 +99,19 @@ def extract_context(people: DataFrame, keyword_table: DataFrame | None = None) -
     """
     entries = F.col("metadata") if "metadata" in people.columns else F.array().cast(
         "array<struct<key:string,value:string>>")
-    real = F.filter(entries, lambda e: trim_all(e["value"]) != "")
 
     def mined(pattern: str, last: bool = False) -> Column:
-        hits = F.filter(real, lambda e: F.lower(e["key"]).rlike(pattern))
+        hits = F.filter("_real", lambda e: F.lower(e["key"]).rlike(pattern))
         return F.coalesce(trim_all(F.get(hits, F.size(hits) - 1 if last else F.lit(0))["value"]), _empty())
 
-    words = split_words(F.col("name"))
-    domain = F.when(F.contains("email", F.lit("@")), F.regexp_extract("email", "([^@]*)$", 1)).otherwise("")
+    # Columns of their own, as each is read several times below.
+    staged = people.where(trim_all(F.col("name")) != "").withColumns({
+        "_words": split_words(F.col("name")),
+        "_real": F.filter(entries, lambda e: trim_all(e["value"]) != ""),
+        "_domain": F.when(F.contains("email", F.lit("@")), F.regexp_extract("email", "([^@]*)$", 1)).otherwise("")})
+    words, domain = F.col("_words"), F.col("_domain")
     owned = (domain != "") & ~domain.isin(PERSONAL_DOMAINS)
-    context = people.where(trim_all(F.col("name")) != "").select(
+    context = staged.select(
         F.col("id").alias("profile_id"), "name", text("email").alias("email"),
         F.get(words, 0).alias("first"), F.when(F.size(words) > 1, F.get(words, F.size(words) - 1)).otherwise("").alias("last"),
         first_filled(F.col("organization"), mined("org|company")).alias("org"),
@@ -134,11 +137,12 @@ def search_requests(context: DataFrame) -> DataFrame:
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     on_site = lambda middle: F.concat_ws(" ", who, middle, F.lit("site:linkedin.com/in"))
     local = F.split_part(mail, F.lit("@"), F.lit(1))
-    org_words = split_words(org)
+    # Profiles are dealt out before the requests are written, however few files they come from.
+    dealt = context.repartition("profile_id").withColumns({"_org_words": split_words(org), "_domain": signal_domain(mail)})
+    org_words, domain = F.col("_org_words"), F.col("_domain")
     simple = F.coalesce(F.get(org_words, 0), _empty())
     words, place = F.col("content_keywords"), first_filled(F.col("city"), F.col("country"))
     both = (first != "") & (last != "")
-    domain = signal_domain(mail)
     broad_key = (
         F.when(org != "", quoted(F.when(F.size(org_words) > 3, simple).otherwise(org)))
         .when(F.size(words) > 0, F.get(words, 0)).otherwise(quoted(F.col("email_domain")))
@@ -149,7 +153,7 @@ def search_requests(context: DataFrame) -> DataFrame:
         name = F.lit(label) if isinstance(label, str) else label
         return F.when(when, F.struct(F.lit(step).alias("step"), name.alias("label"), query.alias("query"), F.lit(fallback).alias("fallback")))
 
-    plan = F.array_compact(F.array(
+    plan = F.array(
         request(1, mail != "", "email-exact", quoted(mail)),
         request(2, mail != "", "email-username", F.concat(quoted(local), F.lit(" linkedin OR researchgate"))),
         request(3, org != "", "name+org", on_site(quoted(org))),
@@ -166,10 +170,12 @@ def search_requests(context: DataFrame) -> DataFrame:
         request(12, both, "broad", F.concat(who, F.lit(" linkedin")), fallback=True),
         request(13, (mail != "") & both & ~F.lower(local).isin(GENERIC_MAILBOXES), "slug-email",
                 F.concat(F.lit("site:linkedin.com/in/"), F.lower(local))),
-    ))
-    texts = F.transform(plan, lambda r: r["query"])
-    once = F.filter(plan, lambda r, i: F.array_position(texts, r["query"]) == i + 1)
-    return context.select("profile_id", F.inline(once))
+    )
+    # The plan and its texts are columns, so a lambda reads them and doesn't work them out per request.
+    planned = dealt.select("profile_id", plan.alias("plan")).select(
+        "profile_id", "plan", F.transform("plan", lambda r: r["query"]).alias("texts"))
+    once = F.filter("plan", lambda r, i: F.array_position("texts", r["query"]) == i + 1)
+    return planned.select("profile_id", F.inline(once))
 
 
 # --- harvest ---------------------------------------------------------------------------------
