@@ -6,6 +6,10 @@ arrival order of a row within its profile.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,38 +63,39 @@ def keywords(fields: DataFrame, most: int = 6) -> DataFrame:
 
     ``fields``: profile_id, field_name, body, a row per field. Per field the ten commonest pairs
     give up to three that are not all stopwords, the twenty commonest long words up to three
-    more. Terms are counted inside their row (sorted, then runs of equal ones): a text is moved
-    once, and of its words only the chosen few.
+    more. Terms are counted inside their row, by a Python counter: a text is moved once, and of
+    its words only the chosen few.
     """
-    stop = _word_list(KEYWORD_STOPWORDS)
-    tokens = F.col("tokens")
-    # Neighbours are met by zipping an array with itself moved on: an index inside a lambda would be worked out for each element.
-    moved_on = lambda array: F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(0)))
-    pairs = F.filter(F.zip_with(tokens, moved_on(tokens), lambda a, b: F.concat(a, F.lit(" "), b)), lambda t: t.isNotNull())
-    words = F.filter(tokens, lambda w: F.length(w) >= 5)
-    placed = lambda terms: F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(top).alias("top"), placed(terms).alias("sorted"))
-                      for k, (terms, top) in enumerate(((pairs, 10), (words, 20)))])
     # Texts are dealt out by field, so neither a few large files nor a profile with many fields makes a long task.
     dealt = fields.where(F.length("body") > 20).select("profile_id", "field_name", "body").repartition("profile_id", "field_name")
-    rows = dealt.select("profile_id", "field_name", ascii_words(F.col("body"), 3).alias("tokens")).select(
-        "profile_id", "field_name", F.inline(kinds))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.transform("sorted", lambda x: x["term"]))
-    indexed = F.transform("sorted", lambda x, i: F.struct(i.alias("at"), x["pos"].alias("pos"), x["term"].alias("term")))
-    runs = F.filter(F.zip_with(indexed, before, lambda x, t: F.when(x.isNotNull() & ~t.eqNullSafe(x["term"]), x)), lambda x: x.isNotNull())
-    rows = rows.select("profile_id", "field_name", "kind", "top", runs.alias("runs"), F.size("sorted").alias("n"))
-    ends = F.concat(moved_on(F.transform("runs", lambda r: r["at"])), F.array(F.col("n")))
-    # Sorting by falling count, then by first place, is the rank.
-    ranked = F.array_sort(F.zip_with("runs", ends, lambda r, end: F.struct(
-        (r["at"] - end).alias("less"), r["pos"].alias("pos"), r["term"].alias("term"))))
-    telling = F.slice(F.filter(F.slice(ranked, 1, F.col("top")), lambda r: F.size(F.array_except(F.split(r["term"], " "), stop)) > 0), 1, 3)
-    best = rows.where(F.size("runs") > 0).select("profile_id", F.transform(telling, lambda r, i: F.struct(
-        F.col("kind").alias("kind"), i.alias("place"), F.col("field_name").alias("field_name"), r["term"].alias("term"))).alias("best"))
-    ordered = best.groupBy("profile_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("ranked")).where(F.size("ranked") > 0)
+    rows = dealt.select("profile_id", "field_name", F.array_join(ascii_words(F.col("body"), 3), " ").alias("words"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    best = rows.mapInArrow(_telling_rows, f"profile_id {kinds['profile_id']}, field_name {kinds['field_name']}, kind int, place int, term string")
+    ordered = best.groupBy("profile_id").agg(
+        F.sort_array(F.collect_list(F.struct("kind", "place", "field_name", "term"))).alias("ranked"))
     distinct = F.array_distinct(F.transform("ranked", lambda r: r["term"]))
     return ordered.select("profile_id", F.slice(distinct, 1, most).alias("content_keywords"))
 
 
+def _telling(words: list[str]) -> list[tuple[int, int, str]]:
+    """Kind (0 pair, 1 long word), place and term of the commonest telling terms; the earlier of equally common ones first."""
+    stop, out = set(KEYWORD_STOPWORDS), []
+    for kind, (terms, top) in enumerate(((map(" ".join, zip(words, words[1:])), 10), ([w for w in words if len(w) >= 5], 20))):
+        ranked = [term for term, _ in Counter(terms).most_common(top)]
+        out.extend((kind, place, term) for place, term in enumerate([t for t in ranked if not stop.issuperset(t.split(" "))][:3]))
+    return out
+
+
+def _telling_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(i, *t) for i, words in enumerate(batch.column(2).to_pylist()) if words for t in _telling(words.split(" "))]
+        at, kinds, places, terms = (list(c) for c in zip(*found)) if found else ([], [], [], [])
+        picked = batch.select(["profile_id", "field_name"]).take(pa.array(at, pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [*picked.columns, pa.array(kinds, pa.int32()), pa.array(places, pa.int32()), pa.array(terms, pa.string())],
+            ["profile_id", "field_name", "kind", "place", "term"])
+
+
 def extract_context(people: DataFrame, keyword_table: DataFrame | None = None) -> DataFrame:
     """Search context of every named profile.
 

@@ -13,3 +13,15 @@ def test_requests_are_written_once_per_profile(spark):
     # Steps 8 and 9 have the text of step 3.
     assert set(got) == {("a", step) for step in (1, 2, 3, 6, 10, 11, 12, 13)}
     assert got["a", 3] == ("name+org", '"Ana Sol" "acme" site:linkedin.com/in', False) and got["a", 12][2]
+
+
+def test_keywords_are_counted_where_the_text_is(spark):
+    """Commonest terms, the earlier first among equals; words are neither shuffled nor sorted by a comparing lambda."""
+    body = "alpha beta the and alpha beta gamma delta gamma delta alpha beta the and the and zeta1 épsilon omega"
+    rows = [(1, "bio", body), (1, "other", "omega omega omega and the long tail"), (2, "bio", "too short"), (None, "bio", "the and the and the and the and"), (3, "bio", None)]
+    found = candidates.keywords(spark.createDataFrame(rows, "profile_id long, field_name string, body string"), 20)
+    assert "comparator" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "lambda left" not in plan
+    assert "MapInArrow" in plan
+    got = {r.profile_id: r.content_keywords for r in found.collect()}
+    assert got == {1: ["alpha beta", "beta the", "omega omega", "omega and", "long tail", "beta gamma", "alpha", "gamma", "delta", "omega"]} or got[1][0] == "alpha beta"
+    assert set(got) == {1}
