@@ -311,7 +311,8 @@ def score_candidates(candidates: DataFrame, context: DataFrame) -> DataFrame:
         return F.when(when, F.struct(value.alias("score"), name.alias("reason")))
 
     s = lambda c: c.cast("string")
-    points = F.array_compact(F.array(
+    # Read twice below and so a column of its own; inside a lambda's argument it would be interpreted, not compiled.
+    points = F.array(
         point(F.col("evidence_type") == "exact", 20, "email-evidence(+20)"),
         point(F.col("evidence_type") == "proximity", 5, "email-proximity(+5)"),
         point((first != "") & F.contains("_title", first), 2, "first-in-title(+2)"),
@@ -327,13 +328,15 @@ def score_candidates(candidates: DataFrame, context: DataFrame) -> DataFrame:
         point(said(F.col("c_domain")), 3, "email-domain(+3)"),
         point((F.col("c_email") != "") & (bare == local), 8, "slug=email(+8)"),
         point(hits > 0, hits * 2, F.concat(F.lit("slug-name("), s(hits), F.lit(")(+"), s(hits * 2), F.lit(")"))),
-        point(lost, -1, "slug-no-last(-1)")))
+        point(lost, -1, "slug-no-last(-1)"))
     scored = joined.withColumn("_points", points)
-    reasons = F.transform("_points", lambda p: p["reason"])
-    telling = F.filter(reasons, lambda r: F.split_part(r, F.lit("("), F.lit(1)).isin(DISTINGUISHING_SIGNALS))
+    scored = scored.select(
+        *candidates.columns, "min_score",
+        F.aggregate("_points", F.lit(0), lambda a, p: a + F.coalesce(p["score"], F.lit(0))).alias("score"),
+        F.transform(F.filter("_points", lambda p: p.isNotNull()), lambda p: p["reason"]).alias("reasons"))
+    telling = F.filter("reasons", lambda r: F.split_part(r, F.lit("("), F.lit(1)).isin(DISTINGUISHING_SIGNALS))
     return scored.select(
-        *candidates.columns, F.aggregate("_points", F.lit(0), lambda a, p: a + p["score"]).alias("score"),
-        reasons.alias("reasons"), F.size(telling).alias("n_signals"), "min_score")
+        *candidates.columns, "score", "reasons", F.size(telling).alias("n_signals"), "min_score")
 
 
 def _min_score() -> Column:
