@@ -18,7 +18,7 @@ from __future__ import annotations
 import html
 import re
 import sys
-from bisect import bisect_left
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +60,9 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 # A leaf is template if this share of the host's aligned pages have it, and so many of them.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
 REFERENCES = 3
-# In sibling lists with more pairs than this, equal subtrees are matched first, by their
-# longest common sequence, and the full table is for what lies between them.
-MOST_PAIRS = 40_000
+# Texts of at most so many siblings are looked up; numbers that are kept to be used again.
+# Neither changes a result.
+RARE, MOST_KEPT = 8, 1_000_000
 FEW_ROWS, FEW_NODES, PARTS = 100_000, 500_000, 32
 
 
@@ -148,116 +148,226 @@ def kept_text(tree: Tree, template: set[tuple[int, int]]) -> str:
         and (tree.main[i] if has_main else tree.linked[i] < 0.9) and (paths[i], hashes[i]) not in template)
 
 
-def common(x: list[int], y: list[int]) -> list[tuple[int, int]]:
-    """Places of a longest increasing run of equal values, each occurrence paired with the like-numbered one."""
-    places: dict[int, list[int]] = {}
-    for q in range(len(y) - 1, -1, -1):
-        places.setdefault(y[q], []).append(q)
-    tails, chain = [], []
-    for p, value in enumerate(x):
-        if places.get(value):
-            q = places[value].pop()
-            at = bisect_left(tails, q)
-            link = (p, q, chain[at - 1] if at else None)
-            tails[at:at + 1], chain[at:at + 1] = [q], [link]
-    out, link = [], chain[-1] if chain else None
-    while link:
-        out.append(link[:2])
-        link = link[2]
-    return out[::-1]
-
-
 class Skeleton:
     def __init__(self, parents: list[int], paths: list[int], hashes: list[int]):
         self.paths, self.hashes = paths, hashes
         self.children: list[list[int]] = [[] for _ in parents]
+        depths = [0] * len(parents)
         for i, parent in enumerate(parents):
             if i:
                 self.children[parent].append(i)
-        # Subtrees with equal prints are alike in elements, shape and text.
-        self.prints, depths = [0] * len(parents), [0] * len(parents)
-        for i in range(len(parents) - 1, -1, -1):
-            self.prints[i] = hash((paths[i], hashes[i], *(self.prints[c] for c in self.children[i])))
-        for i, parent in enumerate(parents):
-            depths[i] = depths[parent] + 1 if i else 0
+                depths[i] = depths[parent] + 1
         self.depth = max(depths, default=0)
 
 
-def aligned(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
-    """The pairs of nodes that simple tree matching finds in two pages, however deep they are.
+class Kinds:
+    """The subtrees of a reference, and of pages beside it, by kind; and what kinds weigh against each other.
 
-    Calls nest with the trees; frames of Python functions live on the heap, so only the
-    interpreter's own limit has to allow for them.
+    Subtrees of one kind are alike in elements, shape and texts, but that all texts of pages
+    which the reference has nowhere are -1: they make no difference to a weight. So pages of
+    one shape have few kinds, and what was worked out for one page holds for the next.
     """
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 4 * min(a.depth, b.depth)))
-    return matching(a, 0, b, 0)[1]
+
+    def __init__(self, base: Skeleton):
+        self.base, self.number = base, {text: n for n, text in enumerate({*base.hashes} - {0}, 1)}
+        self.known: dict[tuple, int] = {}
+        self.path, self.text, self.kids, self.some, self.full = [], [], [], [], []
+        self.weights: dict[tuple[int, int], int] = {}
+        self.lists: dict[tuple, _Siblings] = {}
+        self.partners: dict[tuple, list[tuple[int, int]]] = {}
+        self.of_base = self.of(base)
+
+    def size(self) -> int:
+        return len(self.known) + len(self.weights) + len(self.partners) + sum(len(y.at) * (1 + len(y.rows)) for y in self.lists.values())
+
+    def kind(self, path: int, text: int, kids: tuple[int, ...]) -> int:
+        key = (path, text, kids)
+        found = self.known.get(key)
+        if found is None:
+            found = self.known[key] = len(self.path)
+            self.path.append(path)
+            self.text.append(text)
+            self.kids.append(kids)
+            self.some.append(text > 0 or any(self.some[k] for k in kids))
+            self.full.append(1 + sum(self.full[k] for k in kids) if kids else 2)
+        return found
+
+    def of(self, page: Skeleton) -> list[int]:
+        """The kind of each node's subtree."""
+        out = [0] * len(page.paths)
+        for i in range(len(out) - 1, -1, -1):
+            text = page.hashes[i]
+            out[i] = self.kind(page.paths[i], text and self.number.get(text, -1), tuple([out[c] for c in page.children[i]]))
+        return out
+
+    def texts(self, kind: int) -> set[int]:
+        """The texts of the reference that a kind has."""
+        out, todo = set(), [kind]
+        while todo:
+            kind = todo.pop()
+            if self.text[kind] > 0:
+                out.add(self.text[kind])
+            todo.extend(k for k in self.kids[kind] if self.some[k])
+        return out
+
+    def without(self, kind: int, keep: set[int], none: int) -> int:
+        """The kind with ``none`` for each of these texts, but for those to keep."""
+        if not self.some[kind]:
+            return kind
+        text = self.text[kind]
+        return self.kind(self.path[kind], none if text > 0 and text not in keep else text,
+                         tuple([self.without(k, keep, none) for k in self.kids[kind]]))
+
+    def siblings(self, y: tuple[int, ...]) -> _Siblings:
+        if y not in self.lists:
+            self.lists[y] = _Siblings(self, y)
+        return self.lists[y]
+
+    def weight(self, k: int, m: int) -> int:
+        """Of the heaviest matching of a page's subtree and one of the reference."""
+        if k == m:
+            return self.full[k]
+        if self.path[k] != self.path[m]:
+            return 0
+        x, y = self.kids[k], self.kids[m]
+        if not x or not y:
+            return 1
+        total = self.weights.get((k, m))
+        if total is None:
+            begin, ends = alike(x, y)
+            total = 1 + sum([self.full[c] for c in (*x[:begin], *x[len(x) - ends:])])
+            x, y = x[begin:len(x) - ends], y[begin:len(y) - ends]
+            if len(x) == 1 or len(y) == 1:
+                total += max([self.weight(c, d) for c in x for d in y], default=0)
+            elif x and y:
+                total += int(table(x, self.siblings(y), len(x))[-1][-1])
+            if len(self.weights) > MOST_KEPT:
+                self.weights.clear()
+            self.weights[k, m] = total
+        return total
+
+    def matched(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places in x and y of a heaviest matching in order, by the full table, of which some rows are held at once."""
+        if len(x) == 1 or len(y) == 1:
+            found = max([(self.weight(k, m), -p, -q) for p, k in enumerate(x) for q, m in enumerate(y)])
+            return [(-found[1], -found[2])] if found[0] else []
+        beside, step = self.siblings(y), isqrt(len(x))
+        kept = table(x, beside, step)
+        out, p, q = [], len(x), len(y)
+        for start in range((len(x) - 1) // step * step, -1, -step):
+            part = [row.tolist() for row in table(x[start:start + step], beside, 1, kept[start // step])]
+            while p > start and q:
+                here, above = part[p - start], part[p - start - 1]
+                if here[q] == above[q]:
+                    p -= 1
+                elif here[q] == here[q - 1]:
+                    q -= 1
+                else:
+                    p, q = p - 1, q - 1
+                    out.append((p, q))
+        return out
+
+    def matching(self, page: Skeleton, kinds: list[int], i: int, j: int) -> list[tuple[int, int]]:
+        """The pairs of nodes of a heaviest matching of a page's subtree and one of the reference.
+
+        Subtrees that are alike at the beginnings or ends of two lists are partners in a heaviest one.
+        """
+        # Calls nest with the trees; frames of Python functions live on the heap, so only the
+        # interpreter's own limit has to allow for them.
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 8 * max(page.depth, self.base.depth)))
+        pairs, todo = [], [(i, j)] if self.path[kinds[i]] == self.path[self.of_base[j]] else []
+        while todo:
+            i, j = todo.pop()
+            pairs.append((i, j))
+            nodes, others = page.children[i], self.base.children[j]
+            x, y = self.kids[kinds[i]], self.kids[self.of_base[j]]
+            if (x, y) not in self.partners:
+                begin, ends = alike(x, y)
+                left, right = x[begin:len(x) - ends], y[begin:len(y) - ends]
+                if len(left) == len(right) == 1:
+                    middle = [(0, 0)] if self.path[left[0]] == self.path[right[0]] else []
+                else:
+                    middle = self.matched(left, right) if left and right else []
+                self.partners[x, y] = [*((p, p) for p in range(begin)), *((begin + p, begin + q) for p, q in middle),
+                                       *((len(x) - p, len(y) - p) for p in range(1, ends + 1))]
+            todo += [(nodes[p], others[q]) for p, q in self.partners[x, y]]
+        return pairs
+
+
+class _Siblings:
+    """A list of a reference's subtrees, against which kinds are weighed one by one."""
+
+    def __init__(self, kinds: Kinds, y: tuple[int, ...]):
+        self.kinds, self.each, self.rows = kinds, list(dict.fromkeys(y)), {}
+        number = {m: n for n, m in enumerate(self.each)}
+        self.at = np.array([number[m] for m in y])
+        self.holders: dict[int, list[int]] = {}
+        for n, m in enumerate(self.each):
+            for text in kinds.texts(m):
+                self.holders.setdefault(text, []).append(n)
+        # Two subtrees without a rare text in common weigh what they would without their rare texts.
+        self.common = {text for text, held in self.holders.items() if len(held) > RARE}
+        plain = [kinds.without(m, self.common, -2) for m in self.each]
+        self.plain = list(dict.fromkeys(plain))
+        number = {m: n for n, m in enumerate(self.plain)}
+        self.plain_at = np.array([number[m] for m in plain])
+        self.plain_rows: dict[int, np.ndarray] = {}
+
+    def row(self, k: int) -> np.ndarray:
+        if k not in self.rows:
+            kinds = self.kinds
+            plain = kinds.without(k, self.common, -1)
+            if plain not in self.plain_rows:
+                if len(self.plain_rows) * len(self.plain) > MOST_KEPT:
+                    self.plain_rows.clear()
+                self.plain_rows[plain] = np.array([kinds.weight(plain, m) for m in self.plain], np.int64)
+            out = self.plain_rows[plain][self.plain_at]
+            for n in {n for text in kinds.texts(k) - self.common for n in self.holders.get(text, ())}:
+                out[n] = kinds.weight(k, self.each[n])
+            if (len(self.rows) + 1) * len(self.at) > MOST_KEPT:
+                self.rows.clear()
+            self.rows[k] = out[self.at]
+        return self.rows[k]
+
+
+def table(x, beside: _Siblings, step: int, first: np.ndarray | None = None) -> list[np.ndarray]:
+    """Every ``step``-th row of the table of weights of the beginnings of two lists, and the last one."""
+    last = np.zeros(len(beside.at) + 1, np.int64) if first is None else first
+    kept = [last]
+    for p, k in enumerate(x, 1):
+        more = last[:-1] + beside.row(k)
+        last = last.copy()
+        np.maximum(last[1:], more, out=last[1:])
+        np.maximum.accumulate(last, out=last)
+        if p % step == 0 or p == len(x):
+            kept.append(last)
+    return kept
+
+
+def alike(x, y) -> tuple[int, int]:
+    """How many values two lists share at their beginnings, and then at their ends."""
+    begin, ends, small = 0, 0, min(len(x), len(y))
+    while begin < small and x[begin] == y[begin]:
+        begin += 1
+    while ends < small - begin and x[-1 - ends] == y[-1 - ends]:
+        ends += 1
+    return begin, ends
+
+
+def aligned(a: Skeleton, b: Kinds) -> list[tuple[int, int]]:
+    """The pairs of nodes that simple tree matching finds in a page and a reference, however deep they are."""
+    return b.matching(a, b.of(a), 0, 0)
 
 
 def matching(a: Skeleton, i: int, b: Skeleton, j: int) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two subtrees: its weight, and the pairs of nodes matched.
 
-    Equal text weighs more than two leaves in like places.
+    Equal text weighs more than two leaves in like places. The matching is the heaviest,
+    whatever the number of siblings.
     """
-    if a.paths[i] != b.paths[j]:
-        return 0, []
-    x, y = a.children[i], b.children[j]
-    if not x and not y:
-        return 1 + (a.hashes[i] == b.hashes[j]), [(i, j)]
-    begin, ends, pairs, weight = 0, 0, [(i, j)], 1
-
-    def take(p: int, q: int):
-        nonlocal weight
-        more, found = matching(a, p, b, q)
-        weight += more
-        pairs.extend(found)
-
-    small = min(len(x), len(y))
-    while begin < small and a.prints[x[begin]] == b.prints[y[begin]]:
-        take(x[begin], y[begin])
-        begin += 1
-    while ends < small - begin and a.prints[x[-1 - ends]] == b.prints[y[-1 - ends]]:
-        take(x[-1 - ends], y[-1 - ends])
-        ends += 1
-    x, y = x[begin:len(x) - ends], y[begin:len(y) - ends]
-    if len(x) * len(y) <= MOST_PAIRS:
-        more, found = tabled(a, x, b, y)
-        return weight + more, pairs + found
-    # A gap that is too long for the table is cut at like places.
-    last_p = last_q = 0
-    for p, q in [*common([a.prints[c] for c in x], [b.prints[c] for c in y]), (len(x), len(y))]:
-        left, right = x[last_p:p], y[last_q:q]
-        cuts = -(-max(len(left), len(right), 1) // 200)
-        for k in range(cuts):
-            more, found = tabled(a, left[k * len(left) // cuts:(k + 1) * len(left) // cuts],
-                                 b, right[k * len(right) // cuts:(k + 1) * len(right) // cuts])
-            weight += more
-            pairs.extend(found)
-        if p < len(x):
-            take(x[p], y[q])
-        last_p, last_q = p + 1, q + 1
-    return weight, pairs
-
-
-def tabled(a: Skeleton, x: list[int], b: Skeleton, y: list[int]) -> tuple[int, list[tuple[int, int]]]:
-    """The heaviest matching in order of two lists of subtrees, by the full table."""
-    pairs: list[tuple[int, int]] = []
-    if not x or not y:
-        return 0, pairs
-    inner = [[matching(a, p, b, q) for q in y] for p in x]
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int64).tolist()
-    for p in range(len(x)):
-        for q in range(len(y)):
-            best[p + 1][q + 1] = max(best[p][q + 1], best[p + 1][q], best[p][q] + inner[p][q][0])
-    p, q = len(x), len(y)
-    while p and q:
-        if best[p][q] == best[p - 1][q]:
-            p -= 1
-        elif best[p][q] == best[p][q - 1]:
-            q -= 1
-        else:
-            p, q = p - 1, q - 1
-            pairs.extend(inner[p][q][1])
-    return best[-1][-1], pairs
+    kinds = Kinds(b)
+    pairs = kinds.matching(a, kinds.of(a), i, j)
+    return sum(1 + (not a.children[p] and not b.children[q] and a.hashes[p] == b.hashes[q]) for p, q in pairs), pairs
 
 
 SKELETON = "host string, page_id long, parents array<int>, paths array<long>, hashes array<long>"
@@ -300,19 +410,22 @@ def templates(shapes: DataFrame) -> DataFrame:
 
     def run(batches):
         names = ["host", "ref", "path", "hash", "n"]
-        known: dict[tuple, Skeleton] = {}
+        known: dict[tuple, Kinds] = {}
         for batch in batches:
             counts: dict[tuple, int] = {}
             for host, ref, parents, paths, hashes, *reference in zip(*(c.to_pylist() for c in batch.columns)):
                 if (host, ref) not in known:
-                    if len(known) >= 100:
+                    if len(known) >= 100 or sum(k.size() for k in known.values()) > MOST_KEPT:
                         known.clear()
-                    known[host, ref] = Skeleton(*reference)
-                base = known[host, ref]
+                    known[host, ref] = Kinds(Skeleton(*reference))
+                elif known[host, ref].size() > MOST_KEPT:
+                    known[host, ref] = Kinds(known[host, ref].base)
+                kinds = known[host, ref]
+                base = kinds.base
                 if [h for h in hashes if h] == [h for h in base.hashes if h]:
                     continue
                 page = Skeleton(parents, paths, hashes)
-                same = [j for i, j in aligned(page, base) if base.hashes[j] and page.hashes[i] == base.hashes[j]]
+                same = [j for i, j in aligned(page, kinds) if base.hashes[j] and page.hashes[i] == base.hashes[j]]
                 for key in {(host, ref, 0, 0), *((host, ref, base.paths[j], base.hashes[j]) for j in same)}:
                     counts[key] = counts.get(key, 0) + 1
             if counts:

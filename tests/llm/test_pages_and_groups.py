@@ -140,6 +140,17 @@ def test_long_lists_are_aligned_by_equal_texts():
     assert len(same) == 300
 
 
+@pytest.mark.parametrize("n", [60, 190, 230])
+def test_matching_of_long_lists_is_the_heaviest(n):
+    draw = random.Random(n)
+    made = [[f"<{t}>{draw.choice('uvwxyz')}{'<br>' if t == 'p' else '<p>' + draw.choice(['u', side, 'Reply'])}</{t}>"
+             for t in draw.choices(["div", "p", "section"], k=n)] for side in "ab"]
+    a, b = (wrapper_induction.Skeleton(t.parent, t.paths(), t.hashes()) for t in (wrapper_induction.Tree("<ul>" + "".join(m) + "</ul>") for m in made))
+    weight, pairs = wrapper_induction.matching(a, 0, b, 0)
+    assert weight == best_matching(a, 0, b, 0)
+    assert len({i for i, _ in pairs}) == len(pairs) == len({j for _, j in pairs})
+
+
 def test_truncated_and_broken_pages_are_read():
     assert wrapper_induction.kept_text(wrapper_induction.Tree("<article><p>a &lt; b &am"), set()) == "a < b &am"
     assert wrapper_induction.kept_text(wrapper_induction.Tree("<p>a < b <i>c</i>d<p title='>'>e"), set()) == "a < b cd\n\ne"
