@@ -9,8 +9,9 @@ from page to page too. Pages with the very texts of the reference are no evidenc
 them everything is constant.
 
 Alignment needs tree shape and text hashes only: skeletons of some hundred bytes per page.
-References and templates, a few rows per host, are sent to all tasks where they were counted
-to be few; otherwise they meet the pages in a join by host, each host dealt to several tasks.
+Pages are parsed once; what may be content is written beside the skeletons. References and
+templates, a few rows per host, are sent to all tasks where they were counted to be few;
+otherwise they meet the pages in a join by host, each host dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
 REFERENCES = 3
 # Texts of at most so many siblings are looked up; numbers that are kept to be used again.
 # Neither changes a result.
-RARE, MOST_KEPT = 8, 1_000_000
+RARE, MOST_KEPT = 8, 500_000
 FEW_ROWS, FEW_NODES, PARTS = 100_000, 500_000, 32
 
 
@@ -139,13 +140,16 @@ class Tree:
         return [xxhash.xxh3_64_intdigest(t) if t else 0 for t in self.text]
 
 
+def leaves(tree: Tree, paths: list[int], hashes: list[int]) -> list[tuple[int, int, str]]:
+    """Path, hash and text of the leaves that are content by their place."""
+    has_main = any(m and not a and n == "#" for m, a, n in zip(tree.main, tree.aside, tree.name))
+    return [(paths[i], hashes[i], text) for i, text in enumerate(tree.text) if tree.name[i] == "#" and not tree.aside[i]
+            and (tree.main[i] if has_main else tree.linked[i] < 0.9)]
+
+
 def kept_text(tree: Tree, template: set[tuple[int, int]]) -> str:
     """The content leaves, two line feeds between them."""
-    paths, hashes = tree.paths(), tree.hashes()
-    has_main = any(m and not a and n == "#" for m, a, n in zip(tree.main, tree.aside, tree.name))
-    return "\n\n".join(
-        text for i, text in enumerate(tree.text) if tree.name[i] == "#" and not tree.aside[i]
-        and (tree.main[i] if has_main else tree.linked[i] < 0.9) and (paths[i], hashes[i]) not in template)
+    return "\n\n".join(text for path, hash_, text in leaves(tree, tree.paths(), tree.hashes()) if (path, hash_) not in template)
 
 
 class Skeleton:
@@ -370,7 +374,8 @@ def matching(a: Skeleton, i: int, b: Skeleton, j: int) -> tuple[int, list[tuple[
     return sum(1 + (not a.children[p] and not b.children[q] and a.hashes[p] == b.hashes[q]) for p, q in pairs), pairs
 
 
-SKELETON = "host string, page_id long, parents array<int>, paths array<long>, hashes array<long>"
+SKELETON = ("host string, page_id long, parents array<int>, paths array<long>, hashes array<long>, "
+            "leaf_paths array<long>, leaf_hashes array<long>, leaf_texts array<string>")
 
 
 def host_of() -> F.Column:
@@ -378,23 +383,34 @@ def host_of() -> F.Column:
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
-    kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = [f.split()[0] for f in SKELETON.split(", ")]
+    """A row per page, with its url and ``id``, the page_id as it came: the one time that pages are parsed.
+
+    The texts of leaves that may be content are kept; templates read the other columns only.
+    """
+    given = {f.name: f.dataType.simpleString() for f in pages.select(F.col("page_id").alias("id"), "url").schema}
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 4, pa.list_(pa.string())]
+    names = ["id", "url", *(f.split()[0] for f in SKELETON.split(", "))]
 
     def run(batches):
-        signed = lambda values: np.array(values, np.uint64).view(np.int64)
+        signed = lambda values: np.array(values, np.uint64).view(np.int64).tolist()
         for batch in batches:
-            host, page_id, source = (c.to_pylist() for c in batch.columns)
-            trees = [Tree(s) for s in source]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((
-                host, page_id, [t.parent for t in trees], [signed(t.paths()) for t in trees],
-                [signed(t.hashes()) for t in trees]), kinds)], names)
+            host, page_id, source = (c.to_pylist() for c in batch.columns[2:])
+            rows = []
+            for one, number, text in zip(host, page_id, source):
+                tree = Tree(text)
+                paths, hashes = signed(tree.paths()), signed(tree.hashes())
+                found = leaves(tree, paths, hashes)
+                rows.append((one, number, tree.parent, paths, hashes, *([f[k] for f in found] for k in range(3))))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds))], names)
 
-    return materialised(pages.select(host_of().alias("host"), F.col("page_id").cast("long"), "html").mapInArrow(run, SKELETON), "skeletons")
+    read = pages.select(F.col("page_id").alias("id"), "url", host_of().alias("host"), F.col("page_id").cast("long").alias("page_id"), "html")
+    return materialised(read.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in given.items()) + ", " + SKELETON), "skeletons")
 
 
 def templates(shapes: DataFrame) -> DataFrame:
     """Per host, the places and texts of its constant leaves; at most as many as the references have."""
+    shapes = shapes.select("host", "page_id", "parents", "paths", "hashes")
     shape = F.xxhash64("paths").alias("shape")
     page = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.xxhash64("hashes").alias("print"))
     filled = shapes.where(F.exists("hashes", lambda h: h != 0))
@@ -405,36 +421,39 @@ def templates(shapes: DataFrame) -> DataFrame:
     chosen = materialised(chosen.select("host", "shape", "page", "ref"), "chosen")
     # Only the few chosen pages' trees are moved.
     references = filled.select("*", shape, page.alias("page")).join(sized(chosen, FEW_ROWS), ["host", "shape", "page"])
-    references = materialised(references.groupBy("host", "ref").agg(
-        *[F.any_value(c).alias(f"r_{c}") for c in ("parents", "paths", "hashes")]), "references")
+    references = references.groupBy("host", "ref").agg(*[F.any_value(c).alias(f"r_{c}") for c in ("parents", "paths", "hashes")])
+    # At most REFERENCES trees in a row.
+    tree = F.struct("ref", "r_parents", "r_paths", "r_hashes")
+    references = materialised(references.groupBy("host").agg(F.collect_list(tree).alias("trees")), "references")
 
     def run(batches):
         names = ["host", "ref", "path", "hash", "n"]
-        known: dict[tuple, Kinds] = {}
+        known: dict[str, list[tuple]] = {}
         for batch in batches:
             counts: dict[tuple, int] = {}
-            for host, ref, parents, paths, hashes, *reference in zip(*(c.to_pylist() for c in batch.columns)):
-                if (host, ref) not in known:
-                    if len(known) >= 100 or sum(k.size() for k in known.values()) > MOST_KEPT:
-                        known.clear()
-                    known[host, ref] = Kinds(Skeleton(*reference))
-                elif known[host, ref].size() > MOST_KEPT:
-                    known[host, ref] = Kinds(known[host, ref].base)
-                kinds = known[host, ref]
-                base = kinds.base
-                if [h for h in hashes if h] == [h for h in base.hashes if h]:
-                    continue
-                page = Skeleton(parents, paths, hashes)
-                same = [j for i, j in aligned(page, kinds) if base.hashes[j] and page.hashes[i] == base.hashes[j]]
-                for key in {(host, ref, 0, 0), *((host, ref, base.paths[j], base.hashes[j]) for j in same)}:
-                    counts[key] = counts.get(key, 0) + 1
+            if sum(k.size() for found in known.values() for _, k, _ in found) > MOST_KEPT:
+                known.clear()
+            for row, (host, parents, paths, hashes) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
+                if host not in known:
+                    known[host] = [(t["ref"], Kinds(Skeleton(t["r_parents"], t["r_paths"], t["r_hashes"])), [h for h in t["r_hashes"] if h])
+                                   for t in batch.column(4)[row].as_py()]
+                page, texts = Skeleton(parents, paths, hashes), [h for h in hashes if h]
+                for ref, kinds, others in known[host]:
+                    if texts == others:
+                        continue
+                    base = kinds.base
+                    same = [j for i, j in aligned(page, kinds) if base.hashes[j] and hashes[i] == base.hashes[j]]
+                    for key in {(host, ref, 0, 0), *((host, ref, base.paths[j], base.hashes[j]) for j in same)}:
+                        counts[key] = counts.get(key, 0) + 1
             if counts:
                 columns = [*zip(*counts), list(counts.values())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(columns)], names)
 
-    columns = ["host", "ref", "parents", "paths", "hashes", "r_parents", "r_paths", "r_hashes"]
-    if references.select(F.coalesce(F.sum(F.size("r_parents")), F.lit(0))).first()[0] <= FEW_NODES:
-        joined = shapes.join(F.broadcast(references), "host")
+    columns = ["host", "parents", "paths", "hashes", "trees"]
+    nodes = F.aggregate("trees", F.lit(0), lambda n, t: n + F.size(t["r_parents"]))
+    if references.select(F.coalesce(F.sum(nodes), F.lit(0))).first()[0] <= FEW_NODES:
+        # Pages of a host come one after the other, so that a task makes its references ready once.
+        joined = shapes.sortWithinPartitions("host").join(F.broadcast(references), "host")
     else:
         parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
         joined = shapes.withColumn("part", F.pmod(F.xxhash64("page_id", "hashes"), F.lit(PARTS)).cast("int")).join(
@@ -453,20 +472,26 @@ def main_texts(pages: DataFrame) -> DataFrame:
     their own; hosts of up to ``TEMPLATE_PAGES`` pages have no template. Of references with
     one page_id, the one with the smaller hash is taken.
     """
-    found = templates(skeletons(pages))
+    parsed = skeletons(pages)
+    found = templates(parsed)
     if found.select(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0] <= FEW_ROWS:
         found = F.broadcast(found)
-    joined = pages.select("page_id", "url", "html", host_of().alias("host")).join(found, "host", "left").select(
-        "page_id", "url", "html", "template")
+    joined = parsed.select("id", "url", "host", "leaf_paths", "leaf_hashes", "leaf_texts").join(found, "host", "left").select(
+        "id", "url", "host", "leaf_paths", "leaf_hashes", "leaf_texts", "template")
 
     def run(batches):
+        known: dict[str, set] = {}
         for batch in batches:
             texts = []
-            for source, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                mask = (1 << 64) - 1
-                texts.append(kept_text(Tree(source), {(t["path"] & mask, t["hash"] & mask) for t in template or []}))
+            if sum(map(len, known.values())) > MOST_KEPT:
+                known.clear()
+            for row, (host, paths, hashes, leaf_texts) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:6]))):
+                if host not in known:
+                    known[host] = {(t["path"], t["hash"]) for t in batch.column(6)[row].as_py() or []}
+                template = known[host]
+                texts.append("\n\n".join([t for path, hash_, t in zip(paths, hashes, leaf_texts) if (path, hash_) not in template]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    kind = pages.select("page_id").schema[0].dataType.simpleString()
+    kind = parsed.schema["id"].dataType.simpleString()
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

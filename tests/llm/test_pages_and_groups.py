@@ -140,6 +140,11 @@ def test_long_lists_are_aligned_by_equal_texts():
     assert len(same) == 300
 
 
+def test_pages_are_parsed_once(pages):
+    # What is kept of a leaf comes from the files that the one parsing wrote.
+    assert any("/skeletons-" in f for f in wrapper_induction.main_texts(pages).inputFiles())
+
+
 @pytest.mark.parametrize("n", [60, 190, 230])
 def test_matching_of_long_lists_is_the_heaviest(n):
     draw = random.Random(n)
