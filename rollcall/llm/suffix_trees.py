@@ -144,14 +144,16 @@ def each_block(blocks: DataFrame, at: tuple[int, int], work, schema: str, *colum
     return packing.each(blocks, rows, schema, *columns)
 
 
-def common_prefixes(packed: Packed) -> dict[int, np.ndarray]:
-    """Hashes of prefixes with more than ``SHARE`` of all windows, by length; at most 1/SHARE each.
+def surveyed(packed: Packed) -> DataFrame:
+    """A row per block: the prefixes frequent in it, and its anchors. Both come from one opening of the block.
 
-    A prefix with that share overall has half of it in some block, so blocks name those only,
-    and in a row of length 0 how many windows they have.
+    A prefix with more than ``SHARE`` of all windows has half of it in some block, so blocks
+    name those only, and under length 0 how many windows they have.
     """
+    names, at = ["lengths", "keys", "counts", "anchors"], packed.at
 
-    def count(number, block):
+    def survey(number, rows):
+        block = opened(rows, at)
         lengths, keys, counts = [np.zeros(1, np.int64)], [np.zeros(1, np.uint64)], [np.array([len(block.starts)])]
         for length in PREFIXES[:-1]:
             values, least = mixed(block.runs[length][block.starts]), len(block.starts) * SHARE / 2
@@ -162,9 +164,20 @@ def common_prefixes(packed: Packed) -> dict[int, np.ndarray]:
             lengths.append(np.full(much.sum(), length))
             keys.append(found[much])
             counts.append(n[much])
-        return [pa.array(np.concatenate(lengths)), signed(np.concatenate(keys)), pa.array(np.concatenate(counts))]
+        anchors = block.anchors()
+        anchors = np.unique(anchors[new_values(anchors)])
+        columns = [np.concatenate(lengths), np.concatenate(keys).view(np.int64), np.concatenate(counts), anchors.view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(
+            pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, pa.int64())) for c in columns)], ["block", *names])
+
+    schema = ", ".join(["block long", *(f"{name} array<long>" for name in names)])
+    return materialised(packing.each(packed.rows, survey, schema), "survey")
+
 
-    counted = each_block(packed.rows, packed.at, count, "length long, key long, n long").groupBy("length", "key").agg(F.sum("n").alias("n"))
+def common_prefixes(survey: DataFrame) -> dict[int, np.ndarray]:
+    """Hashes of prefixes with more than ``SHARE`` of all windows, by length; at most 1/SHARE each."""
+    named = survey.select(F.explode(F.arrays_zip("lengths", "keys", "counts")).alias("x"))
+    counted = named.groupBy(F.col("x.lengths").alias("length"), F.col("x.keys").alias("key")).agg(F.sum("x.counts").alias("n"))
     counted = materialised(counted, "prefixes")
     every = counted.where("length = 0").agg(F.sum("n")).first()[0] or 0
     common = {length: np.empty(0, np.uint64) for length in PREFIXES}
@@ -174,23 +187,17 @@ def common_prefixes(packed: Packed) -> dict[int, np.ndarray]:
     return common
 
 
-def shared_anchors(packed: Packed) -> DataFrame:
+def shared_anchors(survey: DataFrame) -> DataFrame:
     """Per block, the anchors that are in another block too; at most as many as the block has."""
-    schema = "anchor long, block long"
-
-    def find(number, block):
-        anchors = block.anchors()
-        anchors = np.unique(anchors[new_values(anchors)])
-        return [signed(anchors), pa.array(np.full(len(anchors), number), pa.int64())]
-
-    found = each_block(packed.rows, packed.at, find, schema)
+    found = survey.select(F.explode("anchors").alias("anchor"), "block")
     counted = found.withColumn("n", F.count("*").over(W.partitionBy("anchor")))
     return counted.where("n > 1").groupBy("block").agg(F.collect_list("anchor").alias("anchors"))
 
 
 def repeated_leaves(packed: Packed) -> DataFrame:
     """Per block, the offsets of its first windows that start earlier in another block."""
-    sent = packed.rows.sparkSession.sparkContext.broadcast(common_prefixes(packed))
+    survey = surveyed(packed)
+    sent = packed.rows.sparkSession.sparkContext.broadcast(common_prefixes(survey))
     schema = "key long, window long, doc long, block long, offset long"
 
     def suffixes(number, block, anchors):
@@ -204,7 +211,7 @@ def repeated_leaves(packed: Packed) -> DataFrame:
         return [signed(block.keys(sent.value, at)), signed(windows), pa.array([block.ids[d] for d in doc.tolist()], pa.int64()),
                 pa.array(np.full(len(at), number), pa.int64()), pa.array(at, pa.int64())]
 
-    leaves = each_block(packed.rows.join(shared_anchors(packed), "block"), packed.at, suffixes, schema, "anchors")
+    leaves = each_block(packed.rows.join(shared_anchors(survey), "block"), packed.at, suffixes, schema, "anchors")
     # One exchange by prefix; below it, a sort puts the leaves of each node together.
     node = W.partitionBy("key", "window").orderBy(F.col("doc").asc_nulls_first(), "block", "offset")
     grouped = leaves.repartition("key").withColumn("leaf", F.row_number().over(node))
