@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ COUNTER_WORDS, PAIRS = 300_000, 2_000_000
 def tokens(text: str | None) -> list[bytes]:
     """Words of a text with A-Z in lower case, and the end; very long ones stand as their digest."""
     split = (text or "").encode().lower().split()
-    if any(len(w) > LONGEST for w in split):
+    if max(map(len, split), default=0) > LONGEST:
         split = [w if len(w) <= LONGEST else b" " + hashlib.sha256(w).hexdigest().encode() for w in split]
     split.append(END)
     return split
@@ -105,7 +107,7 @@ def pair_counts(train: DataFrame, clustered: list[bytes]) -> DataFrame:
         for batch in batches:
             flat = [size + 1]
             for text in batch.column(0).to_pylist():
-                flat += [number.get(w, size) for w in tokens(text)]
+                flat += map(number.get, tokens(text), repeat(size))
             line = np.array(flat, np.int64)
             pairs.append(np.unique(line[:-1] * (size + 2) + line[1:], return_counts=True))
             held += len(pairs[-1][0])
@@ -165,6 +167,12 @@ def best_class(table: np.ndarray, own: int, before: np.ndarray, after: np.ndarra
     return int(np.argmax(gain[:CLASSES]))
 
 
+def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column, as parts of its values."""
+    values, offsets = column.values.to_numpy(), column.offsets.to_pylist()
+    return (values[begin:end] for begin, end in pairwise(offsets))
+
+
 def exchange(pairs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Class of each clustered word (and of the two numbers after them), and the class pairs."""
     classes = np.concatenate([np.arange(size) % CLASSES, [REST, STOP]])
@@ -183,13 +191,10 @@ def exchange(pairs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         if turn == ROUNDS:
             break
 
-        def run(batches, classes=classes, table=table, turn=turn):
+        def run(batches, classes=classes, table=table):
             for batch in batches:
                 moved = []
-                for word, side, other, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (word + turn) % 2:
-                        continue
-                    side, other, n = np.array(side), np.array(other), np.array(n, float)
+                for word, side, other, n in zip(batch.column(0).to_pylist(), *map(lists, batch.columns[1:])):
                     self_pair = other == word
                     context = [np.bincount(classes[other[pick]], n[pick], STATES)
                                for pick in ((side == 0) & ~self_pair, (side == 1) & ~self_pair)]
@@ -198,7 +203,7 @@ def exchange(pairs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*moved)], ["word", "class"])
 
         classes = classes.copy()
-        for word, chosen in near.mapInArrow(run, "word long, class long").collect():
+        for word, chosen in near.where((F.col("word") + turn) % 2 == 0).mapInArrow(run, "word long, class long").collect():
             classes[word] = chosen
     return best[1], best[2]
 
@@ -249,8 +254,8 @@ def scored(docs: DataFrame) -> DataFrame:
             flat, sizes, others = [other + 1], [], []
             for text in batch.column(1).to_pylist():
                 words = tokens(text)
-                ids = [number.get(w, other) for w in words]
-                others.append([xxhash.xxh64_intdigest(w, 42) for w, i in zip(words, ids) if i == other])
+                ids = [*map(number.get, words, repeat(other))]
+                others.append([xxhash.xxh64_intdigest(w, 42) for w, i in zip(words, ids) if i == other] if other in ids else [])
                 flat += ids
                 sizes.append(len(ids))
             ids = np.array(flat, np.int64)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from llm_samples import DOCS, prose, rows
 from tokenizers import Tokenizer
@@ -156,6 +157,16 @@ def test_repeats_go_but_for_the_first(docs, no_docs):
     assert suffix_trees.deduplicated(no_docs).count() == 0
 
 
+def test_blocks_are_surveyed_once(llm, docs):
+    survey = suffix_trees.surveyed(suffix_trees.Packed(docs.select("doc_id", "text").coalesce(1), 3000))
+    rows = survey.collect()
+    assert len(rows) > 1 and {r.block for r in suffix_trees.shared_anchors(survey).collect()} <= {r.block for r in rows}
+    windows = sum(max(0, len((r.text or "").encode().split()) - suffix_trees.SPAN + 1) for r in docs.collect())
+    assert sum(n for r in rows for length, n in zip(r.lengths, r.counts) if length == 0) == windows
+    common = suffix_trees.common_prefixes(survey)
+    assert all(len(common[length]) <= 1 / suffix_trees.SHARE for length in common)
+
+
 def test_common_prefixes_are_lengthened(llm):
     block = suffix_trees.Block([1], [" ".join(["a b c d e f g h"] * 5)])
     common = {4: np.unique(suffix_trees.mixed(block.runs[4])), 8: np.empty(0, np.uint64)}
@@ -193,6 +204,12 @@ def test_words_outside_the_dictionary_are_counted_exactly(llm, docs, monkeypatch
         assert r.n_known == whole[r.doc_id].n_known and abs(r.base_score - whole[r.doc_id].base_score) < 1e-6
 
 
+def test_lists_are_parts_of_the_column():
+    column = pa.array([[9], [1, 2], [], [3]], pa.list_(pa.int64()))[1:]
+    parts = [*brown_classes.lists(column)]
+    assert [p.tolist() for p in parts] == [[1, 2], [], [3]] and all(p.base is not None for p in parts)
+
+
 def test_exchange_finds_the_better_class():
     draw = np.random.default_rng(1)
     table = draw.integers(0, 50, (brown_classes.STATES, brown_classes.STATES)).astype(float)
