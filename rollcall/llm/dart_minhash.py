@@ -14,8 +14,12 @@ Components of the links found so far then leave few buckets with nodes of severa
 among those, pairs that could still be similar are compared as well. Two bounds rule the
 others out: the distances to the first node (the triangle inequality holds for this
 distance), and the weight that two nodes can have in common at most, within the first node
-and outside it, where what a node shares with no other at all doesn't count. So no link inside a bucket is lost, and a bucket of copies costs a row per node,
-not per pair.
+and outside it, where what a node shares with no other at all doesn't count. For the second
+bound each node has two marks of ``MARKS`` bits, of the shingles that it has less often than the
+first node and of those that it has more often: a bit that only one of two nodes has is a shingle
+that they can't have in common. One node of the largest component of each such bucket is compared with the other components
+first; what that joins isn't compared again. So no link inside a bucket is lost, and a bucket of
+copies costs a row per node, not per pair.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import blocks as packing
@@ -38,6 +42,7 @@ BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 THROWN = K * (np.log(K) + 3)
 ODD = np.uint64(0x9E3779B97F4A7C15)
+MARKS = 512
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -119,6 +124,21 @@ def weights_of(text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles([text])[0], return_counts=True)
 
 
+def mark(found: np.ndarray) -> list[int]:
+    """Bits of shingles, as longs."""
+    bits = np.zeros(MARKS, np.uint8)
+    bits[(found >> np.uint64(40)) % np.uint64(MARKS)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def differing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[list[int], list[int]]:
+    """Marks of the shingles that weigh more in a than in b, and of those that weigh more in b."""
+    both, in_a, in_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    more_a, more_b = np.ones(len(a[0]), bool), np.ones(len(b[0]), bool)
+    more_a[in_a], more_b[in_b] = a[1][in_a] > b[1][in_b], b[1][in_b] > a[1][in_a]
+    return mark(a[0][more_a]), mark(b[0][more_b])
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, int]:
     """Weighted Jaccard similarity of two texts, each its distinct shingles and their weights, and the common weight."""
     _, in_a, in_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -156,7 +176,7 @@ def signed(blocks: DataFrame, at_id: int, at_text: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Adds the exact ``similarity`` and the weight of ``both`` to pairs of nodes a and b."""
+    """Adds the exact ``similarity``, the weight of ``both`` and marks of what is more in a and in b to pairs of nodes."""
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b") \
         .join(texts.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").select("a", "b", "wa", "wb")
 
@@ -173,12 +193,17 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             a, b, wa, wb = (c.to_pylist() for c in batch.columns)
-            found = [similarity(counted(w, x), counted(y, z)) for w, y, x, z in zip(a, b, wa, wb)]
+            found = []
+            for w, y, x, z in zip(a, b, wa, wb):
+                one, other = counted(w, x), counted(y, z)
+                found.append((*similarity(one, other), *differing(one, other)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.float64()),
-                 pa.array([x for _, x in found], pa.int64())], ["a", "b", "similarity", "both"])
+                [batch.column(0), batch.column(1), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))],
+                ["a", "b", "similarity", "both", "more_a", "more_b"])
 
-    return joined.mapInArrow(run, "a binary, b binary, similarity double, both long")
+    kinds = [pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return joined.mapInArrow(
+        run, "a binary, b binary, similarity double, both long, more_a array<long>, more_b array<long>")
 
 
 def node_texts(blocks: DataFrame, documents: DataFrame, nodes: DataFrame, at_text: int) -> DataFrame:
@@ -215,6 +240,40 @@ def unshared(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return once.groupBy(F.col("x.node").alias("node")).agg(F.sum("x.weight").alias("unshared"))
 
 
+def only(x: str, y: str, marks: str) -> Column:
+    """How many bits of ``marks`` x has and y has not."""
+    own, other = (lambda i, side=side: F.col(f"{side}.{marks}")[i] for side in (x, y))
+    return sum((F.bit_count(own(i).bitwiseAND(F.bitwise_not(other(i)))) for i in range(MARKS // 64)), F.lit(0))
+
+
+def open_pairs(x: DataFrame, y: DataFrame, once: Column) -> DataFrame:
+    """Nodes a and b, x's and y's in a bucket, of different components and with no bound against their being similar."""
+    x, y = x.alias("x"), y.alias("y")
+    near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - SIMILAR + 1e-9
+    rough = F.least("x.both", "y.both") + F.least("x.rest", "y.rest")
+    inside = F.least(F.col("x.both") - only("y", "x", "less"), F.col("y.both") - only("x", "y", "less"))
+    outside = [F.col(f"{i}.size") - F.col(f"{i}.both") - only(i, j, "more") for i, j in ("xy", "yx")]
+    most = inside + F.least("x.rest", "y.rest", *outside)
+
+    def enough(both):
+        return both >= SIMILAR * (F.col("x.size") + F.col("y.size") - both) - 1e-9
+
+    met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & near & enough(rough) & enough(most)
+    return x.join(y, met & once).select(
+        F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
+def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """``grouped`` (node, label) after further links between nodes a and b, by components of labels."""
+    of = {c: grouped.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"}
+    met = links.join(of["a"], "a", "left").join(of["b"], "b", "left").select(
+        F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
+    new = components(met).withColumnRenamed("label", "lower")
+    nodes = grouped.unionByName(new.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+    return nodes.join(new.withColumnRenamed("node", "label"), "label", "left").select(
+        "node", F.coalesce("lower", "label").alias("label"))
+
+
 def classes(blocks: DataFrame, at_id: int, at_text: int) -> DataFrame:
     """block, place and doc_id of every document with its node and ``label``, equal within a class."""
     documents = materialised(signed(blocks, at_id, at_text), "signed")
@@ -238,21 +297,23 @@ def classes(blocks: DataFrame, at_id: int, at_text: int) -> DataFrame:
     placed = placed.join(mixed_up.select("bucket"), "bucket")
     placed = placed.where("node <> top").select("*", *pair).join(measured, ["a", "b"])
     placed = materialised(placed.select(
-        "bucket", "node", "top", "size", "label", (1 - F.col("similarity")).alias("far"), "both"), "mixed")
+        "bucket", "node", "top", "size", "label", (1 - F.col("similarity")).alias("far"), "both",
+        F.when(F.col("top") == F.col("a"), F.col("more_a")).otherwise(F.col("more_b")).alias("less"),
+        F.when(F.col("top") == F.col("a"), F.col("more_b")).otherwise(F.col("more_a")).alias("more")), "mixed")
     alone = unshared(texts, placed.select(F.explode(F.array("node", "top")).alias("node")).distinct())
     placed = materialised(placed.join(alone, "node", "left").withColumn(
         "rest", F.col("size") - F.col("both") - F.coalesce("unshared", F.lit(0))).drop("unshared", "top"), "bounded")
+    # One node of the largest component of a bucket meets the others first.
+    largest = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("node").alias("node")).groupBy("bucket").agg(
+        F.max(F.struct("n", "node")).alias("at")).select("bucket", F.col("at.node").alias("node"))
+    more = open_pairs(placed.join(largest, ["bucket", "node"]), placed, F.lit(True))
+    more = compared(more, texts).where(F.col("similarity") >= SIMILAR).select("a", "b")
+    grouped = materialised(merged(grouped, more), "grouped")
+    placed = materialised(placed.drop("label").join(grouped, "node", "left").withColumn("label", label), "regrouped")
     # A node linked to the first needs comparing with those that are not.
-    apart = placed.where(F.col("far") > 1 - SIMILAR)
-    x, y = apart.alias("x"), placed.alias("y")
-    near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - SIMILAR + 1e-9
-    most = F.least("x.both", "y.both") + F.least("x.rest", "y.rest")
-    sized = most >= SIMILAR * (F.col("x.size") + F.col("y.size") - most) - 1e-9
     once = (F.col("y.far") <= 1 - SIMILAR) | (F.col("x.node") < F.col("y.node"))
-    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & near & sized & once)
-    more = more.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    links = links.unionByName(compared(more, texts).where(F.col("similarity") >= SIMILAR).select("a", "b"))
-    grouped = components(links)
+    more = open_pairs(placed.where(F.col("far") > 1 - SIMILAR), placed, once)
+    grouped = merged(grouped, compared(more, texts).where(F.col("similarity") >= SIMILAR).select("a", "b"))
     own = F.concat(F.lit("row").cast("binary"), F.encode(F.concat_ws(":", "block", "place"), "UTF-8"))
     return documents.join(grouped, "node", "left").select(
         "block", "place", "doc_id", "node", F.coalesce("label", "node", own).alias("label"))

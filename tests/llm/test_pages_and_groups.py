@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from llm_samples import DOCS, edited, prose, rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rollcall.llm import arc_to_warc, dart_minhash, queries, string_tiling, wrapper_induction
@@ -204,6 +205,43 @@ def test_near_duplicates_of_odd_tables(docs, no_docs):
     assert dart_minhash.near_duplicates(no_docs).count() == 0 and dart_minhash.first_of_each(no_docs).count() == 0
 
 
+def test_edits_of_one_text_are_not_all_compared(llm, monkeypatch):
+    base, draw, made, compared = prose(90, 100), random.Random(3), [], dart_minhash.compared
+    for _ in range(120):
+        text = base
+        for at in draw.sample(range(0, 100, 3), 3):
+            text = edited(text, at)
+        made.append(text)
+    counts = []
+
+    def spied(pairs, texts):
+        counts.append(pairs.count())
+        return compared(pairs, texts)
+
+    monkeypatch.setattr(dart_minhash, "compared", spied)
+    made = [base, edited(base, 50), edited(edited(base, 50), 53), *made]
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(llm.createDataFrame(rows(made), DOCS)).collect()}
+    assert got == classes_by_force(dict(enumerate(made)))
+    assert sum(counts[1:]) < 2 * len(made)  # beside each bucket's first node
+
+
+def test_no_bound_rules_a_similar_pair_out(llm):
+    base, draw = prose(91, 60).split() * 2, random.Random(4)
+    texts = [[draw.choice(base[:9]) if draw.random() < 0.03 else w for w in base + base[:draw.randint(0, 9)]] for _ in range(40)]
+    held = [dart_minhash.weights_of([w.encode() for w in t]) for t in (base, *texts)]
+    placed = []
+    for i, own in enumerate(held[1:]):
+        similar, both = dart_minhash.similarity(held[0], own)
+        less, more = dart_minhash.differing(held[0], own)
+        size = int(own[1].sum())
+        placed.append((1, bytes([i]), size, bytes([i]), 1 - similar, both, less, more, size - both))
+    placed = llm.createDataFrame(placed, "bucket long, node binary, size long, label binary, far double, both long, "
+                                         "less array<long>, more array<long>, rest long")
+    found = {(r.a[0], r.b[0]) for r in dart_minhash.open_pairs(placed, placed, F.lit(True)).collect()}
+    want = {(i, k) for i in range(40) for k in range(i) if dart_minhash.similarity(held[i + 1], held[k + 1])[0] >= 0.8}
+    assert len(want) > 20 and want <= found and len(found) < 40 * 39 / 2
+
+
 def test_signatures_estimate_weighted_similarity():
     a, b = [b"%d" % (i % 150) for i in range(400)], [b"%d" % (i % 150) for i in range(300)] + [b"y%d" % i for i in range(100)]
     counted = [dart_minhash.weights_of(t) for t in (a, b)]
