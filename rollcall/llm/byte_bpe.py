@@ -19,6 +19,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from rollcall.llm.shared import give_back
 from rollcall.llm.words import Encoder
 
 # Field numbers and values of sentencepiece's public model format.
@@ -73,17 +74,26 @@ def serialised_model(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _block(TRAINER, trainer) + _block(NORMALIZER, normaliser)
 
 
-class Codec(Encoder):
+class Decoder:
+    """The bytes that ids stand for; it holds no more than the tokens."""
+
+    def __init__(self, pieces: sentencepiece.SentencePieceProcessor):
+        back = {letter: b for b, letter in enumerate(byte_alphabet())}
+        unknown = pieces.unk_id()
+        self.tokens = [bytes(map(back.__getitem__, pieces.id_to_piece(i))) for i in range(len(pieces)) if i != unknown]
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+class Codec(Encoder, Decoder):
     """Encodes words pre-token by pre-token, and decodes ids."""
 
     def __init__(self, model: bytes, pattern: str):
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
-        super().__init__(len(self.pieces))
-        letters = byte_alphabet()
-        self.letters = dict(enumerate(letters))
-        back = {letter: b for b, letter in enumerate(letters)}
-        unknown = self.pieces.unk_id()
-        self.tokens = [bytes(map(back.__getitem__, self.pieces.id_to_piece(i))) for i in range(len(self.pieces)) if i != unknown]
+        Encoder.__init__(self, len(self.pieces))
+        Decoder.__init__(self, self.pieces)
+        self.letters = dict(enumerate(byte_alphabet()))
         self.ranks = {token: i for i, token in enumerate(self.tokens)}
         self.pre_tokens = regex.compile(pattern).findall
 
@@ -97,15 +107,17 @@ class Codec(Encoder):
                for p, r, found in zip(distinct, raw, self.pieces.encode(mapped, num_threads=1))}
         return [[i for p in parts for i in ids[p]] for parts in split]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 @lru_cache(maxsize=2)
 def codec(model: bytes, pattern: str) -> Codec:
     return Codec(model, pattern)
 
 
+@lru_cache(maxsize=2)
+def decoder(model: bytes) -> Decoder:
+    return Decoder(sentencepiece.SentencePieceProcessor(model_proto=model))
+
+
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id and ``ids`` of each whole text, as bytes of little-endian unsigned 32-bit integers.
 
@@ -130,10 +142,11 @@ def decoded(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     model = tokens.sparkSession.sparkContext.broadcast(serialised_model(read_ranks(ranks_path)))
 
     def run(batches):
-        decode = codec(model.value, pattern).decode
+        decode = decoder(model.value).decode
         for batch in batches:
             text = pa.array([decode(ids) for ids in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], ["doc_id", "ids", "decoded"])
+        give_back()
 
     kind = tokens.select("doc_id").schema[0].dataType.simpleString()
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm import blocks as packing
 from rollcall.llm.components import components
-from rollcall.llm.shared import materialised
+from rollcall.llm.shared import give_back, materialised
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -200,6 +200,8 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))],
                 ["a", "b", "similarity", "both", "more_a", "more_b"])
+        known.clear()
+        give_back()
 
     kinds = [pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     return joined.mapInArrow(
@@ -234,6 +236,7 @@ def unshared(texts: DataFrame, nodes: DataFrame) -> DataFrame:
                 found, weight = weights_of(zstandard.ZstdDecompressor().decompress(squeezed).split(b" "))
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array([node] * len(found), pa.binary()),
                                                   pa.array(weight)], names)
+        give_back()
 
     rows = texts.join(nodes, "node").select("node", "words").mapInArrow(run, "shingle long, node binary, weight long")
     once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct("node", "weight")).alias("x")).where("n = 1")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.shared import shared_folder
+from rollcall.llm.shared import give_back, shared_folder
 from rollcall.llm.words import encoder
 
 WINDOW = 2048
@@ -138,6 +138,7 @@ def _routed(rest: DataFrame, width: int, end_id: int, statistics, shard: int) ->
                 [*(batch.column(c) for c in ("doc_id", "doc_tokens", "start", "ids")),
                  pa.array(terms, pa.int32()), pa.array(parts, pa.int32()), batch.column("draw")],
                 ["doc_id", "doc_tokens", "start", "ids", "term", "part", "draw"])
+        give_back()
 
     drawn = rest.select("doc_id", "doc_tokens", "start", "ids", F.xxhash64("doc_id", "ids").alias("draw"))
     return drawn.mapInArrow(run, ROUTED)
@@ -285,6 +286,8 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WIND
         pieces = windows.fill(held) + windows.close()
         if pieces:
             yield _rows(pieces)
+        del held, pieces
+        give_back()
 
     routed = _routed(_kind(spark, folder, REST), width, end_id, statistics, shard)
     order = ["term", "part", "draw", "doc_id", "start"]

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.shared import give_back
+
 LEAST = 5
 COVERAGE = 0.5
 BLOCK_TOKENS = 1 << 20
@@ -228,6 +230,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, c
             for batch in batches:
                 bad = {hit[0] for hit in sent.value.against(batch.column(at).to_pylist())}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+            give_back()
         return run
 
     for block in blocks(benchmark, least, coverage):

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from rollcall.llm.shared import give_back
+
 LONGEST = 64  # Longer words are encoded, not kept.
 STEP = 1 << 20
 KEPT = 1 << 19
@@ -208,7 +210,10 @@ class Encoder:
             counts.append(n)
             at = to
         upto = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        return np.concatenate(parts), upto[np.searchsorted(begins, bounds)]
+        ids = np.concatenate(parts), upto[np.searchsorted(begins, bounds)]
+        del parts, counts, begins, ends, raw, data
+        give_back()
+        return ids
 
     def _step(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of neighbouring words, and how many each has."""

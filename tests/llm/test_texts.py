@@ -14,8 +14,8 @@ import tiktoken
 from llm_samples import DOCS, prose, rows
 from tokenizers import Tokenizer
 
-from rollcall.llm import brown_classes, byte_bpe, framed_records, quality_rules, suffix_trees
-from rollcall.llm.shared import shared_folder
+from rollcall.llm import brown_classes, byte_bpe, framed_records, quality_rules, suffix_trees, words
+from rollcall.llm.shared import give_back, shared_folder
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,23 @@ def test_ids_are_those_of_the_library(docs, no_docs):
     assert byte_bpe.encoded(no_docs, RANKS, PATTERN).count() == 0
 
 
+def test_decoder_holds_tokens_only():
+    model = byte_bpe.serialised_model(byte_bpe.read_ranks(RANKS))
+    codec, decoder = byte_bpe.codec(model, PATTERN), byte_bpe.decoder(model)
+    ids = np.arange(0, len(codec.tokens), 7, dtype="<u4").tobytes()
+    assert decoder.decode(ids) == codec.decode(ids) and vars(decoder) == {"tokens": codec.tokens}
+
+
+def test_workers_give_freed_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(words, "give_back", lambda: calls.append(1))
+    encode = words.encoder(open(JSON, encoding="utf-8").read())
+    for n in (1, 2, 3):
+        ids, at = encode(pa.array([prose(5, 50), None, "one"]))
+        assert len(calls) == n and len(at) == 4 and at[-1] == len(ids)
+    give_back()
+
+
 def test_rank_file_without_gaps(tmp_path):
     path = tmp_path / "ranks"
     path.write_bytes(b"%s 0\n%s 2\n" % (base64.b64encode(b"a"), base64.b64encode(b"b")))
