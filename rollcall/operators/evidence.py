@@ -71,10 +71,10 @@ def org_site_evidence(pages: DataFrame, signals: DataFrame) -> DataFrame:
     through an index of three-letter pieces (:mod:`grams`); texts of pages are extracted only
     where a link was found. Join the result to profiles on the three columns. ``pages``: url, html.
     """
-    # Names are read back by every look-up below; their signals are worked out once.
-    who = cut_lineage(signals.where(
-        (F.col("org_domain") != "") & (F.col("first") != "") & ((F.col("last") != "") | (F.length("first") >= 5))
-    ).select("org_domain", "first", "last").distinct())
+    # Names are read back by every look-up below; their signals are worked out once. Choosing comes
+    # after that: a condition would move down to the profiles and work them out again for each mention.
+    who = cut_lineage(signals.select("org_domain", "first", "last").distinct()).where(
+        (F.col("org_domain") != "") & (F.col("first") != "") & ((F.col("last") != "") | (F.length("first") >= 5)))
     slugs = who.select("org_domain", "first", "last", F.posexplode(name_slugs(F.col("first"), F.col("last"))).alias("turn", "slug"))
 
     owned = pages.select("url", "html", host(F.col("url")).alias("org_domain")).join(

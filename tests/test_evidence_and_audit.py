@@ -25,6 +25,24 @@ def test_merge_and_verdict(spark):
         "a": "enriched", "b": "enriched", "c": "thin", "d": "hidden", "e": "failed"}
 
 
+def test_signals_of_names_are_worked_out_once(spark, monkeypatch):
+    plans, cut = [], evidence.cut_lineage
+
+    def spied(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(evidence, "cut_lineage", spied)
+    people = spark.createDataFrame(
+        [("a", "Ann Lee", "al@acme.com", "Acme"), ("b", "Jo", "jo@acme.com", None), ("c", None, None, None)],
+        "id STRING, name STRING, email STRING, organization STRING")
+    html = "<p>Ann Lee leads</p><a href='/people/ann-lee'>Read</a><a href='/jo'>Jo</a>"
+    pages = spark.createDataFrame([("https://acme.com/team/1", html), (None, None)], "url STRING, html STRING")
+    found = evidence.org_site_evidence(pages, evidence.profile_signals(people)).collect()
+    assert [(r["first"], r["last"], r.url) for r in found] == [("ann", "lee", "https://acme.com/people/ann-lee")]
+    assert "Filter" not in plans[0]
+
+
 def test_stage_gate(spark):
     rows = [("a", i, f"https://s{i}.example", src, "bio", ["name_match", "bio_match"], "", "") for i, src in enumerate(["org_site", "github", "linkedin", "open_web"])]
     cut = evidence.stage_cutoffs(spark.createDataFrame(rows, EV)).first()
