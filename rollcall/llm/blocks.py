@@ -11,8 +11,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rollcall.llm.shared import give_back
-
 BLOCK_BYTES = 4 << 20
 
 
@@ -58,7 +56,6 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     yield block()
         if parts:
             yield block()
-        give_back()
 
     buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"blocks_{uuid.uuid4().hex}"
     made = docs.mapInArrow(run, "block long, rows binary").repartition(buckets, "block")
@@ -74,6 +71,5 @@ def each(blocks: DataFrame, work, schema, *columns: str) -> DataFrame:
             for i in range(batch.num_rows):
                 number, rows, *rest = (c[i].as_py() for c in batch.columns)
                 yield from work(number, unpacked(rows), *rest)
-                give_back()
 
     return blocks.select("block", "rows", *columns).mapInArrow(run, schema)

@@ -132,6 +132,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             raw = ids.astype("<u4").tobytes()
             cut = [raw[4 * a:4 * b] for a, b in zip(at.tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["doc_id", "ids"])
+        give_back()
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
