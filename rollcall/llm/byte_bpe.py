@@ -20,20 +20,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from rollcall.llm.shared import give_back
-from rollcall.llm.words import Encoder
+from rollcall.llm.words import Encoder, byte_alphabet
 
 # Field numbers and values of sentencepiece's public model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, BPE = 1, 2, 2
 
 
-def byte_alphabet() -> list[str]:
-    """A printable character for each byte: itself where it prints, else the next from U+0100 on."""
-    printing = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b if b in printing else next(others)) for b in range(256)]
-
-
 def read_ranks(path: str) -> list[bytes]:
     """Tokens in rank order from lines of base64 and rank; ranks must be 0, 1, 2, ..."""
     with open(path, "rb") as lines:

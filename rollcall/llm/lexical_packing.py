@@ -60,7 +60,7 @@ def _encode(docs: DataFrame, tokenizer_json, end_id: int, window: int, folder: s
         kinds = [f.type for f in schema]
         for batch in batches:
             ids, at = encode(batch.column(1))
-            rows = []
+            rows, rests = [], []
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 own = np.append(ids[at[i]:at[i + 1]], ids.dtype.type(end_id))
                 whole = len(own) // window * window
@@ -70,8 +70,11 @@ def _encode(docs: DataFrame, tokenizer_json, end_id: int, window: int, folder: s
                 if whole < len(own):
                     rest = own[whole:]
                     rows.append((REST, doc, len(own), whole, None, rest.tobytes()))
-                    found[np.unique(rest)] += 1
-                    n_rest, tokens = n_rest + 1, tokens + len(rest)
+                    rests.append(rest)
+            if rests:
+                terms = distinct(rests)[0]
+                found[:-2] += np.bincount(terms, minlength=len(found) - 2)
+                n_rest, tokens = n_rest + len(rests), tokens + sum(map(len, rests))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema=schema)
         found[-2:] = n_rest, tokens
@@ -113,12 +116,21 @@ def inverse_frequency(found: np.ndarray, n: int) -> np.ndarray:
     return np.log1p((n - found + 0.5) / (found + 0.5))
 
 
-def term_weights(ids: np.ndarray, end_id: int, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct terms of a remainder and their BM25 weights in it."""
-    terms, tf = np.unique(ids, return_counts=True)
+def distinct(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of each remainder in rising order, the remainder's number, and how often it has the id."""
+    owner = np.repeat(np.arange(len(rests), dtype=np.int64) << 32, [len(r) for r in rests])
+    keys, tf = np.unique(owner | np.concatenate(rests).astype(np.int64), return_counts=True)
+    return keys & 0xFFFFFFFF, keys >> 32, tf
+
+
+def term_weights(rests: list[np.ndarray], end_id: int, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of remainders and their BM25 weights in them, one remainder after the other, and where each one's begin."""
+    terms, owner, tf = distinct(rests)
     inside = terms != end_id
-    terms, tf = terms[inside], tf[inside]
-    return terms, idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
+    terms, owner, tf = terms[inside], owner[inside], tf[inside]
+    length = np.fromiter(map(len, rests), np.int64, len(rests))[owner]
+    weights = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+    return terms, weights, np.searchsorted(owner, np.arange(len(rests) + 1))
 
 
 def _routed(rest: DataFrame, width: int, end_id: int, statistics, shard: int) -> DataFrame:
@@ -128,10 +140,12 @@ def _routed(rest: DataFrame, width: int, end_id: int, statistics, shard: int) ->
         found, n, tokens = statistics.value
         idf, mean = inverse_frequency(found, n), tokens / max(n, 1)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             terms, parts = [], []
-            for raw, draw in zip(batch.column("ids"), batch.column("draw").to_pylist()):
-                own, weights = term_weights(np.frombuffer(raw.as_buffer(), f"<u{width}"), end_id, idf, mean)
-                term = int(own[np.argmax(weights)]) if len(own) else -1
+            held, weights, at = term_weights([np.frombuffer(x.as_buffer(), f"<u{width}") for x in batch.column("ids")], end_id, idf, mean)
+            for a, b, draw in zip(at.tolist(), at[1:].tolist(), batch.column("draw").to_pylist()):
+                term = int(held[a + np.argmax(weights[a:b])]) if a < b else -1
                 terms.append(term)
                 parts.append(draw % math.ceil((found[term] if term >= 0 else n) / shard))
             yield pa.RecordBatch.from_arrays(
@@ -150,12 +164,13 @@ class Shard:
     """
 
     def __init__(self, rests: list[np.ndarray], end_id: int, idf: np.ndarray, mean: float):
-        self.terms, weights = zip(*[term_weights(r, end_id, idf, mean) for r in rests])
+        flat, weights, at = term_weights(rests, end_id, idf, mean)
         self.n = len(rests)
-        flat, docs = np.concatenate(self.terms), np.repeat(np.arange(self.n), [len(t) for t in self.terms])
-        order = np.argsort(flat, kind="stable")
-        flat, docs, values = flat[order], docs[order], np.concatenate(weights)[order]
-        held, begins, sizes = np.unique(flat, return_index=True, return_counts=True)
+        self.terms, docs = np.split(flat, at[1:-1]), np.repeat(np.arange(self.n), np.diff(at))
+        order = np.argsort(flat.astype(np.uint16) if len(idf) <= 1 << 16 else flat, kind="stable")
+        flat, docs, values = flat[order], docs[order], weights[order]
+        begins = np.flatnonzero(np.append(len(flat) > 0, flat[1:] != flat[:-1]))
+        held, sizes = flat[begins], np.diff(np.append(begins, len(flat)))
         wide = sizes * DENSE >= self.n
         row = np.full(len(idf) + 1, -1, np.int64)  # by term: its row of the table
         row[held[wide]] = np.arange(wide.sum())
@@ -206,7 +221,7 @@ class Windows:
         index = Shard([r[3] for r in rows], self.end_id, self.idf, self.mean)
         unused, left, first = np.ones(len(rows), bool), len(rows), 0
         # The open window's first document is its seed.
-        terms = term_weights(self.held[0][3], self.end_id, self.idf, self.mean)[0] if self.held else None
+        terms = term_weights([self.held[0][3]], self.end_id, self.idf, self.mean)[0] if self.held else None
         scores = None
         while left:
             if not self.held:  # a new window: the first unused remainder is the seed

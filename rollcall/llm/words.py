@@ -26,6 +26,7 @@ LONGEST = 64  # Longer words are encoded, not kept.
 STEP = 1 << 20
 KEPT = 1 << 19
 TOGETHER = 1000
+LAST_LATIN = "\u024f"  # Up to here a letter is one for every version of Unicode in use.
 OTHER, LETTER, SPACE, WHITE, MARK = range(5)
 BASE = 0x9E3779B97F4A7C15
 
@@ -39,6 +40,13 @@ WIDE = {0xC2: [b"\x85", b"\xa0"], 0xE1: [b"\x9a\x80"], 0xE3: [b"\x80\x80"],
         0xE2: [b"\x80" + bytes([b]) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)] + [b"\x81\x9f"]}
 
 
+def byte_alphabet() -> list[str]:
+    """A printable character for each byte: itself where it prints, else the next from U+0100 on."""
+    printing = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in printing else next(others)) for b in range(256)]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     out[1:] = base
@@ -237,7 +245,8 @@ class Encoder:
                 if len(fresh) > KEPT // 2:
                     return self._plain(data, begins, ends)
             at = new[first]
-            words = [part[b:e].tobytes() for b, e in zip((begins[at] - zero).tolist(), (ends[at] - zero).tolist())]
+            raw = part.tobytes()
+            words = [raw[b:e] for b, e in zip((begins[at] - zero).tolist(), (ends[at] - zero).tolist())]
             self.words.add(fresh, words, self.encoded([w.decode() for w in words]))
             places[new] = self.words.find(keys[new])
         long = np.flatnonzero(~short)
@@ -249,7 +258,8 @@ class Encoder:
         if len(long) == len(sizes) or not np.array_equal(
                 gathered(table.bytes.data, table.at["byte"][known], n_bytes), part[checked] if len(long) else part):
             return self._plain(data, begins, ends)
-        np.add.at(table.counts.data, known[short], 1)
+        seen = np.bincount(known[short])
+        table.counts.data[:len(seen)] += seen.astype(np.int32)
         if not len(long):
             return gathered(table.ids.data, table.at["id"][known], n_ids), n_ids
         # Long words stand between runs of short ones.
@@ -281,20 +291,23 @@ class LibraryEncoder(Encoder):
         super().__init__(self.tokenizer.get_vocab_size())
         described = json.loads(tokenizer_json)
         before = described.get("pre_tokenizer") or {}
-        # A word of letters is one pre-token; the model can have it straight away, a space as its byte's sign.
+        # A word of letters is one pre-token; the model can have it straight away, in the signs of its bytes.
         self.direct = described.get("normalizer") is None and before.get("type") == "ByteLevel" \
             and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        self.letters = dict(enumerate(byte_alphabet()))
         self.between, = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def encoded(self, words: list[str]) -> list[list[int]]:
         """Ids of words, none of which has a line feed beside anything else."""
         out: list = [None] * len(words)
         rest = []
-        model = self.tokenizer.model
+        tokenize = self.tokenizer.model.tokenize
         for i, word in enumerate(words):
             bare = word[1:] if word[0] == " " else word
-            if self.direct and bare.isascii() and bare.isalpha():
-                out[i] = [t.id for t in model.tokenize("Ġ" + bare if bare is not word else word)]
+            if self.direct and bare.isalpha() and (bare.isascii() or max(bare) <= LAST_LATIN):
+                signs = word.encode().decode("latin-1").translate(self.letters) if not bare.isascii() else \
+                    "Ġ" + bare if bare is not word else word
+                out[i] = [t.id for t in tokenize(signs)]
             else:
                 rest.append(i)
         blank = [i for i in rest if words[i].isspace() or "\n" in words[i]]

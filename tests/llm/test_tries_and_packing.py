@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -191,8 +192,49 @@ def test_words_with_equal_hashes(plain, monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == [plain("one two three"), plain("four one")]
 
 
+def test_words_of_latin_letters_go_to_the_model(plain):
+    """Accented or not, such a word doesn't pass the whole tokenizer; its ids are those the library gives."""
+    with open(JSON, encoding="utf-8") as file:
+        encode = words.LibraryEncoder(file.read())
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    texts = [f"{c} b{c}d {c}{c}" for c in letters] + [" étéñß", "ºª", "x\u0251y"]
+    ids, begins = encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == [plain(t) for t in texts]
+
+    def refuse(*args, **more):
+        raise AssertionError("the whole tokenizer")
+
+    encode.tokenizer = SimpleNamespace(model=encode.tokenizer.model, encode=refuse, encode_batch_fast=encode.tokenizer.encode_batch_fast)
+    assert encode.encoded([" größenordnung", "éx", " plain"]) == [plain(w) for w in (" größenordnung", "éx", " plain")]
+
+
+def test_how_often_kept_words_come_is_counted():
+    with open(JSON, encoding="utf-8") as file:
+        encode = words.LibraryEncoder(file.read())
+    for _ in range(2):
+        encode(pa.array(["one two two", None, "two"]))
+    held = {encode.words.bytes[b:b + n].tobytes(): c for b, n, c in zip(
+        encode.words.at["byte"][:], encode.words.at["bytes"][:], encode.words.counts[:])}
+    assert held == {b"one": 2, b" two": 4, b"two": 2}
+
+
 # ---- packing
 
+def test_terms_of_many_remainders_at_once():
+    """As one remainder after the other would give them: distinct ids, and weights by the formula."""
+    draw, end = random.Random(5), 1
+    for kind in (np.uint16, np.uint32):
+        rests = [np.array([draw.randrange(1, 30) for _ in range(draw.randint(0, 40))] + [end], kind) for _ in range(50)]
+        terms, owner, tf = lexical_packing.distinct(rests)
+        assert list(zip(owner, terms, tf)) == [(i, t, n) for i, r in enumerate(rests) for t, n in zip(*np.unique(r, return_counts=True))]
+        idf, mean = np.linspace(3, 1, 40), sum(map(len, rests)) / len(rests)
+        terms, weights, at = lexical_packing.term_weights(rests, end, idf, mean)
+        assert len(at) == len(rests) + 1 and at[-1] == len(terms) == len(weights)
+        for r, a, b in zip(rests, at, at[1:]):
+            want = {t: idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(r) / mean)) for t, n in zip(*np.unique(r, return_counts=True)) if t != end}
+            assert terms[a:b].tolist() == list(want) and np.allclose(weights[a:b], list(want.values()))
+
+
 def check_pieces(got, texts, plain, window):
     whole = {i: plain(t) + [1] for i, t in texts}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
