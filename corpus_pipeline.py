@@ -46,8 +46,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text (little-endian unsigned 32-bit integers), decoded again as a proof."""
     prepared(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encoded(docs, ranks, public_tokenizers.PATTERN)
-    return byte_bpe.decoded(ids, ranks, public_tokenizers.PATTERN).select(
+    return byte_bpe.encoded_and_decoded(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -111,6 +111,12 @@ def decoder(model: bytes) -> Decoder:
     return Decoder(sentencepiece.SentencePieceProcessor(model_proto=model))
 
 
+def cut_out(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit integers."""
+    raw = ids.astype("<u4").tobytes()
+    return [raw[4 * a:4 * b] for a, b in zip(at.tolist(), at[1:].tolist())]
+
+
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id and ``ids`` of each whole text, as bytes of little-endian unsigned 32-bit integers.
 
@@ -121,9 +127,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         encode = codec(model.value, pattern)
         for batch in batches:
-            ids, at = encode(batch.column(1))
-            raw = ids.astype("<u4").tobytes()
-            cut = [raw[4 * a:4 * b] for a, b in zip(at.tolist(), at[1:].tolist())]
+            cut = cut_out(*encode(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["doc_id", "ids"])
         give_back()
 
@@ -144,3 +148,19 @@ def decoded(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     kind = tokens.select("doc_id").schema[0].dataType.simpleString()
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+
+
+def encoded_and_decoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """What :func:`decoded` gives of :func:`encoded`, by one worker a task instead of two beside each other."""
+    model = docs.sparkSession.sparkContext.broadcast(serialised_model(read_ranks(ranks_path)))
+
+    def run(batches):
+        both = codec(model.value, pattern)
+        for batch in batches:
+            cut = cut_out(*both(batch.column(1)))
+            text = pa.array([both.decode(ids) for ids in cut], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary()), text], ["doc_id", "ids", "decoded"])
+        give_back()
+
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")

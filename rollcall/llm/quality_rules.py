@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollcall.llm.shared import materialised, sized, with_row
+from rollcall.llm.shared import materialised, materialised_small, sized, with_row
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -168,7 +168,7 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     for i, f in enumerate(FEATURES):
         m = group_quantile(vectors, F.col(f), 0.5, 200).withColumnRenamed("limit", f"m{i}")
         medians = m if medians is None else medians.join(m, "g")
-    medians = materialised(medians, "medians")
+    medians = materialised_small(medians, "medians")
     around = vectors.join(sized(medians, FEW_GROUPS), "g")
     for i, f in enumerate(FEATURES):
         d = group_quantile(around, F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 200).select(
@@ -177,18 +177,18 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     counts = vectors.groupBy("g").agg(F.count("*").alias("n"))
     estimate = medians.join(spreads, "g").join(counts, "g").withColumns(
         {f"l{i}{j}": F.lit(0.0) for i in range(p) for j in range(i)})
-    estimate = materialised(estimate, "start")
+    estimate = materialised_small(estimate, "start")
     inner = chi2_limit(KEPT_SHARE, p)
     widen = KEPT_SHARE / chi2_below(inner, p + 2)
     for _ in range(STEPS):
         measured = with_distance(vectors, estimate)
-        limit = materialised(group_quantile(measured, F.log1p("d2"), KEPT_SHARE, 500), "limits")
+        limit = materialised_small(group_quantile(measured, F.log1p("d2"), KEPT_SHARE, 500), "limits")
         nearest = measured.join(sized(limit, FEW_GROUPS), "g").where(F.ceil(F.log1p("d2") * 500) / 500 <= F.col("limit"))
-        estimate = materialised(estimated(nearest, widen), "step")
+        estimate = materialised_small(estimated(nearest, widen), "step")
     share = 0.975
     close = chi2_limit(share, p)
     weighted = with_distance(vectors, estimate).where(F.col("d2") <= close)
-    return materialised(estimated(weighted, share / chi2_below(close, p + 2)), "reweighted")
+    return materialised_small(estimated(weighted, share / chi2_below(close, p + 2)), "reweighted")
 
 
 def judged(measured: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def judged(measured: DataFrame) -> DataFrame:
     own = estimates.where(F.col("n") >= MIN_GROUP)
     chosen = groups.join(own.select("g", F.lit(True).alias("_own")), "g", "left").select(
         "g", F.when(F.col("_own"), F.col("g")).otherwise("").alias("_from"))
-    chosen = materialised(chosen.join(estimates.withColumnRenamed("g", "_from"), "_from", "left").drop("_from"), "chosen")
+    chosen = materialised_small(chosen.join(estimates.withColumnRenamed("g", "_from"), "_from", "left").drop("_from"), "chosen")
     limit = chi2_limit(1 - TAIL, len(FEATURES))
     return with_distance(rows, chosen).drop("g", "n").withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True)))

@@ -37,8 +37,7 @@ def op9(spark, folder):
 @query("op1_byte_bpe")
 def op1(spark, folder):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encoded(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.decoded(ids, ranks, public_tokenizers.PATTERN).select(
+    return byte_bpe.encoded_and_decoded(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -15,7 +15,7 @@ from llm_samples import DOCS, prose, rows
 from tokenizers import Tokenizer
 
 from rollcall.llm import brown_classes, byte_bpe, framed_records, quality_rules, suffix_trees
-from rollcall.llm.shared import shared_folder
+from rollcall.llm.shared import materialised_small, shared_folder
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,23 @@ def test_ids_are_those_of_the_library(docs, no_docs):
     assert byte_bpe.encoded(no_docs, RANKS, PATTERN).count() == 0
 
 
+def test_encoding_and_decoding_need_one_worker_a_task(docs, no_docs):
+    """The same rows as by both functions one after the other, from one pass through Python."""
+    once = byte_bpe.encoded_and_decoded(docs, RANKS, PATTERN)
+    both = byte_bpe.decoded(byte_bpe.encoded(docs, RANKS, PATTERN), RANKS, PATTERN)
+    passes = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert (passes(once), passes(both)) == (1, 2) and once.columns == both.columns
+    assert listed(once, *once.columns) == listed(both, *both.columns)
+    assert byte_bpe.encoded_and_decoded(no_docs, RANKS, PATTERN).count() == 0
+
+
+def test_tables_of_groups_are_few_files(llm):
+    many = llm.range(4000).repartition(40)
+    got = materialised_small(many, "few")
+    assert len(got.inputFiles()) <= llm.sparkContext.defaultParallelism < 40
+    assert sorted(r[0] for r in got.collect()) == list(range(4000))
+
+
 def test_decoder_holds_tokens_only():
     model = byte_bpe.serialised_model(byte_bpe.read_ranks(RANKS))
     codec, decoder = byte_bpe.codec(model, PATTERN), byte_bpe.decoder(model)
