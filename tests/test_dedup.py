@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from rollcall.operators import dedup
 from rollcall.operators.grams import contained
@@ -153,3 +154,40 @@ def test_pairs_are_not_moved_once_made(spark, monkeypatch):
     shared = {(n[0], k[0]) for n in new for k in known if n[3] == k[3]}
     exact = {(r.new_id, r.existing_id) for r in tables.exact.collect()}
     assert len(got) == len(set(got)) and set(got) == shared | exact
+
+
+def test_lists_of_a_name_meet_new_rows(spark, monkeypatch):
+    """Lists of known ids are taken apart behind the last join; ids that repeat or are missing pair as often as their rows."""
+    monkeypatch.setattr(dedup, "SLICE", 3)
+    monkeypatch.setattr(dedup, "PART", 4)
+    monkeypatch.setattr(dedup, "TASK", 50)
+    schema = "id STRING, dataset_id STRING, pos INT, name STRING, email STRING, organization STRING, linkedin_url STRING"
+    new, known = people(40, 5, "n"), people(45, 6, "k")
+    firms = [f"firm {chr(97 + i)}{chr(122 - i)}" for i in range(12)]  # organisations of which none holds another
+    new += new[:9] + [(None, "ds0", 900, "Ana Maria Sol", "", "Sky", "")] * 3 + [(f"nf{i}", "ds1", i, "Many Firms", "", f, "") for i, f in enumerate(firms)]
+    known += known[:7] * 6 + [(None, "ds0", 901, "Ana Maria Sol", "", "", "")] * 5 + [(f"kf{i}", "ds1", i, "Many Firms", "", f, "") for i, f in enumerate(firms)]
+    frames = [spark.createDataFrame(rows, schema) for rows in (new, known)]
+    tables = dedup.duplicate_tables(*frames, stored=True)
+    pairs = dedup.expanded(tables)
+    exact = {(r.new_id, r.existing_id): r.match_type for r in tables.exact.collect()}
+    want = Counter((*pair, kind, 1.0) for pair, kind in exact.items())
+    for n in new:
+        for k in known:
+            if n[3] == k[3] and (n[0], k[0]) not in exact:
+                a, b = org(n[5]), org(k[5])
+                want[n[0], k[0], "name_org", 0.6 if not a or not b else 0.9 if a in b or b in a else 0.5] += 1
+    assert Counter((r.new_id, r.existing_id, r.match_type, r.confidence) for r in pairs.collect()) == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = plan[max(i for i, line in enumerate(plan) if "name_org" in line):]
+    first = next(line for line in made if "Join" in line or "Generate" in line)
+    assert "Generate explode(_ids" in first
+
+
+def test_pairs_follow_the_links_kept(spark):
+    """Links left out of the tables make no pairs."""
+    columns = ["id", "dataset_id", "pos", "name", "email", "organization", "linkedin_url"]
+    new, known = people(30, 7, "n"), people(30, 8, "k")
+    tables = dedup.duplicate_tables(spark.createDataFrame(new, columns), spark.createDataFrame(known, columns))
+    every = [tuple(r) for r in dedup.expanded(tables).collect()]
+    likely = dedup.expanded(tables._replace(links=tables.links.where("confidence > 0.7"))).collect()
+    assert sorted(tuple(r) for r in likely) == sorted(r for r in every if r[3] > 0.7)
